@@ -47,12 +47,12 @@ def shuffle_cleanup(spark: SparkSession):
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
-def scratch(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
+def scratch(df: DataFrame, tag: str, codec: str = "zstd", partition_by: tuple[str, ...] = ()) -> DataFrame:
     """df, written to the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ferrule-{tag}-{uuid.uuid4().hex}"
     with shuffle_cleanup(spark):
-        df.write.option("compression", codec).parquet(path)
+        df.write.option("compression", codec).partitionBy(*partition_by).parquet(path)
     _scratch.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._ferrule_path = path

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from .media import op5_media_chunks
 from .pieces import op3_sentencepiece
 from .pii import op1_pii
+from .tokens import op2_token_store
 
-QUERIES = {"op1_pii": op1_pii, "op3_sentencepiece": op3_sentencepiece}
+QUERIES = {
+    "op1_pii": op1_pii,
+    "op2_token_store": op2_token_store,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op5_media_chunks": op5_media_chunks,
+}
 ORACLE_SQL: dict[str, str] = {}

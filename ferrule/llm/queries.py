@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from .decontaminate import op8_decontamination
+from .linededup import ORACLE_SQL as LINES_SQL
+from .linededup import op6_line_dedup
 from .media import op5_media_chunks
 from .pieces import op3_sentencepiece
 from .pii import op1_pii
@@ -12,5 +15,7 @@ QUERIES = {
     "op2_token_store": op2_token_store,
     "op3_sentencepiece": op3_sentencepiece,
     "op5_media_chunks": op5_media_chunks,
+    "op6_line_dedup": op6_line_dedup,
+    "op8_decontamination": op8_decontamination,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_line_dedup": LINES_SQL}

@@ -8,6 +8,7 @@ from .linededup import op6_line_dedup
 from .media import op5_media_chunks
 from .pieces import op3_sentencepiece
 from .pii import op1_pii
+from .quality import op7_quality
 from .tokens import op2_token_store
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
     "op5_media_chunks": op5_media_chunks,
     "op6_line_dedup": op6_line_dedup,
+    "op7_quality": op7_quality,
     "op8_decontamination": op8_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {"op6_line_dedup": LINES_SQL}

@@ -6,9 +6,11 @@ from .decontaminate import op8_decontamination
 from .linededup import ORACLE_SQL as LINES_SQL
 from .linededup import op6_line_dedup
 from .media import op5_media_chunks
+from .neardup import op9_near_dedup
 from .pieces import op3_sentencepiece
 from .pii import op1_pii
 from .quality import op7_quality
+from .suffixdedup import op10_suffix_dedup
 from .tokens import op2_token_store
 
 QUERIES = {
@@ -19,5 +21,7 @@ QUERIES = {
     "op6_line_dedup": op6_line_dedup,
     "op7_quality": op7_quality,
     "op8_decontamination": op8_decontamination,
+    "op9_near_dedup": op9_near_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op6_line_dedup": LINES_SQL}

@@ -179,7 +179,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class) and class_size, one row per row of (doc_id, text)."""
+    """doc_id, class_id (the least doc_id of its class), class_size, key (digest of the text) and stays, one row per row of (doc_id, text).
+
+    ``stays`` marks the least doc_id's rows of a class, of one text.
+    """
     signed = scratch(signatures(docs), "signed")
     nodes = signed.groupBy("key").agg(F.first("bands").alias("bands"))
     banded = scratch(nodes.select("key", F.explode("bands").alias("bucket")), "banded")
@@ -196,9 +199,18 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
         roots = components(old.select(F.col("key").alias("a"), F.col("root").alias("b")).unionByName(more.where(F.col("sim") >= least).select("a", "b")))
         drop(old, more)
     drop(rest, members, sims)
-    labelled = signed.select("doc_id", "key").join(roots, "key", "left").select("doc_id", F.coalesce("root", "key").alias("root"))
-    classes = labelled.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return labelled.join(classes, "root").select("doc_id", "class_id", "class_size")
+    labelled = signed.select("doc_id", "key").join(roots, "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("key"))
+    classes = labelled.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(place).alias("least"))
+    return labelled.join(classes, "root").select("doc_id", "class_id", "class_size", "key", (place == F.col("least")).alias("stays"))
+
+
+def one_of_each(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """One document of each class of near copies, all columns; repeated rows of it count once."""
+    found = near_duplicates(texts(docs), least).where("stays").select(F.col("doc_id").alias("id_"), F.col("key").alias("key_"))
+    digest = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    kept = docs.withColumn("digest_", digest).join(found, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("digest_") == F.col("key_")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "digest_"]).select(docs.columns)
 
 
 def open_pairs(members: DataFrame, sims: DataFrame, roots: DataFrame, least: float) -> DataFrame:
@@ -221,4 +233,4 @@ def open_pairs(members: DataFrame, sims: DataFrame, roots: DataFrame, least: flo
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(texts(table(spark, sf_dir, "documents")))
+    return near_duplicates(texts(table(spark, sf_dir, "documents"))).select("doc_id", "class_id", "class_size")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op8_decontamination
+from .language import op4_language
 from .linededup import ORACLE_SQL as LINES_SQL
 from .linededup import op6_line_dedup
 from .media import op5_media_chunks
@@ -17,6 +18,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_token_store": op2_token_store,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_language": op4_language,
     "op5_media_chunks": op5_media_chunks,
     "op6_line_dedup": op6_line_dedup,
     "op7_quality": op7_quality,

@@ -127,9 +127,9 @@ def text_blocks(text: str | None, target: int = TARGET, most: int = MOST) -> lis
     return out
 
 
-@F.pandas_udf(BLOCKS)
-def blocks(text: pd.Series) -> pd.Series:
-    return text.map(text_blocks, na_action=None)
+def blocks(text: str) -> Column:
+    """Blocks of a text column, by ``text_blocks``."""
+    return F.pandas_udf(lambda s: s.map(text_blocks, na_action=None), BLOCKS, F.PandasUDFType.SCALAR)(text)
 
 
 METADATA = re.compile(r"^(title|author|version|updated|tags|date|created|modified|description)\s*:\s*.*$", re.IGNORECASE)
@@ -151,9 +151,9 @@ def clean_text(text: str | None) -> str:
     return "\n".join(out).strip()
 
 
-@F.pandas_udf("string")
-def clean_chunk(text: pd.Series) -> pd.Series:
-    return text.map(clean_text, na_action=None)
+def clean_chunk(text: str) -> Column:
+    """A text column cleaned by ``clean_text``."""
+    return F.pandas_udf(lambda s: s.map(clean_text, na_action=None), "string", F.PandasUDFType.SCALAR)(text)
 
 
 def memory_entries(recs: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """All queries of the engine."""
 
-from . import ingest, retrieval  # noqa: F401
+from . import ingest, memory, retrieval, streams, texts  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -10,15 +10,12 @@ from ..operators import ingest, predicates
 from ..sources import files
 from .registry import query, table
 
-PATH = F.concat_ws("/", F.col("source"), F.col("doc_id").cast("string"))
-
-
 def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.chunk_rows(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
 def before_and_now(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents").select("doc_id", PATH.alias("path"), "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", F.col("source"), F.col("doc_id").cast("string")).alias("path"), "text")
     changed = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" (new)"))).otherwise(F.col("text"))
     named = lambda df, text: df.select("doc_id", "path", fn.text_sha(text).alias("sha256"), text.alias("text"))
     return named(docs.where("doc_id % 10 <> 0"), F.col("text")), named(docs.where("doc_id % 10 <> 1"), changed)

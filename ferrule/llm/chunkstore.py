@@ -12,6 +12,10 @@ number of copies, so a hot payload is neither stored nor moved again. Every chun
 every payload's Merkle root are computed anew from the bytes that were read, and a difference is
 an error. Empty payloads have no chunks and a fixed root. A payload must fit into a task's memory;
 nothing else must.
+
+Chunks can be compressed with a dictionary, trained on the encoded texts of at most
+``DICTIONARY_TEXTS`` rows (those with the lowest hash of doc_id, each cut at
+``DICTIONARY_CHARS`` characters); it is kept in the store as a row of its own. It changes sizes only.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import scratch, slices
 
 DIGEST = 16
+DICTIONARY_TEXTS, DICTIONARY_CHARS, DICTIONARY_BYTES = 1000, 20_000, 112_640
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -90,6 +95,7 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 @dataclass(frozen=True)
 class Store:
     table: DataFrame
+    dictionary: bytes | None = None
 
     @property
     def recipes(self) -> DataFrame:
@@ -102,18 +108,42 @@ class Store:
         return self.table.where("kind = 1").select(F.col("key").alias("digest"), "payload", "refs", "owner")
 
 
-def write_store(docs: DataFrame, make_encoder: Callable[[], Callable[[list[str]], list[np.ndarray]]], cuts: Cuts, tag: str, level: int = 6) -> Store:
+def open_store(table: DataFrame) -> Store:
+    """A store that was written before."""
+    kept = table.where("kind = 2").select("payload").head()
+    return Store(table, bytes(kept.payload) if kept else None)
+
+
+def train_dictionary(docs: DataFrame, make_encoder: Callable[[], Callable[[list[str]], list[np.ndarray]]]) -> bytes | None:
+    """A compression dictionary from a bounded sample; none where the sample is too small to train one."""
+    import zstandard
+
+    rows = docs.where("doc_id IS NOT NULL").select(F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", 1, DICTIONARY_CHARS).alias("text")).orderBy("h", "doc_id", "text").limit(DICTIONARY_TEXTS).collect()
+    samples = [x.tobytes() for x in make_encoder()([r.text for r in rows])]
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
+    except zstandard.ZstdError:
+        return None
+
+
+def write_store(docs: DataFrame, make_encoder: Callable[[], Callable[[list[str]], list[np.ndarray]]], cuts: Cuts, tag: str, level: int = 6, trained: bool = False) -> Store:
     """Encode the texts of (doc_id, text) to arrays of units, cut these and store them.
 
     Input rows are all kept, equal or not: recipe rows carry a key of their own through the same
     shuffle that brings equal chunks together (after each task has merged its own).
     """
 
+    shared = train_dictionary(docs, make_encoder) if trained else None
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
         from pyspark import TaskContext
 
-        encode, pack = make_encoder(), zstandard.ZstdCompressor(level=level, write_checksum=False)
+        words = None
+        if shared:
+            words = zstandard.ZstdCompressionDict(shared)
+            words.precompute_compress(level=level)
+        encode, pack = make_encoder(), zstandard.ZstdCompressor(level=level, dict_data=words, write_checksum=False, write_dict_id=False)
         part, serial = TaskContext.get().partitionId(), 0
         for batch in batches:
             for piece in slices(batch, "text"):
@@ -154,7 +184,10 @@ def write_store(docs: DataFrame, make_encoder: Callable[[], Callable[[list[str]]
         F.first("payload", ignorenulls=True).alias("payload"),
         F.sum("refs").alias("refs"),
     )
-    return Store(scratch(one, tag, partition_by=("kind",)))
+    if shared:
+        kept = docs.sparkSession.createDataFrame([(2, bytearray(b"dictionary"), bytearray(shared))], "kind tinyint, key binary, payload binary")
+        one = one.unionByName(kept, allowMissingColumns=True)
+    return Store(scratch(one, tag, partition_by=("kind",)), shared)
 
 
 def payloads(store: Store, view: Callable[[bytes], dict], schema: str) -> DataFrame:
@@ -170,10 +203,12 @@ def payloads(store: Store, view: Callable[[bytes], dict], schema: str) -> DataFr
     shared = refs.join(chunks.where("refs > 1"), "digest").where(F.struct("root", "idx") != F.col("owner")).select("root", "idx", "digest", "payload")
     empty = store.recipes.where("n_units = 0").select("root").distinct().select("root", F.lit(0).alias("idx"), F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("binary").alias("payload"))
 
+    trained = store.dictionary
+
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        unpack = zstandard.ZstdDecompressor()
+        unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(trained) if trained else None)
         root, leaves, parts, out = None, [], [], []
 
         def done() -> None:

@@ -22,6 +22,7 @@ from .common import table, texts
 
 BLOCK, RATE = 64, 8000
 CUTS = Cuts(least=2048, bits=12, most=65536)
+LEVEL = 17
 HEADER = struct.Struct("<4sI4s4sIHHIIHH4sI")
 
 
@@ -49,7 +50,7 @@ def make_encoder() -> Callable[[list[str]], list[np.ndarray]]:
 
 def write_media(docs: DataFrame, cuts: Cuts = CUTS) -> Store:
     """Store the texts of (doc_id, text) as media."""
-    return write_store(docs, lambda: make_encoder(), cuts, "media")
+    return write_store(docs, lambda: make_encoder(), cuts, "media", level=LEVEL, trained=True)
 
 
 def features(payload: bytes) -> str:

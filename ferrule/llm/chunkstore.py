@@ -118,7 +118,9 @@ def train_dictionary(docs: DataFrame, make_encoder: Callable[[], Callable[[list[
     """A compression dictionary from a bounded sample; none where the sample is too small to train one."""
     import zstandard
 
-    rows = docs.where("doc_id IS NOT NULL").select(F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", 1, DICTIONARY_CHARS).alias("text")).orderBy("h", "doc_id", "text").limit(DICTIONARY_TEXTS).collect()
+    known = docs.where("doc_id IS NOT NULL")
+    few = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICTIONARY_TEXTS)  # ids first: tasks send no texts that aren't taken
+    rows = known.join(F.broadcast(few), "doc_id").select(F.substring("text", 1, DICTIONARY_CHARS).alias("text")).limit(DICTIONARY_TEXTS).collect()
     samples = [x.tobytes() for x in make_encoder()([r.text for r in rows])]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()

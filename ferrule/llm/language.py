@@ -167,9 +167,9 @@ def identify(rows: DataFrame, model: Trigrams) -> DataFrame:
     names = F.array(*map(F.lit, model.languages))
     return scored.select(
         *ids,
-        F.element_at(names, F.array_position("posterior", best).cast("int")).alias("lang"),
+        F.get(names, F.array_position("posterior", best).cast("int") - 1).alias("lang"),
         (F.lit(1.0) / F.aggregate(F.transform("posterior", lambda x: F.exp(x - best)), F.lit(0.0), lambda a, x: a + x)).alias("probability"),
-        F.element_at(names, F.col("vote") + 1).alias("text_lang"),
+        F.get(names, F.col("vote")).alias("text_lang"),
         F.col("markup").alias("declared"),
     )
 

@@ -1,0 +1,345 @@
+"""Operators against plain versions, on tables with nulls, empty and long texts, repeats and clashing columns."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from ferrule.llm import chunkstore, decontaminate, language, linededup, media, neardup, pieces, pii, quality, suffixdedup, tokens
+from pyspark.sql import functions as F
+
+from . import brute
+
+random.seed(5)
+VOCABULARY = ["".join(random.choice(["an", "th", "er", "ou", "é", "st"]) for _ in range(random.randint(1, 4))) for _ in range(400)]
+
+
+def prose(n):
+    return " ".join(random.choice(VOCABULARY) for _ in range(n))
+
+
+def edited(text, k):
+    w = text.split(" ")
+    for i in random.sample(range(len(w)), k):
+        w[i] = random.choice(VOCABULARY)
+    return " ".join(w)
+
+
+BASE, SHARED = prose(200), prose(30)
+TEXTS = [
+    None,
+    "",
+    " \n ",
+    "one",
+    BASE,
+    BASE,
+    BASE + " end",
+    edited(BASE, 2),
+    edited(BASE, 3),
+    edited(BASE, 60),
+    prose(50) + "\n" + SHARED + "\n" + prose(40),
+    SHARED + " " + prose(20),
+    "aaaa" * 60,
+    "ab " * 80,
+    "ab " * 90,
+    "Write to a.b+c@x-y.example.org, call +1 (017) 555-7713, card 4539 1488 0343 6467, from 1.2.3.4 or 999.1.1.1",
+    "x@y x@@y.z a@b.c_d@e.f IBAN DE89 3704 0044 0532 0130 00 NEXT 1.2.3.4.5 000.001.255.255",
+    "9" * 500 + "." * 30 + "@" * 50,
+    "<|endoftext|> ’quoted’ ﬁ İstanbul ΣΑΣ 中文 ｆｕｌｌ é é   ½² ß 👍🏽\u0000",
+    "▁marked▁ two  spaces   three\ttab \n\n",
+    prose(6000),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """doc_id, text and columns named like outputs."""
+    rows = [(i, t, -1, "x") for i, t in enumerate(TEXTS)]
+    return spark.createDataFrame(rows, "doc_id long, text string, n_tokens int, ids string").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], "doc_id long, text string")
+
+
+def plain(df):
+    return df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+def test_pii(docs, empty):
+    got = by_id(pii.detect_pii(docs))
+    for i, t in enumerate(TEXTS):
+        assert [(s.kind, s.start, s.end) for s in got[i].pii if s.kind in pii.BASE] == brute.base_spans(t)
+    assert "iban" in {s.kind for s in got[16].pii} and pii.detect_pii(empty).count() == 0
+    near = pii.find_spans("card 4539148803436467")[0]["score"]
+    assert near > pii.find_spans("4539148803436467")[0]["score"]
+    assert [s["kind"] for s in pii.find_spans("call (415) 555-1234 now")] == ["phone_local"] and pii.find_spans("(415) 555-1234") == []
+
+
+def test_redact(spark):
+    df = spark.createDataFrame([(1, "mail a@b.co now"), (2, None)], "doc_id long, text string")
+    assert [r.redacted for r in pii.redact(pii.detect_pii(df)).orderBy("doc_id").collect()] == ["mail [EMAIL] now", None]
+
+
+def test_pieces(docs, empty):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    got = by_id(pieces.encode_decode(docs))
+    for i, t in enumerate(TEXTS):
+        assert got[i].ids == sp.encode(t or "") and got[i].decoded == sp.decode(sp.encode(t or ""))
+    assert pieces.encode_decode(empty).count() == 0
+
+
+def test_pieces_with_a_full_table(monkeypatch):
+    monkeypatch.setattr(pieces, "TABLE_WORDS", 5)
+    table = pieces.WordTable(pieces.default_model())
+    for t in ("a b c d", "c d e f g", "a b c"):
+        flat, offsets, decoded = table.encode([t])
+        assert flat.tolist() == table.sp.encode(t) and decoded == [t] and offsets.tolist() == [0, len(flat)]
+
+
+def test_token_store(docs, empty):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(tokens.MODEL))
+    store, recipes, parts = tokens.write_ids(plain(docs))
+    got, start = by_id(tokens.read_ids(store, recipes, parts, tokens._digest, "n_tokens long, ids_crc32 long")), 0
+    for i, t in enumerate(TEXTS):
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [tokens.END_ID]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    store, recipes, parts = tokens.write_ids(empty)
+    assert tokens.read_ids(store, recipes, parts, tokens._digest, "n_tokens long, ids_crc32 long").count() == 0
+
+
+def test_token_store_keeps_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (1, "z")], "doc_id long, text string")
+    store, recipes, parts = tokens.write_ids(df)
+    got = tokens.read_ids(store, recipes, parts, tokens._digest, "n_tokens long, ids_crc32 long").collect()
+    assert sorted((r.start, r.doc_id) for r in got)[0] == (0, None) and len(got) == 4
+    at = sorted((r.start, r.n_tokens) for r in got)
+    assert all(a + n == b for (a, n), (b, _) in zip(at, at[1:], strict=False))
+
+
+def test_chunks_are_stored_once(spark):
+    text = prose(20_000)
+    df = spark.createDataFrame([(1, text), (2, text), (3, "head " + text), (4, "")], "doc_id long, text string")
+    store = media.write_media(df)
+    stored = {r.digest for r in store.chunks.collect()}
+    listed = {r.root: bytes(r.digests) for r in store.recipes.collect()}
+    refs = [d[i : i + 16] for d in listed.values() for i in range(0, len(d), 16)]
+    assert len(listed) == 3 and {bytes(x) for x in stored} == set(refs) and len(refs) > len(stored)
+
+
+def test_altered_chunks_are_noticed(spark):
+    store = media.write_media(spark.createDataFrame([(1, prose(50))], "doc_id long, text string"))
+    import zstandard
+
+    other = bytearray(zstandard.ZstdCompressor().compress(b"not these bytes"))
+    altered = chunkstore.Store(store.table.withColumn("payload", F.when(F.col("kind") == 1, F.lit(other)).otherwise(F.col("payload"))))
+    with pytest.raises(Exception, match="doesn't match its address"):
+        media.read_media(altered).collect()
+
+
+def test_cuts_follow_content():
+    cuts = chunkstore.Cuts(64, 6, 1024)
+    x = np.frombuffer(random.randbytes(20_000), np.uint8)
+    ends = cuts.ends(x)
+    assert ends[-1] == len(x) and all(64 <= b - a <= 1024 for a, b in zip([0, *ends[:-2]], ends[:-1], strict=True))
+    moved = {e - 10 for e in cuts.ends(np.concatenate([x[:10], x]))}
+    assert len(moved & set(ends)) > 0.8 * len(ends)
+    with pytest.raises(ValueError):
+        chunkstore.Cuts(8, 6, 1024)
+
+
+def test_media(docs, empty):
+    got = by_id(media.read_media(media.write_media(plain(docs))))
+    for i, t in enumerate(TEXTS):
+        b = (t or "").encode()
+        p = b + bytes(-len(b) % 64 if b else 64)
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(p) + 44, hashlib.sha256(media.to_wave(p)).hexdigest())
+    assert got[4].feature == got[5].feature and media.read_media(media.write_media(empty)).count() == 0
+
+
+def test_lines(spark):
+    rows = [(i, "s", f"frame\nown {i}\n frame \n\nend", "c") for i in range(10)] + [(10, "s", "frame", "c"), (11, "s", None, "c"), (12, None, "frame\nx", "c"), (13, "t", "frame\ny", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, host string")
+    got = by_id(linededup.drop_boilerplate(df, ratio=0.5, least_pages=5))
+    assert [got[i].text for i in range(10)] == [f"own {i}\n" for i in range(10)]
+    assert (got[0].n_lines, got[0].n_dropped, got[0].host) == (5, 3, "c")
+    assert (got[10].text, got[10].n_dropped) == ("frame", 0) and got[11].text is None and got[12].text == "frame\nx" and got[13].text == "frame\ny"
+    assert linededup.drop_boilerplate(df.limit(0)).count() == 0
+
+
+def test_lines_without_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "s", f"frame\nown {i}") for i in range(10)], "doc_id long, source string, text string")
+    want = linededup.drop_boilerplate(df).orderBy("doc_id").collect()
+    monkeypatch.setattr(linededup, "BROADCAST_LINES", -1)
+    assert linededup.drop_boilerplate(df).orderBy("doc_id").collect() == want
+
+
+def test_lines_match_sql(spark, small):
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    want = sorted(c.execute(linededup.ORACLE_SQL).fetchall())
+    assert sorted(tuple(r) for r in linededup.op6_line_dedup(spark, small).collect()) == want
+
+
+def test_quality_marginals():
+    """Forward-backward against the sum over all labellings."""
+    import itertools
+
+    rng = np.random.default_rng(1)
+    bounds, x = np.array([0, 4, 5, 7]), rng.normal(size=(7, 3))
+    field = quality.Field(rng.normal(size=3), rng.normal(size=(2, 2)))
+    good, both, log_z = field.marginals(x, bounds)
+    z_all, pair_all = 0.0, np.zeros((2, 2))
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        z, g, pairs = 0.0, np.zeros(b - a), np.zeros((2, 2))
+        for y in itertools.product((0, 1), repeat=b - a):
+            p = np.exp(sum(x[a + t] @ field.weights for t in range(b - a) if y[t]) + sum(field.pairs[i, j] for i, j in zip(y, y[1:], strict=False)))
+            z += p
+            g += p * np.array(y)
+            for i, j in zip(y, y[1:], strict=False):
+                pairs[i, j] += p
+        assert np.allclose(good[a:b], g / z)
+        z_all += np.log(z)
+        pair_all += pairs / z
+    assert np.allclose(both, pair_all) and np.isclose(log_z, z_all)
+
+
+def test_quality_held_out(spark, small):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
+    held = [(r.predicted, labels[r.doc_id]) for r in quality.op7_quality(spark, small).collect() if r.held_out and r.doc_id in labels]
+    assert held and sum(p == q for p, q in held) >= 0.9 * len(held)
+
+
+def test_quality_edges(docs, empty, spark):
+    labels = spark.createDataFrame([(4, 1), (12, 0), (7, 1), (13, 0), (None, 1), (1, None)], "doc_id long, quality int")
+    field = quality.train(docs, labels)
+    got = by_id(quality.score_quality(docs, field))
+    assert all(0 <= r.score <= 1 for r in got.values()) and got[0].score == got[1].score and got[4].score == got[5].score
+    assert quality.score_quality(empty, field).count() == 0
+    assert quality.train(docs, labels.limit(0)).constant == 0.5
+
+
+def test_decontamination(docs, empty, spark):
+    items = [(1, SHARED), (2, " ".join(BASE.split()[50:90])), (3, "ONE"), (4, ""), (5, None), (6, "ab ab ab"), (7, prose(12)), (None, SHARED)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = by_id(decontaminate.match_benchmark(docs, bench).withColumn("n_hit", decontaminate.n_hit()))
+    for i, want in enumerate(brute.hits(TEXTS, [x for x in items if x[0] is not None])):
+        assert (got[i].n_words, got[i].n_hit, got[i].hit_items) == want
+    assert decontaminate.match_benchmark(empty, bench).count() == 0 and decontaminate.match_benchmark(docs, bench.limit(0)).where("size(hit_spans) > 0").count() == 0
+    clean = {r.doc_id for r in decontaminate.remove_contaminated(docs, bench).collect()}
+    assert clean == {i for i, r in got.items() if not r.n_hit}
+
+
+def test_decontamination_in_blocks(docs, spark, monkeypatch):
+    bench = spark.createDataFrame([(i, edited(" ".join(BASE.split()[i : i + 40]), 1)) for i in range(0, 160, 20)] + [(900, SHARED)], "item_id long, text string")
+    want = decontaminate.match_benchmark(docs, bench).orderBy("doc_id").collect()
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 300)
+    assert decontaminate.match_benchmark(docs, bench).orderBy("doc_id").collect() == want
+
+
+def test_longest_matches(docs, spark):
+    got = {r.item_id: r for r in decontaminate.longest_matches(docs.where("doc_id IN (4, 10)"), spark.createDataFrame([(1, "zzz " + SHARED + " zzz")], "item_id long, text string")).collect()}
+    assert (got["1"].n_words, got["1"].item_at, got["1"].doc_id, got["1"].doc_at) == (30, 1, "10", 50)
+
+
+def test_probminhash_estimates():
+    texts = [BASE, edited(BASE, 4), "ab " * 80, "ab " * 90 + BASE]
+    text, element, weight = neardup.shingles(*neardup.word_hashes(texts))
+    registers = neardup.probminhash(text, element, weight, 4, 4096)
+    for i in range(4):
+        for j in range(i):
+            exact = brute.probability_jaccard(texts[i], texts[j])
+            assert abs((registers[i] == registers[j]).mean() - exact) < 0.04
+            side = lambda k: (element[text == k], weight[text == k])
+            assert neardup.similarity(side(i), side(j)) == pytest.approx(exact)
+
+
+def test_near_duplicates(docs, empty, spark):
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(plain(docs)).collect()}
+    assert got == brute.classes([(i, t or "") for i, t in enumerate(TEXTS)])
+    assert neardup.near_duplicates(empty).count() == 0
+
+
+def test_near_duplicates_without_hub(spark):
+    """Copies of a text that isn't there itself: links that the pivot doesn't have are found too."""
+    base = prose(300)
+    rows = [(i, edited(base, random.choice([3, 6, 9]))) for i in range(30)] + [(100, prose(200))]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.classes(rows)
+
+
+def test_one_of_each(docs, spark):
+    rows = spark.createDataFrame([(1, BASE, 5), (1, BASE, 5), (2, edited(BASE, 1), 6), (None, "other", 7), (None, None, 8), (9, "", 9)], "doc_id long, text string, extra int")
+    assert sorted((r.doc_id or 0, r.text) for r in neardup.one_of_each(rows).collect()) == [(0, "other"), (1, BASE), (9, "")]
+
+
+def test_components(spark):
+    links = [(bytes([a]), bytes([b])) for a, b in [(9, 8), (8, 7), (7, 6), (6, 5), (3, 2), (2, 1), (20, 20)]]
+    got = {bytes(r.key)[0]: bytes(r.root)[0] for r in neardup.components(spark.createDataFrame([tuple(map(bytearray, x)) for x in links], "a binary, b binary")).collect()}
+    assert got == {9: 5, 8: 5, 7: 5, 6: 5, 3: 1, 2: 1}
+
+
+def test_suffix_ranks():
+    for _ in range(150):
+        s = np.array([random.randint(1, random.choice([1, 2, 4])) for _ in range(random.randint(1, 60))])
+        order = np.argsort(suffixdedup.suffix_ranks(s, 10**6), kind="stable").tolist()
+        assert order == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+
+
+def test_suffix_dedup(docs, empty):
+    got = by_id(suffixdedup.remove_repeats(plain(docs)))
+    for i, want in enumerate(brute.removed(TEXTS)):
+        r = got[i]
+        assert (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) == want
+    assert suffixdedup.remove_repeats(empty).count() == 0
+
+
+def test_suffix_dedup_hot_fingerprints(docs, monkeypatch):
+    want = sorted(map(tuple, suffixdedup.remove_repeats(plain(docs)).collect()))
+    monkeypatch.setattr(suffixdedup, "HOT", 1)
+    assert sorted(map(tuple, suffixdedup.remove_repeats(plain(docs)).collect())) == want
+
+
+def test_suffix_dedup_repeated_ids(spark):
+    df = spark.createDataFrame([(1, BASE), (1, BASE), (None, BASE), (2, BASE)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_removed > 0) for r in suffixdedup.remove_repeats(df).collect())
+    assert got == [(0, False), (1, True), (1, True), (2, True)]
+
+
+def test_language(spark):
+    model = language.train(spark.createDataFrame([("the cat and the dog " * 9, "en"), ("le chat et la souris " * 9, "fr"), (None, "en"), ("x", None)], "text string, lang string"))
+    rows = [(1, "the cat and the dog ran", None, None), (2, "la souris et le chat", "fr", "a.example.fr"), (3, None, "fr", "b.example.fr"), (4, "", None, None), (5, "le chat et la", "fr", "b.example.fr")]
+    df = spark.createDataFrame(rows, "id long, text string, markup string, host string")
+    got = {r.id: r for r in language.identify(df, model).collect()}
+    assert (got[1].lang, got[2].lang, got[3].lang) == ("en", "fr", "fr") and got[3].text_lang is None and 0.4 < got[4].probability < 0.9
+    assert language.identify(df.limit(0), model).count() == 0
+    assert language.train(spark.createDataFrame([], "text string, lang string")).languages == ["und"]
+
+
+def test_language_of_documents_and_pages(spark, small):
+    langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    got = language.op4_language(spark, small).collect()
+    held = [r.lang == langs[r.doc_id] for r in got if r.kind == "document"]
+    assert sum(held) >= 0.97 * len(held) and len(got) > len(held)
+
+
+def test_page_parts(spark):
+    html = '<!DOCTYPE html><HTML lang="pt-BR"><script>x</script><p>Olá&nbsp;b</p><!-- c --></html>'
+    row = spark.range(1).select(language.declared_language(F.lit(html)), language.page_text(F.lit(html)), language.host_of(F.lit("https://u@Ex.org:80/a")), language.host_of(F.lit("odd"))).head()
+    assert row[0] == "pt" and row[1].split() == ["Olá", "b"] and row[2] == "ex.org" and row[3] is None

@@ -79,11 +79,15 @@ def budget_tier(tokens: Column) -> tuple[Column, Column]:
     return F.when(t < 1200, "tight").when(t < 1800, "narrow").when(t < 2600, "medium").otherwise("broad"), F.when(t < 1200, 1).when(t < 1800, 2).when(t < 2600, 3).otherwise(None).cast("long")
 
 
-def selected_order(chosen: DataFrame, prior: DataFrame, everything: DataFrame) -> DataFrame:
-    """id, status, score: chosen in order, then those of before, each once, scored n - i + 1; the others DISCARDED with 0."""
+def selected_order(chosen: DataFrame, prior: DataFrame) -> DataFrame:
+    """id, status, score of the ordered union of chosen and prior ids (id, pos), each once, chosen ones first.
+
+    Of n ids the i-th scores n - i + 1 if it is chosen; ids that were only selected before are DISCARDED with 0.
+    """
     both = chosen.select("id", F.lit(0).alias("list"), "pos").unionByName(prior.select("id", F.lit(1).alias("list"), "pos")).groupBy("id").agg(F.min(F.struct("list", "pos")).alias("at"))
-    placed = both.select("id", F.row_number().over(Window.orderBy("at")).alias("i"), F.count("*").over(Window.partitionBy()).alias("n"))  # a selection: tens of rows
-    return everything.select("id").distinct().join(F.broadcast(placed), "id", "left").select("id", F.when(F.col("i").isNotNull(), "SELECTED").otherwise("DISCARDED").alias("status"), F.coalesce(F.col("n") - F.col("i") + 1, F.lit(0)).cast("long").alias("score"))
+    placed = both.select("id", "at", F.row_number().over(Window.orderBy("at")).alias("i"), F.count("*").over(Window.partitionBy()).alias("n"))  # a selection: tens of rows
+    is_chosen = F.col("at.list") == 0
+    return placed.select("id", F.when(is_chosen, "SELECTED").otherwise("DISCARDED").alias("status"), F.when(is_chosen, F.col("n") - F.col("i") + 1).otherwise(0).cast("long").alias("score"))
 
 
 def route(has_brief: Column, n_vectors: Column, has_centre: Column, brief_mean: Column, pending_mean: Column, least: float = 0.25) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import schema
 from ..functions import text as fn
 from ..functions import vectors as vec
 from ..operators import gate, memory, prompt, reduce, render
@@ -138,11 +139,11 @@ def budget_tiers(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tier.alias("tier"), groups.alias("n_groups"))
 
 
-@query(f"""SELECT g.id, CASE WHEN s.i IS NOT NULL THEN 'SELECTED' ELSE 'DISCARDED' END AS status, CAST(coalesce(s.n - s.i + 1, 0) AS BIGINT) AS score FROM {GATED} g
-LEFT JOIN (SELECT id, row_number() OVER (ORDER BY l, rank) AS i, count(*) OVER () AS n FROM (SELECT id, min(l) AS l, min(rank) AS rank FROM (SELECT id, 0 AS l, rank FROM {GATED} WHERE rank % 3 = 0 UNION ALL SELECT id, 1, rank FROM {GATED} WHERE label = 'useful') GROUP BY 1)) s ON s.id = g.id""")
+@query(f"""SELECT id, CASE WHEN l = 0 THEN 'SELECTED' ELSE 'DISCARDED' END AS status, CAST(CASE WHEN l = 0 THEN n - i + 1 ELSE 0 END AS BIGINT) AS score
+FROM (SELECT id, l, row_number() OVER (ORDER BY l, rank) AS i, count(*) OVER () AS n FROM (SELECT id, min(l) AS l, min(rank) AS rank FROM (SELECT id, 0 AS l, rank FROM {GATED} WHERE rank % 3 = 0 UNION ALL SELECT id, 1, rank FROM {GATED} WHERE label = 'useful') GROUP BY 1))""")
 def selected_order(spark, sf_dir):
     rows = gated(spark, sf_dir).withColumn("pos", F.col("rank"))
-    return gate.selected_order(rows.where("rank % 3 = 0"), rows.where("label = 'useful'"), rows)
+    return gate.selected_order(rows.where("rank % 3 = 0"), rows.where("label = 'useful'"))
 
 
 @query(f"""SELECT record_id, least(CAST(round_even(500.0::DOUBLE * q / greatest(q + a, 1), 0) AS INT), 150) AS question_budget, 500 - least(CAST(round_even(500.0::DOUBLE * q / greatest(q + a, 1), 0) AS INT), 150) AS answer_budget
@@ -206,6 +207,15 @@ def query_text(spark, sf_dir):
     return recs(spark, sf_dir).select("record_id", prompt.query_text(F.col("input_text"), none, F.col("tag"), F.lit("WEAK"), relation, none, F.lit("title")).alias("query"))
 
 
+@query(f"""SELECT record_id, name, body FROM (SELECT record_id, unnest(['task', 'context', 'system', 'audience', 'purpose', 'tone', 'constraints', 'output_format']) AS name,
+unnest(['Do ' || tag, mode, 'consultant', 'general audience', 'inform', 'neutral', 'Follow instructions precisely; be accurate and non-fabricated; cite sources when appropriate; adhere to safety policies.', 'free_text']) AS body FROM {RECS})""")
+def preprocess_prompts(spark, sf_dir):
+    """Headings by other and German names; sections with unknown names are left out, missing ones get defaults."""
+    text = F.concat(F.lit("ignored\n# Aufgabe\nDo "), F.col("tag"), F.lit("\n## Background\n"), F.col("mode"), F.lit("\n### Odd one\nx"))
+    prompts = recs(spark, sf_dir).select("record_id", text.alias("text"))
+    return prompt.preprocess(prompts, schema.names(spark), schema.must_defaults(), key="record_id").where("name NOT IN ('role', 'depth', 'format', 'text')")
+
+
 # ---- training data of the prompt shaper
 
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 
 MANIFEST = "path string, sha256 string, mtime double, size bigint"
-RECORD = "record_id string, input_text string, output_text string, created_at_utc string, tag string, parent_id string, source_mode string, user_keywords array<string>, auto_keywords array<string>, active_project_name string, embedded_files_snapshot array<string>"
-START, END = "-----MEMORY_RECORD_START-----", "-----MEMORY_RECORD_END-----"
+# Fields and marks of a record in a log.
+RECORD = "record_id string, parent_id string, created_at_utc string, input_text string, output_text string, source string, input_hash string, output_hash string, active_retrieval_brief_title string, active_retrieval_brief string, active_retrieval_brief_contributor_ids array<string>"
+START, END = "----- MEMORY RECORD START -----", "----- MEMORY RECORD END -----"
 ACCEPTED = (".txt", ".md")
 
 

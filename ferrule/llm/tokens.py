@@ -57,6 +57,13 @@ class Ids(dict):
         return ids
 
 
+def width_of(tokenizer_file: str) -> int:
+    """Bytes of an id in the files: two where all ids of the vocabulary fit."""
+    from tokenizers import Tokenizer
+
+    return 2 if Tokenizer.from_file(tokenizer_file).get_vocab_size() <= 1 << 16 else 4
+
+
 def make_encoder(tokenizer_file: str, end_id: int) -> Callable[[], Callable[[list[str]], list[np.ndarray]]]:
     def make():
         import os
@@ -87,7 +94,8 @@ def write_ids(docs: DataFrame, tokenizer_file: str | None = None, end_id: int =
     """The store of (doc_id, text), its recipes in ascending doc_id order, and the manifest of their parts."""
     import public_tokenizers
 
-    store = write_store(docs, make_encoder(tokenizer_file or public_tokenizers.path(MODEL), end_id), cuts, "ids", level=3)
+    tokenizer_file = tokenizer_file or public_tokenizers.path(MODEL)
+    store = write_store(docs, make_encoder(tokenizer_file, end_id), cuts, "ids", level=3)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -101,24 +109,25 @@ def write_ids(docs: DataFrame, tokenizer_file: str | None = None, end_id: int =
 
     ordered = store.recipes.drop("n_bytes").repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root")
     recipes = scratch(ordered.mapInArrow(place, "doc_id long, root binary, n_units long, digests binary, part int, row long, first long"), "recipes")
-    return store, recipes, manifest(recipes)
+    return store, recipes, manifest(recipes, width_of(tokenizer_file))
 
 
-def manifest(recipes: DataFrame) -> DataFrame:
-    """One row per part of the recipes: rows, ids, the first id's place over all parts, digest of its recipes' roots."""
+def manifest(recipes: DataFrame, width: int) -> DataFrame:
+    """One row per part of the recipes: rows, ids, bytes of an id, the first id's place over all parts, sum of its roots' hashes."""
     from pyspark.sql import Window
 
     parts = recipes.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_units").alias("n_ids"), F.sum(F.xxhash64("row", "root").cast("decimal(38,0)")).alias("roots_sum"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as parts were written
-    return parts.withColumn("offset", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    return parts.withColumn("width", F.lit(width)).withColumn("offset", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
 def read_ids(store: Store, recipes: DataFrame, parts: DataFrame, view: Callable[[np.ndarray], dict], schema: str) -> DataFrame:
     """Per document: doc_id, start, and ``view`` of its ids (unsigned 32-bit) as they are in the files."""
-    width = np.dtype("<u2")
+    first = parts.select("width").head()
+    kind = f"<u{first.width if first else 2}"
 
     def of(raw: bytes) -> dict:
-        return view(np.frombuffer(raw, width).astype("<u4"))
+        return view(np.frombuffer(raw, kind).astype("<u4"))
 
     placed = recipes.join(F.broadcast(parts.select("part", "offset")), "part").select("doc_id", "root", (F.col("offset") + F.col("first")).alias("start"))
     return placed.join(payloads(store, of, schema), "root").drop("root")

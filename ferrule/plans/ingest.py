@@ -76,7 +76,7 @@ def keep_live(spark, sf_dir):
     return ingest.keep_live(before, now, ["path"]).select("path")
 
 
-@query("SELECT count_if(NOT (source = 'src3' AND lang = 'en')) AS n_left, count_if(source = 'src3' AND lang = 'en') AS n_deleted FROM documents")
+@query("SELECT CAST(count_if(NOT (source = 'src3' AND lang = 'en')) AS BIGINT) AS n_left, CAST(count_if(source = 'src3' AND lang = 'en') AS BIGINT) AS n_deleted FROM documents")
 def delete_where(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("source", "lang")
     left = ingest.delete_where(docs, {"$and": [{"source": "src3"}, {"lang": "en"}]}).agg(F.count("*").alias("n_left"))
@@ -89,7 +89,7 @@ def dedup_fingerprint(spark, sf_dir):
     return docs.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "fingerprint")
 
 
-@query(f"""SELECT count_if(status <> 'removed') AS scanned, count_if(status IN ('new', 'changed')) AS to_process, count_if(status = 'unchanged') AS unchanged, count_if(status = 'removed') AS tombstones,
+@query(f"""SELECT CAST(count_if(status <> 'removed') AS BIGINT) AS scanned, CAST(count_if(status IN ('new', 'changed')) AS BIGINT) AS to_process, CAST(count_if(status = 'unchanged') AS BIGINT) AS unchanged, CAST(count_if(status = 'removed') AS BIGINT) AS tombstones,
 (SELECT count(*) FROM ({CHUNKS})) AS chunks, (SELECT CAST(sum(octet_length(encode(chunk))) AS BIGINT) FROM ({CHUNKS})) AS bytes FROM ({DIFF})""")
 def ingest_stats(spark, sf_dir):
     return ingest.ingest_stats(ingest.manifest_diff(*before_and_now(spark, sf_dir)), chunked(spark, sf_dir))

@@ -42,6 +42,16 @@ FACTOR = 0x9FB21C651E98DF25
 INVERSE = pow(FACTOR, -1, 1 << 64)
 
 
+#: The same result in DuckDB SQL, by grouping all strings.
+ORACLE_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+s AS (SELECT doc_id, i, md5(substr(h, CAST(2 * i + 1 AS BIGINT), 200)) AS g FROM (SELECT *, unnest(range(0, n - 99)) AS i FROM d WHERE n >= 100)),
+later AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS r FROM s) WHERE r > 1),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM later)) GROUP BY doc_id, run),
+cut AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs),
+kept AS (SELECT doc_id, string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) || substr(any_value(h), CAST(2 * max(b) + 1 AS BIGINT)) AS h, sum(b - a) AS removed, count(*) AS spans FROM cut JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(k.removed, 0) AS BIGINT) AS n_removed, coalesce(k.spans, 0) AS n_spans, sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256 FROM d LEFT JOIN kept k USING (doc_id)"""
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         return np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n - 1, 0), base, np.uint64)]), dtype=np.uint64)
@@ -68,27 +78,49 @@ class Hashes:
             return mix((self.sums[width:] - self.sums[:n]) * Hashes.down[:n] + np.uint64(width))
 
 
-def window_min(x: np.ndarray, width: int) -> np.ndarray:
+def _window(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """Least or greatest of each ``width`` neighbours, by doubling."""
     step = 1
     while 2 * step <= width:
-        x = np.minimum(x[:-step], x[step:])
+        x = pick(x[:-step], x[step:])
         step *= 2
     rest = width - step
-    return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
+    return pick(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def spans_of(data: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Fingerprint, hash, first string and number of strings of each span of a text, and if its fingerprint is in it twice."""
+def spans_of(data: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Spans of texts laid end to end (first byte and size of each, of ``LENGTH`` bytes or more).
+
+    Text number, fingerprint, hash, first string, number of strings, and 1 if its fingerprint may be
+    that of two of its substrings.
+    """
+    width = LENGTH - GRAM + 1
     hashes = Hashes(data)
     grams = hashes.all(GRAM)
-    prints = window_min(grams, LENGTH - GRAM + 1)
-    start = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
-    n = np.diff(np.append(start, len(prints)))
-    inside = n + LENGTH - GRAM
-    first = np.cumsum(inside) - inside
-    equal = grams[np.repeat(start - first, inside) + np.arange(inside.sum())] == np.repeat(prints[start], inside)
-    twice = np.add.reduceat(equal, first, dtype=np.int64) > 1
-    return prints[start].view(np.int64), hashes.of(start, start + n + LENGTH - 1).view(np.int64), start, n, twice
+    prints = _window(grams, width, np.minimum)
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[first] += 1
+    inside[first + sizes - LENGTH + 1] -= 1
+    valid = np.cumsum(inside[: len(prints)], dtype=np.int8) > 0
+    string = np.flatnonzero(valid)
+    own = prints[string]
+    text = np.searchsorted(first, string, side="right") - 1
+    new = np.concatenate([[True], (own[1:] != own[:-1]) | (text[1:] != text[:-1])])
+    at = np.flatnonzero(new)
+    start, n, text, own = string[at], np.diff(np.append(at, len(string))), text[at], own[at]
+    # substrings that are the least of some string, and neighbours of those that are equal
+    around = np.zeros(width - 1, np.uint64)
+    chosen = np.flatnonzero((_window(np.concatenate([around, np.where(valid, prints, np.uint64(0)), around]), width, np.maximum) == grams) & (grams > 0))
+    tie = np.flatnonzero((grams[chosen[1:]] == grams[chosen[:-1]]) & (np.diff(chosen) <= width))
+    marks = np.zeros(len(start) + 1, np.int64)
+    np.add.at(marks, np.searchsorted(start, chosen[tie] - width), 1)
+    np.add.at(marks, np.searchsorted(start, chosen[tie + 1], side="right"), -1)
+    twice = (np.cumsum(marks)[:-1] > 0).astype(np.int64)
+    # a span may begin before the substring it is named after
+    if len(tie):
+        twice[1:] |= twice[:-1]
+        twice[:-1] |= twice[1:]
+    return text, own.view(np.int64), hashes.of(start, start + n + LENGTH - 1).view(np.int64), start - first[text], n, twice
 
 
 def suffix_ranks(s: np.ndarray, reach: int) -> np.ndarray:
@@ -98,7 +130,7 @@ def suffix_ranks(s: np.ndarray, reach: int) -> np.ndarray:
     one, two = np.arange(1, n, 3), np.arange(2, n, 3)
     sample = np.concatenate([one, two])
     triple = (t[sample] << 42) | (t[sample + 1] << 21) | t[sample + 2]
-    order = np.argsort(triple, kind="stable")
+    order = np.argsort(triple)
     sorted_ = triple[order]
     fresh = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])[: len(sorted_)]
     names = np.empty(len(sample), np.int64)
@@ -107,12 +139,12 @@ def suffix_ranks(s: np.ndarray, reach: int) -> np.ndarray:
         # the text of names: positions 1 mod 3, an end, positions 2 mod 3
         ranks = suffix_ranks(np.concatenate([names[: len(one)] + 1, [1], names[len(one) :] + 1]), -(-reach // 3))
         names = np.concatenate([ranks[: len(one)], ranks[len(one) + 1 :]]) + 1
-        order = np.argsort(names, kind="stable")
+        order = np.argsort(names)
     rank = np.zeros(n + 3, np.int64)
     rank[sample] = names
     rest = np.arange(0, n, 3)
     key = (t[rest] << 40) | rank[rest + 1]
-    rest_order = np.argsort(key, kind="stable")
+    rest_order = np.argsort(key)
     rest, key = rest[rest_order], key[rest_order]
     # merge: of a suffix at 0 mod 3, count those at 1 mod 3 and at 2 mod 3 before it, and the other way round
     is_one = order < len(one)
@@ -171,14 +203,15 @@ def _span_rows(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                made = []
-                for doc, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    raw = t.encode()
-                    if len(raw) >= LENGTH:
-                        prints, hashes, at, n, twice = spans_of(np.frombuffer(raw, np.uint8))
-                        made.append((np.full(len(at), doc), prints, hashes, at, n, twice))
-                if made:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*made, strict=True)], names=["doc_id", "print", "hash", "at", "n", "twice"])
+                raw = [t.encode() for t in part.column("text").to_pylist()]
+                long = [i for i, x in enumerate(raw) if len(x) >= LENGTH]
+                if not long:
+                    continue
+                sizes = np.array([len(raw[i]) for i in long])
+                data = np.frombuffer(b"".join([raw[i] for i in long]), np.uint8)
+                text, *made = spans_of(data, np.cumsum(sizes) - sizes, sizes)
+                doc = part.column("doc_id").to_numpy(zero_copy_only=False)[np.array(long)[text]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, *made)], names=["doc_id", "print", "hash", "at", "n", "twice"])
 
     return docs.mapInArrow(run, "doc_id long, print long, hash long, at long, n long, twice long")
 

@@ -38,6 +38,22 @@ SHARD_BYTES = 6_000_000
 OUTPUTS = "n_words long, hit_spans array<struct<start:int,end:int>>, hit_items array<string>"
 
 
+#: The same result in DuckDB SQL, by joining windows instead of searching suffixes.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE_SQL = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, w, least(10, len(w)) AS k FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, k, array_to_string(list_slice(w, p + 1, p + k), ' ') AS win FROM (SELECT *, unnest(range(0, len(w) - k + 1)) AS p FROM i)),
+dw AS (SELECT doc_id, k, p, array_to_string(list_slice(w, p + 1, p + k), ' ') AS win FROM (SELECT doc_id, w, k, unnest(range(0, len(w) - k + 1)) AS p FROM d, (SELECT DISTINCT k FROM i))),
+h AS (SELECT doc_id, p, k, item_id FROM dw JOIN iw USING (k, win)),
+n AS (SELECT DISTINCT doc_id, place FROM (SELECT doc_id, unnest(range(p, p + k)) AS place FROM h)),
+runs AS (SELECT doc_id, count(*) AS run FROM (SELECT doc_id, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS island FROM n) GROUP BY doc_id, island)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(a.n_hit, 0) AS n_hit, coalesce(b.n_items, 0) AS n_items, sha256(coalesce(b.items, '')) AS items_sha256, coalesce(a.n_hit, 0) > 0 AS contaminated,
+CAST(coalesce(r.run, 0) AS INT) AS longest_run
+FROM d LEFT JOIN (SELECT doc_id, count(*) AS n_hit FROM n GROUP BY 1) a USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY 1) b USING (doc_id)
+LEFT JOIN (SELECT doc_id, max(run) AS run FROM runs GROUP BY 1) r USING (doc_id)"""
+
+
 class Suffixes:
     """All suffixes of a block of benchmark items, over the block's own vocabulary."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import ORACLE_SQL as WINDOWS_SQL
 from .decontaminate import op8_decontamination
 from .language import op4_language
 from .linededup import ORACLE_SQL as LINES_SQL
@@ -11,6 +12,7 @@ from .neardup import op9_near_dedup
 from .pieces import op3_sentencepiece
 from .pii import op1_pii
 from .quality import op7_quality
+from .suffixdedup import ORACLE_SQL as STRINGS_SQL
 from .suffixdedup import op10_suffix_dedup
 from .tokens import op2_token_store
 
@@ -26,4 +28,4 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op6_line_dedup": LINES_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_line_dedup": LINES_SQL, "op8_decontamination": WINDOWS_SQL, "op10_suffix_dedup": STRINGS_SQL}

@@ -8,12 +8,16 @@ as it has shingles, plus registers times their logarithm, not their product. Two
 register with the probability Jaccard similarity of their weighted shingles.
 
 Equal texts are one node. Nodes with an equal band of registers share a bucket. In a bucket every
-member is verified against its least key, the pivot, never each against each. Classes are then the
+member is verified against its pivot, the member with the most bucket mates over all its buckets
+(the text the others were made from, as a rule), never each against each. Classes are then the
 connected components of the verified links, found by star contraction. A bucket whose members are
-all in one class is done. Of the others, every pair of members of different classes is verified,
-save where the members' distances to the pivot differ by more than the largest distance of a link:
-1 - similarity is a metric, so such a pair can't be one. No link between bucket mates is lost, and
-there is no cap.
+all in one class is done. In the others, pairs of members of different classes may still be links;
+two bounds rule most of them out inside the join, before any pair is made. First, 1 - similarity is
+a metric, so members whose distances to the pivot differ too much aren't linked. Second, members
+of such buckets get a sketch of ``SKETCH`` more registers, two bits each; a pair whose sketches
+agree in fewer places than a link's do, less 4.5 standard deviations, isn't one (3 links at the
+threshold in a million are lost to this, fewer than to banding). The pairs that are left are
+verified. There is no cap.
 
 A null text equals an empty one; texts without words are one class only if equal. A null doc_id
 keeps its row and class. Repeated rows and equal doc_ids keep their rows. An empty table gives an
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop, scratch, slices, table, texts
@@ -35,6 +39,8 @@ from .wordhash import mix, word_hashes
 WORDS, LEAST = 5, 0.8
 #: 25 bands of 5: a link at 0.8 shares a bucket with probability 0.99995, one at 0.85 with 0.9999995.
 BANDS, ROWS = 25, 5
+#: Registers of the sketch that open bucket mates are compared by; 32 of two bits make a long.
+SKETCH = 1024
 
 
 def shingles(hashes: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,11 +133,15 @@ def signatures(docs: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, "doc_id long, key binary, bands array<long>")
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """a, b and their exact similarity, for pairs of keys; texts of other keys aren't read beyond one shuffle."""
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+def member_texts(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """key and text of all that share a bucket with another, once, written: the only shuffle of texts by key."""
+    keys = members.select("key").union(members.select("pivot")).distinct()
     one = docs.select(F.unhex(F.md5("text")).alias("key"), "text").groupBy("key").agg(F.first("text").alias("text"))
-    held = scratch(one.join(keys, "key", "left_semi"), "verify")
+    return scratch(one.join(keys, "key", "left_semi"), "texts")
+
+
+def verify(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """a, b and their exact similarity, for pairs of keys of ``member_texts``, written."""
     joined = (
         pairs.join(held.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
         .join(held.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
@@ -153,31 +163,30 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 sim = [similarity(x, y) for x, y in zip(*sides, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(sim, pa.float64())], names=["a", "b", "sim"])
 
-    out = scratch(joined.mapInArrow(run, "a binary, b binary, sim double"), "sims")
-    drop(held)
-    return out
+    return scratch(joined.mapInArrow(run, "a binary, b binary, sim double"), "sims")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """key and root, the least key of its component, for all keys of links (a, b); star contraction."""
+    """key and root, the least key of its component, for the keys of links (a, b) that aren't roots; by star contraction."""
     edges = scratch(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    before = None
-    while True:
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = scratch(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        large = scratch(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")), "large")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         after = scratch(small, "small")
         drop(edges, large)
         edges = after
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
-        if state == before:
-            break
-        before = state
     return edges.select(F.col("a").alias("key"), F.col("b").alias("root"))
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Every key has one edge up or is a root."""
+    ends = edges.select(F.col("a").alias("k"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("k"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("k").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up > 0 AND down > 0").isEmpty()
+
+
 def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), class_size, key (digest of the text) and stays, one row per row of (doc_id, text).
 
@@ -186,19 +195,24 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     signed = scratch(signatures(docs), "signed")
     nodes = signed.groupBy("key").agg(F.first("bands").alias("bands"))
     banded = scratch(nodes.select("key", F.explode("bands").alias("bucket")), "banded")
-    pivots = banded.groupBy("bucket").agg(F.min("key").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = scratch(banded.join(pivots, "bucket").where("key <> pivot"), "members")
+    counts = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = scratch(banded.join(counts, "bucket"), "shared")
     drop(banded)
-    sims = verify(members.select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct(), docs)
+    degree = shared.groupBy("key").agg(F.sum("n").alias("degree"))
+    pivots = shared.join(degree, "key").groupBy("bucket").agg(F.max(F.struct("degree", "key"))["key"].alias("pivot"))
+    members = scratch(shared.join(pivots, "bucket").where("key <> pivot").drop("n"), "members")
+    drop(shared)
+    held = member_texts(members, docs)
+    sims = verify(members.select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct(), held)
     links = sims.where(F.col("sim") >= least)
     roots = components(links)
-    rest = open_pairs(members, sims, roots, least)
+    rest = open_pairs(members, sims, roots, held, least)
     if not rest.isEmpty():
-        more = verify(rest, docs)
+        more = verify(rest, held)
         old = roots
         roots = components(old.select(F.col("key").alias("a"), F.col("root").alias("b")).unionByName(more.where(F.col("sim") >= least).select("a", "b")))
         drop(old, more)
-    drop(rest, members, sims)
+    drop(rest, members, sims, held)
     labelled = signed.select("doc_id", "key").join(roots, "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("key"))
     classes = labelled.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(place).alias("least"))
@@ -213,7 +227,32 @@ def one_of_each(docs: DataFrame, least: float = LEAST) -> DataFrame:
     return kept.dropDuplicates(["doc_id", "digest_"]).select(docs.columns)
 
 
-def open_pairs(members: DataFrame, sims: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+def sketches(keys: DataFrame, held: DataFrame) -> DataFrame:
+    """key and sketch (array of long) of the texts of these keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 500_000):
+                bits = mix(probminhash(*shingles(*word_hashes(part.column("text").to_pylist())), part.num_rows, SKETCH)) & np.uint64(3)
+                packed = np.bitwise_or.reduce(bits.reshape(part.num_rows, -1, 32) << (2 * np.arange(32, dtype=np.uint64)), axis=2)
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(list(packed.view(np.int64)), pa.list_(pa.int64()))], names=["key", "sketch"])
+
+    return held.join(keys, "key", "left_semi").mapInArrow(run, "key binary, sketch array<long>")
+
+
+def agreeing(a: str, b: str) -> Column:
+    """Registers in which two sketches agree."""
+    unlike = [F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))) for i in range(SKETCH // 32)]
+    either = [x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)) for x in unlike]
+    return F.lit(SKETCH) - sum((F.bit_count(x) for x in either[1:]), F.bit_count(either[0]))
+
+
+def least_agreement(least: float) -> int:
+    p = least + (1 - least) / 4
+    return int(SKETCH * p - 4.5 * (SKETCH * p * (1 - p)) ** 0.5)
+
+
+def open_pairs(members: DataFrame, sims: DataFrame, roots: DataFrame, held: DataFrame, least: float) -> DataFrame:
     """Pairs of bucket mates in different classes that may still be links, written."""
     label = lambda of: roots.select(F.col("key").alias(of), F.col("root").alias(f"{of}_root"))
     known = (
@@ -223,13 +262,24 @@ def open_pairs(members: DataFrame, sims: DataFrame, roots: DataFrame, least: flo
         .select("bucket", "key", "sim", F.coalesce("key_root", "key").alias("root"), F.coalesce("pivot_root", "pivot").alias("pivot_root"))
     )
     known = scratch(known, "known")
-    outside = known.where("root <> pivot_root").select("bucket", F.col("key").alias("a"), F.col("sim").alias("sim_a"), F.col("root").alias("root_a"))
-    mates = known.select("bucket", F.col("key").alias("b"), F.col("sim").alias("sim_b"), F.col("root").alias("root_b"), (F.col("root") != F.col("pivot_root")).alias("outside_b"))
-    may = (F.col("root_a") != F.col("root_b")) & (F.abs(F.col("sim_a") - F.col("sim_b")) <= 1 - least + 1e-9) & (~F.col("outside_b") | (F.col("a") < F.col("b")))
-    pairs = outside.join(mates, (outside["bucket"] == mates["bucket"]) & may).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    pairs = scratch(pairs.join(sims.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-    drop(known)
-    return pairs
+    buckets = known.where("root <> pivot_root").select("bucket").distinct()
+    still = scratch(known.join(buckets, "bucket", "left_semi"), "open")
+    lists = still.groupBy("key").agg(F.collect_set("bucket").alias("buckets"))  # at most one per band
+    drawn = scratch(sketches(still.select("key").distinct(), held).join(lists, "key"), "sketches")
+    flags = (F.col("root") != F.col("pivot_root")).alias("outside")
+    rows = still.join(drawn, "key").select("bucket", "key", "sim", "root", flags, "sketch", "buckets")
+    side = lambda x: rows.select("bucket", *(F.col(c).alias(f"{c}_{x}") for c in rows.columns[1:]))
+    a, b = side("a").where("outside_a"), side("b")
+    near = F.abs(F.col("sim_a") - F.col("sim_b")) <= 1 - least + 1e-9
+    once = ~F.col("outside_b") | (F.col("key_a") < F.col("key_b"))
+    alike = agreeing("sketch_a", "sketch_b") >= least_agreement(least)
+    first = F.array_min(F.array_intersect("buckets_a", "buckets_b")) == a["bucket"]  # of the buckets that a pair shares, one makes it
+    pairs = a.join(b, (a["bucket"] == b["bucket"]) & (F.col("root_a") != F.col("root_b")) & near & once & alike & first)
+    pairs = pairs.select(F.greatest("key_a", "key_b").alias("a"), F.least("key_a", "key_b").alias("b")).distinct()
+    done = sims.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    out = scratch(pairs.join(done, ["a", "b"], "left_anti"), "rest")
+    drop(known, still, drawn)
+    return out
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,14 +62,17 @@ def shingles(hashes: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tup
     return text[first], value[first], np.diff(np.append(first, len(text))).astype(float)
 
 
-def _uniform(element: np.ndarray, k: int) -> np.ndarray:
+def _uniform(element: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Of the k-th arrivals of elements: a number between 0 and 1; a row per k."""
     with np.errstate(over="ignore"):
-        return ((mix(element + np.uint64(k * 0x2545F4914F6CDD1D % (1 << 64))) >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
+        step = k.astype(np.uint64)[:, None] * np.uint64(0x2545F4914F6CDD1D)
+        return ((mix(element[None, :] + step) >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
 
 
-def _register(element: np.ndarray, k: int, m: int) -> np.ndarray:
+def _register(element: np.ndarray, k: np.ndarray, m: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return (mix((element ^ np.uint64(0x5851F42D4C957F2D)) + np.uint64(k * 0x14057B7EF767814F % (1 << 64))) % np.uint64(m)).astype(np.int64)
+        step = k.astype(np.uint64)[:, None] * np.uint64(0x14057B7EF767814F)
+        return (mix((element ^ np.uint64(0x5851F42D4C957F2D))[None, :] + step) % np.uint64(m)).astype(np.int64)
 
 
 def probminhash(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n_texts: int, m: int) -> np.ndarray:
@@ -78,15 +81,18 @@ def probminhash(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n_tex
     at, x, k = np.arange(len(element)), np.zeros(len(element)), 0
     latest = np.full(n_texts, np.inf)
     while len(at):
-        k += 1
+        # few processes left: several arrivals of each at once; those after the latest first arrival change nothing
+        ahead = np.arange(k + 1, k + 1 + max(1, min(64, 4096 // len(at))))
+        k = int(ahead[-1])
         e = element[at]
-        x = x - np.log(_uniform(e, k)) / weight[at]
-        register = text[at] * m + _register(e, k, m)
-        np.minimum.at(arrival, register, x)
-        won = arrival[register] == x
-        first[register[won]] = e[won]
+        times = np.cumsum(-np.log(_uniform(e, ahead)) / weight[at], axis=0) + x
+        register = text[at] * m + _register(e, ahead, m)
+        np.minimum.at(arrival, register.ravel(), times.ravel())
+        won = arrival[register] == times
+        first[register[won]] = np.broadcast_to(e, won.shape)[won]
         live = np.unique(text[at])
         latest[live] = arrival.reshape(n_texts, m)[live].max(axis=1)
+        x = times[-1]
         on = x < latest[text[at]]
         at, x = at[on], x[on]
     return first.reshape(n_texts, m)

@@ -95,9 +95,10 @@ class Shard:
     def _sorted(self, depth: int) -> np.ndarray:
         at = np.flatnonzero(self.text)
         rank = self.text.astype(np.int64)
+        base = max(len(rank), int(rank.max(initial=0))) + 1  # the first ranks are vocabulary numbers, which may exceed the text's length
         order, k = np.argsort(rank[at], kind="stable"), 1
         while k < depth:
-            key = rank[at] * (len(self.text) + 1) + rank[at + k]
+            key = rank[at] * base + rank[at + k]
             order = np.argsort(key, kind="stable")
             ordered = key[order]
             new = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(at) else np.empty(0, bool)

@@ -253,6 +253,28 @@ def test_decontamination_in_blocks(docs, spark, monkeypatch):
     assert decontaminate.match_benchmark(docs, bench).orderBy("doc_id").collect() == want
 
 
+def test_suffix_array_of_few_words_and_a_large_vocabulary():
+    """Vocabulary numbers beyond the text's length: pairs of ranks stay apart and in order."""
+    shard = decontaminate.Shard(np.array([1, 900, 2, 3], np.uint64), np.array([0, 4]), np.arange(1, 2001, dtype=np.uint64), 10)
+    assert shard.array.tolist() == [0, 2, 3, 1]
+
+
+def test_decontamination_of_short_slices(spark, monkeypatch):
+    """One-document slices against a benchmark of thousands of distinct words."""
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 1)
+    rng = random.Random(8)
+    word = [f"w{i}" for i in range(4000)]
+    items = [(i, " ".join(rng.choice(word) for _ in range(rng.choice([2, 3, 12, 30])))) for i in range(600)]
+    rows = []
+    for i in range(120):
+        w = rng.choice(items)[1].split()
+        a = rng.randrange(len(w))
+        rows.append((i, " ".join(rng.choice(word) for _ in range(rng.randint(0, 3))) + " " + " ".join(w[a : a + 14] if i % 2 else w) + " " + rng.choice(word)))
+    found = [x for _, t in rows for x in brute.hits([t], items)]
+    got = by_id(decontaminate.match_benchmark(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).withColumn("n_hit", decontaminate.n_hit()))
+    assert [(got[i].n_words, got[i].n_hit, got[i].hit_items) for i in range(len(rows))] == found and sum(n > 0 for _, n, _ in found) > 50
+
+
 def test_longest_matches(docs, spark):
     got = {r.item_id: r for r in decontaminate.longest_matches(docs.where("doc_id IN (4, 10)"), spark.createDataFrame([(1, "zzz " + SHARED + " zzz")], "item_id long, text string")).collect()}
     assert (got["1"].n_words, got["1"].item_at, got["1"].doc_id, got["1"].doc_at) == (30, 1, "10", 50)

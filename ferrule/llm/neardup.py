@@ -15,9 +15,9 @@ all in one class is done. In the others, pairs of members of different classes m
 two bounds rule most of them out inside the join, before any pair is made. First, 1 - similarity is
 a metric, so members whose distances to the pivot differ too much aren't linked. Second, members
 of such buckets get a sketch of ``SKETCH`` more registers, two bits each; a pair whose sketches
-agree in fewer places than a link's do, less 4.5 standard deviations, isn't one (3 links at the
-threshold in a million are lost to this, fewer than to banding). The pairs that are left are
-verified. There is no cap.
+agree in fewer places than a link's do, less 4.5 standard deviations, isn't one (4 links at the
+threshold in a million are lost to this, fewer than to banding; the bits depend on element and
+register, so this holds for short texts too). The pairs that are left are verified. There is no cap.
 
 A null text equals an empty one; texts without words are one class only if equal. A null doc_id
 keeps its row and class. Repeated rows and equal doc_ids keep their rows. An empty table gives an
@@ -239,7 +239,9 @@ def sketches(keys: DataFrame, held: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 500_000):
-                bits = mix(probminhash(*shingles(*word_hashes(part.column("text").to_pylist())), part.num_rows, SKETCH)) & np.uint64(3)
+                won = probminhash(*shingles(*word_hashes(part.column("text").to_pylist())), part.num_rows, SKETCH)
+                with np.errstate(over="ignore"):  # bits of element and register: chance agreements of two elements are independent
+                    bits = mix(mix(won) + np.arange(SKETCH, dtype=np.uint64)) & np.uint64(3)
                 packed = np.bitwise_or.reduce(bits.reshape(part.num_rows, -1, 32) << (2 * np.arange(32, dtype=np.uint64)), axis=2)
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(list(packed.view(np.int64)), pa.list_(pa.int64()))], names=["key", "sketch"])
 

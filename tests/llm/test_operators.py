@@ -306,6 +306,26 @@ def test_near_duplicates_without_hub(spark):
     assert got == brute.classes(rows)
 
 
+def test_sketches_of_short_texts(spark):
+    """Links at exactly 0.8 between texts of 13 words, of 9 shingles each: none is lost to the sketch's bound."""
+    rng = random.Random(9)
+    held, pairs = [], []
+    for i in range(1500):
+        shared = [f"w{rng.randrange(10**6)}" for _ in range(12)]
+        pair = [" ".join([*shared, x]) for x in ("left", "right")]
+        if i < 20:
+            assert brute.probability_jaccard(*pair) == pytest.approx(0.8)
+        held += [(bytearray(f"{i}{x}", "ascii"), t) for x, t in zip("ab", pair, strict=True)]
+        pairs.append((held[-2][0], held[-1][0]))
+    table = spark.createDataFrame(held, "key binary, text string")
+    drawn = {bytes(r.key): r.sketch for r in neardup.sketches(table.select("key"), table).collect()}
+    rows = [(drawn[bytes(a)], drawn[bytes(b)]) for a, b in pairs]
+    agreed = [r.n for r in spark.createDataFrame(rows, "a array<long>, b array<long>").select(neardup.agreeing("a", "b").alias("n")).collect()]
+    assert min(agreed) >= neardup.least_agreement(0.8)
+    p = 0.8 + 0.2 / 4
+    assert np.std(agreed) == pytest.approx((neardup.SKETCH * p * (1 - p)) ** 0.5, rel=0.15)
+
+
 def test_one_of_each(docs, spark):
     rows = spark.createDataFrame([(1, BASE, 5), (1, BASE, 5), (2, edited(BASE, 1), 6), (None, "other", 7), (None, None, 8), (9, "", 9)], "doc_id long, text string, extra int")
     assert sorted((r.doc_id or 0, r.text) for r in neardup.one_of_each(rows).collect()) == [(0, "other"), (1, BASE), (9, "")]

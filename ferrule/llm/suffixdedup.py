@@ -11,8 +11,9 @@
    names sorted by recursion until they cover the string length, the other suffixes ordered by
    (byte, rank of the next) and merged in. Adjacent suffixes with equal 100-byte prefixes are one
    string; every occurrence but the earliest is repeated.
-4. A fingerprint with more than ``HOT`` differing spans isn't sorted in one task: its strings are
-   grouped by hash instead, merged by each task before they are shuffled.
+4. A fingerprint with more than ``HOT`` differing spans, or more than half a ``BLOCK`` of bytes in
+   them, isn't sorted in one task: its strings are grouped by hash instead, merged by each task
+   before they are shuffled.
 5. Repeated strings of a document are merged to runs and cut out.
 
 Strings are judged on the input, in (doc_id, start) order. Null and empty texts, and texts under
@@ -275,7 +276,17 @@ def _grouped_runs(parts: DataFrame) -> DataFrame:
     strings = parts.mapInArrow(run, "string long, doc_id long, at long")
     first = strings.groupBy("string").agg(F.min(F.struct("doc_id", "at")).alias("first"))
     later = strings.join(first, "string").where(F.struct("doc_id", "at") != F.col("first"))
-    return later.select("doc_id", F.col("at").alias("start"), (F.col("at") + LENGTH).alias("end"))
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, start = (batch.column(c).to_numpy() for c in ("doc_id", "at"))
+            order = np.lexsort((start, doc))
+            doc, start = doc[order], start[order]
+            new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (np.diff(start) > LENGTH)])[: len(doc)])
+            last = np.append(new[1:], len(doc))[: len(new)] - 1
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc[new], start[new], start[last] + LENGTH)], names=["doc_id", "start", "end"])
+
+    return later.select("doc_id", "at").mapInArrow(merged, RUNS)
 
 
 def _ordered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -299,11 +310,11 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     copies = held.join(firsts.select("print", "hash", "first"), ["print", "hash"]).where(F.struct("doc_id", "at") != F.col("first"))
     copies = scratch(copies.select("doc_id", F.col("at").alias("start"), (F.col("at") + F.col("n") + LENGTH - 1).alias("end")), "copies")
     drop(again, held)
-    kinds = scratch(firsts.groupBy("print").agg(F.count("*").alias("k"), F.max("twice").alias("any_twice")).where("k > 1 OR any_twice = 1").drop("any_twice"), "kinds")
+    kinds = scratch(firsts.groupBy("print").agg(F.count("*").alias("k"), F.max("twice").alias("any_twice"), F.sum(F.col("n") + LENGTH).alias("size")).where("k > 1 OR any_twice = 1").drop("any_twice"), "kinds")
     wanted = firsts.join(kinds, "print").select("print", "first.doc_id", "first.at", "n")
     parts = scratch(_cut_parts(docs, wanted), "parts")
     drop(firsts)
-    hot = kinds.where(F.col("k") > HOT).select("print")
+    hot = kinds.where((F.col("k") > HOT) | (F.col("size") > BLOCK // 2)).select("print")
     if hot.isEmpty():
         found = _sorted_runs(parts)
     else:

@@ -358,6 +358,23 @@ def test_suffix_dedup_hot_fingerprints(docs, monkeypatch):
     assert sorted(map(tuple, suffixdedup.remove_repeats(plain(docs)).collect())) == want
 
 
+def test_suffix_dedup_long_spans(spark, monkeypatch):
+    """No fingerprint of more than half a block of bytes is sorted in one task, however few its spans are."""
+    monkeypatch.setattr(suffixdedup, "BLOCK", 4000)
+    sizes, sort = [], suffixdedup._sorted_runs
+
+    def spied(parts):
+        sizes.extend(r.n for r in parts.groupBy("print").agg(F.sum(F.length("part") + 1).alias("n")).collect())
+        return sort(parts)
+
+    monkeypatch.setattr(suffixdedup, "_sorted_runs", spied)
+    rows = [(1, "a" * 3000), (2, "b" + "a" * 1500 + BASE), (3, "|cell " * 500 + "end"), (4, "|cell " * 300 + BASE), (5, "x" + BASE + " " + BASE), (6, prose(150))]
+    got = by_id(suffixdedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")))
+    for (i, _), want in zip(rows, brute.removed([t for _, t in rows]), strict=True):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, hashlib.sha256(got[i].kept).hexdigest()) == want
+    assert sizes and max(sizes) <= 2000
+
+
 def test_suffix_dedup_repeated_ids(spark):
     df = spark.createDataFrame([(1, BASE), (1, BASE), (None, BASE), (2, BASE)], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.n_removed > 0) for r in suffixdedup.remove_repeats(df).collect())

@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +33,8 @@ from .common import scratch, slices, table
 
 BUCKETS = 1 << 14
 STRENGTH, LEAST_TRIGRAMS, BACKING, SMOOTHING = 40.0, 10, 10.0, 0.5
-#: At most so many languages are told apart, those with the most training texts.
-LANGUAGES = 200
+#: Rows times languages whose posteriors are computed at once.
+CELLS = 1_000_000
 
 ASCII_LOWER = np.arange(256, dtype=np.int64)
 ASCII_LOWER[0x41:0x5B] += 0x20
@@ -74,23 +75,23 @@ class Trigrams:
 def train(labelled: DataFrame) -> Trigrams:
     """From (text, lang): trigram counts by language over all rows."""
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
-    languages = sorted(r.lang for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()) or ["und"]
+    languages = sorted(r.lang for r in rows.select("lang").distinct().collect()) or ["und"]
     at = {x: i for i, x in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), BUCKETS), np.int64)
+        cells, n = np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
                 buckets, offsets = trigrams(part.column("text").to_pylist())
-                label = np.array([at.get(x, -1) for x in part.column("lang").to_pylist()])
-                of = np.repeat(label, np.diff(offsets))
-                total += np.bincount(of[of >= 0] * BUCKETS + buckets[of >= 0], minlength=total.size).reshape(total.shape)
-        k, b = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(b, pa.int32()), pa.array(total[k, b])], names=["lang", "bucket", "n"])
+                label = np.array([at[x] for x in part.column("lang").to_pylist()])
+                new, times = np.unique(np.repeat(label, np.diff(offsets)) * BUCKETS + buckets, return_counts=True)
+                cells, where = np.unique(np.concatenate([cells, new]), return_inverse=True)
+                n = np.bincount(where, np.concatenate([n, times]), len(cells)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(cells // BUCKETS, pa.int32()), pa.array(cells % BUCKETS, pa.int32()), pa.array(n, pa.int64())], names=["lang", "bucket", "n"])
 
     counts = np.full((len(languages), BUCKETS), SMOOTHING)
-    for r in rows.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():
-        counts[r.lang, r.bucket] += r.n
+    long = rows.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts[long.column("lang").to_numpy(), long.column("bucket").to_numpy()] += long.column("n").to_numpy()
     return Trigrams(languages, np.log(counts / counts.sum(axis=1, keepdims=True)))
 
 
@@ -123,7 +124,7 @@ def identify(rows: DataFrame, model: Trigrams) -> DataFrame:
         F.when(F.col("host").contains("."), F.substring_index("host", ".", -1)).alias("suffix"),
     )
     kept = [*ids, "markup", "host", "domain", "suffix"]
-    from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+    from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
     schema = StructType([*(spread.schema[c] for c in kept), StructField("fit", ArrayType(DoubleType())), StructField("vote", IntegerType())])
 
@@ -135,53 +136,61 @@ def identify(rows: DataFrame, model: Trigrams) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(list(fit)), vote], names=[*kept, "fit", "vote"])
 
     seen = scratch(spread.mapInArrow(run, schema), "evidence")
-    votes = [F.coalesce(F.sum((F.col("vote") == k).cast("double")), F.lit(0.0)) for k in range(n_lang)]
+    voted = seen.where("vote IS NOT NULL")
 
     def counted(key: str) -> DataFrame:
-        """Votes by language of each value of the key: an array per value."""
-        return seen.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"{key}_")).agg(F.array(*votes).alias(f"{key}_votes"))
-
-    total = [float(x) for x in seen.agg(F.array(*votes)).head()[0]]
-    share = [(x + SMOOTHING) / (sum(total) + SMOOTHING * n_lang) for x in total]
+        """Votes of each value of the key: a list of languages and numbers per value."""
+        long = voted.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"{key}_"), "vote").agg(F.count("*").alias("n"))
+        return long.groupBy(f"{key}_").agg(F.collect_list(F.struct("vote", "n")).alias(f"{key}_votes"))
+
+    total = np.zeros(n_lang)
+    for r in voted.groupBy("vote").agg(F.count("*").alias("n")).collect():
+        total[r.vote] = r.n
+    share = (total + SMOOTHING) / (total.sum() + SMOOTHING * n_lang)
     kinds = {k: max(1, seen.select(k).distinct().count()) for k in ("markup", "suffix")}
     out = seen
     for key in ("markup", "suffix", "domain", "host"):
         other = counted(key)
         out = out.join(other, F.col(key) == F.col(f"{key}_"), "left").drop(f"{key}_")
-    posterior = []
-    for k in range(n_lang):
-        own = F.coalesce((F.col("vote") == k).cast("double"), F.lit(0.0))
-        any_own = F.col("vote").isNotNull().cast("double")
-        prior = F.lit(share[k])
-        for key in ("domain", "host"):
-            here = F.col(f"{key}_votes")
-            n = F.aggregate(here, F.lit(0.0), lambda a, x: a + x) - any_own
-            prior = F.coalesce((here[k] - own + BACKING * prior) / (n + BACKING), prior)
-        value = F.col("fit")[k] + F.log(prior)
-        for key in ("markup", "suffix"):
-            chance = (F.col(f"{key}_votes")[k] - own + SMOOTHING) / (F.lit(total[k]) - own + SMOOTHING * kinds[key])
-            value = value + F.coalesce(F.log(chance), F.lit(0.0))
-        posterior.append(value)
-    scored = out.withColumn("posterior", F.array(*posterior))
-    best = F.array_max("posterior")
-    names = F.array(*map(F.lit, model.languages))
-    return scored.select(
-        *ids,
-        F.get(names, F.array_position("posterior", best).cast("int") - 1).alias("lang"),
-        (F.lit(1.0) / F.aggregate(F.transform("posterior", lambda x: F.exp(x - best)), F.lit(0.0), lambda a, x: a + x)).alias("probability"),
-        F.get(names, F.col("vote")).alias("text_lang"),
-        F.col("markup").alias("declared"),
-    )
 
-
-def held_out() -> Column:
-    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
+    def dense(part: pa.RecordBatch, key: str) -> tuple[np.ndarray, np.ndarray]:
+        """Votes of the rows' values of the key, by language; and which rows have a value."""
+        lists = part.column(f"{key}_votes")
+        flat = lists.flatten()
+        here = np.zeros((part.num_rows, n_lang))
+        n = pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+        here[np.repeat(np.arange(part.num_rows), n), flat.field("vote").to_numpy()] = flat.field("n").to_numpy()
+        return here, part.column(key).is_valid().to_numpy(zero_copy_only=False)[:, None]
+
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = max(1, CELLS // n_lang)
+        for batch in batches:
+            for part in (batch.slice(i, size) for i in range(0, batch.num_rows, size)):
+                vote = part.column("vote").fill_null(-1).to_numpy()
+                own = (vote[:, None] == np.arange(n_lang)).astype(float)
+                prior = np.broadcast_to(share, own.shape)
+                for key in ("domain", "host"):
+                    here, there = dense(part, key)
+                    n = here.sum(axis=1, keepdims=True) - (vote >= 0)[:, None]
+                    prior = np.where(there, (here - own + BACKING * prior) / (n + BACKING), prior)
+                value = part.column("fit").flatten().to_numpy().reshape(own.shape) + np.log(prior)
+                for key in ("markup", "suffix"):
+                    here, there = dense(part, key)
+                    value += np.log(np.where(there, (here - own + SMOOTHING) / (total - own + SMOOTHING * kinds[key]), 1.0))
+                lang = [model.languages[k] for k in value.argmax(axis=1).tolist()]
+                probability = 1 / np.exp(value - value.max(axis=1, keepdims=True)).sum(axis=1)
+                text_lang = [model.languages[k] if k >= 0 else None for k in vote.tolist()]
+                made = [pa.array(lang, pa.string()), pa.array(probability, pa.float64()), pa.array(text_lang, pa.string()), part.column("markup")]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ids), *made], names=[*ids, "lang", "probability", "text_lang", "declared"])
+
+    result = StructType([*(seen.schema[c] for c in ids), StructField("lang", StringType()), StructField("probability", DoubleType()), StructField("text_lang", StringType()), StructField("declared", StringType())])
+    return out.mapInArrow(fuse, result)
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents and all pages; the text model learns from documents whose crc32(doc_id) mod 3 isn't 1."""
+    """All documents and all pages; the text model learns from all labelled documents."""
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
-    model = train(docs.where(~held_out()))
+    model = train(docs)
     none = F.lit(None)
     of_docs = docs.select(F.lit("document").alias("kind"), "doc_id", none.cast("long").alias("page_id"), "text", none.cast("string").alias("markup"), F.col("source").alias("host"))
     of_pages = pages.select(F.lit("page").alias("kind"), none.cast("long").alias("doc_id"), "page_id", page_text(F.col("html")).alias("text"), declared_language(F.col("html")).alias("markup"), host_of(F.col("url")).alias("host"))

@@ -398,6 +398,34 @@ def test_language_of_documents_and_pages(spark, small):
     assert sum(held) >= 0.97 * len(held) and len(got) > len(held)
 
 
+def test_language_of_many(spark):
+    """The 251st language is told apart too, and its votes count."""
+    rng = random.Random(11)
+    made = {f"l{i:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for i in range(251)}
+    rows = [(" ".join(words), lang) for lang, words in made.items() for _ in range(1 if lang == "l250" else 2)]
+    model = language.train(spark.createDataFrame(rows, "text string, lang string"))
+    asked = [(i, " ".join(reversed(words)), None, None) for i, words in enumerate(made.values())] + [(999, " ".join(made["l250"]), "xx", "a.example.xx")]
+    got = {r.id: r for r in language.identify(spark.createDataFrame(asked, "id long, text string, markup string, host string"), model).collect()}
+    assert [got[i].lang for i in range(251)] == list(made) and (got[999].lang, got[999].text_lang, got[999].declared) == ("l250", "l250", "xx")
+
+
+def test_language_learns_from_all_documents(spark, tmp_path):
+    """A language whose only text has a doc_id of any hash is known."""
+    rows = [(i, f"{''.join(random.Random(i).choices('abcdefghij', k=40))} " * 3, f"k{i}", "s") for i in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {r.doc_id: r.lang for r in language.op4_language(spark, str(tmp_path)).collect()} == {r[0]: r[2] for r in rows}
+
+
+def test_language_held_out(spark, small):
+    """A model of two thirds of the documents names the languages of the others."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("text IS NOT NULL AND lang IS NOT NULL")
+    none = F.lit(None).cast("string")
+    asked = docs.where("doc_id % 3 = 1").select("doc_id", "lang", "text").withColumnRenamed("lang", "true_lang")
+    got = language.identify(asked.select("doc_id", "true_lang", "text", none.alias("markup"), none.alias("host")), language.train(docs.where("doc_id % 3 <> 1"))).collect()
+    assert got and sum(r.lang == r.true_lang for r in got) >= 0.95 * len(got)
+
+
 def test_page_parts(spark):
     html = '<!DOCTYPE html><HTML lang="pt-BR"><script>x</script><p>Olá&nbsp;b</p><!-- c --></html>'
     row = spark.range(1).select(language.declared_language(F.lit(html)), language.page_text(F.lit(html)), language.host_of(F.lit("https://u@Ex.org:80/a")), language.host_of(F.lit("odd"))).head()

@@ -1,10 +1,11 @@
 """Benchmark decontamination with suffix arrays over the training documents.
 
 Every Arrow slice of documents is a shard: its words become one integer text, documents kept apart
-by a separator, and a suffix array is sorted by rank doubling to the depth of the longest benchmark
-item. Every benchmark suffix is binary-searched in every shard, all of them side by side: the range
-of suffixes that begin with its window gives all verbatim occurrences; its neighbours in the array
-give its longest match and where that is.
+by a separator, and a suffix array is sorted by rank doubling. ``match_benchmark``, and so the query and
+the pipeline, sort to the window's depth and binary-search the suffixes that have a full window, all
+of them side by side: the range of suffixes that begin with it gives all verbatim occurrences. They
+don't obtain longest matches. ``longest_matches``, which no query reaches, sorts to the depth of the
+longest item and searches every suffix: its neighbours in the array give its longest match and place.
 
 Suffixes that begin with a word no benchmark item has cannot match and are left out of the array.
 Words are compared by 64-bit hashes. Documents are never moved: the benchmark goes to them, in

@@ -21,6 +21,7 @@ Chunks can be compressed with a dictionary, trained on the encoded texts of at m
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -33,9 +34,15 @@ from pyspark.sql import functions as F
 from .common import scratch, slices
 
 DIGEST = 16
+#: Chunk digests that a task remembers having sent; beyond these it starts anew, and chunks met again are sent again.
+KNOWN = 500_000
 DICTIONARY_TEXTS, DICTIONARY_CHARS, DICTIONARY_BYTES = 1000, 20_000, 112_640
 
 
+#: Units of texts, end to end, and how many each text has.
+Encoder = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser: the gear value of a unit, by rule instead of a table of constants."""
     with np.errstate(over="ignore"):
@@ -45,13 +52,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return (x ^ (x >> np.uint64(31))).astype(np.uint32)
 
 
+GEAR = _mix(np.arange(1 << 16, dtype=np.uint64))
+
+
 def rolling(units: np.ndarray) -> np.ndarray:
     """Gear hash of the last 32 units at each place: five doublings instead of a loop over the units."""
-    h = _mix(units.astype(np.uint64))
+    h = GEAR[units] if units.dtype.itemsize <= 2 else _mix(units.astype(np.uint64))
     for w in (1, 2, 4, 8, 16):
-        wider = h.copy()
-        wider[w:] += h[:-w] << np.uint32(w)
-        h = wider
+        h[w:] += h[:-w] << np.uint32(w)
     return h
 
 
@@ -67,17 +75,18 @@ class Cuts:
         if not 32 <= self.least <= self.most:
             raise ValueError("chunks need 32 units at least, the rolling hash's window, and most >= least")
 
-    def ends(self, units: np.ndarray) -> list[int]:
-        n = len(units)
-        if n <= self.least:
-            return [n] if n else []
-        marks = np.flatnonzero(rolling(units) >> np.uint32(32 - self.bits) == 0) + 1
-        out, at = [], 0
-        while n - at > self.least:
-            k = int(np.searchsorted(marks, at + self.least))
-            at = min(int(marks[k]) if k < len(marks) else n, at + self.most, n)
+    def marks(self, units: np.ndarray) -> list[int]:
+        """Places where a chunk may end. A chunk has a window's units at least, so they hold for payloads laid end to end."""
+        return (np.flatnonzero(rolling(units) < np.uint32(1 << (32 - self.bits))) + 1).tolist()
+
+    def ends(self, marks: list[int], start: int, end: int) -> list[int]:
+        """Ends of the chunks of the payload between start and end."""
+        out, at = [], start
+        while end - at > self.least:
+            k = bisect_left(marks, at + self.least)
+            at = min(marks[k] if k < len(marks) else end, at + self.most, end)
             out.append(at)
-        return out if at == n else [*out, n]
+        return out if at == end else [*out, end]
 
 
 def digest(data: bytes) -> bytes:
@@ -114,21 +123,22 @@ def open_store(table: DataFrame) -> Store:
     return Store(table, bytes(kept.payload) if kept else None)
 
 
-def train_dictionary(docs: DataFrame, make_encoder: Callable[[], Callable[[list[str]], list[np.ndarray]]]) -> bytes | None:
+def train_dictionary(docs: DataFrame, make_encoder: Callable[[], Encoder]) -> bytes | None:
     """A compression dictionary from a bounded sample; none where the sample is too small to train one."""
     import zstandard
 
     known = docs.where("doc_id IS NOT NULL")
     few = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICTIONARY_TEXTS)  # ids first: tasks send no texts that aren't taken
     rows = known.join(F.broadcast(few), "doc_id").select(F.substring("text", 1, DICTIONARY_CHARS).alias("text")).limit(DICTIONARY_TEXTS).collect()
-    samples = [x.tobytes() for x in make_encoder()([r.text for r in rows])]
+    units, counts = make_encoder()([r.text for r in rows])
+    samples = [x.tobytes() for x in np.split(units, np.cumsum(counts)[:-1])] if rows else []
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
         return None
 
 
-def write_store(docs: DataFrame, make_encoder: Callable[[], Callable[[list[str]], list[np.ndarray]]], cuts: Cuts, tag: str, level: int = 6, trained: bool = False) -> Store:
+def write_store(docs: DataFrame, make_encoder: Callable[[], Encoder], cuts: Cuts, tag: str, level: int = 6, trained: bool = False) -> Store:
     """Encode the texts of (doc_id, text) to arrays of units, cut these and store them.
 
     Input rows are all kept, equal or not: recipe rows carry a key of their own through the same
@@ -147,26 +157,28 @@ def write_store(docs: DataFrame, make_encoder: Callable[[], Callable[[list[str]]
             words.precompute_compress(level=level)
         encode, pack = make_encoder(), zstandard.ZstdCompressor(level=level, dict_data=words, write_checksum=False, write_dict_id=False)
         part, serial = TaskContext.get().partitionId(), 0
+        known: set[bytes] = set()
         for batch in batches:
             for piece in slices(batch, "text"):
                 out: dict[str, list] = {n: [] for n in names}
-                known: set[bytes] = set()
                 sizes = pa.compute.binary_length(piece.column("text")).to_pylist()
-                for doc_id, n_bytes, units in zip(piece.column("doc_id").to_pylist(), sizes, encode(piece.column("text").to_pylist()), strict=True):
-                    leaves, at = [], 0
-                    spans = []
-                    for end in cuts.ends(units):
-                        raw = units[at:end].tobytes()
-                        leaves.append(digest(raw))
-                        spans.append((raw, end - at))
-                        at = end
+                units, counts = encode(piece.column("text").to_pylist())
+                raw, width, marks, start = units.tobytes(), units.dtype.itemsize, cuts.marks(units), 0
+                for doc_id, n_bytes, count in zip(piece.column("doc_id").to_pylist(), sizes, counts.tolist(), strict=True):
+                    ends = cuts.ends(marks, start, start + count)
+                    spans = [(a, b) for a, b in zip([start, *ends], ends, strict=False)]
+                    chunks = [raw[a * width : b * width] for a, b in spans]
+                    leaves = [digest(x) for x in chunks]
                     root = merkle_root(leaves)
                     serial += 1
-                    add(out, 0, b"%d:%d" % (part, serial), doc_id, n_bytes, root, -1, len(units), b"".join(leaves), None, 1)
-                    for i, (leaf, (raw, n)) in enumerate(zip(leaves, spans, strict=True)):
+                    add(out, 0, b"%d:%d" % (part, serial), doc_id, n_bytes, root, -1, count, b"".join(leaves), None, 1)
+                    for i, (leaf, chunk, (a, b)) in enumerate(zip(leaves, chunks, spans, strict=True)):
                         fresh = leaf not in known
                         known.add(leaf)
-                        add(out, 1, leaf, None, None, root, i, n, None, pack.compress(raw) if fresh else None, 1)
+                        add(out, 1, leaf, None, None, root, i, b - a, None, pack.compress(chunk) if fresh else None, 1)
+                    start += count
+                    if len(known) > KNOWN:
+                        known.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in types.items()], names=names)
 
     types = {"kind": pa.int8(), "key": pa.binary(), "doc_id": pa.int64(), "n_bytes": pa.int64(), "root": pa.binary(), "idx": pa.int32(), "n_units": pa.int64(), "digests": pa.binary(), "payload": pa.binary(), "refs": pa.int64()}

@@ -11,7 +11,6 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -44,13 +43,14 @@ def from_wave(media: bytes) -> bytes:
     return media[HEADER.size :]
 
 
-def make_encoder() -> Callable[[list[str]], list[np.ndarray]]:
-    return lambda batch: [np.frombuffer(to_wave(payload_of(t)), np.uint8) for t in batch]
+def encode(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    waves = [to_wave(payload_of(t)) for t in batch]
+    return np.frombuffer(b"".join(waves), np.uint8), np.array([len(w) for w in waves], np.int64)
 
 
 def write_media(docs: DataFrame, cuts: Cuts = CUTS) -> Store:
     """Store the texts of (doc_id, text) as media."""
-    return write_store(docs, lambda: make_encoder(), cuts, "media", level=LEVEL, trained=True)
+    return write_store(docs, lambda: encode, cuts, "media", level=LEVEL, trained=True)
 
 
 def features(payload: bytes) -> str:

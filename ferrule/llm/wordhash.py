@@ -49,3 +49,26 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         sums = np.add.reduceat(BYTE[data[at]] * _powers(int(lengths.max()))[place], np.cumsum(lengths) - lengths)
         return mix(sums + lengths.astype(np.uint64)), offsets
+
+
+INVERSE = np.uint64(pow(int(STEP), -1, 1 << 64))
+
+
+class PrefixHashes:
+    """Hashes of any parts of a sequence of values, from the prefix sums of these; a part's hash doesn't depend on where it is."""
+
+    up, down = _powers(1), np.ones(1, np.uint64)
+
+    def __init__(self, values: np.ndarray):
+        if len(values) >= len(PrefixHashes.up):
+            n = 2 * len(values) + 2
+            with np.errstate(over="ignore"):
+                PrefixHashes.up, PrefixHashes.down = _powers(n), np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, INVERSE)]), dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            self.sums = np.empty(len(values) + 1, np.uint64)
+            self.sums[0] = 0
+            np.cumsum(values * PrefixHashes.up[: len(values)], out=self.sums[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix((self.sums[end] - self.sums[start]) * PrefixHashes.down[start] + (end - start).astype(np.uint64))

@@ -120,6 +120,37 @@ def test_token_store(docs, empty):
     assert tokens.read_ids(store, recipes, parts, tokens._digest, "n_tokens long, ids_crc32 long").count() == 0
 
 
+@pytest.mark.parametrize("name, end", [("word_bpe_49k.json", 49407), ("byte_bpe_50k.json", 50256)])
+def test_token_ids_of_any_tokenizer_file(name, end):
+    """The fast path is taken for the rules it is written for only; every file gives the library's ids."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    tokenizer, rng = Tokenizer.from_file(path), random.Random(4)
+    assert tokens.known_rules(path) == (name == tokens.MODEL)
+    alphabet = [*"abstremvld'’\"!?. \n\t0129ÉéÀÿß«»¿€-_<|>#@", "'s", "'re", "'ll", "don't", "'ve'd", "''s", "plain text here", "½", "ª", "İ"]
+    made = ["".join(rng.choices(alphabet, k=rng.randint(0, 30))) for _ in range(3000)] + [t or "" for t in TEXTS]
+    flat, counts = tokens.make_encoder(path, end, 2)()(made)
+    for t, ids in zip(made, np.split(flat, np.cumsum(counts)[:-1]), strict=True):
+        assert ids.tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, end]
+
+
+def test_token_ids_of_long_texts_and_full_tables(monkeypatch):
+    """Texts cut at white space, and a table that is emptied in between, change no id."""
+    import public_tokenizers
+
+    path = public_tokenizers.path(tokens.MODEL)
+    made = [prose(300), "", prose(2000), "x" * 5000, prose(10)]
+    want = tokens.make_encoder(path, 2, 2)()(made)
+    tokens._worker_tables.cache_clear()
+    monkeypatch.setattr(tokens, "RUN", 50)
+    monkeypatch.setattr(tokens, "PIECES", 7)
+    got = tokens.make_encoder(path, 2, 2)()(made)
+    tokens._worker_tables.cache_clear()
+    assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
 def test_token_store_keeps_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (1, "z")], "doc_id long, text string")
     store, recipes, parts = tokens.write_ids(df)
@@ -152,9 +183,11 @@ def test_altered_chunks_are_noticed(spark):
 def test_cuts_follow_content():
     cuts = chunkstore.Cuts(64, 6, 1024)
     x = np.frombuffer(random.randbytes(20_000), np.uint8)
-    ends = cuts.ends(x)
+    ends = cuts.ends(cuts.marks(x), 0, len(x))
     assert ends[-1] == len(x) and all(64 <= b - a <= 1024 for a, b in zip([0, *ends[:-2]], ends[:-1], strict=True))
-    moved = {e - 10 for e in cuts.ends(np.concatenate([x[:10], x]))}
+    longer = np.concatenate([x[:10], x])
+    moved = {e - 10 for e in cuts.ends(cuts.marks(longer), 0, len(longer))}
+    assert [e - 10 for e in cuts.ends(cuts.marks(longer), 10, len(longer))] == ends
     assert len(moved & set(ends)) > 0.8 * len(ends)
     with pytest.raises(ValueError):
         chunkstore.Cuts(8, 6, 1024)

@@ -1,12 +1,13 @@
 """SentencePiece encoding and decoding over a table of distinct marked words.
 
-No piece of the model has a whitespace marker after another character (this is checked when the
-model is read), so merges never cross the start of a marked word. Each Spark task keeps a table of
-the distinct marked words it has met, segments and decodes every one of them once, and joins ids
-and texts back by position with one vectorised gather. The table is emptied at ``TABLE_WORDS``
-entries: words met again are then segmented again, which changes no result. The table is per task
-on purpose: shuffling each block's distinct words to a global table and their ids back would move
-more bytes than the texts have.
+No piece of the model has a whitespace marker after another character, so merges never cross the
+start of a marked word; when a model is read, this is checked, and that ``PROBES`` come out as the
+library has them, so that a model with other rules for white space or characters is an error. Each
+Python worker keeps a table of the distinct marked words it has met, from task to task, segments and
+decodes every one of them once, and joins ids and texts back by position with one vectorised gather.
+The table is emptied at ``TABLE_WORDS`` entries: words met again are then segmented again, which
+changes no result. The table is per worker on purpose: shuffling each block's distinct words to a
+global table and their ids back would move more bytes than the texts have.
 
 Null texts encode and decode like empty ones: no ids, an empty text. Rows are independent; repeated
 rows, ties and extra columns change nothing (columns named like the outputs are replaced); an empty
@@ -15,6 +16,7 @@ table gives an empty table. Texts of any length are cut at their marked words on
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -30,6 +32,7 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 MARKED_WORD = re.compile(f"[ {MARK}]*[^ {MARK}]+|[ {MARK}]+")
 TABLE_WORDS = 400_000
+PROBES = ("a b", "  a  b  ", " ", "▁a▁ b", "a\tb\n\nc \r\n", "ﬁ ½ ｆ é é", "<s> </s> <unk>", "中文 👍🏽\u0000x", "A\u00a0b\u200bc")
 
 
 class WordTable:
@@ -44,6 +47,10 @@ class WordTable:
             raise ValueError(f"pieces cross whitespace markers: {crossing[:3]}")
         self.mark = self.sp.piece_to_id(MARK)
         self.clear()
+        for probe in PROBES:
+            flat, _, decoded = self.encode([probe])
+            if flat.tolist() != self.sp.encode(probe) or decoded != [self.sp.decode(self.sp.encode(probe))]:
+                raise ValueError(f"the model doesn't treat marked words of {probe!r} one by one")
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
@@ -96,10 +103,9 @@ def encode_decode(df: DataFrame, model_file: str | None = None, text_col: str =
     schema = T.StructType([*kept.schema.fields, T.StructField(ids_out, T.ArrayType(T.IntegerType(), False)), T.StructField(decoded_out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = None
+        words = worker_table(model_file or default_model())
         for batch in batches:
             for part in slices(batch, text_col):
-                words = words or WordTable(model_file or default_model())
                 flat, offsets, decoded = words.encode([t or "" for t in part.column(text_col).to_pylist()])
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(decoded, pa.string())], names=[*part.schema.names, ids_out, decoded_out])
@@ -107,6 +113,12 @@ def encode_decode(df: DataFrame, model_file: str | None = None, text_col: str =
     return kept.mapInArrow(run, schema)
 
 
+@functools.lru_cache(maxsize=2)
+def worker_table(model_file: str) -> WordTable:
+    """This Python worker's table, kept from task to task."""
+    return WordTable(model_file)
+
+
 def default_model() -> str:
     import public_tokenizers
 

@@ -1,21 +1,25 @@
 """Benchmark decontamination with suffix arrays over the training documents.
 
 Every Arrow slice of documents is a shard: its words become one integer text, documents kept apart
-by a separator, and a suffix array is sorted by rank doubling. ``match_benchmark``, and so the query and
-the pipeline, sort to the window's depth and binary-search the suffixes that have a full window, all
-of them side by side: the range of suffixes that begin with it gives all verbatim occurrences. They
-don't obtain longest matches. ``longest_matches``, which no query reaches, sorts to the depth of the
-longest item and searches every suffix: its neighbours in the array give its longest match and place.
-
-Suffixes that begin with a word no benchmark item has cannot match and are left out of the array.
-Words are compared by 64-bit hashes. Documents are never moved: the benchmark goes to them, in
-blocks of at most ``BLOCK_CHARS`` characters on average, each a broadcast; results of several
-blocks are merged per document in one chain of maps.
+by a separator, and a suffix array is sorted by rank doubling, to the window's depth. Every suffix of
+the benchmark that can begin a match (it has a full window left) is binary-searched in it, equal
+windows once: the range of suffixes that begin with it gives all verbatim occurrences. The places
+found are then sorted together with the benchmark's suffixes, to the depth of the longest item:
+neighbours in that order give each place's longest verbatim match, and each document's longest
+match and where it is. Documents with a match go.
+
+Equal items are one item with several ids, and ids are joined in at the end, so neither repeated
+items nor windows that many items share multiply the occurrences. Suffixes that begin with a word no
+benchmark item has cannot match and are left out of the array. Words are compared by 64-bit hashes.
+Documents are never moved: the benchmark goes to them, in blocks of at most ``BLOCK_CHARS``
+characters on average, each a broadcast, and a slice meets all blocks in one pass.
+``longest_matches`` gives the same from the benchmark's side: every item's longest match over all documents.
 
 A null text has no words; such documents, and empty ones, are clean. An item without words has no
-window; a null item_id still marks words but isn't listed. Repeated rows are judged alike. Empty
-tables are fine on either side. Extra columns pass through (columns named like the outputs are
-replaced).
+window; a null item_id still marks words but isn't listed. Repeated rows are judged alike; of equally
+long matches a document's first counts. A slice is at least one document, whose words must fit into a
+task's memory some ten times over. Empty tables are fine on either side. Extra columns pass through
+(columns named like the outputs are replaced).
 """
 
 from __future__ import annotations
@@ -36,32 +40,41 @@ BLOCK_CHARS = 2_000_000
 #: Words of suffixes laid side by side in one search.
 SEARCH_WORDS = 4_000_000
 SHARD_BYTES = 6_000_000
-OUTPUTS = "n_words long, hit_spans array<struct<start:int,end:int>>, hit_items array<string>"
+OUTPUTS = "n_words long, hit_spans array<struct<start:int,end:int>>, hit_items array<string>, longest_match int, longest_at int"
 
 
 #: The same result in DuckDB SQL, by joining windows instead of searching suffixes.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ORACLE_SQL = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 i AS (SELECT item_id, w, least(10, len(w)) AS k FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
-iw AS (SELECT DISTINCT item_id, k, array_to_string(list_slice(w, p + 1, p + k), ' ') AS win FROM (SELECT *, unnest(range(0, len(w) - k + 1)) AS p FROM i)),
+iw AS (SELECT item_id, k, q, array_to_string(list_slice(w, q + 1, q + k), ' ') AS win FROM (SELECT *, unnest(range(0, len(w) - k + 1)) AS q FROM i)),
 dw AS (SELECT doc_id, k, p, array_to_string(list_slice(w, p + 1, p + k), ' ') AS win FROM (SELECT doc_id, w, k, unnest(range(0, len(w) - k + 1)) AS p FROM d, (SELECT DISTINCT k FROM i))),
-h AS (SELECT doc_id, p, k, item_id FROM dw JOIN iw USING (k, win)),
+h AS (SELECT doc_id, p, q, k, item_id FROM dw JOIN iw USING (k, win)),
 n AS (SELECT DISTINCT doc_id, place FROM (SELECT doc_id, unnest(range(p, p + k)) AS place FROM h)),
-runs AS (SELECT doc_id, count(*) AS run FROM (SELECT doc_id, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS island FROM n) GROUP BY doc_id, island)
+runs AS (SELECT doc_id, min(p) AS head, count(*) + any_value(k) - 1 AS run FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, p - q ORDER BY p) AS island FROM h) GROUP BY doc_id, item_id, p - q, island)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(a.n_hit, 0) AS n_hit, coalesce(b.n_items, 0) AS n_items, sha256(coalesce(b.items, '')) AS items_sha256, coalesce(a.n_hit, 0) > 0 AS contaminated,
-CAST(coalesce(r.run, 0) AS INT) AS longest_run
+CAST(coalesce(r.run, 0) AS INT) AS longest_match, CAST(r.head AS INT) AS longest_at
 FROM d LEFT JOIN (SELECT doc_id, count(*) AS n_hit FROM n GROUP BY 1) a USING (doc_id)
 LEFT JOIN (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY 1) b USING (doc_id)
-LEFT JOIN (SELECT doc_id, max(run) AS run FROM runs GROUP BY 1) r USING (doc_id)"""
+LEFT JOIN (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY run DESC, head) = 1) r USING (doc_id)"""
 
 
 class Suffixes:
-    """All suffixes of a block of benchmark items, over the block's own vocabulary."""
+    """All suffixes of a block of benchmark items, over the block's own vocabulary; equal items are one."""
 
     def __init__(self, ids: list, item_texts: list[str | None], window: int = WINDOW):
         hashes, offsets = word_hashes(item_texts)
-        n = np.diff(offsets)
-        self.ids = ["" if i is None else str(i) for i in ids]
+        classes: dict[bytes, list[str]] = {}
+        for i, a, b in zip(ids, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            if b > a:
+                named = classes.setdefault(hashes[a:b].tobytes(), [])
+                if i is not None:
+                    named.append(str(i))
+        self.ids = list(classes.values())
+        hashes = np.frombuffer(b"".join(classes), np.uint64)
+        n = np.array([len(x) // 8 for x in classes], np.int64)
+        offsets = np.concatenate([[0], np.cumsum(n)])
+        self.size = window
         self.vocabulary, words = np.unique(hashes, return_inverse=True)
         self.item = np.repeat(np.arange(len(n)), n)
         self.at = np.arange(len(words)) - np.repeat(offsets[:-1], n)
@@ -70,6 +83,18 @@ class Suffixes:
         self.window = np.where(size >= window, np.where(self.left >= window, window, 0), np.where(self.at == 0, size, 0))
         self.depth = int(n.max()) if len(n) else 0
         self.flat = np.concatenate([words.astype(np.int32) + 1, np.full(self.depth, -1, np.int32)])
+        self._distinct()
+
+    def _distinct(self) -> None:
+        """Distinct windows: their words side by side, sizes, and the items of each."""
+        q = np.flatnonzero(self.window > 0)
+        sizes = self.window[q]
+        widest = int(sizes.max(initial=0))
+        rows = np.where(np.arange(widest) < sizes[:, None], self.words(q, widest), 0) if len(q) else np.empty((0, widest), np.int32)
+        self.windows, of = np.unique(rows, axis=0, return_inverse=True) if len(q) else (rows, np.empty(0, np.int64))
+        self.sizes = np.count_nonzero(self.windows, axis=1)
+        pairs = np.unique(np.stack([of.ravel(), self.item[q]], axis=1), axis=0)
+        self.items, self.items_at = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.windows) + 1))
 
     def words(self, rows: np.ndarray, depth: int) -> np.ndarray:
         """The first words of these suffixes, side by side; words beyond an item's end are never compared."""
@@ -147,29 +172,90 @@ class Shard:
         return np.searchsorted(self.first, at, side="right") - 1
 
 
-def _matches(shard: Shard, tests: Suffixes, n_docs: int) -> tuple[list[list[tuple[int, int]]], list[set[str]]]:
-    """Per document: hit runs of words, and the items with occurring windows."""
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from each first one on, as many as n says, end to end."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _longest(shard: Shard, tests: Suffixes, starts: np.ndarray, ends: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """Of hits, places within the spans of hit words: words of the longest match with any benchmark suffix.
+
+    A match's words are all hit, so the spans' words and the benchmark's are sorted together, by rank
+    doubling, to the depth of the longest item; ranks of all depths give the words that neighbours share.
+    """
+    n = ends - starts
+    spans = np.repeat(np.arange(len(n)), n)
+    place = _ranges(starts, n)
+    text = np.empty(len(place) + len(n) + len(tests.item) + len(tests.ids), np.int64)
+    mine = np.arange(len(place)) + spans
+    other = len(place) + len(n) + np.arange(len(tests.item)) + tests.item
+    apart = np.ones(len(text), bool)
+    apart[mine] = apart[other] = False
+    text[mine], text[other] = shard.text[place], tests.flat[: len(tests.item)]
+    text[apart] = len(tests.vocabulary) + 1 + np.arange(np.count_nonzero(apart))  # no separator equals another
+    levels, k = [np.unique(text, return_inverse=True)[1]], 1
+    while k <= tests.depth:
+        rank = levels[-1]
+        after = np.full(len(text), -1)
+        after[:-k] = rank[k:] if k < len(text) else after[:-k]
+        levels.append(np.unique(rank * (len(text) + 1) + after + 1, return_inverse=True)[1])
+        k *= 2
+    order = np.argsort(levels[-1], kind="stable")
+    is_test = np.zeros(len(text), bool)
+    is_test[other] = True
+    marks = np.flatnonzero(is_test[order])
+    at = mine[np.searchsorted(place, hits)]
+    spot = np.empty(len(text), np.int64)
+    spot[order] = np.arange(len(text))
+    near = np.searchsorted(marks, spot[at])
+    best = np.zeros(len(at), np.int64)
+    for side in (near - 1, near):
+        there = (side >= 0) & (side < len(marks))
+        to = order[marks[np.where(there, side, 0)]]
+        shared = np.zeros(len(at), np.int64)
+        for j in range(len(levels) - 1, -1, -1):
+            x, y = np.minimum(at + shared, len(text) - 1), np.minimum(to + shared, len(text) - 1)
+            shared += (levels[j][x] == levels[j][y]).astype(np.int64) << j
+        best = np.maximum(best, np.where(there, shared, 0))
+    return best
+
+
+def _matches(shard: Shard, tests: Suffixes, n_docs: int) -> tuple[list[list[tuple[int, int]]], list[set[str]], list[tuple[int, int]]]:
+    """Per document: hit runs of words, the items with occurring windows, and (words, -place) of its longest match."""
     spans: list[list[tuple[int, int]]] = [[] for _ in range(n_docs)]
     items: list[set[str]] = [set() for _ in range(n_docs)]
-    q = np.flatnonzero(tests.window > 0)
-    if not len(q) or not len(shard.array):
-        return spans, items
-    windows = tests.window[q]
-    words = tests.words(q, int(windows.max()))
-    lo, hi = shard.find(words, windows, False), shard.find(words, windows, True)
-    counts = hi - lo
-    rows = np.repeat(np.arange(len(counts)), counts)
-    at = shard.array[np.repeat(lo - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())]
+    longest: list[tuple[int, int]] = [(0, 0)] * n_docs
+    if not len(tests.windows) or not len(shard.array):
+        return spans, items, longest
+    lo, hi = shard.find(tests.windows, tests.sizes, False), shard.find(tests.windows, tests.sizes, True)
+    found = np.flatnonzero(hi > lo)
+    if not len(found):
+        return spans, items, longest
+    counts = (hi - lo)[found]
+    window = np.repeat(found, counts)
+    at = shard.array[_ranges(lo[found], counts)]
+    size = tests.sizes[window]
     step = np.zeros(len(shard.text) + 1, np.int64)
     np.add.at(step, at, 1)
-    np.add.at(step, at + windows[rows], -1)
+    np.add.at(step, at + size, -1)
     edges = np.flatnonzero(np.diff(np.cumsum(step) > 0, prepend=False, append=False))
-    for a, b, d in zip(edges[::2].tolist(), edges[1::2].tolist(), shard.document(edges[::2]).tolist(), strict=True):
+    starts, ends = edges[::2], edges[1::2]
+    for a, b, d in zip(starts.tolist(), ends.tolist(), shard.document(starts).tolist(), strict=True):
         spans[d].append((a - int(shard.first[d]), b - int(shard.first[d])))
-    for d, i in np.unique(np.stack([shard.document(at), tests.item[q[rows]]], axis=1), axis=0).tolist():
-        if tests.ids[i]:
-            items[d].add(tests.ids[i])
-    return spans, items
+    hits, of = np.unique(at, return_inverse=True)
+    whole = np.zeros(len(hits), np.int64)
+    np.maximum.at(whole, of, size)
+    shared = _longest(shard, tests, starts, ends, hits)
+    n = np.where(shared >= tests.size, shared, whole)
+    doc = shard.document(hits)
+    for d, k, p in zip(doc.tolist(), n.tolist(), (shard.first[doc] - hits).tolist(), strict=True):
+        longest[d] = max(longest[d], (k, p))
+    pairs = np.unique(np.stack([shard.document(at), window], axis=1), axis=0)
+    n_items = np.diff(tests.items_at)[pairs[:, 1]]
+    both = np.stack([np.repeat(pairs[:, 0], n_items), tests.items[_ranges(tests.items_at[pairs[:, 1]], n_items)]], axis=1)
+    for d, i in np.unique(both, axis=0).tolist():
+        items[d].update(tests.ids[i])
+    return spans, items, longest
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[dict]:
@@ -192,37 +278,42 @@ def blocks(benchmark: DataFrame, window: int = WINDOW) -> Iterator[Suffixes]:
 
 
 def match_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """docs with n_words, hit_spans (runs of hit words, end exclusive) and hit_items (sorted ids of matching items)."""
-    added = T.StructType.fromDDL(OUTPUTS)
-    out = docs.drop(*added.names).withColumns({f.name: F.lit(None).cast(f.dataType) for f in added})
+    """docs with n_words, hit_spans (runs of hit words, end exclusive), hit_items (sorted ids of matching items),
+    longest_match (words of the longest verbatim match, 0 without one) and longest_at (its first word)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(out.schema)
-    for block in blocks(benchmark, window):
-        tests = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], tests=tests) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch, text_col, SHARD_BYTES):
-                    hashes, offsets = word_hashes(part.column(text_col).to_pylist())
-                    n = len(offsets) - 1
-                    if tests.value.depth:
-                        found, items = _matches(Shard(hashes, offsets, tests.value.vocabulary, int(tests.value.window.max())), tests.value, n)
-                    else:
-                        found, items = [[] for _ in range(n)], [set() for _ in range(n)]
-                    old_spans, old_items = part.column("hit_spans").to_pylist(), part.column("hit_items").to_pylist()
-                    spans = [_merged([*f, *((s["start"], s["end"]) for s in o or [])]) for f, o in zip(found, old_spans, strict=True)]
-                    ids = [sorted(i | set(o or [])) for i, o in zip(items, old_items, strict=True)]
-                    made = {"n_words": np.diff(offsets), "hit_spans": spans, "hit_items": ids}
-                    yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if f.name in made else part.column(f.name) for f in arrow], schema=arrow)
-
-        out = out.mapInArrow(run, out.schema)
-    return out
+    kept = docs.drop(*T.StructType.fromDDL(OUTPUTS).names)
+    schema = T.StructType([*kept.schema.fields, *T.StructType.fromDDL(OUTPUTS).fields])
+    arrow = to_arrow_schema(schema)
+    tests = [docs.sparkSession.sparkContext.broadcast(block) for block in blocks(benchmark, window)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col, SHARD_BYTES):
+                hashes, offsets = word_hashes(part.column(text_col).to_pylist())
+                n = len(offsets) - 1
+                spans, items, longest = [[] for _ in range(n)], [set() for _ in range(n)], [(0, 0)] * n
+                for block in (t.value for t in tests if len(t.value.windows)):
+                    shard = Shard(hashes, offsets, block.vocabulary, int(block.sizes.max(initial=0)))
+                    for i, (more, ids, best) in enumerate(zip(*_matches(shard, block, n), strict=True)):
+                        spans[i] += more
+                        items[i] |= ids
+                        longest[i] = max(longest[i], best)
+                made = {
+                    "n_words": np.diff(offsets),
+                    "hit_spans": [_merged(x) for x in spans],
+                    "hit_items": [sorted(x) for x in items],
+                    "longest_match": [k for k, _ in longest],
+                    "longest_at": [-p if k else None for k, p in longest],
+                }
+                yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if f.name in made else part.column(f.name) for f in arrow], schema=arrow)
+
+    return kept.mapInArrow(run, schema)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per item: n_words of its longest verbatim match, where it starts in the item, and doc_id and first word of that match."""
-    schema = "item_id string, n_words int, item_at int, doc_id string, doc_at int"
+    schema = "item_id array<string>, n_words int, item_at int, doc_id string, doc_at int"
     found = None
     for block in blocks(benchmark):
         tests = docs.sparkSession.sparkContext.broadcast(block)
@@ -247,10 +338,11 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
                     d = shard.document(at)
                     ids = part.column(id_col)
                     yield pa.RecordBatch.from_pydict(
-                        {"item_id": pa.array([q.ids[i] for i in q.item[best]]), "n_words": pa.array(n[best], pa.int32()), "item_at": pa.array(q.at[best], pa.int32()), "doc_id": pa.array([str(ids[i].as_py()) for i in d.tolist()]), "doc_at": pa.array(at - shard.first[d], pa.int32())}
+                        {"item_id": pa.array([q.ids[i] for i in q.item[best].tolist()], pa.list_(pa.string())), "n_words": pa.array(n[best], pa.int32()), "item_at": pa.array(q.at[best], pa.int32()), "doc_id": pa.array([str(ids[i].as_py()) for i in d.tolist()]), "doc_at": pa.array(at - shard.first[d], pa.int32())}
                     )
 
         one = docs.select(id_col, text_col).mapInArrow(run, schema)
+        one = one.withColumn("item_id", F.explode("item_id"))
         found = one if found is None else found.unionByName(one)
     best = F.max(F.struct("n_words", -F.col("item_at"), "doc_id", "doc_at"))
     return found.groupBy("item_id").agg(best.alias("b"), F.max_by("item_at", F.struct("n_words", -F.col("item_at"), "doc_id", "doc_at")).alias("item_at")).select("item_id", "b.n_words", "item_at", "b.doc_id", "b.doc_at")
@@ -261,8 +353,10 @@ def n_hit():
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents no window occurs in."""
-    return match_benchmark(docs, benchmark, text_col).where(F.size("hit_spans") == 0).select(docs.columns)
+    """The documents without a verbatim match of a window or more."""
+    aside = {c: f"own_{c}_" for c in docs.columns if c in T.StructType.fromDDL(OUTPUTS).names}
+    found = match_benchmark(docs.withColumnsRenamed(aside), benchmark, aside.get(text_col, text_col)).where("longest_match = 0")
+    return found.select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,5 +368,6 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("hit_items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "hit_items"), 256).alias("items_sha256"),
         (n_hit() > 0).alias("contaminated"),
-        F.coalesce(F.array_max(F.transform("hit_spans", lambda s: s["end"] - s["start"])), F.lit(0)).alias("longest_run"),
+        "longest_match",
+        "longest_at",
     )

@@ -58,6 +58,24 @@ def hits(docs, items, size=10):
     return out
 
 
+def longest(docs, items, size=10):
+    """Per document: words and first word of its longest match, of a window or of a whole shorter item at least."""
+    out = []
+    for t in docs:
+        w, best = words(t), (0, 0)
+        for item in {tuple(words(x)) for _, x in items} - {()}:
+            least = min(size, len(item))
+            for p in range(len(w)):
+                for q in range(len(item)):
+                    n = 0
+                    while p + n < len(w) and q + n < len(item) and w[p + n] == item[q + n]:
+                        n += 1
+                    if n >= least:
+                        best = max(best, (n, -p))
+        out.append((best[0], -best[1] if best[0] else None))
+    return out
+
+
 def shingles(text, n=5):
     w = words(text)
     k = min(n, len(w))

@@ -1,4 +1,9 @@
-"""Personal data: expressions propose spans, checksums confirm them, context words adjust their score.
+"""Personal data and secrets: expressions propose spans, checksums confirm them, context words adjust their score.
+
+Card numbers are confirmed by Luhn's rule, bank accounts by mod-97, addresses by their ranges, national
+numbers by the ranges that are given out, and values of passwords and tokens by their mix of characters
+(letters and digits, no word). Kinds of the same start are listed in the order of ``KINDS``; spans of
+different kinds may overlap.
 
 Null and empty texts have no spans; rows are independent, so repeated rows get equal spans, an
 empty table gives an empty table, and all other columns pass through (a column named like the
@@ -7,7 +12,10 @@ output is replaced). Every expression is linear in the text, whatever its length
 
 from __future__ import annotations
 
+import ipaddress
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,11 +26,11 @@ from .common import table, texts
 
 SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
 #: Kinds in the order that breaks ties of the start; the first four are the base ones.
-KINDS = ("email", "ip", "card", "phone", "iban", "phone_local")
+KINDS = ("email", "ip", "card", "phone", "iban", "phone_local", "ipv6", "national_id", "access_key", "secret")
 BASE = KINDS[:4]
 
 # Score of a confirmed span without context, and the words that raise it.
-PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.8, "phone_local": 0.3}
+PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.8, "phone_local": 0.3, "ipv6": 0.6, "national_id": 0.3, "access_key": 0.8, "secret": 0.6}
 CONTEXT = {
     "email": "email e-mail mail contact write address courriel correo adresse",
     "ip": "ip address host server login adresse servidor",
@@ -30,6 +38,10 @@ CONTEXT = {
     "phone": "phone tel call mobile fax telephone telefon téléphone teléfono",
     "iban": "iban bank account konto compte cuenta transfer swift bic",
     "phone_local": "phone tel call mobile fax telephone telefon téléphone teléfono",
+    "ipv6": "ip address host server login adresse servidor",
+    "national_id": "ssn social security taxpayer",
+    "access_key": "aws key access credential",
+    "secret": "login user username account credential auth bearer",
 }
 CONTEXT_BONUS, CONTEXT_REACH, LEAST = 0.3, 40, 0.5
 
@@ -41,6 +53,11 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 PHONE_LOCAL = re.compile(r"(?<![0-9+])\(?[2-9][0-9]{2}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
+IPV6 = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}|:)(?::[0-9A-Fa-f]{0,4}){2,7}(?![0-9A-Za-z:.])")
+NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+ACCESS_KEY = re.compile(r"(?<![A-Za-z0-9])A(?:KIA|SIA)[A-Z0-9]{16}(?![A-Za-z0-9])")
+SECRET = re.compile(r"(?i:(?<![a-z0-9])(?:password|passwd|pwd|token|secret|api[_-]?key|private[_-]?key))[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([A-Za-z0-9+/_.-]{8,}+)")
+LEAST_BITS = 2.5
 WORDS = {k: re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, v.split())) + r")(?!\w)", re.IGNORECASE) for k, v in CONTEXT.items()}
 DIGIT, NOT_DIGIT = re.compile("[0-9]"), re.compile("[^0-9]")
 
@@ -102,6 +119,35 @@ def _local_phones(text: str) -> Iterator[tuple[int, int]]:
         yield m.span()
 
 
+def _ipv6s(text: str) -> Iterator[tuple[int, int]]:
+    for m in IPV6.finditer(text):
+        try:
+            if ipaddress.IPv6Address(m[0]).packed.strip(b"\0"):
+                yield m.span()
+        except ValueError:
+            pass
+
+
+def _national_ids(text: str) -> Iterator[tuple[int, int]]:
+    for m in NATIONAL.finditer(text):
+        area, group, serial = m[0].split("-")
+        if area not in ("000", "666") and area[0] != "9" and group != "00" and serial != "0000":
+            yield m.span()
+
+
+def random_looking(value: str) -> bool:
+    """Letters and digits, and ``LEAST_BITS`` of entropy a character or more."""
+    n = len(value)
+    bits = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
+    return bits >= LEAST_BITS and any(map(str.isdigit, value)) and any(map(str.isalpha, value))
+
+
+def _secrets(text: str) -> Iterator[tuple[int, int]]:
+    for m in SECRET.finditer(text):
+        if random_looking(m[1]):
+            yield m.span(1)
+
+
 def find_spans(text: str | None) -> list[dict]:
     """All spans of a text, by start, then kind as listed; base spans always stay, others need a score of ``LEAST``."""
     if not text:
@@ -115,6 +161,10 @@ def find_spans(text: str | None) -> list[dict]:
         found += [(a, b, 4) for a, b in _ibans(text)]
         taken = {i for a, b in phones for i in (a, b)}
         found += [(a, b, 5) for a, b in _local_phones(text) if b not in taken]
+        found += [(a, b, 6) for a, b in _ipv6s(text)] if "::" in text or text.count(":") >= 7 else []
+        found += [(a, b, 7) for a, b in _national_ids(text)]
+        found += [(m.start(), m.end(), 8) for m in ACCESS_KEY.finditer(text)]
+        found += [(a, b, 9) for a, b in _secrets(text)]
     out = []
     for a, b, k in sorted(found, key=lambda x: (x[0], x[2])):
         kind = KINDS[k]
@@ -165,5 +215,6 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *map(count, BASE),
         F.sha2(_joined(F.filter("pii", lambda x: x["kind"].isin(*BASE))), 256).alias("base_sha256"),
         _joined(F.col("pii")).alias("spans"),
+        F.size("pii").cast("long").alias("n_spans"),
         F.concat_ws(",", F.transform("pii", lambda x: F.format_string("%.2f", x["score"]))).alias("scores"),
     )

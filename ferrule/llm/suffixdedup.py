@@ -37,7 +37,7 @@ from .wordhash import BYTE, mix
 
 LENGTH, GRAM = 100, 32
 HOT = 20_000
-#: Bytes sorted at once: names of two thirds of them fit into 21 bits.
+#: Bytes that a task sorts at once.
 BLOCK = 2_500_000
 FACTOR = 0x9FB21C651E98DF25
 INVERSE = pow(FACTOR, -1, 1 << 64)
@@ -124,13 +124,24 @@ def spans_of(data: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np
     return text, own.view(np.int64), hashes.of(start, start + n + LENGTH - 1).view(np.int64), start - first[text], n, twice
 
 
+def _packed(*columns: np.ndarray) -> np.ndarray:
+    """One number per row in the order of the columns (none negative): shifted together where that fits, renamed first where not."""
+    key = columns[0]
+    for c in columns[1:]:
+        bits = int(c.max(initial=0)).bit_length()
+        if int(key.max(initial=0)).bit_length() + bits > 63:
+            key = np.unique(key, return_inverse=True)[1]
+        key = (key << bits) | c
+    return key
+
+
 def suffix_ranks(s: np.ndarray, reach: int) -> np.ndarray:
-    """Ranks of all suffixes of s (symbols 1 to 2^21 - 1), in an order by ``reach`` symbols at least, by difference cover."""
+    """Ranks of all suffixes of s (symbols from 1 on), in an order by ``reach`` symbols at least, by difference cover."""
     n = len(s)
     t = np.concatenate([s.astype(np.int64), np.zeros(3, np.int64)])
     one, two = np.arange(1, n, 3), np.arange(2, n, 3)
     sample = np.concatenate([one, two])
-    triple = (t[sample] << 42) | (t[sample + 1] << 21) | t[sample + 2]
+    triple = _packed(t[sample], t[sample + 1], t[sample + 2])
     order = np.argsort(triple)
     sorted_ = triple[order]
     fresh = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])[: len(sorted_)]
@@ -144,14 +155,15 @@ def suffix_ranks(s: np.ndarray, reach: int) -> np.ndarray:
     rank = np.zeros(n + 3, np.int64)
     rank[sample] = names
     rest = np.arange(0, n, 3)
-    key = (t[rest] << 40) | rank[rest + 1]
-    rest_order = np.argsort(key)
-    rest, key = rest[rest_order], key[rest_order]
-    # merge: of a suffix at 0 mod 3, count those at 1 mod 3 and at 2 mod 3 before it, and the other way round
     is_one = order < len(one)
     ones, twos = sample[order[is_one]], sample[order[~is_one]]
-    key_one = (t[ones] << 40) | rank[ones + 1]
-    key_two, rest_two = _joined((t[twos] << 21) | t[twos + 1], rank[twos + 2], (t[rest] << 21) | t[rest + 1], rank[rest + 2])
+    # merge: of a suffix at 0 mod 3, count those at 1 mod 3 and at 2 mod 3 before it, and the other way round
+    both = np.concatenate([rest, ones])
+    key, key_one = np.split(_packed(t[both], rank[both + 1]), [len(rest)])
+    rest_order = np.argsort(key)
+    rest, key = rest[rest_order], key[rest_order]
+    both = np.concatenate([rest, twos])
+    rest_two, key_two = np.split(_packed(t[both], t[both + 1], rank[both + 2]), [len(rest)])
     low = np.arange(len(rest)) + np.searchsorted(key_one, key, side="left") + np.searchsorted(key_two, rest_two, side="left")
     out = np.empty(n, np.int64)
     out[rest] = low
@@ -163,13 +175,6 @@ def suffix_ranks(s: np.ndarray, reach: int) -> np.ndarray:
     return out
 
 
-def _joined(a: np.ndarray, a_rank: np.ndarray, b: np.ndarray, b_rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(pair, rank) of two sorted lists as single numbers in one order."""
-    pairs, index = np.unique(np.concatenate([a, b]), return_inverse=True)
-    joined = (index << 24) | np.concatenate([a_rank, b_rank])
-    return joined[: len(a)], joined[len(a) :]
-
-
 def repeated_strings(parts: list[bytes], docs: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     """Of the strings in parts of documents (doc, start of the part): those that also are in the block at an earlier place."""
     data = np.frombuffer(b"".join(parts), np.uint8)

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import current
+from ..sources.shared import shared_dir
 from ..streaming import ingest as streaming
 from .registry import query
 
 
 def shared(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ferrule-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _ddl(df: DataFrame) -> str:

@@ -14,8 +14,10 @@ The posterior of a language is the product of
 Votes are the languages that texts alone suggest; texts under ``LEAST_TRIGRAMS`` have none.
 
 Documents have a source for a host and declare nothing. Null or empty texts, markup and addresses
-add no evidence; a row without any gets the prior. Repeated rows vote each. Without training labels
-the only language is 'und'. Empty tables give empty tables; extra columns are left behind.
+add no evidence; a row without any gets the prior. Repeated rows vote each; of equally likely languages
+the alphabetically first is taken. Texts of any length are read whole, a slice of rows at a time, and
+markup is cut in linear time. Without training labels the only language is 'und'. Empty tables give empty
+tables. Id columns may have any name and pass through (those named like the outputs are replaced).
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ BUCKETS = 1 << 14
 STRENGTH, LEAST_TRIGRAMS, BACKING, SMOOTHING = 40.0, 10, 10.0, 0.5
 #: Rows times languages whose posteriors are computed at once.
 CELLS = 1_000_000
+OUTPUTS = ("lang", "probability", "text_lang", "declared")
 
 ASCII_LOWER = np.arange(256, dtype=np.int64)
 ASCII_LOWER[0x41:0x5B] += 0x20
@@ -95,9 +98,14 @@ def train(labelled: DataFrame) -> Trigrams:
     return Trigrams(languages, np.log(counts / counts.sum(axis=1, keepdims=True)))
 
 
+def _without(html: Column, opening: str, closing: str) -> Column:
+    """Without what stands between an opening and the next closing mark, or the end; each part is read once."""
+    return F.array_join(F.transform(F.split(html, closing), lambda part: F.regexp_replace(part, f"(?is){opening}.*", " ")), " ")
+
+
 def page_text(html: Column) -> Column:
-    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
-    return F.regexp_replace(F.regexp_replace(bare, r"<[^>]*>", " "), r"&[A-Za-z]{2,8};|&#[0-9xA-Fa-f]{1,7};", " ")
+    bare = _without(_without(html, "<!--", "-->"), r"<(?:script|style)\b", r"(?i)</(?:script|style)\s*+>")
+    return F.regexp_replace(F.regexp_replace(bare, r"<[^<>]*+>", " "), r"&[A-Za-z]{2,8};|&#[0-9xA-Fa-f]{1,7};", " ")
 
 
 def declared_language(html: Column) -> Column:
@@ -113,10 +121,11 @@ def host_of(url: Column) -> Column:
 
 def identify(rows: DataFrame, model: Trigrams) -> DataFrame:
     """rows (any id columns; text, markup, host) with lang, probability, text_lang; ids first. host null: no host."""
-    ids = [c for c in rows.columns if c not in ("text", "markup", "host")]
+    named = [c for c in rows.columns if c not in ("text", "markup", "host", *OUTPUTS)]
+    ids = [f"id{i}_" for i in range(len(named))]
     n_lang = len(model.languages)
     spread = rows.select(
-        *ids,
+        *(F.col(f"`{c}`").alias(i) for c, i in zip(named, ids, strict=True)),
         "text",
         "markup",
         "host",
@@ -147,7 +156,7 @@ def identify(rows: DataFrame, model: Trigrams) -> DataFrame:
     for r in voted.groupBy("vote").agg(F.count("*").alias("n")).collect():
         total[r.vote] = r.n
     share = (total + SMOOTHING) / (total.sum() + SMOOTHING * n_lang)
-    kinds = {k: max(1, seen.select(k).distinct().count()) for k in ("markup", "suffix")}
+    kinds = seen.agg(*(F.count_distinct(k).alias(k) for k in ("markup", "suffix"))).head().asDict()
     out = seen
     for key in ("markup", "suffix", "domain", "host"):
         other = counted(key)
@@ -184,7 +193,7 @@ def identify(rows: DataFrame, model: Trigrams) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ids), *made], names=[*ids, "lang", "probability", "text_lang", "declared"])
 
     result = StructType([*(seen.schema[c] for c in ids), StructField("lang", StringType()), StructField("probability", DoubleType()), StructField("text_lang", StringType()), StructField("declared", StringType())])
-    return out.mapInArrow(fuse, result)
+    return out.mapInArrow(fuse, result).toDF(*named, *OUTPUTS)
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,10 +97,17 @@ def classes(docs, least=0.8):
             i = parent[i]
         return i
 
-    for i in range(len(docs)):
-        for j in range(i):
-            if docs[i][1] == docs[j][1] or probability_jaccard(docs[i][1], docs[j][1]) >= least:
-                parent[max(root(i), root(j))] = min(root(i), root(j))
+    having, equal, pairs = defaultdict(list), {}, set()
+    for i, (_, t) in enumerate(docs):
+        if (first := equal.setdefault(t, i)) != i:
+            parent[i] = first
+            continue
+        for s in shingles(t):
+            pairs.update((i, j) for j in having[s])
+            having[s].append(i)
+    for i, j in sorted(pairs):  # pairs without a common shingle have a similarity of 0
+        if probability_jaccard(docs[i][1], docs[j][1]) >= least:
+            parent[max(root(i), root(j))] = min(root(i), root(j))
     members = defaultdict(list)
     for i, d in enumerate(docs):
         members[root(i)].append(d[0])

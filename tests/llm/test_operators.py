@@ -228,7 +228,9 @@ def test_lines(spark):
     got = by_id(linededup.drop_boilerplate(df, ratio=0.5, least_pages=5))
     assert [got[i].text for i in range(10)] == [f"own {i}\n" for i in range(10)]
     assert (got[0].n_lines, got[0].n_dropped, got[0].host) == (5, 3, "c")
-    assert (got[10].text, got[10].n_dropped) == ("frame", 0) and got[11].text is None and got[12].text == "frame\nx" and got[13].text == "frame\ny"
+    assert (got[10].text, got[10].n_dropped) == ("", 1) and got[11].text is None and got[12].text == "frame\nx" and got[13].text == "frame\ny"
+    kept = by_id(linededup.drop_boilerplate(df, ratio=0.5, least_pages=5, keep_copies=True))
+    assert (kept[10].text, kept[10].n_dropped) == ("frame", 0) and kept[0].text == got[0].text
     assert linededup.drop_boilerplate(df.limit(0)).count() == 0
 
 
@@ -271,6 +273,28 @@ def test_quality_marginals():
     assert np.allclose(both, pair_all) and np.isclose(log_z, z_all)
 
 
+def test_quality_scores():
+    """Scores of whole texts against the sum over all labellings of their lines."""
+    import itertools
+
+    rng = np.random.default_rng(3)
+    field = quality.Field(rng.normal(size=3 * quality.N_FEATURES + 1), rng.normal(size=(2, 2)), (10.0, 0.4))
+    for text in (None, "", "One line.", "a | b | c!!\n\n  \nTwo two two.\n12 345", "É È\n" * 4 + "end"):
+        lines = [x for x in (text or "").split("\n") if x.strip()] or [""]
+        own = [list(quality.line_features(x)) for x in lines]
+        none = [0.0] * quality.N_FEATURES
+        x = [a + b + c + [1.0] for a, b, c in zip(own, [none, *own], [*own[1:], none], strict=False)]
+        total, good = 0.0, [0.0] * len(x)
+        for y in itertools.product((0, 1), repeat=len(x)):
+            p = np.exp(sum(float(np.dot(v, field.weights)) for v, k in zip(x, y, strict=True) if k) + sum(field.pairs[i, j] for i, j in zip(y, y[1:], strict=False)))
+            total += p
+            good = [g + p * k for g, k in zip(good, y, strict=True)]
+        size = [max(len(v), 1) for v in lines]
+        mean = sum(g / total * n for g, n in zip(good, size, strict=True)) / sum(size)
+        features, weights = quality.document_features(text)
+        assert field.score(features, weights, np.array([0, len(weights)]))[0] == pytest.approx(1 / (1 + np.exp(-10 * (mean - 0.4))))
+
+
 def test_quality_held_out(spark, small):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
     held = [(r.predicted, labels[r.doc_id]) for r in quality.op7_quality(spark, small).collect() if r.held_out and r.doc_id in labels]
@@ -321,6 +345,8 @@ def test_decontamination_in_blocks(docs, spark, monkeypatch):
     want = decontaminate.match_benchmark(docs, bench).orderBy("doc_id").collect()
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 300)
     assert decontaminate.match_benchmark(docs, bench).orderBy("doc_id").collect() == want
+    monkeypatch.setattr(decontaminate, "BLOCKS", 2)
+    assert decontaminate.match_benchmark(docs, bench).orderBy("doc_id").collect() == want
 
 
 def test_suffix_array_of_few_words_and_a_large_vocabulary():
@@ -396,6 +422,14 @@ def test_sketches_of_short_texts(spark):
     assert np.std(agreed) == pytest.approx((neardup.SKETCH * p * (1 - p)) ** 0.5, rel=0.15)
 
 
+def test_near_duplicates_recall(spark, small):
+    """All pairs of a table that share a shingle, compared one by one: no class is missed or joined wrongly."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    got = {r.doc_id: r.class_id for r in neardup.op9_near_dedup(spark, small).collect()}
+    want = brute.classes(rows)
+    assert got == want and len(set(want.values())) < len(rows)
+
+
 def test_one_of_each(docs, spark):
     rows = spark.createDataFrame([(1, BASE, 5), (1, BASE, 5), (2, edited(BASE, 1), 6), (None, "other", 7), (None, None, 8), (9, "", 9)], "doc_id long, text string, extra int")
     assert sorted((r.doc_id or 0, r.text) for r in neardup.one_of_each(rows).collect()) == [(0, "other"), (1, BASE), (9, "")]
@@ -488,6 +522,57 @@ def test_language(spark):
     assert language.train(spark.createDataFrame([], "text string, lang string")).languages == ["und"]
 
 
+def test_language_posterior(spark):
+    """Languages and probabilities by plain sums over all rows; id columns may have any names."""
+    import math
+    from collections import Counter
+
+    taught = [("the cat and the dog " * 9, "en"), ("le chat et la souris " * 9, "fr"), ("der hund und die katze " * 9, "de")]
+    model = language.train(spark.createDataFrame(taught, "text string, lang string"))
+    says = {"en": "the cat ran and the dog", "fr": "le chat et la souris", "de": "die katze und der hund", "": ""}
+    rng = random.Random(6)
+    rows = [(i, f"x{i}", i, says[rng.choice(list(says))], rng.choice([None, "fr", "de", "xx"]), rng.choice([None, "a.b.fr", "c.b.fr", "plain", "d.de", "b.fr"])) for i in range(60)] + [(60, "y", 0, None, None, None), (61, "y", 0, says["fr"], "fr", "a.b.fr")] * 2
+    fit, vote = {}, {}
+    for i, (*_, t, _, _) in enumerate(rows):
+        buckets, _ = language.trigrams([t])
+        fit[i] = [sum(p[buckets]) / len(buckets) * min(len(buckets), language.STRENGTH) if len(buckets) else 0.0 for p in model.log_p]
+        vote[i] = max(range(3), key=lambda k, i=i: fit[i][k]) if len(buckets) >= language.LEAST_TRIGRAMS else None
+    domain = lambda h: ".".join(h.split(".")[-2:]) if h else None
+    keys = {"markup": [r[4] for r in rows], "host": [r[5] for r in rows], "domain": [domain(r[5]) for r in rows], "suffix": [r[5].split(".")[-1] if r[5] and "." in r[5] else None for r in rows]}
+    counts = {k: Counter((v, vote[i]) for i, v in enumerate(values) if vote[i] is not None) for k, values in keys.items()}
+    totals = Counter(v for v in vote.values() if v is not None)
+    want = []
+    for i, r in enumerate(rows):
+        value = []
+        for k in range(3):
+            own = int(vote[i] == k)
+            prior = (totals[k] + language.SMOOTHING) / (sum(totals.values()) + 3 * language.SMOOTHING)
+            for name in ("domain", "host"):
+                if (v := keys[name][i]) is not None:
+                    n = sum(counts[name][v, j] for j in range(3)) - (vote[i] is not None)
+                    prior = (counts[name][v, k] - own + language.BACKING * prior) / (n + language.BACKING)
+            x = fit[i][k] + math.log(prior)
+            for name in ("markup", "suffix"):
+                if (v := keys[name][i]) is not None:
+                    kinds = len({y for y in keys[name] if y is not None})
+                    x += math.log((counts[name][v, k] - own + language.SMOOTHING) / (totals[k] - own + language.SMOOTHING * kinds))
+            value.append(x)
+        best = max(range(3), key=value.__getitem__)
+        want.append((r[1], model.languages[best], round(1 / sum(math.exp(x - value[best]) for x in value), 6), None if vote[i] is None else model.languages[vote[i]], r[4]))
+    df = spark.createDataFrame(rows, "vote long, domain string, host_votes long, text string, markup string, host string")
+    got = [(r.domain, r.lang, round(r.probability, 6), r.text_lang, r.declared) for r in language.identify(df, model).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_page_text_is_linear(spark):
+    import time
+
+    began = time.time()
+    pages = [("<" * 300_000,), ("<script>" * 50_000,), ("<!--" * 80_000,), ("</script>" * 50_000 + "<style" * 50_000,)]
+    spark.createDataFrame(pages, "html string").select(F.length(language.page_text(F.col("html")))).collect()
+    assert time.time() - began < 20
+
+
 def test_language_of_documents_and_pages(spark, small):
     langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     got = language.op4_language(spark, small).collect()

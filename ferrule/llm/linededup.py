@@ -3,7 +3,8 @@
 Pages are counted per host and line (a line repeated in a page counts once), divided by the host's
 pages, and lines over ``ratio`` on ``least_pages`` pages or more are dropped from that host's
 pages. Lines are compared without surrounding spaces; blank lines are neither counted nor dropped.
-A page of nothing but such lines is a copy rather than a frame, and is kept whole.
+A page of nothing but such lines is left empty; with ``keep_copies`` it is taken for a copy rather than a
+frame, and kept whole. Of a text of any length only line hashes and flags are made, inside Spark's own functions.
 
 A null host is a host of its own; a null text has no lines and stays null. Repeated rows are pages
 of their own. An empty table gives an empty table. All other columns pass through (columns named
@@ -29,12 +30,11 @@ BROADCAST_LINES = 1_000_000
 KEPT_SQL = f"""
 SELECT d.* EXCLUDE (lines, host, bad),
        CASE WHEN d.text IS NULL THEN NULL
-            WHEN whole OR n_drop = 0 THEN d.text
+            WHEN n_drop = 0 THEN d.text
             ELSE array_to_string(list_filter(lines, lambda x: NOT list_contains(bad, trim(x))), chr(10)) END AS kept,
        coalesce(len(lines), 0) AS n_lines,
-       CASE WHEN whole THEN 0 ELSE n_drop END AS n_dropped
-FROM (SELECT *, len(list_filter(coalesce(lines, []), lambda x: list_contains(bad, trim(x)))) AS n_drop,
-             len(list_filter(coalesce(lines, []), lambda x: trim(x) <> '' AND NOT list_contains(bad, trim(x)))) = 0 AS whole
+       n_drop AS n_dropped
+FROM (SELECT *, len(list_filter(coalesce(lines, []), lambda x: list_contains(bad, trim(x)))) AS n_drop
       FROM (SELECT p.*, coalesce(b.bad, []) AS bad
             FROM (SELECT *, string_split(text, chr(10)) AS lines, coalesce(source, '') AS host FROM {{docs}}) p
             LEFT JOIN (
@@ -64,7 +64,7 @@ def boilerplate(pages: DataFrame, text_col: str, host_col: str, ratio: float, le
     return counts.join(totals, "host").where(F.col("n") > ratio * F.col("pages")).groupBy("host").agg(F.collect_set("line").alias("bad"))
 
 
-def drop_boilerplate(pages: DataFrame, text_col: str = "text", host_col: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, text_col: str = "text", host_col: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES, keep_copies: bool = False) -> DataFrame:
     """pages with ``text_col`` without boilerplate lines, and n_lines, n_dropped."""
     pages = pages.drop("n_lines", "n_dropped")
     bad = scratch(boilerplate(pages, text_col, host_col, ratio, least_pages), "boilerplate")
@@ -77,7 +77,7 @@ def drop_boilerplate(pages: DataFrame, text_col: str = "text", host_col: str = "
     is_bad = lambda x: F.array_contains(F.col(listed), F.xxhash64(F.trim(x)))
     touched = F.coalesce(F.size(listed), F.lit(0)) > 0
     flagged = F.when(touched, F.size(F.filter(_lines(text), lambda x: (F.trim(x) != "") & is_bad(x)))).otherwise(0)
-    whole = F.size(F.filter(_lines(text), lambda x: (F.trim(x) != "") & ~is_bad(x))) == 0
+    whole = F.size(F.filter(_lines(text), lambda x: (F.trim(x) != "") & ~is_bad(x))) == 0 if keep_copies else F.lit(False)
     cut = F.array_join(F.filter(_lines(text), lambda x: (F.trim(x) == "") | ~is_bad(x)), "\n")
     dropped = F.when((flagged > 0) & ~whole, flagged).otherwise(0)
     out = joined.withColumn("n_dropped", F.coalesce(dropped, F.lit(0)).cast("long")).withColumn("n_lines", F.coalesce(F.size(_lines(text)), F.lit(0)).cast("long"))

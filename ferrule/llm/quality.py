@@ -6,8 +6,9 @@ of being good, and the mean of these, weighted by the lines' lengths, a document
 a two-parameter logistic curve, fitted on the same sample, turns into the score.
 
 The field is fitted on at most ``SAMPLE`` labelled documents of each label, those with the lowest
-hash of doc_id (bound documented, a parameter); their lines take the document's label. Their
-features are computed by Spark; the fit sees numbers only. Scoring is a map over whole texts.
+hash of doc_id (bound documented, a parameter), and of each on at most ``SAMPLE_LINES`` lines that follow
+each other, from one that the hash chooses; lines take the document's label. Their features are computed
+by Spark; the fit sees numbers only. Scoring is a map over whole texts, all lines of any text.
 
 Null and empty texts are one empty line, with a score like any other. Repeated rows score alike;
 without labelled rows of both kinds every score is the share of label 1 (0.5 without labels).
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 
 from .common import slices, table, texts
 
-SAMPLE = 1500
+SAMPLE, SAMPLE_LINES = 1500, 1000
 STEPS, RATE, RIDGE = 150, 0.1, 1e-3
 SYMBOLS = re.compile(r"[^\w\s.,;:!?'\"()-]")
 N_FEATURES = 10
@@ -154,13 +155,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                x, w = document_features(text)
+            for label, start, text in zip(*(batch.column(c).to_pylist() for c in ("label", "start", "text")), strict=True):
+                lines = lines_of(text)
+                start = start % max(1, len(lines) - SAMPLE_LINES + 1)
+                x, w = document_features("\n".join(lines[start : start + SAMPLE_LINES]))
                 rows.append({"label": label, "n_lines": len(w), "features": x.tobytes(), "weights": w.tobytes()})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema({"label": pa.int32(), "n_lines": pa.int32(), "features": pa.binary(), "weights": pa.binary()}))
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("label", "text").mapInArrow(featured, FEATURES).collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("label", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("start"), "text").limit(2 * sample).mapInArrow(featured, FEATURES).collect()  # rows may repeat a doc_id
     y = np.array([r.label for r in rows])
     if len(set(y.tolist())) < 2:
         return Field(np.zeros(3 * N_FEATURES + 1), np.zeros((2, 2)), constant=float(y.mean()) if len(y) else 0.5)

@@ -15,9 +15,15 @@ all in one class is done. In the others, pairs of members of different classes m
 two bounds rule most of them out inside the join, before any pair is made. First, 1 - similarity is
 a metric, so members whose distances to the pivot differ too much aren't linked. Second, members
 of such buckets get a sketch of ``SKETCH`` more registers, two bits each; a pair whose sketches
-agree in fewer places than a link's do, less 4.5 standard deviations, isn't one (4 links at the
-threshold in a million are lost to this, fewer than to banding; the bits depend on element and
-register, so this holds for short texts too). The pairs that are left are verified. There is no cap.
+agree in fewer places than a link's do, less ``SPREAD`` standard deviations, isn't one (1 link at the
+threshold in a billion is lost to this, far fewer than the 5 in 100,000 that banding loses; the bits
+depend on element and register, so this holds for short texts too). The pairs that are left are
+verified. There is no cap; like any MinHash method, this one can miss links, with these odds.
+
+Hot keys: equal texts are merged by each task before they are shuffled. Joins by the key of a text, a
+pivot or a class keep all rows of a hot one in one partition, which adaptive execution splits where it is
+larger than ``spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes``: none of these joins is
+followed by an operator that would forbid it. A text's shingles must fit into a task's memory.
 
 A null text equals an empty one; texts without words are one class only if equal. A null doc_id
 keeps its row and class. Repeated rows and equal doc_ids keep their rows. An empty table gives an
@@ -40,7 +46,7 @@ WORDS, LEAST = 5, 0.8
 #: 25 bands of 5: a link at 0.8 shares a bucket with probability 0.99995, one at 0.85 with 0.9999995.
 BANDS, ROWS = 25, 5
 #: Registers of the sketch that open bucket mates are compared by; 32 of two bits make a long.
-SKETCH = 1024
+SKETCH, SPREAD = 1024, 6.0
 
 
 def shingles(hashes: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -257,7 +263,7 @@ def agreeing(a: str, b: str) -> Column:
 
 def least_agreement(least: float) -> int:
     p = least + (1 - least) / 4
-    return int(SKETCH * p - 4.5 * (SKETCH * p * (1 - p)) ** 0.5)
+    return int(SKETCH * p - SPREAD * (SKETCH * p * (1 - p)) ** 0.5)
 
 
 def open_pairs(members: DataFrame, sims: DataFrame, roots: DataFrame, held: DataFrame, least: float) -> DataFrame:

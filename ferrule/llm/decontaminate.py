@@ -12,7 +12,8 @@ Equal items are one item with several ids, and ids are joined in at the end, so
 items nor windows that many items share multiply the occurrences. Suffixes that begin with a word no
 benchmark item has cannot match and are left out of the array. Words are compared by 64-bit hashes.
 Documents are never moved: the benchmark goes to them, in blocks of at most ``BLOCK_CHARS``
-characters on average, each a broadcast, and a slice meets all blocks in one pass.
+characters on average, each a broadcast; a slice meets ``BLOCKS`` blocks in one pass, and a larger
+benchmark takes more passes, each of whose results are written, so that no more than these are held.
 ``longest_matches`` gives the same from the benchmark's side: every item's longest match over all documents.
 
 A null text has no words; such documents, and empty ones, are clean. An item without words has no
@@ -25,6 +26,7 @@ task's memory some ten times over. Empty tables are fine on either side. Extra c
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +34,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, table, texts
+from .common import drop, scratch, slices, table, texts
 from .wordhash import word_hashes
 
 WINDOW = 10
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS, BLOCKS = 2_000_000, 8
 #: Words of suffixes laid side by side in one search.
 SEARCH_WORDS = 4_000_000
 SHARD_BYTES = 6_000_000
@@ -280,22 +282,37 @@ def blocks(benchmark: DataFrame, window: int = WINDOW) -> Iterator[Suffixes]:
 def match_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with n_words, hit_spans (runs of hit words, end exclusive), hit_items (sorted ids of matching items),
     longest_match (words of the longest verbatim match, 0 without one) and longest_at (its first word)."""
+    added = T.StructType.fromDDL(OUTPUTS)
+    out = docs.drop(*added.names).withColumns({f.name: F.lit(None).cast(f.dataType) for f in added})
+    before, held = out, None
+    for some in batched(blocks(benchmark, window), BLOCKS):
+        if held is not None:  # the passes before are written, so their blocks and tables can go
+            out = scratch(out, "matches")
+            held.destroy()
+            drop(before)
+            before = out
+        held = docs.sparkSession.sparkContext.broadcast(some)
+        out = out.mapInArrow(_matcher(held, text_col, out.schema), out.schema)
+    return out
+
+
+def _matcher(tests, text_col: str, schema: T.StructType):
+    """A map over documents that adds the matches of some blocks to those found before."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    kept = docs.drop(*T.StructType.fromDDL(OUTPUTS).names)
-    schema = T.StructType([*kept.schema.fields, *T.StructType.fromDDL(OUTPUTS).fields])
     arrow = to_arrow_schema(schema)
-    tests = [docs.sparkSession.sparkContext.broadcast(block) for block in blocks(benchmark, window)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col, SHARD_BYTES):
                 hashes, offsets = word_hashes(part.column(text_col).to_pylist())
-                n = len(offsets) - 1
-                spans, items, longest = [[] for _ in range(n)], [set() for _ in range(n)], [(0, 0)] * n
-                for block in (t.value for t in tests if len(t.value.windows)):
+                old = part.select(["hit_spans", "hit_items", "longest_match", "longest_at"]).to_pylist()
+                spans = [[(s["start"], s["end"]) for s in r["hit_spans"] or []] for r in old]
+                items = [set(r["hit_items"] or []) for r in old]
+                longest = [(r["longest_match"] or 0, -(r["longest_at"] or 0)) for r in old]
+                for block in (b for b in tests.value if len(b.windows)):
                     shard = Shard(hashes, offsets, block.vocabulary, int(block.sizes.max(initial=0)))
-                    for i, (more, ids, best) in enumerate(zip(*_matches(shard, block, n), strict=True)):
+                    for i, (more, ids, best) in enumerate(zip(*_matches(shard, block, len(old)), strict=True)):
                         spans[i] += more
                         items[i] |= ids
                         longest[i] = max(longest[i], best)
@@ -308,7 +325,7 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
                 }
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if f.name in made else part.column(f.name) for f in arrow], schema=arrow)
 
-    return kept.mapInArrow(run, schema)
+    return run
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next one's docs. All but the last return the columns of documents.
+
+Every stage takes nulls in any column, empty texts, texts of any length that a task can hold, repeated rows and
+ids, further columns (whatever their names, they pass through to the last stage, which leaves them behind) and
+empty tables; what becomes of each is said at the stage. An empty labels table leaves every score at 0.5, so all
+documents stay; an empty benchmark leaves all clean.
 """
 
 from __future__ import annotations
@@ -18,28 +23,40 @@ from ferrule.llm.quality import held_out, score_quality, train
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go: a score under 0.5.
+
+    Null and empty texts are scored as one empty line; equal texts score alike; ids have no part in it but for
+    the held-out rule (a null id isn't held out), and labels of null ids aren't learnt from.
+    """
     field = train(docs.where(~held_out()), table(spark, sf_dir, "labels").where(~held_out()))
     return score_quality(docs, field, out="score_").where("score_ >= 0.5").select(docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source go; every document stays, and n_chars follows its text."""
-    return drop_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Boilerplate lines of a source go; every document stays, and n_chars follows its text.
+
+    A document of nothing but such lines is a copy, which the next stage is for: it stays as it is here, so that
+    different groups of copies don't become one group of empty texts. A null source is a source of its own;
+    a null text stays null, and so does its n_chars. Repeated rows count as documents of their own.
+    """
+    return drop_boilerplate(docs, keep_copies=True).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays: the one with the least doc_id (null ids last).
+
+    Null and empty texts are equal, so one of all these stays; of rows equal in doc_id and text one stays.
+    """
     return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark window go."""
+    """Documents with a verbatim match of ten benchmark words, or of a whole shorter item, go; null and empty texts stay."""
     return remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and whether they decode to its text."""
+    """Token ids of every document, and whether they decode to its text; a null text is an empty one, without ids."""
     encoded = encode_decode(docs.withColumn("text", F.coalesce("text", F.lit(""))), ids_out="ids", decoded_out="decoded_")
     return encoded.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded_") == F.col("text")).alias("exact"))
 

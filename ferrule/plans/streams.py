@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.files import current
 from ..sources.shared import shared_dir
 from ..streaming import ingest as streaming
 from .registry import query
@@ -30,21 +29,25 @@ def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 @query("SELECT doc_id, sha256(text) AS sha FROM documents")
 def stream_ingest_batch(spark, sf_dir):
-    """Documents arrive as files; each micro-batch publishes a new version of the store."""
+    """Documents arrive as files; each micro-batch adds a delta to the store."""
     root = shared(spark)
     source = f"{sf_dir}/documents.parquet"
     docs = spark.read.parquet(source).select("doc_id", "text")
     streaming.ingest_stream(spark, f"{sf_dir}/documents.parque[t]", _ddl(docs), f"{root}/store", f"{root}/check").awaitTermination()
-    return current(spark, f"{root}/store").select("doc_id", F.sha2("text", 256).alias("sha"))
+    return streaming.stored(spark, f"{root}/store", _ddl(docs)).select("doc_id", F.sha2("text", 256).alias("sha"))
 
 
-@query()
+CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
+BUCKET = "time_bucket(INTERVAL 5 MINUTE, CAST(ts AS TIMESTAMP))"
+
+
+@query(f"SELECT start, event_type, n, total FROM (SELECT {BUCKET} AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2) WHERE start + INTERVAL 5 MINUTE <= {CLOSED}")
 def stream_event_windows(spark, sf_dir):
     """Closed windows only: the watermark holds back those that late events may still join."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]")
     out = run_to_end(streaming.event_windows(stream.withColumn("ts", F.col("ts").cast("timestamp"))))
-    return out.select(F.col("window.start").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
 @query()

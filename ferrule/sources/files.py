@@ -66,29 +66,47 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return top.select(F.explode(F.coalesce("files", F.array())).alias("f")).select("f.*")
 
 
+def _folder(spark: SparkSession, path: str):
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    return jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf), jvm.org.apache.hadoop.fs.Path
+
+
+def published(spark: SparkSession, root: str) -> list[str]:
+    """Names of a table's version markers, in the order of their publication."""
+    if not _exists(spark, f"{root}/versions"):
+        return []
+    fs, path = _folder(spark, root)
+    return sorted(f.getPath().getName() for f in fs.listStatus(path(f"{root}/versions")))
+
+
 def publish(df: DataFrame, root: str) -> str:
-    """A new version of a table under root, made current by one rename; readers never see half of it. Old versions stay."""
+    """A new version of a table under root. It is current once its numbered marker, an empty file, is there.
+
+    Markers are only added, so a crash at any point leaves the version before current, and readers never
+    see half of one. Old versions stay.
+    """
     spark = df.sparkSession
     version = f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{root}/{version}")
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(root).getFileSystem(conf)
-    out = fs.create(path(f"{root}/CURRENT.tmp"), True)
-    out.write(version.encode())
-    out.close()
-    fs.delete(path(f"{root}/CURRENT"), False)
-    if not fs.rename(path(f"{root}/CURRENT.tmp"), path(f"{root}/CURRENT")):
-        raise OSError(f"can't publish {root}")
+    before = published(spark, root)
+    number = int(before[-1].split("-")[0]) + 1 if before else 0
+    fs, path = _folder(spark, root)
+    fs.create(path(f"{root}/versions/{number:012d}-{version}"), False).close()
     return version
 
 
 def current(spark: SparkSession, root: str, schema: str | None = None) -> DataFrame:
     """The current version of a table; with a schema, an empty one where none was published."""
-    if schema and not _exists(spark, f"{root}/CURRENT"):
+    if found := published(spark, root):
+        return spark.read.parquet(f"{root}/{found[-1].split('-', 1)[1]}")
+    if schema:
         return spark.createDataFrame([], schema)
-    version = spark.read.text(f"{root}/CURRENT").head()[0]
-    return spark.read.parquet(f"{root}/{version}")
+    raise FileNotFoundError(f"nothing was published under {root}")
+
+
+def write_metainfo(info: DataFrame, path: str) -> None:
+    """One JSON object per file, replacing what was there; Spark writes them, a part per task."""
+    info.write.mode("overwrite").json(path)
 
 
 def snapshot(spark: SparkSession, root: str, stamp: str) -> str:

@@ -10,22 +10,46 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
-from ..operators.ingest import chunk_rows, upsert
+from ..operators.ingest import chunk_rows
 from ..sources.files import current, publish
 
 
 def ingest_stream(spark: SparkSession, source: str, schema: str, store: str, checkpoint: str, key: str = "doc_id") -> StreamingQuery:
-    """Parquet files as they come: new and changed documents replace stored ones by key, once per batch.
+    """Parquet files as they come: each micro-batch is written once, as a delta named after it.
 
-    A version is published per batch; a batch that is run again after a failure gives the same rows.
+    A batch that is run again after a failure replaces its own delta, and one without Spark's mark of
+    success isn't read, so the store is right at any time. ``compact`` folds deltas into the base.
     """
     stream = spark.readStream.schema(schema).parquet(source)
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        stored = current(batch.sparkSession, store, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in batch.schema))
-        publish(upsert(stored, batch, key), store)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.dropDuplicates([key]).withColumn("batch_", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{store}/deltas/{batch_id:012d}")
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stored(spark: SparkSession, store: str, schema: str, key: str = "doc_id") -> DataFrame:
+    """The last row of each key over the base and the deltas after it."""
+    base = current(spark, store, f"{schema}, batch_ long")
+    folded = base.agg(F.coalesce(F.max("batch_"), F.lit(-1))).head()[0]
+    deltas = [d for d in _deltas(spark, store) if d > folded]
+    if not deltas:
+        return base.drop("batch_")
+    new = spark.read.schema(f"{schema}, batch_ long").parquet(*(f"{store}/deltas/{d:012d}" for d in deltas))
+    last = new.groupBy(key).agg(F.max("batch_").alias("batch_"))  # keys alone are compared, rows move once
+    return base.join(last, key, "left_anti").unionByName(new.join(last, [key, "batch_"])).drop("batch_")
+
+
+def compact(spark: SparkSession, store: str, schema: str, key: str = "doc_id") -> None:
+    """Publish a base that holds all deltas which are there; they stay until they are cleared away."""
+    if done := _deltas(spark, store):
+        publish(stored(spark, store, schema, key).withColumn("batch_", F.lit(done[-1]).cast("long")), store)
+
+
+def _deltas(spark: SparkSession, store: str) -> list[int]:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/deltas/*/_SUCCESS")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(int(f.getPath().getParent().getName()) for f in found or [])
 
 
 def chunk_stream(docs: DataFrame, keys: list[str]) -> DataFrame:

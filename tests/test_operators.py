@@ -160,3 +160,55 @@ def test_record_log(spark, tmp_path):
     with open(tmp_path / "log" / "part-x.txt", "w") as f:
         f.write(f"{files.START}\nnot json\n{files.END}\n")
     assert rows(files.read_records(spark, f"file://{tmp_path}/log"), "record_id", "input_text") == [("r1", "q\n1")]
+
+
+def test_publish_survives_a_crash(spark, tmp_path, monkeypatch):
+    """A crash after the rows and before the marker leaves the version before current; the next try loses nothing."""
+    from ferrule.sources import files
+
+    root = f"file://{tmp_path}/store"
+    assert files.current(spark, root, "x int").count() == 0
+    files.publish(spark.createDataFrame([(1,)], "x int"), root)
+    with monkeypatch.context() as m:
+        m.setattr(files, "published", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            files.publish(spark.createDataFrame([(2,)], "x int"), root)
+    assert [r.x for r in files.current(spark, root, "x int").collect()] == [1]
+    files.publish(spark.createDataFrame([(2,)], "x int"), root)
+    assert [r.x for r in files.current(spark, root).collect()] == [2] and len(files.published(spark, root)) == 2
+    with pytest.raises(FileNotFoundError):
+        files.current(spark, f"{root}-none")
+
+
+def test_stream_store(spark, tmp_path):
+    """The last row of a key counts, over deltas and a compacted base; a delta that wasn't finished isn't read."""
+    from ferrule.streaming import ingest as streaming
+
+    schema, source, store = "doc_id long, text string", f"file://{tmp_path}/in", f"file://{tmp_path}/store"
+
+    def arrive(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        streaming.ingest_stream(spark, source, schema, store, f"file://{tmp_path}/check").awaitTermination()
+        return sorted(tuple(r) for r in streaming.stored(spark, store, schema).collect())
+
+    assert arrive((1, "a"), (2, "b")) == [(1, "a"), (2, "b")]
+    assert arrive((2, "c"), (3, None)) == [(1, "a"), (2, "c"), (3, None)]
+    streaming.compact(spark, store, schema)
+    assert arrive((1, "d")) == [(1, "d"), (2, "c"), (3, None)]
+    spark.createDataFrame([(9, "half", 7)], f"{schema}, batch_ long").write.parquet(f"{store}/deltas/{7:012d}")
+    (tmp_path / "store/deltas" / f"{7:012d}" / "_SUCCESS").unlink()
+    assert sorted(tuple(r) for r in streaming.stored(spark, store, schema).collect()) == [(1, "d"), (2, "c"), (3, None)]
+
+
+def test_evidence_and_labels(spark):
+    from ferrule.operators import gate, prompt, render
+
+    rows = spark.createDataFrame([(2, "b", "# head\n---\nx"), (1, None, "one")], "pos int, source string, text string")
+    assert render.evidence_xml(rows, source=True).head().xml == (
+        '<evidence_chunks>\n  <chunk rank="1" chunk_id="1" source="">\n    <chunk_text>\n      one\n    </chunk_text>\n  </chunk>\n'
+        '  <chunk rank="2" chunk_id="2" source="b">\n    <chunk_text>\n      [H1] head\n      [RULE]\n      x\n    </chunk_text>\n  </chunk>\n</evidence_chunks>'
+    )
+    gated = spark.createDataFrame([(1, "useful"), (2, "borderline")], "id long, label string")
+    assert gate.empty_selection(gated).count() == 0 and gate.empty_selection(gated.where("id = 2")).head().reason == "a3_selected_zero_useful_chunks"
+    none = F.lit(None).cast("string")
+    assert spark.range(1).select(prompt.context_block(none, none, none, none, none, none, F.lit("raw"), F.lit("a5"))).head()[0] == ""

@@ -188,3 +188,22 @@ def utc_stamp(ts: Column) -> Column:
 
 def history_name(ts: Column, title: Column) -> Column:
     return F.concat(F.date_format(ts, "yyyy-MM-dd-HH-mm"), F.lit("-"), safe_title(title, "Memory"))
+
+
+def canonical_sha(**fields: Column) -> Column:
+    """SHA-256 of the fields as JSON with sorted names; null lists are empty ones, other nulls are written as null."""
+    return F.sha2(F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"}), 256)
+
+
+def auto_keywords(c: Column, n: int = 5) -> Column:
+    """The n words of three letters or more that a text has most often, ties in alphabetical order."""
+    listed = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?U)(\p{L}{3,})"), 1)
+    runs = F.aggregate(
+        F.array_sort(listed),
+        F.struct(F.lit("").alias("word"), F.lit(0).alias("n"), F.array().cast("array<struct<n:int,word:string>>").alias("out")),
+        lambda acc, w: F.when(acc["word"] == w, F.struct(w.alias("word"), (acc["n"] + 1).alias("n"), acc["out"].alias("out"))).otherwise(
+            F.struct(w.alias("word"), F.lit(1).alias("n"), F.when(acc["n"] > 0, F.concat(acc["out"], F.array(F.struct((-acc["n"]).alias("n"), acc["word"].alias("word"))))).otherwise(acc["out"]).alias("out"))
+        ),
+        lambda acc: F.when(acc["n"] > 0, F.concat(acc["out"], F.array(F.struct((-acc["n"]).alias("n"), acc["word"].alias("word"))))).otherwise(acc["out"]),
+    )
+    return F.slice(F.transform(F.array_sort(runs), lambda x: x["word"]), 1, n)

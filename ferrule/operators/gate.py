@@ -8,22 +8,21 @@ from pyspark.sql import functions as F
 from ..functions.text import blank, norm_phrase, strip
 
 # What each pair of materiality and relation leads to.
-DECISIONS = """
-STRONG NO_ACTIVEBRIEF false none                      true  normal_no_activebrief
-WEAK   NO_ACTIVEBRIEF false none                      true  normal_no_activebrief
-STRONG SAME_TOPIC     false full_activebrief          true  allowed
-WEAK   SAME_TOPIC     true  full_activebrief          true  allowed
-STRONG RELATED_DOMAIN false title_related_domain_note true  allowed_related_domain
-WEAK   RELATED_DOMAIN true  title_related_domain_note true  allowed_related_domain
-STRONG IRRELEVANT     false title_topic_shift_note    false disabled
-WEAK   IRRELEVANT     false none                      false disabled
-"""
+DECISIONS = (
+    ("STRONG", "NO_ACTIVEBRIEF", False, "none", True, "normal_no_activebrief"),
+    ("WEAK", "NO_ACTIVEBRIEF", False, "none", True, "normal_no_activebrief"),
+    ("STRONG", "SAME_TOPIC", False, "full_activebrief", True, "allowed"),
+    ("WEAK", "SAME_TOPIC", True, "full_activebrief", True, "allowed"),
+    ("STRONG", "RELATED_DOMAIN", False, "title_related_domain_note", True, "allowed_related_domain"),
+    ("WEAK", "RELATED_DOMAIN", True, "title_related_domain_note", True, "allowed_related_domain"),
+    ("STRONG", "IRRELEVANT", False, "title_topic_shift_note", False, "disabled"),
+    ("WEAK", "IRRELEVANT", False, "none", False, "disabled"),
+)
 ROUTES = ("init_no_previous_activebrief", "skip_no_qa_vectors", "activebrief_safe_pass", "activebrief_update", "pending_topic_shift", "skip_and_update_pending_topic")
 
 
 def decision_table(spark: SparkSession) -> DataFrame:
-    rows = [(m, r, brief == "true", mode, memory == "true", policy) for m, r, brief, mode, memory, policy in map(str.split, DECISIONS.strip().splitlines())]
-    return spark.createDataFrame(rows, "materiality string, relation string, brief_for_retrieval boolean, prompt_mode string, memory_allowed boolean, memory_policy string")
+    return spark.createDataFrame(DECISIONS, "materiality string, relation string, brief_for_retrieval boolean, prompt_mode string, memory_allowed boolean, memory_policy string")
 
 
 def decide(states: DataFrame) -> DataFrame:
@@ -90,6 +89,12 @@ def selected_order(chosen: DataFrame, prior: DataFrame) -> DataFrame:
     return placed.select("id", F.when(is_chosen, "SELECTED").otherwise("DISCARDED").alias("status"), F.when(is_chosen, F.col("n") - F.col("i") + 1).otherwise(0).cast("long").alias("score"))
 
 
+def empty_selection(gated: DataFrame, reason: str = "a3_selected_zero_useful_chunks") -> DataFrame:
+    """Where no candidate is useful: all of them discarded with score 0, and why; no rows where one is."""
+    useful_ones = gated.where("label = 'useful'").agg(F.count("*").alias("n_useful"))
+    return gated.crossJoin(F.broadcast(useful_ones)).where("n_useful = 0").select("id", F.lit("DISCARDED").alias("status"), F.lit(0).cast("long").alias("score"), F.lit(reason).alias("reason"))  # one row
+
+
 def route(has_brief: Column, n_vectors: Column, has_centre: Column, brief_mean: Column, pending_mean: Column, least: float = 0.25) -> Column:
     """Where a new record's brief goes; pending_mean is null without a pending topic."""
     init, none, safe, update, shift, skip = ROUTES

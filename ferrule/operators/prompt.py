@@ -54,3 +54,61 @@ def query_text(task: Column, purpose: Column, context: Column, materiality: Colu
 def prompt_blocks(fields: dict[str, Column]) -> Column:
     """Blocks of the fields that aren't blank, in the given order, each under its name."""
     return F.concat_ws("\n\n", *(F.when(~blank(c), F.concat(F.lit(f"## {k.upper()}\n"), strip(c))) for k, c in fields.items()))
+
+
+def _brief_parts(materiality: Column, relation: Column) -> tuple[Column, Column]:
+    """Whether a comparison shows the whole brief, or its title alone."""
+    strong, weak = materiality == "STRONG", materiality == "WEAK"
+    full = (strong & relation.isin("SAME_TOPIC", "RELATED_DOMAIN")) | (weak & relation.isin("SAME_TOPIC", "IRRELEVANT"))
+    title = (strong & (relation == "IRRELEVANT")) | (weak & (relation == "RELATED_DOMAIN"))
+    return F.coalesce(full, F.lit(False)), F.coalesce(title, F.lit(False))
+
+
+def comparison_prompt(task: Column, purpose: Column, context: Column, materiality: Column, relation: Column, brief: Column, title: Column) -> Column:
+    """The prompt that chunks are judged against, with the brief, its title or neither, by state."""
+    full, only_title = _brief_parts(materiality, relation)
+    part = lambda name, c: F.when(~blank(c), F.concat(F.lit(f"{name}:\n"), strip(c), F.lit("\n")))
+    parts = (part("TASK", task), part("PURPOSE", purpose), part("CONTEXT", context), F.when(full, part("PREVIOUS MEMORY SUMMARY", brief)), F.when(only_title, part("PREVIOUS MEMORY TITLE", title)))
+    return F.concat_ws("\n", F.lit("<user_prompt_under_evaluation>"), *parts, F.lit("</user_prompt_under_evaluation>"))
+
+
+# Headings of the supporting context and the notes under them.
+SUPPORT = ("## Supporting Context", "Priority: supporting only. Use this material only when it helps answer the current TASK.")
+SUMMARY = ("### Previous Conversation Summary", "Priority: background only. Use this for continuity, but do not treat it as the current task.")
+TOPIC = ("### Previous Conversation Topic", "Priority: weak background only. Use only for continuity or topic-shift awareness.")
+MEMORY = ("### Memory Context", "This is synthesized memory context. It is background support, not the current task.")
+EVIDENCE = ("### Retrieved Project Evidence Summary", "The following summary is retrieved from selected project files. It is supporting evidence for the current TASK, not the task itself.")
+RAW = ("### Raw Retrieved Evidence", "Raw evidence is lower priority than the current TASK and should only support the answer.")
+
+
+def context_block(materiality: Column, relation: Column, title: Column, brief: Column, memory: Column, summary: Column, raw: Column, stage: Column) -> Column:
+    """The supporting context, empty where there is none; raw evidence is hidden once it has been summarised (a4, a5)."""
+    full, only_title = _brief_parts(materiality, relation)
+    filled = lambda c: F.when(~blank(c), strip(c))
+    under = lambda head, *body: F.concat_ws("\n\n", F.lit("\n".join(head)), *body)
+    named = F.when(~blank(title), F.concat(F.lit("Title: "), strip(title)))
+    parts = (
+        F.when(full & (~blank(title) | ~blank(brief)), under(SUMMARY, named, filled(brief))),
+        F.when(only_title & ~blank(title), under(TOPIC, named)),
+        F.when(~blank(memory), under(MEMORY, filled(memory))),
+        F.when(~blank(summary), under(EVIDENCE, filled(summary))),
+        F.when(~blank(raw) & ~F.coalesce(stage, F.lit("")).isin("a4", "a5"), under(RAW, filled(raw))),
+    )
+    body = F.concat_ws("\n\n", *parts)
+    return F.when(body == "", "").otherwise(F.concat(F.lit("\n".join(SUPPORT) + "\n\n"), body))
+
+
+def topic_shift(pending: Column, now: Column, what: str) -> Column:
+    """Pending and current reduced text of one side (question or answer), each under its label."""
+    part = lambda name, c: F.when(~blank(c), F.concat(F.lit(f"[{name} {what}]\n"), strip(c)))
+    return F.concat_ws("\n\n", part("Pending skipped Q/A", pending), part("Current Q/A", now))
+
+
+def option_labels(chosen: DataFrame, labels: DataFrame, key: str = "prompt_id") -> DataFrame:
+    """key, field, text: labels of chosen option ids (key, field, pos, id), joined in order; an id without a label stands for itself."""
+    named = labels.select("field", F.col("id").alias("option_"), "label")
+    own = chosen.where(~blank(F.col("id"))).withColumn("option_", strip(F.col("id")))
+    found = own.join(F.broadcast(named), ["field", "option_"], "left")  # a catalog of options
+    text = F.coalesce(F.when(~blank(F.col("label")), strip(F.col("label"))), F.col("option_"))
+    listed = F.array_sort(F.collect_list(F.struct("pos", text.alias("text"))))
+    return found.groupBy(key, "field").agg(F.array_join(F.transform(listed, lambda x: x["text"]), ", ").alias("text"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import blank, escape_attr, format_score, mask_headings, strip
+from ..functions.text import blank, escape_attr, format_score, mask_headings, mask_structure, strip
 
 
 def ordered_lines(pos: str, line: Column, sep: str = "\n") -> Column:
@@ -45,3 +45,13 @@ def episodes_text(episodes: DataFrame, by: str = "file_id") -> DataFrame:
 def prompt_ready(system: Column, request: Column, context: Column, attachments: Column) -> Column:
     block = lambda name, c: F.when(~blank(c), F.concat(F.lit(f"# {name}\n"), strip(c)))
     return F.concat_ws("\n\n", block("System", system), block("Request", request), block("Context", context), block("Attachments", attachments))
+
+
+def evidence_xml(chunks: DataFrame, by: list[str] | None = None, source: bool = False) -> DataFrame:
+    """One text per request from its chunks (pos, text, and source if asked for): ids are places, not stored ids; structure in texts is masked."""
+    index = F.col("pos").cast("string")
+    ids = F.concat(F.lit('" chunk_id="'), index)
+    head = F.concat(F.lit('  <chunk rank="'), index, ids, F.lit('" source="'), F.coalesce("source", F.lit("")), F.lit('">')) if source else F.concat(F.lit('  <chunk index="'), index, ids, F.lit('" rank="'), index, F.lit('">'))
+    lines = F.array_join(F.transform(F.split(mask_structure(F.col("text")), "\n"), lambda x: F.concat(F.lit("      "), x)), "\n")
+    item = F.concat(head, F.lit("\n    <chunk_text>\n"), lines, F.lit("\n    </chunk_text>\n  </chunk>"))
+    return chunks.groupBy(*(by or [])).agg(F.concat(F.lit("<evidence_chunks>\n"), ordered_lines("pos", item), F.lit("\n</evidence_chunks>")).alias("xml"))

@@ -11,7 +11,7 @@ from ..functions import vectors as vec
 from ..operators import memory
 from .registry import query, table
 
-N_VECTORS = 500
+N_VECTORS = "(SELECT count(*) FROM embeddings)"
 
 
 def recs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,10 +21,11 @@ def recs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, vector_id, record_id, role, score: each record has a handle, a question and an answer vector."""
     roles = F.explode(F.array(*(F.struct(F.lit(r).alias("role"), F.lit(i).alias("i")) for i, r in enumerate(("record_handle", "question", "answer")))))
-    rows = recs(spark, sf_dir).select("record_id", ((F.col("file_id") * 7 + F.col("ordinal") * 3) % N_VECTORS).alias("base"), roles.alias("r"))
-    rows = rows.select("record_id", F.col("r.role").alias("role"), ((F.col("base") + F.col("r.i")) % N_VECTORS).alias("vec_id"))
+    n = F.broadcast(table(spark, sf_dir, "embeddings").agg(F.count("*").alias("n")))  # one row
+    rows = recs(spark, sf_dir).crossJoin(n).select("record_id", "n", (F.col("file_id") * 7 + F.col("ordinal") * 3).alias("base"), roles.alias("r"))
+    rows = rows.select("record_id", F.col("r.role").alias("role"), ((F.col("base") + F.col("r.i")) % F.col("n")).alias("vec_id"))
     one = F.broadcast(table(spark, sf_dir, "embeddings").where("vec_id = 0").select(F.col("embedding").alias("query")))
-    stored = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < N_VECTORS).crossJoin(one).select("vec_id", vec.squared_distance(F.col("embedding"), F.col("query")).alias("distance"))
+    stored = table(spark, sf_dir, "embeddings").crossJoin(one).select("vec_id", vec.squared_distance(F.col("embedding"), F.col("query")).alias("distance"))
     return rows.join(stored, "vec_id").select(F.lit(0).alias("query_id"), F.concat_ws("::", "record_id", "role").alias("vector_id"), "record_id", "role", vec.distance_score(F.col("distance")).alias("score"))
 
 
@@ -36,7 +37,7 @@ DISTANCE = f"(SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY ordinal
 HITS = f"""(SELECT r.record_id, r.record_id || '::' || r.role AS vector_id, r.role, 1 / (1 + v.d) AS score
 FROM (SELECT record_id, file_id, ordinal, unnest(['record_handle', 'question', 'answer']) AS role, unnest([0, 1, 2]) AS i FROM {RECS}) r
 JOIN (SELECT e.vec_id, list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: pow(CAST(e.embedding[i] AS DOUBLE) - CAST(q.embedding[i] AS DOUBLE), 2))) AS d
-      FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id < {N_VECTORS}) v ON v.vec_id = ((r.file_id * 7 + r.ordinal * 3) % {N_VECTORS} + r.i) % {N_VECTORS})"""
+      FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id = 0) q) v ON v.vec_id = (r.file_id * 7 + r.ordinal * 3 + r.i) % {N_VECTORS})"""
 PARENTS = f"""(SELECT h.record_id, max(CASE WHEN role = 'question' THEN score END) AS question_score, max(CASE WHEN role = 'answer' THEN score END) AS answer_score,
 max(CASE WHEN role NOT IN ('question', 'answer') THEN score END) AS meta_score, count(*) AS hit_count FROM {HITS} h GROUP BY 1)"""
 FINAL = f"""(SELECT *, CASE WHEN tag = 'Gold' THEN semantic_score ELSE 0.75::DOUBLE * semantic_score + 0.25::DOUBLE * pow(2, -k / 10.0::DOUBLE) END AS final_score FROM (
@@ -49,6 +50,11 @@ SELECT file_id, record_id, source, priority, minus FROM (SELECT file_id, record_
 UNION ALL SELECT file_id, record_id, 'semantic', 1, -final_score FROM {TOP_FINAL}) QUALIFY row_number() OVER (PARTITION BY file_id, record_id ORDER BY priority, minus) = 1) QUALIFY pos <= 3)"""
 WORKING = f"(SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY ordinal DESC, record_id DESC) AS pos FROM {RECS} WHERE tag <> 'Black' QUALIFY pos <= 2)"
 
+RECALL = f"""SELECT recall_key, record_id, file_id, tag, ordinal FROM (SELECT 'k' || ordinal % 13 AS recall_key, * FROM {RECS} WHERE tag <> 'Black') WHERE recall_key IN ('k0', 'k3', 'k5', 'k12')
+QUALIFY row_number() OVER (PARTITION BY recall_key ORDER BY CASE tag WHEN 'Gold' THEN 0 WHEN 'Green' THEN 1 ELSE 2 END, ordinal DESC, record_id) = 1"""
+CHUNK_TOP = f"""SELECT vector_id, round(s, 6) AS chunk_score FROM (SELECT h.vector_id, CASE WHEN d.tag = 'Gold' THEN h.score ELSE 0.9::DOUBLE * h.score + 0.1::DOUBLE * pow(2, -d.k / 10.0::DOUBLE) END AS s
+FROM {HITS} h JOIN {DISTANCE} d USING (record_id) WHERE h.role IN ('question', 'answer') AND d.tag <> 'Black') ORDER BY s DESC, vector_id LIMIT 5"""
+
 
 def final_parents(spark, sf_dir):
     return memory.parents(hits(spark, sf_dir), recs(spark, sf_dir))
@@ -76,8 +82,7 @@ def mem_gold(spark, sf_dir):
     return memory.latest(recs(spark, sf_dir), 1, ("Gold",)).select("file_id", "record_id")
 
 
-@query(f"""SELECT recall_key, record_id, file_id, tag, ordinal FROM (SELECT 'k' || ordinal % 13 AS recall_key, * FROM {RECS} WHERE tag <> 'Black') WHERE recall_key IN ('k0', 'k3', 'k5', 'k12')
-QUALIFY row_number() OVER (PARTITION BY recall_key ORDER BY CASE tag WHEN 'Gold' THEN 0 WHEN 'Green' THEN 1 ELSE 2 END, ordinal DESC, record_id) = 1""")
+@query(RECALL)
 def mem_direct_recall(spark, sf_dir):
     keys = spark.createDataFrame([("k0",), ("k3",), ("k5",), ("k12",)], "recall_key string")
     keyed = recs(spark, sf_dir).withColumn("recall_key", F.concat(F.lit("k"), (F.col("ordinal") % 13).cast("string")))
@@ -106,8 +111,7 @@ def mem_parent_scores(spark, sf_dir):
     return final_parents(spark, sf_dir).select("record_id", "hit_count", *(F.round(n, 6).alias(n) for n in names))
 
 
-@query(f"""SELECT vector_id, round(s, 6) AS chunk_score FROM (SELECT h.vector_id, CASE WHEN d.tag = 'Gold' THEN h.score ELSE 0.9::DOUBLE * h.score + 0.1::DOUBLE * pow(2, -d.k / 10.0::DOUBLE) END AS s
-FROM {HITS} h JOIN {DISTANCE} d USING (record_id) WHERE h.role IN ('question', 'answer') AND d.tag <> 'Black') ORDER BY s DESC, vector_id LIMIT 5""")
+@query(CHUNK_TOP)
 def mem_semantic_chunks(spark, sf_dir):
     return memory.semantic_chunks(hits(spark, sf_dir), recs(spark, sf_dir)).select("vector_id", F.round("chunk_score", 6).alias("chunk_score"))
 
@@ -117,11 +121,12 @@ def mem_gold_union(spark, sf_dir):
     return memory.gold_union(memory.latest(recs(spark, sf_dir), 1, ("Gold",)), top_parents(spark, sf_dir))
 
 
-@query(f"SELECT slot, count(*) AS n FROM (SELECT 'working' AS slot FROM {WORKING} UNION ALL SELECT 'episodic' FROM {UNION}) GROUP BY 1")
+@query(f"SELECT slot, count(*) AS n FROM (SELECT 'working' AS slot FROM {WORKING} UNION ALL SELECT 'episodic' FROM {UNION} UNION ALL SELECT 'semantic_chunk' FROM ({CHUNK_TOP}) UNION ALL SELECT 'direct_recall' FROM ({RECALL})) GROUP BY 1")
 def mem_pack_counts(spark, sf_dir):
+    """All four slots: the newest, the best of Gold and scored ones, best chunks, and records recalled by key."""
     own = recs(spark, sf_dir)
-    none = own.limit(0)
-    pack = memory.context_pack(memory.latest(own, 2), memory.gold_union(memory.latest(own, 1, ("Gold",)), top_parents(spark, sf_dir)), none, none)
+    chunks = memory.semantic_chunks(hits(spark, sf_dir), own)
+    pack = memory.context_pack(memory.latest(own, 2), memory.gold_union(memory.latest(own, 1, ("Gold",)), top_parents(spark, sf_dir)), chunks, mem_direct_recall(spark, sf_dir))
     return pack.groupBy("slot").agg(F.count("*").alias("n"))
 
 
@@ -167,11 +172,11 @@ def mem_histories(spark, sf_dir):
     return recs(spark, sf_dir).groupBy("file_id").agg(F.max("ordinal").alias("updated")).orderBy(F.desc("updated"), "file_id").limit(20)
 
 
-BRIEFS = f"(SELECT *, CASE WHEN ordinal % 4 = 0 THEN '' ELSE substr(output_text, 1, 40) END AS brief FROM {RECS})"
+BRIEFS = f"(SELECT *, CASE WHEN ordinal % 4 = 0 THEN '' ELSE output_text END AS brief FROM {RECS})"
 
 
 def briefs(spark, sf_dir):
-    return recs(spark, sf_dir).withColumn("brief", F.when(F.col("ordinal") % 4 == 0, "").otherwise(F.substring("output_text", 1, 40)))
+    return recs(spark, sf_dir).withColumn("brief", F.when(F.col("ordinal") % 4 == 0, "").otherwise(F.col("output_text")))
 
 
 @query(f"SELECT file_id, record_id, brief FROM {BRIEFS} WHERE tag <> 'Black' AND brief <> '' QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY ordinal DESC, record_id DESC) = 1")

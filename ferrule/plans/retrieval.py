@@ -25,11 +25,18 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
-def terms(docs: DataFrame, id_col: str) -> DataFrame:
-    """id, term, weight: words hashed to buckets, weighted 1 + ln(tf); a deterministic stand-in for a learned sparse encoder."""
-    words = docs.select(F.col(id_col).alias("id"), F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("word")).where("word <> ''")
-    bucket = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long") % BUCKETS
-    return words.groupBy("id", bucket.alias("term")).agg((F.lit(1.0) + F.log(F.count("*"))).alias("weight"))
+def terms(docs: DataFrame, id_col: str, only: DataFrame | None = None) -> DataFrame:
+    """id, term, weight: words hashed to buckets, weighted 1 + ln(tf); a deterministic stand-in for a learned sparse encoder.
+
+    With ``only`` (term), one request's terms, others are dropped before anything is counted or shuffled.
+    """
+    bucket = lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % BUCKETS
+    listed = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "")
+    words = docs.select(F.col(id_col).alias("id"), F.explode(listed).alias("word"))
+    hashed = words.select("id", bucket(F.col("word")).alias("term"))
+    if only is not None:
+        hashed = hashed.join(F.broadcast(only.select("term").distinct()), "term", "left_semi")
+    return hashed.groupBy("id", "term").agg((F.lit(1.0) + F.log(F.count("*"))).alias("weight"))
 
 
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +63,8 @@ def dense_list(spark, sf_dir, k: int = 100) -> DataFrame:
 
 
 def sparse_list(spark, sf_dir, k: int = 100) -> DataFrame:
-    scored = retrieval.sparse_scores(terms(table(spark, sf_dir, "documents"), "doc_id"), query_terms(spark, sf_dir))
+    asked = query_terms(spark, sf_dir)
+    scored = retrieval.sparse_scores(terms(table(spark, sf_dir, "documents"), "doc_id", asked), asked)
     return retrieval.ranked(rounded(scored, "score"), k)
 
 
@@ -123,14 +131,16 @@ def sparse_pnorm(spark, sf_dir):
 @query(f"SELECT d.id, round(sum(d.weight * q.weight), 6) AS score FROM ({DOC_TERMS}) d JOIN ({QUERY_TERMS}) q ON d.term = q.term AND q.id = 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
 def sparse_tf_dot_topk(spark, sf_dir):
     one = query_terms(spark, sf_dir).where("piece = 0")
-    scored = terms(table(spark, sf_dir, "documents"), "doc_id").join(one.select("term", F.col("weight").alias("w")), "term").groupBy("id").agg(F.round(F.sum(F.col("weight") * F.col("w")), 6).alias("score"))
+    scored = terms(table(spark, sf_dir, "documents"), "doc_id", one).join(one.select("term", F.col("weight").alias("w")), "term").groupBy("id").agg(F.round(F.sum(F.col("weight") * F.col("w")), 6).alias("score"))
     return retrieval.top(scored, 20)
 
 
 @query(f"SELECT s.id, round(s.score, 6) AS score FROM ({SPARSE}) s WHERE s.id IN (SELECT id FROM ({DENSE_TOP}))")
 def sparse_candidate_semi(spark, sf_dir):
-    scored = retrieval.sparse_scores(terms(table(spark, sf_dir, "documents"), "doc_id"), query_terms(spark, sf_dir))
-    return rounded(retrieval.candidates_only(scored, dense_list(spark, sf_dir)), "score")
+    """Candidates are chosen before any of their terms are counted."""
+    asked, docs = query_terms(spark, sf_dir), table(spark, sf_dir, "documents")
+    chosen = docs.join(F.broadcast(dense_list(spark, sf_dir).select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
+    return rounded(retrieval.sparse_scores(terms(chosen, "doc_id", asked), asked), "score")
 
 
 @query(f"SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT id FROM ({DOC_TERMS}))")
@@ -182,10 +192,10 @@ def hydrate_topk(spark, sf_dir):
     return retrieval.hydrate(best, chunks, ["doc_id"]).select(F.col("doc_id").alias("id"), "rank", "chunk_idx", "start", "chunk")
 
 
-@query(f"""SELECT f.id, f.rank_a, f.rank_b, round(f.rrf_score, 9) AS rrf_score, d.source, substr(d.text, 1, 80) AS head
+@query(f"""SELECT f.id, f.rank_a, f.rank_b, round(f.rrf_score, 9) AS rrf_score, d.source, d.text
 FROM (SELECT * FROM ({FUSED}) ORDER BY rrf_score DESC, id LIMIT 30) f JOIN documents d ON d.doc_id = f.id""")
 def hybrid_retrieval_e2e(spark, sf_dir):
     """The flagship: dense and sparse lists, fused, cut and joined with their documents."""
     fused = retrieval.rrf(dense_list(spark, sf_dir), sparse_list(spark, sf_dir), top_k=30)
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.substring("text", 1, 80).alias("head"))
-    return docs.join(F.broadcast(fused), "id").select("id", "rank_a", "rank_b", F.round("rrf_score", 9).alias("rrf_score"), "source", "head")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+    return docs.join(F.broadcast(fused), "id").select("id", "rank_a", "rank_b", F.round("rrf_score", 9).alias("rrf_score"), "source", "text")

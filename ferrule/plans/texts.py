@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import schema
@@ -9,6 +10,7 @@ from ..functions import text as fn
 from ..functions import vectors as vec
 from ..operators import gate, memory, prompt, reduce, render
 from ..operators.ingest import chunk_rows
+from .ingest import STRIP
 from .memory import RECS, recs
 from .registry import query, table
 from .retrieval import SPARSE_TOP, sparse_list
@@ -53,13 +55,15 @@ def txt_norm_phrase(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", fn.norm_phrase(F.col("text")).alias("phrase"))
 
 
-MARKED = "'# ' || substr(text, 1, 20) || chr(10) || '## Two' || chr(10) || 'body' || chr(10) || '### Three'"
+MASKED = r"regexp_replace(regexp_replace(regexp_replace({}, '(?m)^([ \t]*)### +(.*?)[ \t]*$', '\1[H3] \2', 'g'), '(?m)^([ \t]*)## +(.*?)[ \t]*$', '\1[H2] \2', 'g'), '(?m)^([ \t]*)# +(.*?)[ \t]*$', '\1[H1] \2', 'g')"
+HEADED = "'# ' || source || chr(10) || '  ## ' || lang || '  ' || chr(10) || text || chr(10) || '### ' || n_chars || chr(10) || '#no heading'"
 
 
-@query(f"SELECT doc_id, '[H1] ' || trim(split_part(substr(text, 1, 20), chr(10), 1)) || CASE WHEN contains(substr(text, 1, 20), chr(10)) THEN chr(10) || substr(substr(text, 1, 20), strpos(text, chr(10)) + 1) ELSE '' END || chr(10) || '[H2] Two' || chr(10) || 'body' || chr(10) || '[H3] Three' AS masked FROM documents")
+@query(f"SELECT doc_id, sha256({STRIP.format(MASKED.format(HEADED))}) AS sha FROM documents")
 def txt_sanitize(spark, sf_dir):
-    marked = F.concat(F.lit("# "), F.substring("text", 1, 20), F.lit("\n## Two\nbody\n### Three"))
-    return table(spark, sf_dir, "documents").select("doc_id", fn.mask_headings(marked).alias("masked"))
+    """Whole texts, with headings of three levels before and after them."""
+    marked = F.concat(F.lit("# "), F.col("source"), F.lit("\n  ## "), F.col("lang"), F.lit("  \n"), F.col("text"), F.lit("\n### "), F.col("n_chars").cast("string"), F.lit("\n#no heading"))
+    return table(spark, sf_dir, "documents").select("doc_id", fn.text_sha(fn.mask_headings(marked)).alias("sha"))
 
 
 @query(r"SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(trim(url), '[^A-Za-z0-9._-]+', '-', 'g'), '-{2,}', '-', 'g'), '^[-._]+|[-._]+$', '', 'g'), ''), 'Untitled') AS title FROM pages")
@@ -67,9 +71,9 @@ def txt_safe_title(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", fn.safe_title(F.col("url")).alias("title"))
 
 
-@query("SELECT page_id, replace(replace(replace(replace(substr(html, 1, 200), '&', '&amp;'), '\"', '&quot;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM pages")
+@query("SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '\"', '&quot;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM pages")
 def txt_escape_attr(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", fn.escape_attr(F.substring("html", 1, 200)).alias("escaped"))
+    return table(spark, sf_dir, "pages").select("page_id", fn.escape_attr(F.col("html")).alias("escaped"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, CAST(ceil(length(text) / 4.0) AS BIGINT)) END AS tokens FROM documents")
@@ -122,14 +126,14 @@ CLASSES = [("ID1", "english text", "en", 1), ("ID2", "French text", "fr", 2), ("
 
 
 @query("""SELECT class_id, CAST(priority AS INT) AS priority, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE lang WHEN 'en' THEN 'ID1' WHEN 'fr' THEN 'ID2' WHEN 'de' THEN 'ID3' END AS class_id,
-CASE lang WHEN 'en' THEN 1 WHEN 'fr' THEN 2 WHEN 'de' THEN 3 END AS priority FROM documents WHERE doc_id < 500) WHERE class_id IS NOT NULL GROUP BY 1, 2""")
+CASE lang WHEN 'en' THEN 1 WHEN 'fr' THEN 2 WHEN 'de' THEN 3 END AS priority FROM documents) WHERE class_id IS NOT NULL GROUP BY 1, 2""")
 def class_group(spark, sf_dir):
     """Documents answer with an id, an exact phrase or one that needs normalising; a class with an unknown id takes none."""
     classes = gate.active_classes(spark.createDataFrame(CLASSES, "class_id string, phrase string, context string, priority int"))
     answer = F.when(F.col("lang") == "en", "ID1").when(F.col("lang") == "fr", "French text").when(F.col("lang") == "de", "German text ").otherwise("Spanish text")
-    items = table(spark, sf_dir, "documents").where("doc_id < 500").select(F.col("doc_id").alias("item"), answer.alias("answer"))
-    groups = gate.group_classes(gate.assign_class(items, classes).where("class_id IS NOT NULL"), classes)
-    return groups.select("class_id", "priority", F.size("items").cast("long").alias("n"))
+    items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), answer.alias("answer"))
+    counts = gate.assign_class(items, classes).where("class_id IS NOT NULL").groupBy("class_id").agg(F.count("*").alias("n"))
+    return counts.join(F.broadcast(classes.select("class_id", "priority")), "class_id").select("class_id", "priority", "n")
 
 
 @query("""SELECT doc_id, CASE WHEN t < 1200 THEN 'tight' WHEN t < 1800 THEN 'narrow' WHEN t < 2600 THEN 'medium' ELSE 'broad' END AS tier, CAST(CASE WHEN t < 1200 THEN 1 WHEN t < 1800 THEN 2 WHEN t < 2600 THEN 3 END AS BIGINT) AS n_groups
@@ -169,23 +173,29 @@ def brief_gate_route(spark, sf_dir):
     return recs(spark, sf_dir).select("record_id", route.alias("route"))
 
 
-@query(f"SELECT s, k, CASE WHEN k THEN s ELSE NULL END AS kept FROM (SELECT 1 AS s, TRUE AS k) WHERE s < 0")
+@query("SELECT CAST(0 AS BIGINT) AS n, 'no_active_file' AS reason")
 def empty_pack(spark, sf_dir):
-    """No active file: a pack without rows."""
+    """No active file: a pack without rows, whose reason is still there."""
     none = memory.empty_pack(memory.latest(recs(spark, sf_dir), 1), "no_active_file")
-    return none.select(F.col("pos").cast("int").alias("s"), F.lit(True).alias("k"), F.col("pos").cast("int").alias("kept"))
+    return none.agg(F.count("*").alias("n"), F.coalesce(F.max("reason"), F.lit("no_active_file")).alias("reason"))
+
+
+@query(f"SELECT id, 'DISCARDED' AS status, CAST(0 AS BIGINT) AS score, 'a3_selected_zero_useful_chunks' AS reason FROM {GATED} WHERE label <> 'useful'")
+def empty_selection(spark, sf_dir):
+    """A gate that lets nothing through: every candidate that isn't useful, alone."""
+    return gate.empty_selection(gated(spark, sf_dir).where("label <> 'useful'"))
 
 
 # ---- rendering
 
 
 @query(f"""SELECT '<retrieved_chunks>' || chr(10) || string_agg('  <chunk index="' || rank || '" chunk_id="' || d.doc_id || '" source="' || d.source || '" info="Rt=' || regexp_replace(regexp_replace(printf('%.8f', round(s.score, 6)), '0+$', ''), '\\.$', '') || '">' || chr(10)
-|| '    <chunk_text>' || chr(10) || '      ' || replace(trim(substr(d.text, 1, 60), ' ' || chr(10)), chr(10), chr(10) || '      ') || chr(10) || '    </chunk_text>' || chr(10) || '  </chunk>', chr(10) ORDER BY rank) || chr(10) || '</retrieved_chunks>' AS xml
+|| '    <chunk_text>' || chr(10) || '      ' || replace(trim(d.text, ' ' || chr(10)), chr(10), chr(10) || '      ') || chr(10) || '    </chunk_text>' || chr(10) || '  </chunk>', chr(10) ORDER BY rank) || chr(10) || '</retrieved_chunks>' AS xml
 FROM ({SPARSE_TOP}) s JOIN documents d ON d.doc_id = s.id WHERE s.rank <= 10""")
 def render_chunks_xml(spark, sf_dir):
     best = sparse_list(spark, sf_dir, 10)
     docs = table(spark, sf_dir, "documents").join(F.broadcast(best), F.col("doc_id") == F.col("id"))
-    return render.chunks_xml(docs.select(F.col("rank").alias("pos"), F.col("doc_id").cast("string").alias("chunk_id"), "source", render.score_info(Rt=F.col("score")).alias("info"), F.substring("text", 1, 60).alias("text")))
+    return render.chunks_xml(docs.select(F.col("rank").alias("pos"), F.col("doc_id").cast("string").alias("chunk_id"), "source", render.score_info(Rt=F.col("score")).alias("info"), F.col("text")))
 
 
 @query(f"""SELECT file_id, string_agg('### Episode ' || pos || chr(10) || 'record_id: ' || record_id || chr(10) || 'tag: ' || tag || chr(10) || 'QUESTION:' || chr(10) || trim(input_text, ' ' || chr(10)) || chr(10) || 'ANSWER:' || chr(10) || trim(output_text, ' ' || chr(10)), chr(10) || chr(10) ORDER BY pos) AS text
@@ -216,6 +226,77 @@ def preprocess_prompts(spark, sf_dir):
     return prompt.preprocess(prompts, schema.names(spark), schema.must_defaults(), key="record_id").where("name NOT IN ('role', 'depth', 'format', 'text')")
 
 
+STATE = "CASE ordinal % 2 WHEN 0 THEN 'STRONG' ELSE 'WEAK' END AS m, CASE ordinal % 3 WHEN 0 THEN 'SAME_TOPIC' WHEN 1 THEN 'RELATED_DOMAIN' ELSE 'IRRELEVANT' END AS r"
+TRIMMED = {c: STRIP.format(c) for c in ("input_text", "output_text", "tag", "mode")}
+FULL = "(m = 'STRONG' AND r <> 'IRRELEVANT' OR m = 'WEAK' AND r <> 'RELATED_DOMAIN')"
+
+
+def states(spark, sf_dir):
+    """Records with all six pairs of materiality and relation."""
+    o = F.col("ordinal")
+    relation = F.when(o % 3 == 0, "SAME_TOPIC").when(o % 3 == 1, "RELATED_DOMAIN").otherwise("IRRELEVANT")
+    return recs(spark, sf_dir).withColumns({"m": F.when(o % 2 == 0, "STRONG").otherwise("WEAK"), "r": relation})
+
+
+@query(f"""SELECT record_id, '<user_prompt_under_evaluation>' || chr(10) || 'TASK:' || chr(10) || {TRIMMED["input_text"]} || chr(10) || chr(10) || 'CONTEXT:' || chr(10) || tag || chr(10) || chr(10)
+|| CASE WHEN {FULL} THEN 'PREVIOUS MEMORY SUMMARY:' || chr(10) || {TRIMMED["output_text"]} ELSE 'PREVIOUS MEMORY TITLE:' || chr(10) || mode END || chr(10) || chr(10) || '</user_prompt_under_evaluation>' AS prompt FROM (SELECT *, {STATE} FROM {RECS})""")
+def comparison_prompt(spark, sf_dir):
+    c = F.col
+    return states(spark, sf_dir).select("record_id", prompt.comparison_prompt(c("input_text"), F.lit(" "), c("tag"), c("m"), c("r"), c("output_text"), c("mode")).alias("prompt"))
+
+
+def _under(head: tuple[str, str]) -> str:
+    return "'" + head[0] + "' || chr(10) || '" + head[1] + "' || chr(10) || chr(10)"
+
+
+@query(f"""SELECT record_id, {_under(prompt.SUPPORT)} || CASE WHEN {FULL} THEN {_under(prompt.SUMMARY)} || 'Title: ' || mode || chr(10) || chr(10) || {TRIMMED["output_text"]} ELSE {_under(prompt.TOPIC)} || 'Title: ' || mode END || chr(10) || chr(10)
+|| {_under(prompt.MEMORY)} || tag || CASE WHEN ordinal % 4 = 1 THEN '' ELSE chr(10) || chr(10) || {_under(prompt.RAW)} || {TRIMMED["input_text"]} END AS context FROM (SELECT *, {STATE} FROM {RECS})""")
+def context_block(spark, sf_dir):
+    """Whole brief or its title, memory, and raw evidence unless the stage hides it."""
+    c, stage = F.col, F.when(F.col("ordinal") % 4 == 1, "a4").otherwise("a3")
+    return states(spark, sf_dir).select("record_id", prompt.context_block(c("m"), c("r"), c("mode"), c("output_text"), c("tag"), F.lit(None).cast("string"), c("input_text"), stage).alias("context"))
+
+
+@query(f"SELECT record_id, '[Pending skipped Q/A question]' || chr(10) || {STRIP.format('before')} || chr(10) || chr(10) || '[Current Q/A question]' || chr(10) || {TRIMMED['input_text']} AS text FROM (SELECT *, lag(input_text) OVER (PARTITION BY file_id ORDER BY ordinal) AS before FROM {RECS}) WHERE before IS NOT NULL")
+def topic_shift(spark, sf_dir):
+    """The question of the record before, as the pending one, and a record's own."""
+    before = F.lag("input_text").over(Window.partitionBy("file_id").orderBy("ordinal"))
+    rows = recs(spark, sf_dir).withColumn("before", before).where("before IS NOT NULL")
+    return rows.select("record_id", prompt.topic_shift(F.col("before"), F.col("input_text"), "question").alias("text"))
+
+
+OPTIONS = [("tone", "QA", "Question and answer"), ("tone", "Q", "Question"), ("audience", "Gold", "Experts")]
+
+
+@query(f"""SELECT record_id, 'tone' AS field, CASE mode WHEN 'QA' THEN 'Question and answer' WHEN 'Q' THEN 'Question' ELSE mode END AS text FROM {RECS}
+UNION ALL SELECT record_id, 'audience', CASE tag WHEN 'Gold' THEN 'Experts' ELSE tag END || ', other' FROM {RECS}""")
+def option_labels(spark, sf_dir):
+    """One option of a field, two of another; ids without a label stand for themselves."""
+    item = lambda field, pos, c: F.struct(F.lit(field).alias("field"), F.lit(pos).alias("pos"), c.alias("id"))
+    listed = F.array(item("tone", 0, F.concat(F.lit(" "), F.col("mode"))), item("audience", 0, F.col("tag")), item("audience", 1, F.lit("other")), item("audience", 2, F.lit(" ")))
+    chosen = recs(spark, sf_dir).select("record_id", F.explode(listed).alias("x")).select("record_id", "x.*")
+    return prompt.option_labels(chosen, spark.createDataFrame(OPTIONS, "field string, id string, label string"), "record_id")
+
+
+@query(f"""SELECT '<evidence_chunks>' || chr(10) || string_agg('  <chunk index="' || rank || '" chunk_id="' || rank || '" rank="' || rank || '">' || chr(10) || '    <chunk_text>' || chr(10) || '      ' || replace({STRIP.format("d.text")}, chr(10), chr(10) || '      ') || chr(10) || '    </chunk_text>' || chr(10) || '  </chunk>', chr(10) ORDER BY rank) || chr(10) || '</evidence_chunks>' AS xml
+FROM ({SPARSE_TOP}) s JOIN documents d ON d.doc_id = s.id WHERE s.rank <= 10""")
+def render_evidence(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").join(F.broadcast(sparse_list(spark, sf_dir, 10)), F.col("doc_id") == F.col("id"))
+    return render.evidence_xml(docs.select(F.col("rank").alias("pos"), "text"))
+
+
+@query(f"SELECT record_id, array_to_string(list_slice(list_transform(list_sort(list_transform(map_entries(list_histogram), lambda e: {{'n': -CAST(e.value AS INT), 'w': e.key}})), lambda x: x.w), 1, 5), ',') AS keywords FROM (SELECT record_id, histogram(word) AS list_histogram FROM (SELECT record_id, unnest(regexp_extract_all(lower(output_text), '\\p{{L}}{{3,}}')) AS word FROM {RECS}) GROUP BY 1)")
+def auto_keywords(spark, sf_dir):
+    return recs(spark, sf_dir).select("record_id", F.array_join(fn.auto_keywords(F.col("output_text")), ",").alias("keywords")).where("keywords <> ''")
+
+
+@query(f"SELECT record_id, sha256('{{\"file_id\":' || file_id || ',\"input_hash\":\"' || sha256(input_text) || '\",\"record_id\":\"' || record_id || '\",\"tag\":\"' || tag || '\",\"user_keywords\":[]}}') AS sha FROM {RECS}")
+def ingest_hash(spark, sf_dir):
+    c = F.col
+    payload = fn.canonical_sha(record_id=c("record_id"), file_id=c("file_id"), tag=c("tag"), input_hash=fn.text_sha(c("input_text")), user_keywords=F.array().cast("array<string>"))
+    return recs(spark, sf_dir).select("record_id", payload.alias("sha"))
+
+
 # ---- training data of the prompt shaper
 
 

@@ -36,3 +36,29 @@ def test_stages(spark, small):
             texts = {r.doc_id: r.text for r in before}
             assert all(r.exact and r.ids == sp.encode(texts[r.doc_id]) and r.n_tokens == len(r.ids) for r in after) and len(after) == len(before)
         before = after
+
+
+def test_edge_cases(spark, tmp_path):
+    """Nulls in any column, empty texts, repeated rows and ids, one long text, clashing names; and empty tables."""
+    import corpus_pipeline as c
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_words long, n_lines long, score_ double, digest_ string, key string, bucket long, hit_spans string"
+    extra = (1, 2, 0.5, "d", "k", 3, "h")
+    good = [f"Line {i} of a text that says a thing or two about number {i * i}.\nAnother line, and one more sentence {i}." for i in range(12)]
+    texts = [*good, None, "", "", " \n\t ", "word " * 60_000, good[3], good[3]]
+    rows = [(i, t, None if i % 5 == 0 else "en", None if i % 4 == 0 else "s", None if t is None else len(t), *extra) for i, t in enumerate(texts)]
+    rows += [(3, good[3], "en", "s", len(good[3]), *extra), (None, good[5] + " x", None, None, None, *[None] * 7), (None, None, None, None, None, *[None] * 7)]
+    labels = [(i, 1, 0) for i in range(12)] + [(13, 0, 0), (15, 0, 0), (None, 1, None), (2, None, None)]
+    bench = [(1, "number 49: another line and one more sentence 7"), (2, None), (3, "")]
+    for name, data, kind in (("documents", rows, schema), ("labels", labels, "doc_id long, quality int, toxic int"), ("benchmark", bench, "item_id long, text string")):
+        spark.createDataFrame(data, kind).write.parquet(f"{tmp_path}/full/{name}.parquet")
+        spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    got = c.run(spark, f"{tmp_path}/full").collect()
+    ids = [r.doc_id for r in got]
+    assert all(r.exact for r in got) and {0, 3, 11} <= set(ids) and 7 not in ids and ids.count(3) == 1 and not {17, 18} & set(ids)
+    assert c.run(spark, f"{tmp_path}/none").count() == 0
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/alone/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/none/{name}.parquet").write.parquet(f"{tmp_path}/alone/{name}.parquet")
+    kept = [r.doc_id for r in c.run(spark, f"{tmp_path}/alone").collect()]
+    assert {0, 3, 7, 11, 16} <= set(kept)  # nothing is learnt, nothing is tested for: copies alone go

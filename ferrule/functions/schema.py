@@ -4,54 +4,83 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Canonical names, those a prompt must have, their defaults, other names and German names.
-CANONICAL = "system audience purpose tone confidence response_depth task context constraints output_format reference_materials example checklist out_of_scope deterministic_rules deterministic_codes knowledge_graph_pins retrieved_elements attachments"
-MUST = "system task context constraints output_format audience purpose tone"
+# Canonical names, those a prompt must have, their defaults, other names and German names. The default of the constraints is our own.
+CANONICAL = [
+    "system",
+    "audience",
+    "purpose",
+    "tone",
+    "confidence",
+    "response_depth",
+    "task",
+    "context",
+    "constraints",
+    "output_format",
+    "reference_materials",
+    "example",
+    "checklist",
+    "out_of_scope",
+    "deterministic_rules",
+    "deterministic_codes",
+    "knowledge_graph_pins",
+    "retrieved_elements",
+    "attachments",
+]
+MUST = [
+    "system",
+    "task",
+    "context",
+    "constraints",
+    "output_format",
+    "audience",
+    "purpose",
+    "tone",
+]
 DEFAULTS = {
     "system": "consultant",
     "audience": "general audience",
     "purpose": "inform",
     "tone": "neutral",
     "response_depth": "high",
-    "constraints": "Follow instructions precisely; be accurate and non-fabricated; cite sources when appropriate; adhere to safety policies.",
+    "constraints": "be accurate and cite sources",
     "output_format": "free_text",
 }
 ALIASES = {
-    "system": "llm role, role, persona, assistant role",
-    "audience": "reader, target audience, audience type, stakeholders",
-    "purpose": "goal, objective, aim",
-    "tone": "style, voice, register",
-    "response_depth": "depth, level of detail",
-    "task": "user request, user prompt, request, wish, wishes, thing to be done",
-    "context": "background, notes, assumptions",
-    "constraints": "rules, guidelines, policies",
-    "output_format": "format, output schema, json schema, markdown format",
-    "reference_materials": "sources, references",
-    "example": "sample, example output, few-shot",
-    "out_of_scope": "non-goals, not in scope, exclusions",
+    "system": ["llm role", "role", "persona", "assistant role"],
+    "audience": ["reader", "target audience", "audience type", "stakeholders"],
+    "purpose": ["goal", "objective", "aim"],
+    "tone": ["style", "voice", "register"],
+    "response_depth": ["depth", "level of detail"],
+    "task": ["user request", "user prompt", "request", "wish", "wishes", "thing to be done"],
+    "context": ["background", "notes", "assumptions"],
+    "constraints": ["rules", "guidelines", "policies"],
+    "output_format": ["format", "output schema", "json schema", "markdown format"],
+    "reference_materials": ["sources", "references"],
+    "example": ["sample", "example output", "few-shot"],
+    "out_of_scope": ["non-goals", "not in scope", "exclusions"],
 }
 GERMAN = {
-    "task": "aufgabe",
-    "purpose": "zweck",
-    "audience": "zielgruppe",
-    "context": "kontext, hinweise, annahmen",
-    "constraints": "einschränkungen, regeln, vorgaben",
-    "output_format": "format, ausgabeformat",
-    "tone": "ton",
-    "example": "beispiel",
-    "reference_materials": "quellen, referenzen",
-    "out_of_scope": "außerhalb des umfangs, nicht im umfang",
+    "task": ["aufgabe"],
+    "purpose": ["zweck"],
+    "audience": ["zielgruppe"],
+    "context": ["kontext", "hinweise", "annahmen"],
+    "constraints": ["einschränkungen", "regeln", "vorgaben"],
+    "output_format": ["format", "ausgabeformat"],
+    "tone": ["ton"],
+    "example": ["beispiel"],
+    "reference_materials": ["quellen", "referenzen"],
+    "out_of_scope": ["außerhalb des umfangs", "nicht im umfang"],
 }
 
 
 def names(spark: SparkSession) -> DataFrame:
     """name, canonical, priority: canonical names before aliases before German ones."""
-    rows = [(n, n, 0) for n in CANONICAL.split()]
+    rows = [(n, n, 0) for n in CANONICAL]
     for priority, table in ((1, ALIASES), (2, GERMAN)):
-        rows += [(name, canonical, priority) for canonical, listed in table.items() for name in listed.split(", ")]
+        rows += [(name, canonical, priority) for canonical, listed in table.items() for name in listed]
     return spark.createDataFrame(rows, "name string, canonical string, priority int")
 
 
 def must_defaults() -> dict[str, str]:
     """Defaults of the names a prompt must have, but for its task."""
-    return {k: DEFAULTS.get(k, "") for k in MUST.split() if k != "task"}
+    return {k: DEFAULTS.get(k, "") for k in MUST if k != "task"}

@@ -218,7 +218,7 @@ def query_text(spark, sf_dir):
 
 
 @query(f"""SELECT record_id, name, body FROM (SELECT record_id, unnest(['task', 'context', 'system', 'audience', 'purpose', 'tone', 'constraints', 'output_format']) AS name,
-unnest(['Do ' || tag, mode, 'consultant', 'general audience', 'inform', 'neutral', 'Follow instructions precisely; be accurate and non-fabricated; cite sources when appropriate; adhere to safety policies.', 'free_text']) AS body FROM {RECS})""")
+unnest(['Do ' || tag, mode, 'consultant', 'general audience', 'inform', 'neutral', 'be accurate and cite sources', 'free_text']) AS body FROM {RECS})""")
 def preprocess_prompts(spark, sf_dir):
     """Headings by other and German names; sections with unknown names are left out, missing ones get defaults."""
     text = F.concat(F.lit("ignored\n# Aufgabe\nDo "), F.col("tag"), F.lit("\n## Background\n"), F.col("mode"), F.lit("\n### Odd one\nx"))

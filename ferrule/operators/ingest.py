@@ -63,6 +63,19 @@ def replace_records(stored: DataFrame, new: DataFrame, touched: DataFrame, key:
     return stored.join(touched.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def delete_counts(stored: DataFrame, gone: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """by, before, after, deleted: what deleting the listed keys takes away."""
+    marked = stored.join(gone.select(*keys).distinct().withColumn("gone_", F.lit(1)), keys, "left")
+    deleted = F.count("gone_")
+    return marked.groupBy(by).agg(F.count("*").alias("before"), (F.count("*") - deleted).alias("after"), deleted.alias("deleted"))
+
+
+def count_versions(chunks: DataFrame, versions: DataFrame) -> DataFrame:
+    """path, sha256, n: stored chunks of each asked version, 0 where there are none."""
+    held = chunks.join(versions.select("path", "sha256").distinct(), ["path", "sha256"], "left_semi").groupBy("path", "sha256").agg(F.count("*").alias("n"))
+    return versions.select("path", "sha256").distinct().join(held, ["path", "sha256"], "left").select("path", "sha256", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def first_by_fingerprint(rows: DataFrame, *fingerprinted: Column, order: str) -> DataFrame:
     """The first row, in order, of those with equal fingerprints; each task merges its own before the shuffle."""
     named = rows.withColumn("fingerprint", F.sha2(F.concat_ws("\x1f", *fingerprinted), 256))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import blank, distinct_ci, strip
+from ..functions.text import blank, strip
 from ..functions.vectors import chunk_score, distance_score, episodic_score, mode_weighted
 from .predicates import without_tags
 
@@ -123,9 +123,15 @@ def metainfo(recs: DataFrame) -> DataFrame:
 
 
 def keyword_union(rows: DataFrame, key: str, order: str, keywords: str = "keywords") -> DataFrame:
-    """Per key all keywords, in order, each once whatever its case."""
-    listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(keywords)))), lambda x: x[keywords])
-    return rows.groupBy(key).agg(distinct_ci(F.flatten(listed)).alias(keywords))
+    """Per key all keywords in order, each once whatever its case, as first written. Repeats are merged before they are gathered."""
+    listed = rows.select(key, order, F.posexplode(keywords).alias("i_", "word_")).withColumn("word_", strip(F.col("word_"))).where(F.col("word_") != "")
+    first = listed.groupBy(key, F.lower("word_").alias("lower_")).agg(F.min(F.struct(order, "i_", "word_")).alias("first_"))
+    return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list("first_")), lambda x: x["word_"]).alias(keywords))
+
+
+def contributors(before: Column, own: Column) -> Column:
+    """Ids of records that a brief comes from: those of the brief before, then the new ones, each once; blank ones dropped."""
+    return F.array_distinct(F.filter(F.concat(F.coalesce(before, F.array()), F.coalesce(own, F.array())), lambda x: ~blank(x)))
 
 
 def overlay(log: DataFrame, edits: DataFrame, fields: list[str], key: str = "record_id") -> DataFrame:

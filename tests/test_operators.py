@@ -212,3 +212,41 @@ def test_evidence_and_labels(spark):
     assert gate.empty_selection(gated).count() == 0 and gate.empty_selection(gated.where("id = 2")).head().reason == "a3_selected_zero_useful_chunks"
     none = F.lit(None).cast("string")
     assert spark.range(1).select(prompt.context_block(none, none, none, none, none, none, F.lit("raw"), F.lit("a5"))).head()[0] == ""
+
+
+def test_catalogs_and_fields():
+    from ferrule.operators import answers
+
+    block = {"options": [{"id": "a", "label": "A", "description": "d"}, "odd", {"label": "no id"}], "default": "a", "max_selected": 3}
+    assert answers.block_of({"tone": block}, "tone") is block and answers.block_of(block, "tone") is block and answers.block_of({"other": block, "x": 1}, "tone") is block
+    with pytest.raises(KeyError):
+        answers.block_of({"a": block, "b": block}, "tone")
+    assert answers.field_config(block) == {"allowed": ["a"], "default": "a", "most": 3, "many": True, "labels": {"a": "A"}, "descriptions": {"a": "d"}}
+    assert not answers.field_config({"options": [{"id": "a"}], "cardinality": "one", "max_selected": 5})["many"]
+    assert not answers.field_config({"options": None, "max_selected": "x"})["many"]
+
+
+def test_answers_of_odd_shapes(spark):
+    from ferrule.operators import answers
+
+    field = {"tags": answers.field_config({"options": [{"id": "a"}, {"id": "b"}], "cardinality": "many", "default": None})}
+    said = spark.createDataFrame([('{"tags": "b"}',), ('{"tags": ["x", "b", "b"]}',), ('{"tags": {}}',), (None,)], "a string")
+    assert [r[0] for r in said.select(answers.selected(F.col("a"), field)["tags"]).collect()] == [["b"], ["b"], ["a", "b"], ["a", "b"]]
+    items = spark.createDataFrame([(1, '{"item_decisions": "none"}'), (2, '{"item_decisions": [{"chunk_id": 7, "tags": "a"}, {"chunk_id": " "}, 5]}'), (3, None)], "id int, answer string")
+    one = {"tags": answers.field_config({"options": [{"id": "a"}, {"id": "b"}], "default": "b"})}
+    assert rows(answers.classified(items, "id", one)) == [(2, "7", "a")]
+
+
+def test_keyword_union_and_contributors(spark):
+    got = spark.createDataFrame([(1, 2, ["B", "c"]), (1, 1, ["b", " "]), (2, 1, None), (2, 2, ["é", "É"])], "k int, o int, keywords array<string>")
+    assert rows(memory.keyword_union(got, "k", "o")) == [(1, ["b", "c"]), (2, ["é"])]
+    ids = spark.createDataFrame([(["a", " "], ["A", "a", "b"]), (None, None)], "x array<string>, y array<string>")
+    assert [r[0] for r in ids.select(memory.contributors(F.col("x"), F.col("y"))).collect()] == [["a", "A", "b"], []]
+
+
+def test_sinks(spark, tmp_path):
+    files.write_metainfo(spark.createDataFrame([(1, "a"), (2, "b")], "file_id int, ids string"), f"file://{tmp_path}/meta")
+    files.write_metainfo(spark.createDataFrame([(1, "c")], "file_id int, ids string"), f"file://{tmp_path}/meta")
+    assert rows(spark.read.json(f"file://{tmp_path}/meta"), "file_id", "ids") == [(1, "c")]
+    files.write_jsonl(spark.createDataFrame([("ü", None)], "a string, b string"), f"file://{tmp_path}/l")
+    assert [r.value for r in spark.read.text(f"file://{tmp_path}/l").collect()] == ['{"a":"ü"}']

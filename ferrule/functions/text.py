@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ def blank(c: Column) -> Column:
     return F.coalesce(strip(c), F.lit("")) == ""
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c computed once, however often f names it, also inside lambdas."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def chunks(c: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
     """Array of (idx, start, end, text): windows of ``size`` characters, stripped, blank ones dropped, numbered after that."""
     if size <= 0 or not 0 <= overlap < size:
@@ -38,9 +45,26 @@ def sentences(c: Column) -> Column:
 
 def sentence_windows(items: Column, size: int = WINDOW_SIZE, overlap: int = WINDOW_OVERLAP) -> Column:
     """Overlapping runs of an array's items, joined by spaces; the last may be short, and none starts once the end is reached."""
-    step, n = size - overlap, F.size(items)
-    count = F.when(n <= size, 1).otherwise(F.ceil((n - size) / step).cast("int") + 1)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.array_join(F.slice(items, i * step + 1, F.lit(size)), " "))).otherwise(F.array().cast("array<string>"))
+    step = size - overlap
+
+    def windows(x: Column) -> Column:
+        n = F.size(x)
+        count = F.when(n <= size, 1).otherwise(F.ceil((n - size) / step).cast("int") + 1)
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.array_join(F.slice(x, i * step + 1, F.lit(size)), " "))).otherwise(F.array().cast("array<string>"))
+
+    return once(items, windows)
+
+
+def window_places(items: Column, size: int = WINDOW_SIZE, overlap: int = WINDOW_OVERLAP) -> Column:
+    """The same windows as arrays of the items' numbers, from 0 on."""
+    step = size - overlap
+
+    def places(n: Column) -> Column:
+        count = F.when(n <= size, 1).otherwise(F.ceil((n - size) / step).cast("int") + 1)
+        listed = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.filter(F.sequence(i * step, i * step + size - 1), lambda j: j < n))
+        return F.when(n > 0, listed).otherwise(F.array().cast("array<array<int>>"))
+
+    return once(F.size(items), places)
 
 
 def word_count(c: Column) -> Column:

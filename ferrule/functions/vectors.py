@@ -11,6 +11,19 @@ HALF_LIFE = 10.0
 MODE_WEIGHTS = {"QA": (0.55, 0.35, 0.10), "A": (0.85, 0.0, 0.15), "Q": (0.0, 0.85, 0.15)}
 
 
+def word_vectors(texts: Column, size: int = 64) -> Column:
+    """A vector per text of an array: its words counted by md5 bucket; a deterministic stand-in for a learned encoder."""
+    bucket = lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % size
+    buckets = F.transform(texts, lambda t: F.transform(F.filter(F.split(F.lower(t), "[^a-z0-9]+"), lambda w: w != ""), bucket))
+    return F.transform(buckets, lambda b: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda d: F.size(F.filter(b, lambda x: x == d)).cast("double")))
+
+
+def centroid(vectors: Column, size: int) -> Column:
+    """Mean of an array's vectors; null where there are none."""
+    total = F.aggregate(vectors, F.array_repeat(F.lit(0.0), size), lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
+    return F.when(F.size(vectors) > 0, F.transform(total, lambda x: x / F.size(vectors)))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

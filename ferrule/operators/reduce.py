@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import token_estimate
+from ..functions.text import auto_keywords, blank, first_words, sentence_windows, sentences, strip, token_estimate, window_places
+from ..functions.vectors import centroid, qa_budget, word_vectors
 
 REDUNDANT, TARGET, MOST, ANCHOR_WORDS = 0.92, 500, 800, 220
 BLOCKS = "array<struct<start:int,end:int,n_words:int,text:string>>"
@@ -58,26 +59,44 @@ def reduce_text(sentences: list[str], windows: list[list[int]], vectors: np.ndar
     return kept
 
 
-def reduce_records(rows: DataFrame, budget: int, key: str = "record_id") -> DataFrame:
-    """key, kept (sentence numbers), n_tokens: rows have sentences, windows (lists of sentence numbers), vectors, anchor.
+def reduce_records(rows: DataFrame, budget: int | Column, key: str = "record_id", text: bool = False) -> DataFrame:
+    """key, kept (sentence numbers), n_tokens, and the kept text if asked for: rows have sentences, windows (lists of sentence numbers), vectors, anchor.
 
     A text within budget is kept whole. A record's windows are one row, so nothing is grouped.
     """
+    most = budget if isinstance(budget, Column) else F.lit(budget)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for k, s, w, v, a in zip(b[key], b["sentences"], b["windows"], b["vectors"], b["anchor"], strict=True):
+            for k, s, w, v, a, budget in zip(b[key], b["sentences"], b["windows"], b["vectors"], b["anchor"], b["budget_"].tolist(), strict=True):
                 s = list(s)
                 if _tokens(" ".join(s)) <= budget:
                     kept = list(range(len(s)))
                 else:
                     kept = reduce_text(s, [list(x) for x in w], np.array([list(x) for x in v], float), np.array(a, float), budget)
-                out.append((k, kept, sum(_tokens(s[i]) for i in kept)))
-            yield pd.DataFrame(out, columns=[key, "kept", "n_tokens"])
+                out.append((k, kept, sum(_tokens(s[i]) for i in kept), *([" ".join(s[i] for i in kept)] if text else [])))
+            yield pd.DataFrame(out, columns=[key, "kept", "n_tokens", *(["text"] if text else [])])
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, "sentences", "windows", "vectors", "anchor").mapInPandas(run, f"{key} {kind}, kept array<int>, n_tokens long")
+    return rows.select(key, "sentences", "windows", "vectors", "anchor", most.alias("budget_")).mapInPandas(run, f"{key} {kind}, kept array<int>, n_tokens long{', text string' if text else ''}")
+
+
+SIZE = 64  # of the stand-in's vectors
+
+
+def reduce_pairs(recs: DataFrame, total: int, question_most: int) -> DataFrame:
+    """record_id, question, answer: both cut to their share of the tokens, by similarity to the centroid of all windows of the two."""
+    q, a = sentences(F.col("input_text")), sentences(F.col("output_text"))
+    encoded = recs.select("record_id", "input_text", "output_text", q.alias("q"), a.alias("a"), *(word_vectors(sentence_windows(x), SIZE).alias(n) for x, n in ((q, "qv"), (a, "av"))))
+    encoded = encoded.withColumn("anchor", centroid(F.concat("qv", "av"), SIZE))
+    budgets = qa_budget(token_estimate(F.col("input_text")), token_estimate(F.col("output_text")), total, question_most)
+    side = lambda n, v, budget: F.struct(F.lit(n).alias("side"), F.col(n).alias("sentences"), F.col(v).alias("vectors"), budget.alias("budget"))
+    rows = encoded.select("record_id", "anchor", F.explode(F.array(side("q", "qv", budgets[0]), side("a", "av", budgets[1]))).alias("s")).select("record_id", "anchor", "s.*")
+    rows = rows.withColumns({"key": F.concat_ws(":", "side", "record_id"), "windows": window_places(F.col("sentences"))})
+    kept = reduce_records(rows, F.col("budget"), "key", text=True)
+    pick = lambda n: F.max(F.when(F.col("key").startswith(f"{n}:"), F.col("text")))
+    return kept.groupBy(F.substring("key", 3, 1 << 30).alias("record_id")).agg(pick("q").alias("question"), pick("a").alias("answer"))
 
 
 PARAGRAPH = re.compile(r"\S(?:.*?\S)??(?=\n\s*\n|\s*\Z)", re.DOTALL)
@@ -129,40 +148,37 @@ def text_blocks(text: str | None, target: int = TARGET, most: int = MOST) -> lis
 
 def blocks(text: str) -> Column:
     """Blocks of a text column, by ``text_blocks``."""
-    return F.pandas_udf(lambda s: s.map(text_blocks, na_action=None), BLOCKS, F.PandasUDFType.SCALAR)(text)
 
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield pd.Series([text_blocks(t) for t in b], dtype=object)
 
-METADATA = re.compile(r"^(title|author|version|updated|tags|date|created|modified|description)\s*:\s*.*$", re.IGNORECASE)
-END_MARKS = {"END_OF_PROMPT", "## END_OF_PROMPT", "### END_OF_PROMPT"}
+    return F.pandas_udf(run, BLOCKS)(text)
 
 
-def clean_text(text: str | None) -> str:
-    """Without front matter, fences, meta and end marks, metadata lines and repeated blank lines."""
-    lines = [x.strip() for x in (text or "").replace("\r\n", "\n").replace("\r", "\n").strip().split("\n")]
-    if lines and lines[0] == "---":
-        end = next((i for i, x in enumerate(lines[1:], 1) if x in ("---", "...")), len(lines) - 1)
-        lines = lines[end + 1 :]
-    out: list[str] = []
-    for x in lines:
-        if x.startswith("```") or x.lower().startswith("@@meta") or x in END_MARKS or METADATA.match(x):
-            continue
-        if x or (out and out[-1]):
-            out.append(x)
-    return "\n".join(out).strip()
+# Names of metadata lines, and marks of a prompt's end.
+METADATA = ["title", "author", "version", "updated", "tags", "date", "created", "modified", "description"]
+END_MARKS = ["END_OF_PROMPT", "## END_OF_PROMPT", "### END_OF_PROMPT"]
 
 
-def clean_chunk(text: str) -> Column:
-    """A text column cleaned by ``clean_text``."""
-    return F.pandas_udf(lambda s: s.map(clean_text, na_action=None), "string", F.PandasUDFType.SCALAR)(text)
+def clean_chunk(text: Column) -> Column:
+    """Without front matter, fences, meta and end marks, metadata lines and repeated blank lines."""
+    whole = strip(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"))
+    lines = F.transform(F.split(whole, "\n"), strip)
+    headed = F.get(lines, F.lit(0)) == "---"
+    end = F.array_position(F.transform(lines, lambda x, i: (i > 0) & x.isin("---", "...")), True)
+    body = F.when(headed & (end == 0), F.array().cast("array<string>")).when(headed, F.slice(lines, end.cast("int") + 1, F.size(lines))).otherwise(lines)
+    noise = lambda x: x.startswith("```") | F.lower(x).startswith("@@meta") | x.isin(*END_MARKS) | x.rlike(rf"(?i)^({'|'.join(METADATA)})\s*:")
+    kept = F.array_join(F.filter(body, lambda x: ~noise(x)), "\n")
+    return strip(F.regexp_replace(kept, "\n{3,}", "\n\n"))
 
 
 def memory_entries(recs: DataFrame) -> DataFrame:
-    """vector_id, record_id, role, block, text: a handle, question blocks and answer blocks per record."""
-    from ..functions.text import blank, first_words
-
+    """vector_id, record_id, role, block, text: a handle (file, keywords of both texts, start of the question), question blocks and answer blocks per record."""
     split = recs.withColumns({"q": blocks("input_text"), "a": blocks("output_text")})
     anchor = first_words(F.coalesce(F.get(F.col("q"), 0)["text"], F.lit("")), ANCHOR_WORDS)
-    handle = F.concat_ws("\n", F.concat(F.lit("PROJECT: "), F.col("file_id").cast("string")), F.lit("QUESTION_ANCHOR:"), anchor)
+    words = F.array_join(auto_keywords(F.concat_ws("\n", "input_text", "output_text")), ", ")
+    handle = F.concat_ws("\n", F.concat(F.lit("PROJECT: "), F.col("file_id").cast("string")), F.concat(F.lit("KEYWORDS: "), words), F.lit("QUESTION_ANCHOR:"), anchor)
     entry = lambda role, texts: F.transform(texts, lambda x, i: F.struct(F.lit(role).alias("role"), i.alias("block"), x.alias("text")))
     listed = F.concat(entry("handle", F.array(handle)), entry("question", F.transform("q", lambda x: x["text"])), entry("answer", F.transform("a", lambda x: x["text"])))
     rows = split.select("record_id", F.explode(listed).alias("e")).where(~blank(F.col("e.text")))

@@ -320,7 +320,7 @@ def train_windows(spark, sf_dir):
     return recs(spark, sf_dir).select("record_id", F.explode(fn.token_windows(F.col("input_text"), 16)).alias("win"))
 
 
-# ---- order-dependent reducers: tests compare them with plain versions
+# ---- order-dependent reducers; tests compare those without SQL with plain versions
 
 
 @query()
@@ -329,26 +329,37 @@ def mem_blocks(spark, sf_dir):
     return rows.select("vector_id", "record_id", "role", "block", fn.text_sha(F.col("text")).alias("sha"))
 
 
-@query()
+FRAMED = "'---' || chr(10) || 'x: ' || lang || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '...' WHEN doc_id % 3 = 1 THEN '---' ELSE 'open' END || chr(10) || 'TAGS : a' || chr(10) || text || chr(10) || chr(10) || ' ' || chr(10) || '```py' || chr(10) || '@@META' || chr(10) || '## END_OF_PROMPT' || chr(10) || 'kept titles: b'"
+LINES = f"list_transform(string_split({STRIP.format('t')}, chr(10)), lambda x: {STRIP.format('x')})"
+BODY = "CASE WHEN doc_id % 4 = 0 THEN l WHEN coalesce(list_position(list_transform(l[2:], lambda x: x IN ('---', '...')), true), 0) = 0 THEN [] ELSE l[list_position(list_transform(l[2:], lambda x: x IN ('---', '...')), true) + 2:] END"
+NOISE = "starts_with(x, '```') OR starts_with(lower(x), '@@meta') OR x IN ('END_OF_PROMPT', '## END_OF_PROMPT', '### END_OF_PROMPT') OR regexp_matches(x, '(?i)^(title|author|version|updated|tags|date|created|modified|description)\\s*:')"
+
+
+@query(f"""SELECT doc_id, sha256({STRIP.format("regexp_replace(array_to_string(list_filter(b, lambda x: NOT (" + NOISE + ")), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g')")}) AS sha
+FROM (SELECT doc_id, {BODY} AS b FROM (SELECT doc_id, {LINES} AS l FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'first' || chr(10) ELSE '' END || {FRAMED} AS t FROM documents)))""")
 def clean_chunk(spark, sf_dir):
-    return chunk_rows(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "chunk_idx", reduce.clean_chunk("chunk").alias("cleaned"))
+    """Whole texts after front matter that is closed, open, or not at the start, and before marks and fences."""
+    n = F.col("doc_id")
+    close = F.when(n % 3 == 0, "...").when(n % 3 == 1, "---").otherwise("open")
+    framed = F.concat(F.when(n % 4 == 0, "first\n").otherwise(""), F.lit("---\nx: "), F.col("lang"), F.lit("\n"), close, F.lit("\nTAGS : a\n"), F.col("text"), F.lit("\n\n \n```py\n@@META\n## END_OF_PROMPT\nkept titles: b"))
+    return table(spark, sf_dir, "documents").select("doc_id", fn.text_sha(reduce.clean_chunk(framed)).alias("sha"))
 
 
-@query()
+@query(f"""SELECT doc_id, array_to_string(list_reduce(list_concat([{{'used': 0::BIGINT, 'kept': []::VARCHAR[]}}], list_transform(s, lambda x: {{'used': greatest(1, CAST(ceil(length(x) / 4.0) AS BIGINT)), 'kept': [x]}})),
+lambda acc, x: CASE WHEN acc.used + x.used > 120 THEN acc ELSE {{'used': acc.used + x.used, 'kept': list_concat(acc.kept, x.kept)}} END).kept, ' ') AS kept FROM (SELECT doc_id, {SENTENCES} AS s FROM documents)""")
 def greedy_budget(spark, sf_dir):
     return sentence_rows(spark, sf_dir).select("doc_id", F.array_join(reduce.keep_within(F.col("s"), 120), " ").alias("kept"))
 
 
 @query()
 def reduce_mmr(spark, sf_dir):
-    """Documents cut to 200 tokens: windows of sentences by hashed word vectors, nearest to the document's mean."""
-    dim = 32
+    """Documents cut to 200 tokens: windows of sentences by counts of hashed words, nearest to the document's mean."""
     rows = sentence_rows(spark, sf_dir).where(F.size("s") > 0)
-    n = F.size("s")
-    count = F.when(n <= 3, 1).otherwise(F.ceil((n - 3) / 2).cast("int") + 1)
-    windows = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.filter(F.sequence(i * 2, i * 2 + 2), lambda j: j < n))
-    hashed = lambda t: F.transform(F.split(F.lower(t), "[^a-z0-9]+"), lambda w: F.pmod(F.hash(w), F.lit(dim)))
-    vector = lambda t: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.size(F.filter(hashed(t), lambda b: b == d)).cast("double"))
-    made = rows.select("doc_id", F.col("s").alias("sentences"), windows.alias("windows")).withColumn("vectors", F.transform("windows", lambda w: vector(F.array_join(F.slice("sentences", w[0] + 1, F.size(w)), " "))))
-    mean = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.aggregate("vectors", F.lit(0.0), lambda a, v: a + v[d]) / F.size("vectors"))
-    return reduce.reduce_records(made.withColumn("anchor", mean), 200, "doc_id")
+    made = rows.select("doc_id", F.col("s").alias("sentences"), fn.window_places(F.col("s")).alias("windows"), vec.word_vectors(fn.sentence_windows(F.col("s")), 32).alias("vectors"))
+    return reduce.reduce_records(made.withColumn("anchor", vec.centroid(F.col("vectors"), 32)), 200, "doc_id")
+
+
+@query()
+def mem_reduce(spark, sf_dir):
+    """Questions and answers cut to 60 tokens together, at most 20 of them for the question."""
+    return reduce.reduce_pairs(recs(spark, sf_dir), 60, 20)

@@ -1,3 +1,6 @@
+import hashlib
+import re
+
 import numpy as np
 import pytest
 from ferrule.operators import gate, ingest, memory, predicates, prompt, reduce, retrieval
@@ -132,9 +135,62 @@ def test_blocks():
     assert reduce.text_blocks(None) == reduce.text_blocks(" \n ") == []
 
 
-def test_clean_text():
-    assert reduce.clean_text("---\ntitle: x\n---\n\nTags: a\nkept\n\n\n```py\nalso\n@@meta y\n## END_OF_PROMPT") == "kept\n\nalso"
-    assert reduce.clean_text(None) == ""
+def test_clean_chunk(spark):
+    texts = ["---\ntitle: x\n---\n\nTags: a\nkept\n\n\n```py\nalso\n@@meta y\n## END_OF_PROMPT", "---\nnever closed", "a\r\n\r\n \r\nb\r---\rdate : x", "", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(reduce.clean_chunk(F.col("t"))).collect()
+    assert [r[0] for r in got] == ["kept\n\nalso", "", "a\n\nb\n---", "", ""]
+
+
+def plain_vector(text, size):
+    out = np.zeros(size)
+    for w in re.findall("[a-z0-9]+", text.lower()):
+        out[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % size] += 1
+    return out
+
+
+def plain_sentences(text):
+    return [x for x in (y.strip() for y in re.split(r"(?<=[.!?])\s+|\n+", text)) if x]
+
+
+def plain_windows(n):
+    return [list(range(i, min(i + 3, n))) for i in range(0, max(n - 1, 1), 2)] if n else []
+
+
+def plain_reduced(sents, windows, vectors, anchor, budget):
+    """Windows one by one, by cosine; sums and comparisons by hand."""
+    cost = lambda t: -(-len(t) // 4)
+    cosine = lambda a, b: float(a @ b / np.sqrt((a @ a) * (b @ b))) if a.any() and b.any() else 0.0
+    if cost(" ".join(sents)) <= budget:
+        return sents
+    if budget <= 0:
+        return []
+    left, taken = budget, []
+    ranked = sorted(range(len(windows)), key=lambda i: (-round(cosine(vectors[i], anchor), 12), i))
+    for i in ranked:
+        c = cost(" ".join(sents[j] for j in windows[i]))
+        if c <= left and all(cosine(vectors[i], vectors[t]) < 0.92 for t in taken):
+            taken, left = [*taken, i], left - c
+    out, left = [], budget
+    for j in sorted({j for i in taken or ranked[:1] for j in windows[i]}):
+        if cost(sents[j]) <= left:
+            out, left = [*out, sents[j]], left - cost(sents[j])
+    return out
+
+
+def test_reduce_pairs(spark):
+    """Against a plain version: one-sentence, long, repeating, empty and null texts."""
+    long = " ".join(f"Topic {i % 5} has {'word ' * (i % 7)}number {i}." for i in range(30))
+    recs = [("a", "Short one?", long), ("b", long, "Yes. No."), ("c", "Same line. " * 40, long), ("d", "", "An answer."), ("e", None, None), ("f", "!!! ???", long)]
+    got = {r.record_id: (r.question, r.answer) for r in reduce.reduce_pairs(spark.createDataFrame(recs, "record_id string, input_text string, output_text string"), 60, 20).collect()}
+    for key, q, a in recs:
+        sents = [plain_sentences(x or "") for x in (q, a)]
+        places = [plain_windows(len(s)) for s in sents]
+        vectors = [[plain_vector(" ".join(s[j] for j in w), reduce.SIZE) for w in p] for s, p in zip(sents, places, strict=True)]
+        anchor = np.mean(vectors[0] + vectors[1], axis=0) if vectors[0] + vectors[1] else np.zeros(reduce.SIZE)
+        cost = [-(-len(x or "") // 4) for x in (q, a)]
+        first = min(round(60 * cost[0] / max(sum(cost), 1)), 20) or (20 if cost[0] else 0)
+        want = [" ".join(plain_reduced(s, p, v, anchor, b)) for s, p, v, b in zip(sents, places, vectors, (first, 60 - first), strict=True)]
+        assert got[key] == tuple(want), key
 
 
 def test_sources(spark, tmp_path):

@@ -7,8 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import read_records
 from ..sources.shared import shared_dir
 from ..streaming import ingest as streaming
+from .ingest import CHUNKS
+from .memory import RECS, recs
 from .registry import query
 
 
@@ -50,10 +53,44 @@ def stream_event_windows(spark, sf_dir):
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
-@query()
+STEP = """CASE WHEN x.score >= 0.25 THEN {'id': x.id, 'score': 0::DOUBLE, 'pending': '', 'out': list_concat(a.out, [x.id || '|activebrief_update|'])}
+WHEN a.pending <> '' AND abs(x.score - a.score) <= 0.25 THEN {'id': x.id, 'score': 0::DOUBLE, 'pending': '', 'out': list_concat(a.out, [x.id || '|pending_topic_shift|'])}
+ELSE {'id': x.id, 'score': x.score, 'pending': x.id, 'out': list_concat(a.out, [x.id || '|skip_and_update_pending_topic|' || x.id])} END"""
+
+
+@query(f"""SELECT file_id, split_part(o, '|', 1) AS record_id, split_part(o, '|', 2) AS route, split_part(o, '|', 3) AS pending FROM (
+SELECT file_id, unnest(list_reduce(list_concat([{{'id': '', 'score': 0::DOUBLE, 'pending': '', 'out': []::VARCHAR[]}}], rows), lambda a, x: {STEP}).out) AS o FROM (
+SELECT conv_id AS file_id, list({{'id': conv_id || '-' || turn, 'score': (length(text) % 100) / 100.0::DOUBLE, 'pending': '', 'out': []::VARCHAR[]}} ORDER BY turn) AS rows FROM conversations WHERE role = 'user' GROUP BY 1))""")
 def stream_pending_topics(spark, sf_dir):
-    """Per-conversation state over a stream of turns."""
+    """Per-conversation state over a stream of turns; in SQL, a fold over each conversation's turns in order."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     stream = spark.readStream.schema(turns.schema).parquet(f"{sf_dir}/conversations.parque[t]")
     rows = stream.where("role = 'user'").select(F.col("conv_id").alias("file_id"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("record_id"), F.col("turn").alias("ordinal"), ((F.length("text") % 100) / 100.0).alias("brief_score"))
     return run_to_end(streaming.pending_topics(rows))
+
+
+@query("SELECT DISTINCT sha256(text) AS sha FROM conversations")
+def stream_dedup(spark, sf_dir):
+    """Turns that come again within the delay are dropped; all of these arrive at one time."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    stream = spark.readStream.schema(turns.schema).parquet(f"{sf_dir}/conversations.parque[t]")
+    rows = stream.select(F.sha2("text", 256).alias("sha"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("at"))
+    return run_to_end(streaming.dedup_stream(rows, "at", "1 hour", "sha")).select("sha")
+
+
+@query(CHUNKS)
+def stream_chunks(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stream = spark.readStream.schema(docs.schema).parquet(f"{sf_dir}/documents.parque[t]")
+    return run_to_end(streaming.chunk_stream(stream, ["doc_id"]))
+
+
+@query(f"SELECT record_id, sha256(input_text) AS question, sha256(output_text) AS answer, true AS logged FROM {RECS}")
+def stream_capture(spark, sf_dir):
+    """Records as they come, each batch appended to the log and added to the index; the log is read back beside it."""
+    root, own = shared(spark), recs(spark, sf_dir).select("record_id", "input_text", "output_text")
+    own.write.parquet(f"{root}/in")
+    streaming.capture(spark, f"{root}/in", _ddl(own), f"{root}/log", f"{root}/store", f"{root}/check").awaitTermination()
+    logged = read_records(spark, f"{root}/log/*").select("record_id", F.lit(True).alias("logged"))
+    rows = streaming.stored(spark, f"{root}/store", _ddl(own), "record_id").join(logged, "record_id", "left")
+    return rows.select("record_id", F.sha2("input_text", 256).alias("question"), F.sha2("output_text", 256).alias("answer"), F.coalesce("logged", F.lit(False)).alias("logged"))

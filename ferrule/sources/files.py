@@ -134,7 +134,12 @@ def render_record(record: Column) -> Column:
 
 def append_records(records: DataFrame, path: str) -> None:
     """Blocks appended as new part files of a log folder."""
-    records.select(render_record(F.struct(*records.columns)).alias("value")).write.mode("append").text(path)
+    write_records(records, path, "append")
+
+
+def write_records(records: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Blocks of records in a log folder, replacing what it holds unless the mode says otherwise."""
+    records.select(render_record(F.struct(*records.columns)).alias("value")).write.mode(mode).text(path)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
 from ..operators.ingest import chunk_rows
-from ..sources.files import current, publish
+from ..sources.files import current, publish, write_records
 
 
 def ingest_stream(spark: SparkSession, source: str, schema: str, store: str, checkpoint: str, key: str = "doc_id") -> StreamingQuery:
@@ -23,11 +23,29 @@ def ingest_stream(spark: SparkSession, source: str, schema: str, store: str, che
     stream = spark.readStream.schema(schema).parquet(source)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.dropDuplicates([key]).withColumn("batch_", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{store}/deltas/{batch_id:012d}")
+        _delta(batch, batch_id, store, key)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _delta(batch: DataFrame, batch_id: int, store: str, key: str) -> None:
+    batch.dropDuplicates([key]).withColumn("batch_", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{store}/deltas/{batch_id:012d}")
+
+
+def capture(spark: SparkSession, source: str, schema: str, log: str, store: str, checkpoint: str, key: str = "record_id") -> StreamingQuery:
+    """Records as they come: each micro-batch becomes a part of the record log, then a delta of the store.
+
+    Both are named after the batch, so one that is run again replaces what it wrote before.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_records(batch, f"{log}/{batch_id:012d}")
+        _delta(batch, batch_id, store, key)
+
+    stream = spark.readStream.schema(schema).parquet(source)
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stored(spark: SparkSession, store: str, schema: str, key: str = "doc_id") -> DataFrame:
     """The last row of each key over the base and the deltas after it."""
     base = current(spark, store, f"{schema}, batch_ long")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import blank, norm_phrase, strip
+from ..functions.text import blank, norm_phrase, once, sentence_windows, sentences, strip
+from ..functions.vectors import centroid, cosine, top_mean, word_vectors
 
 # What each pair of materiality and relation leads to.
 DECISIONS = (
@@ -95,6 +96,18 @@ def empty_selection(gated: DataFrame, reason: str = "a3_selected_zero_useful_chu
     return gated.crossJoin(F.broadcast(useful_ones)).where("n_useful = 0").select("id", F.lit("DISCARDED").alias("status"), F.lit(0).cast("long").alias("score"), F.lit(reason).alias("reason"))  # one row
 
 
+def brief_scores(rows: DataFrame, size: int = 64) -> DataFrame:
+    """rows (input_text, output_text, brief, pending) with n_vectors, has_centre, brief_mean and pending_mean.
+
+    A record's windows of question and answer are compared with the centroid of the brief's windows, and with
+    that of the pending topic's; a mean is of the most similar ones, and null without a centroid.
+    """
+    encoded = lambda c: word_vectors(sentence_windows(sentences(c)), size)
+    made = rows.withColumns({"own_": F.concat(encoded(F.col("input_text")), encoded(F.col("output_text"))), "brief_": centroid(encoded(F.col("brief")), size), "pending_": centroid(encoded(F.col("pending")), size)})
+    mean = lambda c: F.when(F.col(c).isNotNull(), once(F.transform("own_", lambda v: cosine(v, F.col(c))), top_mean))
+    return made.select(*rows.columns, F.size("own_").alias("n_vectors"), F.col("brief_").isNotNull().alias("has_centre"), mean("brief_").alias("brief_mean"), mean("pending_").alias("pending_mean"))
+
+
 def route(has_brief: Column, n_vectors: Column, has_centre: Column, brief_mean: Column, pending_mean: Column, least: float = 0.25) -> Column:
     """Where a new record's brief goes; pending_mean is null without a pending topic."""
     init, none, safe, update, shift, skip = ROUTES

@@ -165,12 +165,44 @@ def relation_decisions(spark, sf_dir):
     return gate.decide(states.groupBy("materiality", "relation").agg(F.count("*").alias("n"))).select("materiality", "relation", "brief_for_retrieval", "memory_allowed", "n")
 
 
-@query(f"""SELECT record_id, CASE WHEN ordinal = 0 THEN 'init_no_previous_activebrief' WHEN ordinal % 11 = 5 THEN 'skip_no_qa_vectors' WHEN ordinal % 13 = 6 THEN 'activebrief_safe_pass'
-WHEN (length(input_text) % 100) / 100.0 >= 0.25 THEN 'activebrief_update' WHEN ordinal % 2 = 0 AND (length(output_text) % 100) / 100.0 >= 0.25 THEN 'pending_topic_shift' ELSE 'skip_and_update_pending_topic' END AS route FROM {RECS}""")
+def _vectors(column: str) -> str:
+    """SQL: counts of hashed words of each window of three sentences, two apart."""
+    windows = f"(SELECT list_transform(range(0, CASE WHEN len(s) = 0 THEN 0 WHEN len(s) <= 3 THEN 1 ELSE CAST(ceil((len(s) - 3) / 2.0) AS BIGINT) + 1 END), lambda i: array_to_string(list_slice(s, 2 * i + 1, 2 * i + 3), ' ')) FROM (SELECT {SPLIT.format(f"coalesce({column}, '')")} AS s))"
+    buckets = f"list_transform({windows}, lambda t: list_transform(list_filter(regexp_split_to_array(lower(t), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % 64))"
+    return f"list_transform({buckets}, lambda b: list_transform(range(0, 64), lambda d: CAST(len(list_filter(b, lambda x: x = d)) AS DOUBLE)))"
+
+
+CENTRE = "CASE WHEN len({v}) > 0 THEN list_transform(range(1, 65), lambda d: coalesce(list_avg(list_transform({v}, lambda x: x[d])), 0)) END"
+TOP_MEAN = "list_avg(list_slice(list_reverse_sort({s}), 1, CASE WHEN len({s}) <= 4 THEN len({s}) WHEN len({s}) <= 20 THEN 4 ELSE len({s}) // 5 END))"
+SCORED = f"""(SELECT *, {TOP_MEAN.format(s="bs")} AS brief_mean, {TOP_MEAN.format(s="ps")} AS pending_mean FROM (
+SELECT *, CASE WHEN c IS NOT NULL THEN list_transform(own, lambda x: coalesce(list_sum(list_transform(range(1, 65), lambda i: x[i] * c[i])) / nullif(sqrt(list_sum(list_transform(range(1, 65), lambda i: x[i] * x[i]))) * sqrt(list_sum(list_transform(range(1, 65), lambda i: c[i] * c[i]))), 0), 0)) END AS bs,
+CASE WHEN p IS NOT NULL THEN list_transform(own, lambda x: coalesce(list_sum(list_transform(range(1, 65), lambda i: x[i] * p[i])) / nullif(sqrt(list_sum(list_transform(range(1, 65), lambda i: x[i] * x[i]))) * sqrt(list_sum(list_transform(range(1, 65), lambda i: p[i] * p[i]))), 0), 0)) END AS ps
+FROM (SELECT record_id, brief, own, {CENTRE.format(v="bv")} AS c, {CENTRE.format(v="pv")} AS p FROM (
+SELECT record_id, brief, list_concat({_vectors("input_text")}, {_vectors("output_text")}) AS own, {_vectors("brief")} AS bv, {_vectors("pending")} AS pv
+FROM (SELECT *, lag(output_text) OVER w AS brief, lag(input_text, 2) OVER w AS pending FROM {RECS} WINDOW w AS (PARTITION BY file_id ORDER BY ordinal))))))"""
+
+
+def scored(spark, sf_dir):
+    """A record's brief is the answer before it; what is pending, the question before that."""
+    order = Window.partitionBy("file_id").orderBy("ordinal")
+    rows = recs(spark, sf_dir).withColumns({"brief": F.lag("output_text").over(order), "pending": F.lag("input_text", 2).over(order)})
+    return gate.brief_scores(rows)
+
+
+@query(f"SELECT record_id, CAST(len(own) AS INT) AS n_vectors, round(brief_mean, 6) AS brief_mean, round(pending_mean, 6) AS pending_mean FROM {SCORED}")
+def brief_gate_scores(spark, sf_dir):
+    return scored(spark, sf_dir).select("record_id", "n_vectors", F.round("brief_mean", 6).alias("brief_mean"), F.round("pending_mean", 6).alias("pending_mean"))
+
+
+LEAST = 0.7  # hashed counts of words are more alike than a learned encoder's vectors
+
+
+@query(f"""SELECT record_id, CASE WHEN brief IS NULL THEN 'init_no_previous_activebrief' WHEN len(own) = 0 THEN 'skip_no_qa_vectors' WHEN c IS NULL THEN 'activebrief_safe_pass' WHEN brief_mean >= {LEAST} THEN 'activebrief_update'
+WHEN pending_mean >= {LEAST} THEN 'pending_topic_shift' ELSE 'skip_and_update_pending_topic' END AS route FROM {SCORED}""")
 def brief_gate_route(spark, sf_dir):
-    o = F.col("ordinal")
-    route = gate.route(o != 0, F.when(o % 11 == 5, 0).otherwise(3), o % 13 != 6, (F.length("input_text") % 100) / 100.0, F.when(o % 2 == 0, (F.length("output_text") % 100) / 100.0))
-    return recs(spark, sf_dir).select("record_id", route.alias("route"))
+    rows = scored(spark, sf_dir)
+    route = gate.route(F.col("brief").isNotNull(), F.col("n_vectors"), F.col("has_centre"), F.col("brief_mean"), F.col("pending_mean"), LEAST)
+    return rows.select("record_id", route.alias("route"))
 
 
 @query("SELECT CAST(0 AS BIGINT) AS n, 'no_active_file' AS reason")

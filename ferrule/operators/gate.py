@@ -104,7 +104,7 @@ def brief_scores(rows: DataFrame, size: int = 64) -> DataFrame:
     """
     encoded = lambda c: word_vectors(sentence_windows(sentences(c)), size)
     made = rows.withColumns({"own_": F.concat(encoded(F.col("input_text")), encoded(F.col("output_text"))), "brief_": centroid(encoded(F.col("brief")), size), "pending_": centroid(encoded(F.col("pending")), size)})
-    mean = lambda c: F.when(F.col(c).isNotNull(), once(F.transform("own_", lambda v: cosine(v, F.col(c))), top_mean))
+    mean = lambda c: F.when(F.col(c).isNotNull(), once(F.col(c), lambda centre: once(F.transform("own_", lambda v: cosine(v, centre)), top_mean)))
     return made.select(*rows.columns, F.size("own_").alias("n_vectors"), F.col("brief_").isNotNull().alias("has_centre"), mean("brief_").alias("brief_mean"), mean("pending_").alias("pending_mean"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import once
+
 POWER, EPSILON = 10.0, 1e-12
 HALF_LIFE = 10.0
 # The weights of answer, question and meta scores by a record's mode.
@@ -20,8 +22,8 @@ def word_vectors(texts: Column, size: int = 64) -> Column:
 
 def centroid(vectors: Column, size: int) -> Column:
     """Mean of an array's vectors; null where there are none."""
-    total = F.aggregate(vectors, F.array_repeat(F.lit(0.0), size), lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
-    return F.when(F.size(vectors) > 0, F.transform(total, lambda x: x / F.size(vectors)))
+    total = lambda vs: F.aggregate(vs, F.array_repeat(F.lit(0.0), size), lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
+    return once(vectors, lambda vs: F.when(F.size(vs) > 0, F.transform(total(vs), lambda x: x / F.size(vs))))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine_eps, power_mean
+from ..functions.vectors import POWER, cosine_eps
 
 RRF_K, FLOOR, DEFAULT_K = 60, 0.2, 100
-#: Query pieces are vectors of one request; more than this many aren't broadcast.
-BROADCAST_PIECES = 10_000
+#: Query pieces are vectors of one request; more than this many aren't broadcast, but meet the vectors in blocks.
+BROADCAST_PIECES, BLOCK_PIECES = 10_000, 1_000
 
 
 def top(scored: DataFrame, k: int | None, id_col: str = "id", score: str = "score") -> DataFrame:
@@ -27,16 +27,21 @@ def dense_scores(stored: DataFrame, pieces: DataFrame, id_col: str = "id", vecto
     """id, score: power mean over query pieces of the similarity to each.
 
     Pieces go to the vectors: they are gathered into one array, so stored vectors are neither
-    multiplied in number nor shuffled.
+    multiplied in number nor shuffled. Pieces too many for that are counted, equal ones once, and go as
+    blocks: a vector then meets one row per block, and only its sums, a number each, are shuffled.
     """
-    n = pieces.limit(BROADCAST_PIECES + 1).count()
-    if n <= BROADCAST_PIECES:
+    power = lambda q: F.pow(F.greatest(cosine_eps(F.col(vector), q), F.lit(0.0)), F.lit(POWER))
+    if pieces.limit(BROADCAST_PIECES + 1).count() <= BROADCAST_PIECES:
         query = pieces.agg(F.collect_list(vector).alias("pieces_"))
-        similar = F.transform("pieces_", lambda q: F.pow(F.greatest(cosine_eps(F.col(vector), q), F.lit(0.0)), F.lit(10.0)))
-        mean = F.aggregate(similar, F.lit(0.0), lambda s, x: s + x) / F.size("pieces_")
-        return stored.crossJoin(F.broadcast(query)).where(F.size("pieces_") > 0).select(id_col, F.pow(mean, F.lit(0.1)).alias("score"))
-    both = stored.select(id_col, vector).crossJoin(pieces.select(F.col(vector).alias("piece_")))
-    return both.groupBy(id_col).agg(power_mean(cosine_eps(F.col(vector), F.col("piece_"))).alias("score"))
+        mean = F.aggregate("pieces_", F.lit(0.0), lambda s, q: s + power(q)) / F.size("pieces_")
+        return stored.crossJoin(F.broadcast(query)).where(F.size("pieces_") > 0).select(id_col, F.pow(mean, F.lit(1.0 / POWER)).alias("score"))
+    n = pieces.count()
+    counted = pieces.groupBy(F.col(vector).alias("piece_")).agg(F.count("*").alias("n_"))
+    block = F.pmod(F.xxhash64("piece_"), F.lit(-(-n // BLOCK_PIECES))).alias("block_")
+    blocks = counted.groupBy(block).agg(F.collect_list(F.struct("piece_", "n_")).alias("pieces_")).drop("block_")
+    part = F.aggregate("pieces_", F.lit(0.0), lambda s, q: s + q["n_"] * power(q["piece_"]))
+    parts = stored.select(id_col, vector).crossJoin(blocks).select(id_col, part.alias("part_"))
+    return parts.groupBy(id_col).agg(F.pow(F.sum("part_") / n, F.lit(1.0 / POWER)).alias("score"))
 
 
 def floor(ranked_rows: DataFrame, least: float = FLOOR, score: str = "score") -> DataFrame:

@@ -306,3 +306,15 @@ def test_sinks(spark, tmp_path):
     assert rows(spark.read.json(f"file://{tmp_path}/meta"), "file_id", "ids") == [(1, "c")]
     files.write_jsonl(spark.createDataFrame([("ü", None)], "a string, b string"), f"file://{tmp_path}/l")
     assert [r.value for r in spark.read.text(f"file://{tmp_path}/l").collect()] == ['{"a":"ü"}']
+
+
+def test_many_pieces_meet_the_vectors_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    stored = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(40, 6)))], "id int, vector array<double>")
+    drawn = rng.normal(size=(25, 6)).tolist()
+    pieces = spark.createDataFrame([(v,) for v in [*drawn, [0.0] * 6] + [drawn[0]] * 12], "vector array<double>")
+    whole = dict(map(tuple, retrieval.dense_scores(stored, pieces).collect()))
+    monkeypatch.setattr(retrieval, "BROADCAST_PIECES", 5)
+    monkeypatch.setattr(retrieval, "BLOCK_PIECES", 4)
+    assert dict(map(tuple, retrieval.dense_scores(stored, pieces).collect())) == pytest.approx(whole)
+    assert len(whole) == 40

@@ -35,6 +35,22 @@ def field_config(field: dict[str, Any]) -> dict[str, Any]:
     return {"allowed": [o["id"] for o in options], "default": field.get("default"), "most": (most if most > 1 else len(options)) if many else 1, "many": many, "labels": named("label"), "descriptions": named("description")}
 
 
+def targets_text(targets: list[dict[str, Any]], fields: dict[str, dict[str, Any]], keys: dict[str, str] | None = None) -> str:
+    """What an agent may choose: per target (id, label, min_selected, max_selected) its rule and its field's options; targets without an id are left out."""
+    blocks = []
+    for t in targets:
+        if not (name := t.get("id")):
+            continue
+        field, most = fields.get(name, {}), int(t.get("max_selected", 1))
+        lines = [f"Field '{t.get('label', name)}' (JSON key: '{(keys or {}).get(name, name)}')"]
+        lines.append(f"- Select between {int(t.get('min_selected', 1))} and {most} option ids." if most > 1 else "- Select exactly one option id.")
+        for option in field.get("allowed", []):
+            said = [(field[what].get(option) or "").strip() for what in ("labels", "descriptions")]
+            lines.append(f"  * {option}: {' — '.join(x for x in said if x)}" if any(said) else f"  * {option}")
+        blocks.append("\n".join(lines))
+    return "\n\n".join(blocks)
+
+
 def selected(answer: Column, fields: dict[str, dict[str, Any]]) -> dict[str, Column]:
     """A column per field: a text, or an array where the field takes several; defaults stand in for what isn't allowed."""
     obj = json_object(answer)

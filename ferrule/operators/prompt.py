@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,3 +114,39 @@ def option_labels(chosen: DataFrame, labels: DataFrame, key: str = "prompt_id")
     text = F.coalesce(F.when(~blank(F.col("label")), strip(F.col("label"))), F.col("option_"))
     listed = F.array_sort(F.collect_list(F.struct("pos", text.alias("text"))))
     return found.groupBy(key, "field").agg(F.array_join(F.transform(listed, lambda x: x["text"]), ", ").alias("text"))
+
+
+TARGETS = "decision_targets"
+
+
+def agent_messages(fixed: dict[str, str], bindings: list[dict[str, Any]], payload: dict[str, Column], targets: str = "", order: list[str] | None = None) -> tuple[Column, Column]:
+    """System and user message of an agent; an empty user message is one not to be sent.
+
+    The system message has the preamble, the items of ``order`` (names of fixed texts, ids of bindings, or the
+    targets, whose place a row's own text may take), then fixed texts and targets that weren't placed. The user
+    message has the other bindings (id, prompt_text, visible_in_prompt, required): each its text and the row's value.
+    """
+    own = {b["id"].strip(): b for b in bindings if (b.get("id") or "").strip()}
+    if lacking := [n for n, b in own.items() if b.get("required") and n not in payload]:
+        raise ValueError(f"no value for {', '.join(lacking)}")
+    places = list(dict.fromkeys(x[3:] if x.lower().startswith("id:") else x for x in map(str.strip, order or []) if x))
+    value = lambda n: payload.get(n, F.lit(None).cast("string"))
+    filled = lambda c: F.when(~blank(c), strip(c))
+    under = lambda title, c: F.when(~blank(c), F.concat(F.lit(f"## {title}\n"), strip(c), F.lit("\n")))
+    bound = lambda n: F.concat_ws("\n", filled(F.lit(own[n].get("prompt_text")).cast("string")), filled(value(n)), F.lit(""))
+    shown = [n for n, b in own.items() if b.get("visible_in_prompt", True)]
+
+    preamble = F.lit(fixed.get("preamble")).cast("string")
+    system, rest = [F.when(~blank(preamble), F.concat(strip(preamble), F.lit("\n")))], [n for n in fixed if n.strip().lower() != "preamble"]
+    later = F.lit(targets)
+    for n in places:
+        if n in own:
+            system += [bound(n)] if n in shown else []
+        elif n == TARGETS:
+            system.append(under("Decision Targets", F.coalesce(filled(value(n)), F.lit(targets))))
+            later = F.when(~blank(value(n)), F.lit(targets))
+        elif n in rest:
+            system.append(under(n, F.lit(fixed[n])))
+            rest.remove(n)
+    system += [*(under(n, F.lit(fixed[n])) for n in rest), under("Decision Targets", later)]
+    return strip(F.concat_ws("\n", *system)), strip(F.concat_ws("\n", F.lit(""), *(bound(n) for n in shown if n not in places)))

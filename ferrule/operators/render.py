@@ -55,3 +55,37 @@ def evidence_xml(chunks: DataFrame, by: list[str] | None = None, source: bool =
     lines = F.array_join(F.transform(F.split(mask_structure(F.col("text")), "\n"), lambda x: F.concat(F.lit("      "), x)), "\n")
     item = F.concat(head, F.lit("\n    <chunk_text>\n"), lines, F.lit("\n    </chunk_text>\n  </chunk>"))
     return chunks.groupBy(*(by or [])).agg(F.concat(F.lit("<evidence_chunks>\n"), ordered_lines("pos", item), F.lit("\n</evidence_chunks>")).alias("xml"))
+
+
+# The head and the sections of a listing of memory candidates, in order.
+CANDIDATES = "### Raw Memory Retrieval Candidates\n\nThese are raw memory candidates produced by the Retrieval stage.\nThey are not final prompt context."
+SECTIONS = ("Synthesized Memory Context", "Working Memory Candidates", "Episodic Candidates", "Semantic Memory Chunks", "Direct Recall Candidate", "Selection Diagnostics")
+
+
+def fenced(text: Column, kind: str = "text", title: str = "") -> Column:
+    """A text in a fence under its title; null where it is blank."""
+    return F.when(~blank(text), F.concat(F.lit(f"{title}```{kind}\n"), strip(text), F.lit("\n```")))
+
+
+def question_answer(question: Column, answer: Column) -> Column:
+    both = F.concat_ws("\n", fenced(question, title="INPUT\n"), fenced(answer, title="OUTPUT\n"))
+    return F.when(both == "", "(no Q/A body available)").otherwise(both)
+
+
+def candidate(name: Column, id_: Column, fields: dict[str, Column], body: Column) -> Column:
+    """A candidate's name and id, its fields, a line each, and its body if it has one."""
+    line = lambda k, c: F.concat(F.lit(f"- {k}: `"), F.coalesce(c.cast("string"), F.lit("")), F.lit("`"))
+    head = F.concat(F.lit("**"), name, F.lit(":** `"), F.coalesce(id_.cast("string"), F.lit("")), F.lit("`"))
+    return F.concat_ws("\n", head, *(line(k, c) for k, c in fields.items()), F.when(~blank(body), F.concat(F.lit("\n"), body)))
+
+
+def candidates_markdown(entries: DataFrame, by: str = "file_id") -> DataFrame:
+    """by, markdown: entries (section, pos, text) of each pack under all six sections; one without entries says so.
+
+    A pack holds a request's few candidates; they meet by one grouping, whatever table each comes from.
+    """
+    c = F.col
+    listed = lambda s: F.array_sort(F.collect_list(F.when(c("section") == s, F.struct("pos", "text"))))
+    joined = lambda s: F.array_join(F.transform(listed(s), lambda x: x["text"]), "\n\n")
+    parts = (F.concat(F.lit(f"#### {s}\n"), F.coalesce(F.nullif(joined(s), F.lit("")), F.lit("(none)"))) for s in SECTIONS)
+    return entries.groupBy(by).agg(F.concat_ws("\n\n", F.lit(CANDIDATES), *parts).alias("markdown"))

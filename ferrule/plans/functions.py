@@ -9,7 +9,7 @@ from ..functions import text as fn
 from ..functions import vectors as vec
 from ..operators import answers, gate, ingest, memory, predicates, prompt, render
 from .ingest import BEFORE, CHUNKS, NOW, STRIP, before_and_now
-from .memory import RECS, recs
+from .memory import DISTANCE, HITS, RECALL, RECS, TOP_FINAL, WORKING, hits, mem_direct_recall, recs, top_parents
 from .registry import query, table
 from .texts import GATED, STATE, TRIMMED, gated, states
 
@@ -203,3 +203,64 @@ def token_usage(spark, sf_dir):
     short = F.struct(n("input_text").alias("input_tokens"), n("output_text").alias("output_tokens"))
     response = F.when(c("ordinal") % 2 == 0, F.to_json(F.struct(full.alias("usage")))).otherwise(F.to_json(F.struct(short.alias("usage"))))
     return answers.usage(recs(spark, sf_dir).select("mode", response.alias("response")), ["mode"])
+
+
+# ---- messages and listings
+
+AGENT = {"preamble": " You choose. ", "Rules": "Be short.", "Empty": " ", "Output": "JSON only."}
+BINDINGS = [{"id": "task", "prompt_text": "Task:", "required": True}, {"id": "memory", "prompt_text": "Memory:"}, {"id": "mode"}, {"id": "secret", "visible_in_prompt": False}]
+TARGETS = answers.targets_text([{"id": "lang", "label": "Language"}, {"id": "tags", "min_selected": 0, "max_selected": 2}, {"label": "no id"}], FIELDS, {"tags": "chosen"})
+
+
+@query(f"""SELECT record_id, concat_ws(chr(10) || chr(10), 'You choose.', 'Memory:' || chr(10) || {TRIMMED["output_text"]}, '## Output' || chr(10) || 'JSON only.',
+'## Decision Targets' || chr(10) || CASE WHEN tag = 'Gold' THEN 'any' ELSE {{t}} END, '## Rules' || chr(10) || 'Be short.', CASE WHEN tag = 'Gold' THEN '## Decision Targets' || chr(10) || {{t}} END) AS system,
+'Task:' || chr(10) || {TRIMMED["input_text"]} || CASE WHEN mode = 'QA' THEN '' ELSE chr(10) || chr(10) || mode END AS user FROM {RECS}""".format(t="'" + TARGETS.replace("'", "''") + "'"))
+def agent_messages(spark, sf_dir):
+    """Memory goes to the system message, targets to their place, those of Gold records after their own text."""
+    c = F.col
+    payload = {"task": c("input_text"), "memory": c("output_text"), "mode": F.when(c("mode") != "QA", c("mode")), "secret": c("tag"), "decision_targets": F.when(c("tag") == "Gold", "any ")}
+    system, user = prompt.agent_messages(AGENT, BINDINGS, payload, TARGETS, ["id:memory", "Output", "", "secret", "decision_targets", "unknown"])
+    return recs(spark, sf_dir).select("record_id", system.alias("system"), user.alias("user"))
+
+
+def _score(x: str) -> str:
+    return f"regexp_replace(regexp_replace(printf('%.8f', round({x}, 6)), '0+$', ''), '\\.$', '')"
+
+
+def _lines(head: str, id_: str, **fields: str) -> str:
+    return f"{head} || ':** `' || {id_} || '`'" + "".join(f" || chr(10) || '- {k}: `' || {v} || '`'" for k, v in fields.items()) + " || chr(10) || chr(10)"
+
+
+BODY = f"'INPUT' || chr(10) || '```text' || chr(10) || {STRIP.format('r.input_text')} || chr(10) || '```' || chr(10) || 'OUTPUT' || chr(10) || '```text' || chr(10) || {STRIP.format('r.output_text')} || chr(10) || '```'"
+AGE = "pow(2, -{} / 10.0::DOUBLE)"
+LISTED = f"""(SELECT file_id, 1 AS section, pos, {_lines("'**W' || pos || '. record_id'", "record_id", tag="tag", retrieval_source_mode="'working'")} || {BODY} AS text FROM {WORKING} r
+UNION ALL SELECT file_id, 2, pos, {_lines("'**E' || pos || '. record_id'", "r.record_id", tag="t.tag", final_score=_score("final_score"), semantic_score=_score("semantic_score"), recency_score=_score(AGE.format("k")), episode_distance_k="k")} || {BODY}
+FROM (SELECT record_id, tag, final_score, semantic_score, k, row_number() OVER (PARTITION BY file_id ORDER BY final_score DESC, record_id) AS pos FROM {TOP_FINAL}) t JOIN {RECS} r USING (record_id)
+UNION ALL SELECT file_id, 3, pos, {_lines("'**M' || pos || '. vector_id'", "vector_id", record_id="r.record_id", role="role", final_score=_score("s"), semantic_score=_score("score"), recency_score=_score(AGE.format("k")), episode_distance_k="k")} || '```text' || chr(10) || CASE role WHEN 'question' THEN {STRIP.format("input_text")} ELSE {STRIP.format("output_text")} END || chr(10) || '```'
+FROM (SELECT *, row_number() OVER (ORDER BY s DESC, vector_id) AS pos FROM (SELECT h.*, d.file_id, d.k, d.input_text, d.output_text, CASE WHEN d.tag = 'Gold' THEN h.score ELSE 0.9::DOUBLE * h.score + 0.1::DOUBLE * pow(2, -d.k / 10.0::DOUBLE) END AS s
+FROM {HITS} h JOIN {DISTANCE} d USING (record_id) WHERE h.role IN ('question', 'answer') AND d.tag <> 'Black') QUALIFY pos <= 5) r
+UNION ALL SELECT x.file_id, 4, row_number() OVER (ORDER BY recall_key), {_lines("'**record_id'", "r.record_id", file_id="x.file_id", tag="x.tag", direct_recall_key="recall_key")} || {BODY} FROM ({RECALL}) x JOIN {RECS} r USING (record_id))"""
+NUMBERS = {"Working Memory Candidates": 1, "Episodic Candidates": 2, "Semantic Memory Chunks": 3, "Direct Recall Candidate": 4}
+
+
+@query(f"SELECT file_id, '{render.CANDIDATES}'" + "".join(f" || chr(10) || chr(10) || '#### {s}' || chr(10) || coalesce(string_agg(text, chr(10) || chr(10) ORDER BY pos) FILTER (section = {NUMBERS.get(s, 0)}), '(none)')" for s in render.SECTIONS) + f" AS markdown FROM {LISTED} GROUP BY 1")
+def render_candidates(spark, sf_dir):
+    """Newest records, best parents, best chunks and recalled records of every file, listed with their scores."""
+    c, own = F.col, recs(spark, sf_dir)
+    texts = own.select("record_id", "input_text", "output_text")
+    both = render.question_answer(c("input_text"), c("output_text"))
+    name = lambda mark, what: F.concat(F.lit(mark), c("pos").cast("string"), F.lit(f". {what}"))
+    six = lambda x: fn.format_score(F.round(x, 6))
+    rated = lambda final, semantic: {"final_score": six(c(final)), "semantic_score": six(c(semantic)), "recency_score": six(vec.recency(c("k"))), "episode_distance_k": c("k")}
+    best = top_parents(spark, sf_dir).withColumn("pos", F.row_number().over(Window.partitionBy("file_id").orderBy(F.desc("final_score"), "record_id")))
+    chunks = memory.semantic_chunks(hits(spark, sf_dir), own).withColumn("pos", F.row_number().over(Window.orderBy(F.desc("chunk_score"), "vector_id")))  # five rows
+    recalled = mem_direct_recall(spark, sf_dir).withColumn("pos", F.row_number().over(Window.orderBy("recall_key")))  # a request's keys
+    text = F.when(c("role") == "question", c("input_text")).otherwise(c("output_text"))
+    entry = lambda rows, section, line: rows.select("file_id", F.lit(section).alias("section"), c("pos").cast("long").alias("pos"), line.alias("text"))
+    made = (
+        entry(memory.latest(own, 2), "Working Memory Candidates", render.candidate(name("W", "record_id"), c("record_id"), {"tag": c("tag"), "retrieval_source_mode": F.lit("working")}, both)),
+        entry(best.join(texts, "record_id"), "Episodic Candidates", render.candidate(name("E", "record_id"), c("record_id"), {"tag": c("tag"), **rated("final_score", "semantic_score")}, both)),
+        entry(chunks.join(texts, "record_id"), "Semantic Memory Chunks", render.candidate(name("M", "vector_id"), c("vector_id"), {"record_id": c("record_id"), "role": c("role"), **rated("chunk_score", "score")}, render.fenced(text))),
+        entry(recalled.join(texts, "record_id"), "Direct Recall Candidate", render.candidate(F.lit("record_id"), c("record_id"), {"file_id": c("file_id"), "tag": c("tag"), "direct_recall_key": c("recall_key")}, both)),
+    )
+    return render.candidates_markdown(made[0].unionByName(made[1]).unionByName(made[2]).unionByName(made[3]))

@@ -85,3 +85,20 @@ def op5_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = texts(table(spark, sf_dir, "documents"))
     store = write_media(docs)
     return read_media(store).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+def _little(number: str) -> str:
+    """SQL: four bytes of a number, the lowest first, in hexadecimal digits."""
+    return " || ".join(f"printf('%02X', ({number}) // {1 << shift} % 256)" for shift in (0, 8, 16, 24))
+
+
+#: Container, hashes, the checksum by its table, and features, without a store.
+ORACLE_SQL = f"""WITH table_ AS (SELECT list(c ORDER BY k) AS step FROM (SELECT k, list_reduce([CAST(k AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, {0xEDB88320}) ELSE c // 2 END) AS c FROM range(256) t(k))),
+bare AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+padded AS (SELECT doc_id, n, h || repeat('00', CASE WHEN n = 0 THEN {BLOCK} ELSE ({BLOCK} - n % {BLOCK}) % {BLOCK} END) AS p FROM bare),
+samples AS (SELECT doc_id, n, p, length(p) // 2 AS m, list_transform(regexp_extract_all(p, '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM padded),
+waves AS (SELECT *, hex('RIFF') || {_little("m + 36")} || hex('WAVEfmt ') || '100000000100' || '0100' || {_little(str(RATE))} || {_little(str(RATE))} || '01000800' || hex('data') || {_little("m")} || p AS w FROM samples)
+SELECT doc_id, n AS n_bytes, CAST(m AS BIGINT) AS payload_bytes, lower(sha256(unhex(p))) AS payload_sha256,
+xor(list_reduce(list_concat([{0xFFFFFFFF}::BIGINT], list_slice(b, m - {BLOCK - 1}, m)), lambda c, x: xor(c // 256, step[xor(c % 256, x) + 1])), {0xFFFFFFFF}::BIGINT) AS tail_crc32, CAST(m + 44 AS BIGINT) AS media_bytes, lower(sha256(unhex(w))) AS media_sha256,
+array_to_string(list_concat([list_min(b), list_max(b), CAST(list_sum(b) AS BIGINT), CAST(list_sum(list_transform(b, lambda x: x * x)) AS BIGINT), len(list_filter(range(1, m), lambda i: (b[i] >= 128) <> (b[i + 1] >= 128)))],
+list_transform(range(0, 16), lambda k: len(list_filter(b, lambda x: x // 16 = k)))), ',') AS feature FROM waves, table_"""

@@ -7,6 +7,7 @@ from .decontaminate import op8_decontamination
 from .language import op4_language
 from .linededup import ORACLE_SQL as LINES_SQL
 from .linededup import op6_line_dedup
+from .media import ORACLE_SQL as MEDIA_SQL
 from .media import op5_media_chunks
 from .neardup import op9_near_dedup
 from .pieces import op3_sentencepiece
@@ -28,4 +29,4 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op6_line_dedup": LINES_SQL, "op8_decontamination": WINDOWS_SQL, "op10_suffix_dedup": STRINGS_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_media_chunks": MEDIA_SQL, "op6_line_dedup": LINES_SQL, "op8_decontamination": WINDOWS_SQL, "op10_suffix_dedup": STRINGS_SQL}

@@ -250,6 +250,21 @@ def test_lines_match_sql(spark, small):
     assert sorted(tuple(r) for r in linededup.op6_line_dedup(spark, small).collect()) == want
 
 
+def test_media_matches_sql(spark, tmp_path, docs):
+    """Null, empty, long and repeated texts, and one whose length is a multiple of the block."""
+    import duckdb
+
+    rows = [*((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()), (901, None), (902, ""), (903, "é" * 32), (904, "x" * 70_001), (905, "é" * 32)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.execute(media.ORACLE_SQL)
+    names = [d[0] for d in want.description]
+    got = media.op5_media_chunks(spark, str(tmp_path))
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(map(repr, (tuple(r) for r in got.select(names).collect()))) == sorted(map(repr, want.fetchall()))
+
+
 def test_quality_marginals():
     """Forward-backward against the sum over all labellings."""
     import itertools

@@ -28,12 +28,12 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 def terms(docs: DataFrame, id_col: str, only: DataFrame | None = None) -> DataFrame:
     """id, term, weight: words hashed to buckets, weighted 1 + ln(tf); a deterministic stand-in for a learned sparse encoder.
 
-    With ``only`` (term), one request's terms, others are dropped before anything is counted or shuffled.
+    With ``only`` (term), one request's terms, others are dropped before anything is counted or shuffled. A term is
+    never null and says so: a join on a nullable one would make Spark hash every word twice, first to test it for null.
     """
-    bucket = lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % BUCKETS
-    listed = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "")
-    words = docs.select(F.col(id_col).alias("id"), F.explode(listed).alias("word"))
-    hashed = words.select("id", bucket(F.col("word")).alias("term"))
+    bucket = F.coalesce(F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long") % BUCKETS, F.lit(0).cast("long"))
+    words = docs.select(F.col(id_col).alias("id"), F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("word")).where("word <> ''")
+    hashed = words.select("id", bucket.alias("term"))
     if only is not None:
         hashed = hashed.join(F.broadcast(only.select("term").distinct()), "term", "left_semi")
     return hashed.groupBy("id", "term").agg((F.lit(1.0) + F.log(F.count("*"))).alias("weight"))

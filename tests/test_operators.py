@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 import pytest
-from ferrule.operators import gate, ingest, memory, predicates, prompt, reduce, retrieval
+from ferrule.operators import answers, gate, ingest, memory, predicates, prompt, reduce, retrieval
 from ferrule.sources import files
 from pyspark.sql import functions as F
 
@@ -318,3 +318,16 @@ def test_many_pieces_meet_the_vectors_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "BLOCK_PIECES", 4)
     assert dict(map(tuple, retrieval.dense_scores(stored, pieces).collect())) == pytest.approx(whole)
     assert len(whole) == 40
+
+
+def test_agent_messages(spark):
+    with pytest.raises(ValueError, match="a"):
+        prompt.agent_messages({}, [{"id": "a", "required": True}], {})
+    none = F.lit(None).cast("string")
+    rows = spark.range(1).select(*prompt.agent_messages({"Only": "x"}, [{"id": " "}, {"id": "a"}, {"id": "b", "prompt_text": "B"}], {"a": none}, order=["ID:a", "decision_targets"]))
+    assert tuple(rows.first()) == ("## Only\nx", "B")
+
+
+def test_targets_text():
+    fields = {"f": {"allowed": ["p", "q"], "labels": {"p": " P "}, "descriptions": {"p": "first", "q": ""}}}
+    assert answers.targets_text([{"id": "f"}, {}], fields) == "Field 'f' (JSON key: 'f')\n- Select exactly one option id.\n  * p: P — first\n  * q"

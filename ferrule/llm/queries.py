@@ -13,6 +13,8 @@ from .neardup import op9_near_dedup
 from .pieces import op3_sentencepiece
 from .pii import op1_pii
 from .quality import op7_quality
+from .ranking import ORACLE_SQL as RANKING_SQL
+from .ranking import op11_ranked_search
 from .suffixdedup import ORACLE_SQL as STRINGS_SQL
 from .suffixdedup import op10_suffix_dedup
 from .tokens import op2_token_store
@@ -28,5 +30,12 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_near_dedup": op9_near_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_ranked_search": op11_ranked_search,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op5_media_chunks": MEDIA_SQL,
+    "op6_line_dedup": LINES_SQL,
+    "op8_decontamination": WINDOWS_SQL,
+    "op10_suffix_dedup": STRINGS_SQL,
+    "op11_ranked_search": RANKING_SQL,
 }
-ORACLE_SQL: dict[str, str] = {"op5_media_chunks": MEDIA_SQL, "op6_line_dedup": LINES_SQL, "op8_decontamination": WINDOWS_SQL, "op10_suffix_dedup": STRINGS_SQL}

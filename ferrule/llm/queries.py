@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .collocations import ORACLE_SQL as PHRASES_SQL
+from .collocations import op12_collocations
 from .decontaminate import ORACLE_SQL as WINDOWS_SQL
 from .decontaminate import op8_decontamination
 from .language import op4_language
@@ -31,6 +33,7 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_ranked_search": op11_ranked_search,
+    "op12_collocations": op12_collocations,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_media_chunks": MEDIA_SQL,
@@ -38,4 +41,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_decontamination": WINDOWS_SQL,
     "op10_suffix_dedup": STRINGS_SQL,
     "op11_ranked_search": RANKING_SQL,
+    "op12_collocations": PHRASES_SQL,
 }

@@ -20,6 +20,8 @@ from .ranking import op11_ranked_search
 from .suffixdedup import ORACLE_SQL as STRINGS_SQL
 from .suffixdedup import op10_suffix_dedup
 from .tokens import op2_token_store
+from .vectorgraph import ORACLE_SQL as VECTORS_SQL
+from .vectorgraph import op13_vector_dedup
 
 QUERIES = {
     "op1_pii": op1_pii,
@@ -34,6 +36,7 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_ranked_search": op11_ranked_search,
     "op12_collocations": op12_collocations,
+    "op13_vector_dedup": op13_vector_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_media_chunks": MEDIA_SQL,
@@ -42,4 +45,5 @@ ORACLE_SQL: dict[str, str] = {
     "op10_suffix_dedup": STRINGS_SQL,
     "op11_ranked_search": RANKING_SQL,
     "op12_collocations": PHRASES_SQL,
+    "op13_vector_dedup": VECTORS_SQL,
 }

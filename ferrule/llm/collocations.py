@@ -36,7 +36,7 @@ from .common import scratch, slices, table
 from .wordhash import LOWER
 
 MOST, LEAST, FIRST = 5, 100, 2000
-SHARD_BYTES, RANGE_CHARS, MOST_RANGES = 6_000_000, 6_000_000, 20_000
+SHARD_BYTES, RANGE_CHARS, MOST_RANGES = 4_000_000, 4_000_000, 20_000
 #: Documents and positions that bounds are drawn from, about.
 SAMPLE_DOCS, SAMPLE_PATHS = 4_000, 60_000
 
@@ -115,19 +115,22 @@ class Trie:
     def of_positions(cls, columns: np.ndarray) -> Trie:
         rows = columns[:, ordered(columns)]
         n = rows.shape[1]
-        length = (rows > 0).sum(axis=0)
-        same = np.zeros(n, np.int64)  # leading numbers in common with the row before
+        length = (rows > 0).sum(axis=0, dtype=np.int8)
+        same = np.zeros(n, np.int8)  # leading numbers in common with the row before
         if n:
-            same[1:] = np.minimum(np.cumprod(rows[:, 1:] == rows[:, :-1], axis=0).sum(axis=0), length[1:])
-        new = length - same
-        row = np.repeat(np.arange(n), new)
-        depth = np.arange(len(row)) - np.repeat(np.cumsum(new) - new, new) + same[row] + 1
-        count, runs = np.zeros(len(row), np.int64), np.zeros(n, np.int64)
+            same[1:] = np.minimum(np.cumprod(rows[:, 1:] == rows[:, :-1], axis=0, dtype=np.int8).sum(axis=0, dtype=np.int8), length[1:])
+        new = (length - same).astype(np.int32)
+        row = np.repeat(np.arange(n, dtype=np.int32), new)
+        depth = (np.arange(len(row), dtype=np.int32) - np.repeat(np.cumsum(new, dtype=np.int32) - new, new)).astype(np.int8) + same[row] + np.int8(1)
+        count, runs = np.zeros(len(row), np.int32), np.zeros(n, np.int32)
         for d in range(1, len(rows) + 1):
             heads = np.flatnonzero(same < d)
             runs[heads] = np.diff(np.append(heads, n))
             count[depth == d] = runs[row[depth == d]]
-        return cls(np.where(np.arange(len(rows))[:, None] < depth, rows[:, row], 0), depth, count)
+        path = np.empty((len(rows), len(row)), np.int32)
+        for d, column in enumerate(rows):
+            path[d] = np.where(d < depth, column[row], 0)
+        return cls(path, depth, count)
 
     @classmethod
     def merged(cls, path: np.ndarray, depth: np.ndarray, count: np.ndarray) -> Trie:
@@ -135,7 +138,7 @@ class Trie:
         order = ordered(path)
         path = path[:, order]
         heads = np.flatnonzero(np.concatenate([[True], (path[:, 1:] != path[:, :-1]).any(axis=0)])) if len(order) else order
-        return cls(path[:, heads], depth[order][heads], np.add.reduceat(count[order], heads) if len(heads) else count[:0])
+        return cls(path[:, heads], depth[order][heads], np.add.reduceat(count[order], heads, dtype=np.int64) if len(heads) else count[:0])
 
     def place(self, bound: list[bytes], names: np.ndarray) -> int:
         """The first node not before this path."""
@@ -150,24 +153,30 @@ class Trie:
 
     def serial(self, a: int, b: int, names: pa.BinaryArray) -> bytes:
         """Nodes from a to b, after their first one's ancestors, as a compressed Arrow stream of depth, name and count."""
-        above = int(self.depth[a]) - 1
-        depth = np.concatenate([np.arange(1, above + 1), self.depth[a:b]]).astype(np.uint8)
-        last = np.concatenate([self.path[:above, a], self.path[self.depth[a:b] - 1, np.arange(a, b)]])
+        spine = int(self.depth[a]) - 1
+        depth = np.concatenate([np.arange(1, spine + 1), self.depth[a:b]]).astype(np.uint8)
+        last = np.concatenate([self.path[:spine, a], self.path[self.depth[a:b] - 1, np.arange(a, b)]])
         used, code = np.unique(last, return_inverse=True)
         name = pa.DictionaryArray.from_arrays(code.astype(np.int32), names.take(pa.array(used - 1)))
-        batch = pa.RecordBatch.from_arrays([pa.array(depth), name, pa.array(np.concatenate([np.zeros(above, np.int64), self.count[a:b]]))], names=["depth", "name", "count"])
+        batch = pa.RecordBatch.from_arrays([pa.array(depth), name, pa.array(np.concatenate([np.zeros(spine, np.int64), self.count[a:b]]))], names=["depth", "name", "count"])
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_batch(batch)
         return sink.getvalue().to_pybytes()
 
-    def above(self, values: np.ndarray) -> np.ndarray:
-        """Values of each node's path down to it, by depth; a walk in order, as the last node of a depth before a node is its ancestor."""
-        out = np.zeros((MOST + 1, len(self.depth)), values.dtype)
-        for d in range(1, MOST + 2):
-            last = np.maximum.accumulate(np.where(self.depth == d, np.arange(len(self.depth)), 0))
-            out[d - 1] = np.where(self.depth >= d, values[last], 0)
-        return out
+    def kept(self, least: int) -> Trie:
+        """Without nodes counted less often; languages, and ancestors that belong to the range before, stay."""
+        some = (self.count >= least) | (self.count == 0) | (self.depth == 1)
+        return Trie(self.path[:, some], self.depth[some], self.count[some])
+
+
+def above(depth: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Values of each node's path down to it, by depth; a walk in order, as the last node of a depth before a node is its ancestor."""
+    out, places = np.zeros((MOST + 1, len(depth)), values.dtype), np.arange(len(depth), dtype=np.int32)
+    for d in range(1, MOST + 2):
+        last = np.maximum.accumulate(np.where(depth == d, places, 0))
+        out[d - 1] = np.where(depth >= d, values[last], 0)
+    return out
 
 
 def _merge(parts: list[bytes]) -> tuple[Trie, pa.BinaryArray]:
@@ -175,9 +184,9 @@ def _merge(parts: list[bytes]) -> tuple[Trie, pa.BinaryArray]:
     name = pa.concat_tables(tables)["name"].unify_dictionaries()
     names, number = numbered(name.chunk(0).dictionary)
     last = number[np.concatenate([c.indices.to_numpy() for c in name.chunks])]
-    depth = np.concatenate([t["depth"].to_numpy() for t in tables]).astype(np.int64)
+    depth = np.concatenate([t["depth"].to_numpy() for t in tables])
     count = np.concatenate([t["count"].to_numpy() for t in tables])
-    return Trie.merged(Trie(None, depth, count).above(last), depth, count), names
+    return Trie.merged(above(depth, last), depth, count), names
 
 
 def bounds(docs: DataFrame, chars: int, n_docs: int) -> list[list[bytes]]:
@@ -220,11 +229,11 @@ def frequent(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     def merge(group: pa.Table) -> pa.Table:
         trie, names = _merge(group["part"].to_pylist())
-        above = trie.above(trie.count)
-        rows = []
-        for i in np.flatnonzero((trie.count >= least) | (trie.depth == 1) & (trie.count > 0)).tolist():
+        trie = trie.kept(least)
+        up, rows = above(trie.depth, trie.count), []
+        for i in np.flatnonzero(trie.count).tolist():
             words = [names[int(x) - 1].as_py().decode() for x in trie.path[: trie.depth[i], i]]
-            lefts = [int(x) or None for x in above[1 : trie.depth[i] - 1, i]]
+            lefts = [int(x) or None for x in up[1 : trie.depth[i] - 1, i]]
             rows.append((words[0], " ".join(words[1:]), len(words) - 1, int(trie.count[i]), lefts))
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
         kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64()))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,10 +95,13 @@ def passthrough(retrieval: DataFrame, k: int = 50) -> DataFrame:
     return top(retrieval, k, score="rrf_score").withColumn("rerank_rrf_score", F.col("rrf_score"))
 
 
-def rerank(retrieval: DataFrame, piece_scores: DataFrame, k: int = 50) -> DataFrame:
-    """Second-stage scores (id, piece, score), averaged over the pieces that scored an id, fused with the first stage's top k."""
+def rerank(retrieval: DataFrame, second_stage: Callable[[DataFrame], DataFrame], k: int = 50, decimals: int = 9) -> DataFrame:
+    """The first stage's top k, the band, scored again and fused with itself.
+
+    ``second_stage`` takes the band (id) and gives (id, piece, score) of these ids alone; scores are averaged over the pieces.
+    """
     band = ranked(retrieval.select("id", F.col("rrf_score").alias("score")), k)
-    second = ranked(candidates_only(piece_scores, band).groupBy("id").agg(F.avg("score").alias("score")), k)
+    second = ranked(second_stage(band.select("id")).groupBy("id").agg(F.round(F.avg("score"), decimals).alias("score")), k)
     return rename_contract(rrf(band, second, top_k=k).withColumnRenamed("rrf_score", "rerank_rrf_score"), "retrieval", "colbert")
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vec
-from ..operators import ingest, retrieval
+from ..operators import ingest, late_interaction, retrieval, sparse_index
+from ..sources.commits import Store
+from .derived import kept
 from .ingest import CHUNKS
 from .registry import query, table
 
@@ -62,10 +64,14 @@ def dense_list(spark, sf_dir, k: int = 100) -> DataFrame:
     return retrieval.ranked(retrieval.dense_scores(vectors(spark, sf_dir), pieces(spark, sf_dir)), k)
 
 
+def sparse_store(spark, sf_dir) -> Store:
+    """The inverted index of all documents; written by the first query that asks for it."""
+    docs = lambda: table(spark, sf_dir, "documents")
+    return kept(spark, sf_dir, ("documents",), "postings", lambda store: sparse_index.build(terms(docs(), "doc_id").join(docs().select(F.col("doc_id").alias("id"), "lang"), "id"), store, "postings", by=("lang",)))
+
+
 def sparse_list(spark, sf_dir, k: int = 100) -> DataFrame:
-    asked = query_terms(spark, sf_dir)
-    scored = retrieval.sparse_scores(terms(table(spark, sf_dir, "documents"), "doc_id", asked), asked)
-    return retrieval.ranked(rounded(scored, "score"), k)
+    return sparse_index.search(sparse_store(spark, sf_dir), "postings", query_terms(spark, sf_dir), k)
 
 
 @query(f"SELECT e.vec_id AS id, round({COS}, 6) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id = 0) q ORDER BY {COS} DESC, 1 LIMIT 20")
@@ -131,16 +137,14 @@ def sparse_pnorm(spark, sf_dir):
 @query(f"SELECT d.id, round(sum(d.weight * q.weight), 6) AS score FROM ({DOC_TERMS}) d JOIN ({QUERY_TERMS}) q ON d.term = q.term AND q.id = 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
 def sparse_tf_dot_topk(spark, sf_dir):
     one = query_terms(spark, sf_dir).where("piece = 0")
-    scored = terms(table(spark, sf_dir, "documents"), "doc_id", one).join(one.select("term", F.col("weight").alias("w")), "term").groupBy("id").agg(F.round(F.sum(F.col("weight") * F.col("w")), 6).alias("score"))
-    return retrieval.top(scored, 20)
+    return sparse_index.search(sparse_store(spark, sf_dir), "postings", one, 20).select("id", "score")
 
 
 @query(f"SELECT s.id, round(s.score, 6) AS score FROM ({SPARSE}) s WHERE s.id IN (SELECT id FROM ({DENSE_TOP}))")
 def sparse_candidate_semi(spark, sf_dir):
-    """Candidates are chosen before any of their terms are counted."""
-    asked, docs = query_terms(spark, sf_dir), table(spark, sf_dir, "documents")
-    chosen = docs.join(F.broadcast(dense_list(spark, sf_dir).select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
-    return rounded(retrieval.sparse_scores(terms(chosen, "doc_id", asked), asked), "score")
+    """Postings of the request's terms, of the candidates alone, before anything is summed."""
+    candidates = F.broadcast(dense_list(spark, sf_dir).select("id"))  # a hundred
+    return rounded(sparse_index.scores(sparse_store(spark, sf_dir), "postings", query_terms(spark, sf_dir), candidates=candidates), "score")
 
 
 @query(f"SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT id FROM ({DOC_TERMS}))")
@@ -177,19 +181,23 @@ WHERE e.vec_id IN (SELECT id FROM ({BAND})) GROUP BY 1)"""
 
 @query(f"SELECT id, rank_a AS retrieval_rank, rank_b AS colbert_rank, round(rrf_score, 9) AS rerank_rrf_score FROM ({RRF.format(a=BAND, b=SECOND, w='1.0')}) ORDER BY rrf_score DESC, id LIMIT 50")
 def rrf_rerank_fusion(spark, sf_dir):
+    """The second stage compares the band's vectors alone with those of the pieces."""
     query_vectors = vectors(spark, sf_dir).where(F.col("id").isin(*PIECES)).select(F.col("id").alias("piece"), F.col("vector").alias("query"))
-    scored = vectors(spark, sf_dir).crossJoin(F.broadcast(query_vectors)).select("id", "piece", vec.cosine_eps(F.col("vector"), F.col("query")).alias("score"))
-    retrieved = retrieval.rrf(dense_list(spark, sf_dir), sparse_list(spark, sf_dir))
-    rounded_pieces = scored.groupBy("id").agg(F.round(F.avg("score"), 9).alias("score")).withColumn("piece", F.lit(0))
-    out = retrieval.rerank(retrieved, rounded_pieces)
+
+    def second(band: DataFrame) -> DataFrame:
+        own = vectors(spark, sf_dir).join(F.broadcast(band), "id", "left_semi")  # fifty
+        return own.crossJoin(F.broadcast(query_vectors)).select("id", "piece", vec.cosine_eps(F.col("vector"), F.col("query")).alias("score"))
+
+    out = retrieval.rerank(retrieval.rrf(dense_list(spark, sf_dir), sparse_list(spark, sf_dir)), second)
     return out.select("id", "retrieval_rank", "colbert_rank", F.round("rerank_rrf_score", 9).alias("rerank_rrf_score"))
 
 
 @query(f"SELECT s.id, s.rank, c.chunk_idx, c.start, c.chunk FROM ({SPARSE_TOP}) s JOIN ({CHUNKS}) c ON c.doc_id = s.id WHERE s.rank <= 10")
 def hydrate_topk(spark, sf_dir):
+    """Ten documents are picked, then chunked."""
     best = sparse_list(spark, sf_dir, 10).select(F.col("id").alias("doc_id"), "rank")
-    chunks = ingest.chunk_rows(table(spark, sf_dir, "documents"), ["doc_id"])
-    return retrieval.hydrate(best, chunks, ["doc_id"]).select(F.col("doc_id").alias("id"), "rank", "chunk_idx", "start", "chunk")
+    chosen = retrieval.hydrate(F.broadcast(best), table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    return ingest.chunk_rows(chosen, ["doc_id", "rank"]).select(F.col("doc_id").alias("id"), "rank", "chunk_idx", "start", "chunk")
 
 
 @query(f"""SELECT f.id, f.rank_a, f.rank_b, round(f.rrf_score, 9) AS rrf_score, d.source, d.text
@@ -199,3 +207,45 @@ def hybrid_retrieval_e2e(spark, sf_dir):
     fused = retrieval.rrf(dense_list(spark, sf_dir), sparse_list(spark, sf_dir), top_k=30)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "text")
     return docs.join(F.broadcast(fused), "id").select("id", "rank_a", "rank_b", F.round("rrf_score", 9).alias("rrf_score"), "source", "text")
+
+
+def token_store(spark, sf_dir) -> Store:
+    docs = lambda: table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return kept(spark, sf_dir, ("documents",), "tokens", lambda store: late_interaction.build(docs(), store, "matrices"))
+
+
+_WORDS = "list_filter(regexp_split_to_array(lower({t}), '[^a-z0-9]+'), lambda w: w <> '')"
+_RAW = "list_transform({w}, lambda w: list_transform(range(0, 16), lambda i: ('0x' || substr(md5(w), 2 * i + 1, 2))::BIGINT - 127.5::DOUBLE))"
+_UNIT = "list_transform({m}, lambda v: list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))))"
+_TOKENS = lambda t, w: _UNIT.format(m=_RAW.format(w=w.format(w=_WORDS.format(t=t))))
+MAX_SIM = f"""SELECT d.id, p.piece, list_sum(list_transform(q, lambda a: list_max(list_transform(m, lambda b: list_inner_product(a, b))))) AS score
+FROM (SELECT doc_id AS id, {_TOKENS("text", "list_distinct({w})")} AS m FROM documents WHERE doc_id IN (SELECT id FROM ({BAND}))) d, (SELECT item_id AS piece, {_TOKENS("text", "{w}")} AS q FROM benchmark WHERE item_id < 3) p WHERE len(m) > 0"""
+
+
+def max_sims(spark, sf_dir, band: DataFrame) -> DataFrame:
+    asked = table(spark, sf_dir, "benchmark").where("item_id < 3").select(F.col("item_id").alias("piece"), "text")
+    return late_interaction.max_sim(token_store(spark, sf_dir), "matrices", asked, band)
+
+
+@query(f"SELECT id, piece, round(score, 6) AS score FROM ({MAX_SIM})")
+def late_interaction_scores(spark, sf_dir):
+    """MaxSim of the request's pieces with the token matrices of the first stage's fifty best."""
+    band = retrieval.rrf(dense_list(spark, sf_dir), sparse_list(spark, sf_dir), top_k=50)
+    return rounded(max_sims(spark, sf_dir, band), "score")
+
+
+LATE = f"SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT id, round(avg(score), 9) AS score FROM ({MAX_SIM}) GROUP BY 1)"
+
+
+@query(f"SELECT id, rank_a AS retrieval_rank, rank_b AS colbert_rank, round(rrf_score, 9) AS rerank_rrf_score FROM ({RRF.format(a=BAND, b=LATE, w='1.0')}) ORDER BY rrf_score DESC, id LIMIT 50")
+def late_interaction_rerank(spark, sf_dir):
+    """The two stages fused: rank of the first stage, and of the mean of the pieces' MaxSim."""
+    out = retrieval.rerank(retrieval.rrf(dense_list(spark, sf_dir), sparse_list(spark, sf_dir)), lambda band: max_sims(spark, sf_dir, band))
+    return out.select("id", "retrieval_rank", "colbert_rank", F.round("rerank_rrf_score", 9).alias("rerank_rrf_score"))
+
+
+@query(f"""SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (
+SELECT s.id, round(s.score, 6) AS score FROM ({SPARSE}) s JOIN documents d ON d.doc_id = s.id WHERE d.lang = 'de') ORDER BY 3 LIMIT 100""")
+def sparse_filtered_topk(spark, sf_dir):
+    """The best of one language: the filter is met inside the index, whose blocks say which languages they hold."""
+    return sparse_index.search(sparse_store(spark, sf_dir), "postings", query_terms(spark, sf_dir), 100, {"lang": "de"})

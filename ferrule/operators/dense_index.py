@@ -17,7 +17,6 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,11 +33,8 @@ BROADCAST_QUERIES, PART_ROWS, QUERY_ROWS, LOT = 1_000, 50_000, 20_000, 256
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Vectors of one length as rows, in double precision; other lengths are an error."""
+    """Vectors of one length as rows, in double precision."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    sizes = np.unique(pc.list_value_length(column).to_numpy(zero_copy_only=False))
-    if len(sizes) > 1 or column.null_count:
-        raise ValueError("an index holds vectors of one length")
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
@@ -97,7 +93,9 @@ def build(vectors: DataFrame, store: Store, name: str, cells: int | None = None,
     Rows of a null id or vector are left out.
     """
     rows = vectors.where(F.col("id").isNotNull() & F.col(vector).isNotNull())
-    n, dims = rows.agg(F.count("*"), F.coalesce(F.max(F.size(vector)), F.lit(0))).head()
+    n, dims, least = rows.agg(F.count("*"), F.coalesce(F.max(F.size(vector)), F.lit(0)), F.coalesce(F.min(F.size(vector)), F.lit(0))).head()
+    if dims != least:
+        raise ValueError("an index holds vectors of one length")
     most = min(MOST_CELLS, max(1, CENTROID_NUMBERS // max(dims, 1)))
     cells = min(cells or max(1, round(n**0.5)), most, max(n, 1))
     sample = rows.select(vector)
@@ -124,7 +122,7 @@ def add(store: Store, name: str, vectors: DataFrame, vector: str = "vector") ->
 
 def centroids(store: Store, name: str) -> np.ndarray:
     rows = sorted(store.read(f"{name}_centroids").collect())
-    return np.array([r.centroid for r in rows]).reshape(len(rows), -1)
+    return np.array([r.centroid for r in rows]) if rows else np.empty((0, 0))
 
 
 def probes_needed(rows: DataFrame, centers: np.ndarray, vector: str = "vector", depths: tuple[int, ...] = DEPTHS, target: float = TARGET) -> list[tuple[int, int, float]]:

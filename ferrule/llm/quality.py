@@ -3,7 +3,7 @@
 Every line is good or bad. A line's evidence is its own features and those of its neighbours; the
 chain adds how labels follow each other. Forward-backward gives each line's marginal probability
 of being good, and the mean of these, weighted by the lines' lengths, a document's quality, which
-a two-parameter logistic curve, fitted on the same sample, turns into the score.
+a logistic curve of fixed slope, whose middle is fitted on the same sample, turns into the score.
 
 The field is fitted on at most ``SAMPLE`` labelled documents of each label, those with the lowest
 hash of doc_id (bound documented, a parameter), and of each on at most ``SAMPLE_LINES`` lines that follow

@@ -110,8 +110,9 @@ def page_text(html: Column) -> Column:
 
 def declared_language(html: Column) -> Column:
     """Primary subtag of the root element's language, lower-case; null where there is none."""
-    found = F.lower(F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})(?![a-z])", 1))
-    return F.when(found != "", found)
+    tags = F.regexp_extract_all(html, F.lit(r"(?i)(<html\b[^>]*+)"), 1)  # each character is read once
+    named = F.transform(tags, lambda t: F.lower(F.regexp_extract(t, r"(?i)\blang\s*+=\s*+[\"']?([a-z]{2,3})(?![a-z])", 1)))
+    return F.get(F.filter(named, lambda x: x != ""), F.lit(0))
 
 
 def host_of(url: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -28,6 +28,13 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def aside(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all columns but those used (in any case, as Spark compares names) under names that no operator has, and a function that names them back."""
+    kept = {u.lower() for u in used}
+    names = {c: f"aside_{i}_of_caller" for i, c in enumerate(docs.columns) if c.lower() not in kept}
+    return docs.withColumnsRenamed(names), lambda out: out.withColumnsRenamed({v: k for k, v in names.items()})
+
+
 @contextmanager
 def shuffle_cleanup(spark: SparkSession):
     before = spark.conf.get(CLEANUP, None)

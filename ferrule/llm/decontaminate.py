@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop, scratch, slices, table, texts
+from .common import aside, drop, scratch, slices, table, texts
 from .wordhash import word_hashes
 
 WINDOW = 10
@@ -371,9 +371,8 @@ def n_hit():
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents without a verbatim match of a window or more."""
-    aside = {c: f"own_{c}_" for c in docs.columns if c in T.StructType.fromDDL(OUTPUTS).names}
-    found = match_benchmark(docs.withColumnsRenamed(aside), benchmark, aside.get(text_col, text_col)).where("longest_match = 0")
-    return found.select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns))
+    own, back = aside(docs, text_col)
+    return back(match_benchmark(own, benchmark, text_col).where("longest_match = 0").select(own.columns))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,7 +86,7 @@ def drop_boilerplate(pages: DataFrame, text_col: str = "text", host_col: str = "
 
 
 def _free(df: DataFrame, name: str) -> str:
-    while name in df.columns:
+    while name in {c.lower() for c in df.columns}:  # Spark doesn't tell names by case
         name += "_"
     return name
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, scratch, slices, table, texts
+from .common import aside, drop, scratch, slices, table, texts
 from .wordhash import mix, word_hashes
 
 WORDS, LEAST = 5, 0.8
@@ -233,10 +233,12 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
 
 def one_of_each(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """One document of each class of near copies, all columns; repeated rows of it count once."""
+    columns = docs.columns
+    docs, back = aside(docs, "doc_id", "text")
     found = near_duplicates(texts(docs), least).where("stays").select(F.col("doc_id").alias("id_"), F.col("key").alias("key_"))
     digest = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
     kept = docs.withColumn("digest_", digest).join(found, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("digest_") == F.col("key_")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "digest_"]).select(docs.columns)
+    return back(kept.dropDuplicates(["doc_id", "digest_"]).select(docs.columns)).toDF(*columns)
 
 
 def sketches(keys: DataFrame, held: DataFrame) -> DataFrame:

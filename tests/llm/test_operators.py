@@ -584,7 +584,8 @@ def test_page_text_is_linear(spark):
 
     began = time.time()
     pages = [("<" * 300_000,), ("<script>" * 50_000,), ("<!--" * 80_000,), ("</script>" * 50_000 + "<style" * 50_000,)]
-    spark.createDataFrame(pages, "html string").select(F.length(language.page_text(F.col("html")))).collect()
+    pages += [("<html" * 60_000,), ("<html lang" * 30_000,), ("<html " + "lang " * 60_000,), ("<html lang" + " " * 300_000 + ">",)]
+    spark.createDataFrame(pages, "html string").select(F.length(language.page_text(F.col("html"))), language.declared_language(F.col("html"))).collect()
     assert time.time() - began < 20
 
 
@@ -627,3 +628,6 @@ def test_page_parts(spark):
     html = '<!DOCTYPE html><HTML lang="pt-BR"><script>x</script><p>Olá&nbsp;b</p><!-- c --></html>'
     row = spark.range(1).select(language.declared_language(F.lit(html)), language.page_text(F.lit(html)), language.host_of(F.lit("https://u@Ex.org:80/a")), language.host_of(F.lit("odd"))).head()
     assert row[0] == "pt" and row[1].split() == ["Olá", "b"] and row[2] == "ex.org" and row[3] is None
+    heads = ["<html><html xml:lang = 'FR'>", "<html id=a lang=english>", "<htmlx lang=de>", "<p lang=de><html>", "<html lang=de", None, ""]
+    found = spark.createDataFrame([(i, h) for i, h in enumerate(heads)], "i int, h string").select("i", language.declared_language(F.col("h"))).collect()
+    assert [x for _, x in sorted(found)] == ["fr", None, None, None, "de", None, None]

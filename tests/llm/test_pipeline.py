@@ -62,3 +62,21 @@ def test_edge_cases(spark, tmp_path):
         spark.read.parquet(f"{tmp_path}/none/{name}.parquet").write.parquet(f"{tmp_path}/alone/{name}.parquet")
     kept = [r.doc_id for r in c.run(spark, f"{tmp_path}/alone").collect()]
     assert {0, 3, 7, 11, 16} <= set(kept)  # nothing is learnt, nothing is tested for: copies alone go
+
+
+def test_columns_of_the_caller_pass_unchanged(spark, small):
+    """Further columns named like what stages use, in any case: after each stage a row's values are those it came with."""
+    import corpus_pipeline as c
+    from pyspark.sql import functions as F
+
+    names = "row_no score_ n_lines N_Dropped Host Bad Digest_ id_ key_ Hit_items longest_MATCH n_words class_id stays kept root ids decoded_ aside".split()
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(60).coalesce(1)
+    docs = docs.withColumn("row_no", F.monotonically_increasing_id().cast("string"))
+    docs = docs.withColumns({n: F.concat(F.lit(n + " "), F.col("row_no")) for n in names[1:]})
+    columns = docs.columns
+    for name, stage in c.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, small).collect(), docs.schema)
+        assert docs.columns == columns, name
+        rows = docs.collect()
+        assert rows and all(r[n] == f"{n} {r.row_no}" for r in rows for n in names[1:]), name
+    assert c.STAGES[-1][1](spark, docs, small).count() == len(rows)

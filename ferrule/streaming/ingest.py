@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState
 
+from ..operators.briefs import pending_step
 from ..operators.ingest import chunk_rows
 from ..sources.files import current, publish, write_records
+from .folds import fold_stream
 
 
 def ingest_stream(spark: SparkSession, source: str, schema: str, store: str, checkpoint: str, key: str = "doc_id") -> StreamingQuery:
@@ -80,30 +78,15 @@ def dedup_stream(records: DataFrame, time: str, delay: str, key: str = "record_i
     return records.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def pending_topics(records: DataFrame, least: float = 0.25) -> DataFrame:
-    """Per file, in order of arrival, whether a record passes and what stays pending.
+def pending_topics(records: DataFrame, delay: str, idle: int | None = None, least: float = 0.25) -> DataFrame:
+    """Per file, in order of time, whether a record passes and what stays pending.
 
-    records: file_id, record_id, ordinal, brief_score. A record under ``least`` is pending; one after
+    records: file_id, record_id, ordinal, at, brief_score. A record under ``least`` is pending; one after
     a pending record shifts the topic if it resembles that one as much (score within ``least`` of it).
-    The state of a file is one record: bounded, whatever the stream.
+    Records may come late and over several batches; a file's state goes once it had no record for ``idle`` milliseconds.
     """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pending, score = state.get if state.exists else ("", 0.0)
-        rows = pd.concat(list(batches)).sort_values(["ordinal", "record_id"])
-        out = []
-        for r in rows.itertuples():
-            if r.brief_score >= least:
-                route, pending, score = "activebrief_update", "", 0.0
-            elif pending and abs(r.brief_score - score) <= least:
-                route, pending, score = "pending_topic_shift", "", 0.0
-            else:
-                route, pending, score = "skip_and_update_pending_topic", r.record_id, float(r.brief_score)
-            out.append((key[0], r.record_id, route, pending))
-        state.update((pending, score))
-        yield pd.DataFrame(out, columns=["file_id", "record_id", "route", "pending"])
-
-    return records.groupBy("file_id").applyInPandasWithState(step, "file_id long, record_id string, route string, pending string", "pending string, score double", "append", "NoTimeout")
+    kind = records.schema["file_id"].dataType.simpleString()
+    return fold_stream(records, "file_id", "at", ["ordinal", "record_id"], pending_step(least), f"file_id {kind}, record_id string, route string, pending string", delay, idle)
 
 
 def event_windows(events: DataFrame, delay: str = "10 minutes", width: str = "5 minutes") -> DataFrame:

@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dense_index
+from ..operators import dense_index, histories
 from ..sources.commits import Store
 from ..sources.shared import shared_dir
 from .derived import kept
+from .memory import RECS, recs
 from .registry import query, table
 from .retrieval import COS, rounded, vectors
 
@@ -69,3 +70,46 @@ def store_upserts(spark, sf_dir):
     store.compact("texts")
     store.change(lambda c: c.upsert("texts", docs.where("(doc_id % 7 = 0 OR doc_id % 11 = 0) AND doc_id % 5 <> 1").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))))
     return store.read("texts").select("doc_id", F.sha2("text", 256).alias("sha"))
+
+
+CREATED = "2024-03-04 05:06:00"
+
+
+def _histories(spark, sf_dir) -> Store:
+    """A history per conversation, with its records; vectors of every record's question and answer."""
+    store = Store(spark, f"{shared_dir(spark)}/histories-{uuid.uuid4().hex}")
+    ids = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("file_id")).distinct()
+    histories.create(store, ids.select("file_id", F.concat(F.lit(" Talk: "), "file_id").alias("title"), F.lit(CREATED).cast("timestamp").alias("created")))
+    histories.append(store, recs(spark, sf_dir).select("record_id", F.col("file_id").cast("string").alias("file_id"), "ordinal", "input_text", "output_text"), F.lit(CREATED).cast("timestamp"))
+    return store
+
+
+def _entries(records: DataFrame) -> DataFrame:
+    role = F.explode(F.array(F.lit("question"), F.lit("answer")))
+    return records.where("ordinal % 10 <> 4").select("record_id", "file_id", role.alias("role")).select("record_id", F.concat_ws("::", "record_id", "role").alias("vector_id"), "file_id")
+
+
+ALL_RECS = f"(SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN {RECS} r ON r.file_id = c.conv_id"
+
+
+@query(f"""SELECT CAST(conv_id AS VARCHAR) AS file_id, CASE WHEN conv_id % 3 = 0 THEN 'A new name' ELSE 'Talk: ' || conv_id END AS title,
+CASE WHEN conv_id % 3 <> 0 THEN '2024-03-04-05-06-Talk-' || conv_id WHEN conv_id = (SELECT min(CAST(conv_id AS VARCHAR)) FROM conversations WHERE conv_id % 3 = 0 AND conv_id % 4 <> 1) THEN '2024-03-04-05-06-A-new-name' ELSE '2024-03-04-05-06-A-new-name-' || conv_id END AS filename,
+count(r.record_id) AS n_records, count(r.record_id) FILTER (ordinal % 10 <> 4) * 2 AS n_vectors FROM {ALL_RECS} WHERE conv_id % 4 <> 1 GROUP BY conv_id""")
+def hist_crud(spark, sf_dir):
+    """Histories created, filled, ingested, some deleted with all they have, some renamed alike."""
+    store = _histories(spark, sf_dir)
+    histories.ingest_all(store, _entries)
+    ids = store.read("files").select("file_id")
+    histories.delete(store, ids.where("CAST(file_id AS LONG) % 4 = 1"))
+    histories.rename(store, ids.where("CAST(file_id AS LONG) % 4 <> 1 AND CAST(file_id AS LONG) % 3 = 0").withColumn("title", F.lit("A new name ")), F.lit(CREATED).cast("timestamp"))
+    vectors_of = store.read("vectors").groupBy("file_id").agg(F.count("*").alias("n_vectors"))
+    return histories.listing(store).join(vectors_of, "file_id", "left").select("file_id", "title", "filename", "n_records", F.coalesce("n_vectors", F.lit(0)).alias("n_vectors"))
+
+
+@query(f"""SELECT CAST(file_id AS VARCHAR) AS file_id, count(*) AS total, count(*) AS success_count, CAST(0 AS BIGINT) AS failure_count, count(*) FILTER (ordinal % 10 <> 4) * 2 AS vectors_deleted, count(*) FILTER (ordinal % 10 <> 4) * 2 AS vectors_written, true AS success
+FROM {RECS} WHERE file_id % 2 = 0 GROUP BY 1""")
+def mem_ingest_all(spark, sf_dir):
+    """Half of the histories ingested a second time: their vectors are replaced, per file."""
+    store = _histories(spark, sf_dir)
+    histories.ingest_all(store, _entries)
+    return histories.ingest_all(store, _entries, store.read("files").where("CAST(file_id AS LONG) % 2 = 0").select("file_id"))

@@ -147,5 +147,5 @@ def stream_capture(spark, sf_dir):
     own.write.parquet(f"{root}/in")
     streaming.capture(spark, f"{root}/in", _ddl(own), f"{root}/log", f"{root}/store", f"{root}/check").awaitTermination()
     logged = read_records(spark, f"{root}/log/*").select("record_id", F.lit(True).alias("logged"))
-    rows = streaming.stored(spark, f"{root}/store", _ddl(own), "record_id").join(logged, "record_id", "left")
+    rows = streaming.stored(spark, f"{root}/store", _ddl(own)).join(logged, "record_id", "left")
     return rows.select("record_id", F.sha2("input_text", 256).alias("question"), F.sha2("output_text", 256).alias("answer"), F.coalesce("logged", F.lit(False)).alias("logged"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from .commits import Conflict, Files
 
 MANIFEST = "path string, sha256 string, mtime double, size bigint"
 # Fields and marks of a record in a log.
@@ -66,44 +67,48 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return top.select(F.explode(F.coalesce("files", F.array())).alias("f")).select("f.*")
 
 
-def _folder(spark: SparkSession, path: str):
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    return jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf), jvm.org.apache.hadoop.fs.Path
-
-
 def published(spark: SparkSession, root: str) -> list[str]:
-    """Names of a table's version markers, in the order of their publication."""
-    if not _exists(spark, f"{root}/versions"):
-        return []
-    fs, path = _folder(spark, root)
-    return sorted(f.getPath().getName() for f in fs.listStatus(path(f"{root}/versions")))
+    """Names of a table's version markers, their numbers, in the order of their publication."""
+    return sorted(Files(spark, root).names("versions"))
 
 
-def publish(df: DataFrame, root: str) -> str:
-    """A new version of a table under root. It is current once its numbered marker, an empty file, is there.
+def publish(df: DataFrame, root: str, after: int | None = None) -> str:
+    """A new version of a table under root. It is current once a marker of its number, which holds its name, is there.
 
-    Markers are only added, so a crash at any point leaves the version before current, and readers never
-    see half of one. Old versions stay.
+    Markers are only added, whole and only if their number is free, so a crash at any point leaves the version before
+    current, readers never see half of one, and of two publishers at once each gets a number of its own. A version
+    that was computed from another gives its number as ``after`` (-1: none): then a third one in between is a conflict.
     """
-    spark = df.sparkSession
-    version = f"v-{uuid.uuid4().hex}"
+    spark, version = df.sparkSession, f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{root}/{version}")
-    before = published(spark, root)
-    number = int(before[-1].split("-")[0]) + 1 if before else 0
-    fs, path = _folder(spark, root)
-    fs.create(path(f"{root}/versions/{number:012d}-{version}"), False).close()
-    return version
+    while True:
+        before = published(spark, root)
+        number = int(before[-1]) + 1 if before else 0
+        if after is not None and number != after + 1:
+            raise Conflict(root)
+        if Files(spark, root).create(f"versions/{number:012d}", version):
+            return version
 
 
 def current(spark: SparkSession, root: str, schema: str | None = None) -> DataFrame:
     """The current version of a table; with a schema, an empty one where none was published."""
     if found := published(spark, root):
-        return spark.read.parquet(f"{root}/{found[-1].split('-', 1)[1]}")
+        return spark.read.parquet(f"{root}/{Files(spark, root).read(f'versions/{found[-1]}')}")
     if schema:
         return spark.createDataFrame([], schema)
     raise FileNotFoundError(f"nothing was published under {root}")
 
 
+def remove_versions(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
+    """Remove all but the last versions, data before markers; names of what went. Snapshots are copies and stay."""
+    files, gone = Files(spark, root), []
+    for marker in published(spark, root)[: -max(keep, 1)]:
+        gone.append(files.read(f"versions/{marker}"))
+        files.delete(gone[-1])
+        files.delete(f"versions/{marker}")
+    return gone
+
+
 def write_metainfo(info: DataFrame, path: str) -> None:
     """One JSON object per file, replacing what was there; Spark writes them, a part per task."""
     info.write.mode("overwrite").json(path)

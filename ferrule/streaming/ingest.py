@@ -8,64 +8,68 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.briefs import pending_step
 from ..operators.ingest import chunk_rows
-from ..sources.files import current, publish, write_records
+from ..sources.commits import Change, Store
+from ..sources.files import write_records
 from .folds import fold_stream
 
 
-def ingest_stream(spark: SparkSession, source: str, schema: str, store: str, checkpoint: str, key: str = "doc_id") -> StreamingQuery:
-    """Parquet files as they come: each micro-batch is written once, as a delta named after it.
+#: Parts of a store's table beyond which a batch folds them together.
+MOST_PARTS = 50
+BATCHES = "source string, batch long"
 
-    A batch that is run again after a failure replaces its own delta, and one without Spark's mark of
-    success isn't read, so the store is right at any time. ``compact`` folds deltas into the base.
+
+def ingest_stream(spark: SparkSession, source: str, schema: str, store: str, checkpoint: str, key: str = "doc_id", order: list[str] | None = None) -> StreamingQuery:
+    """Parquet files as they come: each micro-batch is one commit of its rows, in place of those of their keys, and of its number.
+
+    A batch that is run again after a failure finds its number and changes nothing, so the store is right at any time.
+    Of several rows of a key in a batch the last by ``order`` counts, or the greatest by all columns.
     """
     stream = spark.readStream.schema(schema).parquet(source)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        _delta(batch, batch_id, store, key)
+        _take(batch, batch_id, store, key, order, checkpoint)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _delta(batch: DataFrame, batch_id: int, store: str, key: str) -> None:
-    batch.dropDuplicates([key]).withColumn("batch_", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{store}/deltas/{batch_id:012d}")
+def _take(batch: DataFrame, batch_id: int, store: str, key: str, order: list[str] | None, source: str) -> None:
+    spark, place = batch.sparkSession, Store(batch.sparkSession, store)
+    rest = [c for c in batch.columns if c not in (key, *(order or []))]
+    last = batch.groupBy(key).agg(F.max(F.struct(*(order or []), *rest)).alias("row_"))
+    rows = last.select(*(F.col(c) if c == key else F.col(f"row_.{c}").alias(c) for c in batch.columns))
 
+    def apply(change: Change) -> None:
+        if change.read("batches", BATCHES).where((F.col("source") == source) & (F.col("batch") >= batch_id)).isEmpty():
+            change.upsert("rows", rows, key)
+            change.upsert("batches", spark.createDataFrame([(source, batch_id)], BATCHES), "source")
 
-def capture(spark: SparkSession, source: str, schema: str, log: str, store: str, checkpoint: str, key: str = "record_id") -> StreamingQuery:
-    """Records as they come: each micro-batch becomes a part of the record log, then a delta of the store.
+    place.change(apply)
+    if len(place.head()[1].get("rows", {"parts": []})["parts"]) > MOST_PARTS:
+        compact(spark, store)
 
-    Both are named after the batch, so one that is run again replaces what it wrote before.
-    """
+
+def capture(spark: SparkSession, source: str, schema: str, log: str, store: str, checkpoint: str, key: str = "record_id", order: list[str] | None = None) -> StreamingQuery:
+    """Records as they come: each micro-batch becomes a part of the record log, named after it, then a commit of the store."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         write_records(batch, f"{log}/{batch_id:012d}")
-        _delta(batch, batch_id, store, key)
+        _take(batch, batch_id, store, key, order, checkpoint)
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stored(spark: SparkSession, store: str, schema: str, key: str = "doc_id") -> DataFrame:
-    """The last row of each key over the base and the deltas after it."""
-    base = current(spark, store, f"{schema}, batch_ long")
-    folded = base.agg(F.coalesce(F.max("batch_"), F.lit(-1))).head()[0]
-    deltas = [d for d in _deltas(spark, store) if d > folded]
-    if not deltas:
-        return base.drop("batch_")
-    new = spark.read.schema(f"{schema}, batch_ long").parquet(*(f"{store}/deltas/{d:012d}" for d in deltas))
-    last = new.groupBy(key).agg(F.max("batch_").alias("batch_"))  # keys alone are compared, rows move once
-    return base.join(last, key, "left_anti").unionByName(new.join(last, [key, "batch_"])).drop("batch_")
-
-
-def compact(spark: SparkSession, store: str, schema: str, key: str = "doc_id") -> None:
-    """Publish a base that holds all deltas which are there; they stay until they are cleared away."""
-    if done := _deltas(spark, store):
-        publish(stored(spark, store, schema, key).withColumn("batch_", F.lit(done[-1]).cast("long")), store)
+def stored(spark: SparkSession, store: str, schema: str) -> DataFrame:
+    """The last row of each key."""
+    return Store(spark, store).read("rows", schema=schema)
 
 
-def _deltas(spark: SparkSession, store: str) -> list[int]:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/deltas/*/_SUCCESS")
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-    return sorted(int(f.getPath().getParent().getName()) for f in found or [])
+def compact(spark: SparkSession, store: str, keep: int = 10) -> None:
+    """Fold the store's parts together, and remove those that the last commits don't need."""
+    place = Store(spark, store)
+    for table in place.tables():
+        place.compact(table)
+    place.vacuum(keep)
 
 
 def chunk_stream(docs: DataFrame, keys: list[str]) -> DataFrame:

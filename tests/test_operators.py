@@ -249,11 +249,44 @@ def test_stream_store(spark, tmp_path):
 
     assert arrive((1, "a"), (2, "b")) == [(1, "a"), (2, "b")]
     assert arrive((2, "c"), (3, None)) == [(1, "a"), (2, "c"), (3, None)]
-    streaming.compact(spark, store, schema)
-    assert arrive((1, "d")) == [(1, "d"), (2, "c"), (3, None)]
-    spark.createDataFrame([(9, "half", 7)], f"{schema}, batch_ long").write.parquet(f"{store}/deltas/{7:012d}")
-    (tmp_path / "store/deltas" / f"{7:012d}" / "_SUCCESS").unlink()
+    streaming.compact(spark, store, keep=1)
+    assert len(list((tmp_path / "store").glob("rows-*"))) == 1
+    assert arrive((1, "d"), (1, "c"), (1, "cc")) == [(1, "d"), (2, "c"), (3, None)]  # of several the greatest
+    spark.createDataFrame([(9, "half")], schema).write.parquet(f"{store}/rows-half")
+    again = spark.createDataFrame([(1, "run again")], schema)
+    streaming._take(again, 2, store, "doc_id", None, f"file://{tmp_path}/check")
     assert sorted(tuple(r) for r in streaming.stored(spark, store, schema).collect()) == [(1, "d"), (2, "c"), (3, None)]
+    streaming._take(again.union(again), 3, store, "doc_id", None, f"file://{tmp_path}/check")
+    assert sorted(tuple(r) for r in streaming.stored(spark, store, schema).collect()) == [(1, "run again"), (2, "c"), (3, None)]
+
+
+def test_last_of_a_batch_by_order(spark, tmp_path):
+    from ferrule.streaming import ingest as streaming
+
+    schema, store = "k long, at int, v string", f"file://{tmp_path}/store"
+    batch = spark.createDataFrame([(1, 2, "a"), (1, 1, "z"), (2, 1, "x"), (2, 1, "y"), (None, 1, "n"), (None, 3, "m")], schema).repartition(4)
+    streaming._take(batch, 0, store, "k", ["at"], "s")
+    assert {r.k: r.v for r in streaming.stored(spark, store, schema).collect()} == {None: "m", 1: "a", 2: "y"}
+
+
+def test_publishers_at_once(spark, tmp_path):
+    """Every publisher gets a version of its own; one that was computed from an older version fails."""
+    import threading
+
+    root, one = f"file://{tmp_path}/store", lambda x: spark.createDataFrame([(x,)], "x int")
+    threads = [threading.Thread(target=lambda i=i: files.publish(one(i), root)) for i in range(5)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert files.published(spark, root) == [f"{i:012d}" for i in range(5)]
+    files.publish(one(9), root, after=4)
+    with pytest.raises(files.Conflict):
+        files.publish(one(10), root, after=4)
+    assert [r.x for r in files.current(spark, root).collect()] == [9]
+    assert len(files.remove_versions(spark, root, keep=1)) == 5 and [r.x for r in files.current(spark, root).collect()] == [9]
+    files.publish(one(11), root)
+    assert [r.x for r in files.current(spark, root).collect()] == [11]
 
 
 def test_evidence_and_labels(spark):

@@ -11,9 +11,13 @@ CHUNK_SIZE, CHUNK_OVERLAP = 1200, 120
 WINDOW_SIZE, WINDOW_OVERLAP = 3, 1
 
 
+#: Unicode's white space.
+WHITE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column) -> Column:
-    """Without surrounding white space of any kind; Spark's own trim takes spaces only."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without surrounding white space of any kind, in one pass over it."""
+    return F.trim(c, F.lit(WHITE))
 
 
 def blank(c: Column) -> Column:
@@ -130,23 +134,27 @@ def format_score(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.format_string("%.8f", c.cast("double")), "0+$", ""), r"\.$", "")
 
 
+#: The rest of a line up to its last character that isn't a space or a tab; read once forward, its trailing spaces once back.
+TO_LAST = r".*[^ \t\n\r\u0085\u2028\u2029]"
+
+
 def mask_headings(c: Column, levels: int = 3) -> Column:
     """Line-start headings followed by a space become [H1], [H2] ...; a text keeps its meaning without structuring a prompt."""
     out = F.regexp_replace(F.coalesce(c, F.lit("")), r"\r\n?", "\n")
     for k in range(levels, 0, -1):
-        out = F.regexp_replace(out, rf"(?m)^([ \t]*)#{{{k}}} +(.*?)[ \t]*$", f"$1[H{k}] $2")
+        out = F.regexp_replace(out, rf"(?m)^([ \t]*+)#{{{k}}} ++((?:{TO_LAST})?)[ \t]*+$", f"$1[H{k}] $2")
     return strip(out)
 
 
 def mask_structure(c: Column) -> Column:
     """Line-start headings of any level, fences and rules become [H1] to [H6], [CODE_FENCE], [RULE]."""
     out = F.regexp_replace(F.coalesce(c, F.lit("")), r"\r\n?", "\n")
-    out = F.regexp_replace(out, r"(?m)^([ \t]*)```[ \t]*(\S.*?)[ \t]*$", "$1[CODE_FENCE] $2")
-    out = F.regexp_replace(out, r"(?m)^([ \t]*)```[ \t]*$", "$1[CODE_FENCE]")
-    out = F.regexp_replace(out, r"(?m)^([ \t]*)-{3,}[ \t]*$", "$1[RULE]")
+    out = F.regexp_replace(out, rf"(?m)^([ \t]*+)```[ \t]*+(?=\S)({TO_LAST})[ \t]*+$", "$1[CODE_FENCE] $2")
+    out = F.regexp_replace(out, r"(?m)^([ \t]*+)```[ \t]*+$", "$1[CODE_FENCE]")
+    out = F.regexp_replace(out, r"(?m)^([ \t]*+)-{3,}+[ \t]*+$", "$1[RULE]")
     for k in range(6, 0, -1):
-        out = F.regexp_replace(out, rf"(?m)^([ \t]*)#{{{k}}}[ \t]*(\S.*?)[ \t]*$", f"$1[H{k}] $2")
-        out = F.regexp_replace(out, rf"(?m)^([ \t]*)#{{{k}}}[ \t]*$", f"$1[H{k}]")
+        out = F.regexp_replace(out, rf"(?m)^([ \t]*+)#{{{k}}}[ \t]*+(?=\S)({TO_LAST})[ \t]*+$", f"$1[H{k}] $2")
+        out = F.regexp_replace(out, rf"(?m)^([ \t]*+)#{{{k}}}[ \t]*+$", f"$1[H{k}]")
     return strip(out)
 
 
@@ -162,7 +170,8 @@ def mask_headings_tight(c: Column) -> Column:
 def json_object(c: Column) -> Column:
     """The text if it is a JSON object, else its outermost braces if they are one, else an empty object."""
     text = F.coalesce(c, F.lit(""))
-    inner = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    first, after = F.instr(text, F.lit("{")), F.instr(F.reverse(text), F.lit("}"))  # counted from either end
+    inner = F.when((first > 0) & (after > 0) & (first + after <= F.length(text)), F.substring(text, first, F.length(text) - after - first + 2)).otherwise("")
     is_object = lambda x: F.coalesce(F.schema_of_variant(F.try_parse_json(x)).startswith("OBJECT"), F.lit(False))
     return F.when(is_object(text), strip(text)).when(is_object(inner), inner).otherwise(F.lit("{}"))
 
@@ -170,8 +179,14 @@ def json_object(c: Column) -> Column:
 def distinct_ci(items: Column) -> Column:
     """Stripped items, blank ones dropped, each kept once whatever its case, in order of first appearance."""
     clean = F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), strip), lambda x: x != "")
-    keep = lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.concat(acc, F.array(x)))
-    return F.aggregate(clean, F.array().cast("array<string>"), keep)
+
+    def firsts(x: Column) -> Column:
+        """Items sorted by lower case and place; the first of each run, back in order."""
+        placed = F.array_sort(F.transform(x, lambda y, i: F.struct(F.lower(y).alias("lower"), i.alias("i"))))
+        heads = once(placed, lambda p: F.filter(p, lambda y, k: (k == 0) | (F.get(p, k - 1)["lower"] != y["lower"])))
+        return F.transform(F.array_sort(F.transform(heads, lambda y: y["i"])), lambda i: F.get(x, i))
+
+    return once(clean, firsts)
 
 
 def split_keywords(c: Column) -> Column:
@@ -221,13 +236,11 @@ def canonical_sha(**fields: Column) -> Column:
 
 def auto_keywords(c: Column, n: int = 5) -> Column:
     """The n words of three letters or more that a text has most often, ties in alphabetical order."""
-    listed = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?U)(\p{L}{3,})"), 1)
-    runs = F.aggregate(
-        F.array_sort(listed),
-        F.struct(F.lit("").alias("word"), F.lit(0).alias("n"), F.array().cast("array<struct<n:int,word:string>>").alias("out")),
-        lambda acc, w: F.when(acc["word"] == w, F.struct(w.alias("word"), (acc["n"] + 1).alias("n"), acc["out"].alias("out"))).otherwise(
-            F.struct(w.alias("word"), F.lit(1).alias("n"), F.when(acc["n"] > 0, F.concat(acc["out"], F.array(F.struct((-acc["n"]).alias("n"), acc["word"].alias("word"))))).otherwise(acc["out"]).alias("out"))
-        ),
-        lambda acc: F.when(acc["n"] > 0, F.concat(acc["out"], F.array(F.struct((-acc["n"]).alias("n"), acc["word"].alias("word"))))).otherwise(acc["out"]),
-    )
-    return F.slice(F.transform(F.array_sort(runs), lambda x: x["word"]), 1, n)
+    listed = F.array_sort(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?U)(\p{L}{3,}+)"), 1))
+
+    def counted(x: Column) -> Column:
+        """Places where a run of equal words begins, and how far it is to the next."""
+        heads = F.filter(F.transform(x, lambda w, i: F.when((i == 0) | (F.get(x, i - 1) != w), i)), lambda i: i.isNotNull())
+        return once(heads, lambda h: F.transform(h, lambda i, k: F.struct((i - F.coalesce(F.get(h, k + 1), F.size(x))).alias("n"), F.get(x, i).alias("word"))))
+
+    return F.slice(F.transform(F.array_sort(once(listed, counted)), lambda x: x["word"]), 1, n)

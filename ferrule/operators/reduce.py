@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import auto_keywords, blank, first_words, sentence_windows, sentences, strip, token_estimate, window_places
+from ..functions.text import auto_keywords, blank, first_words, once, sentence_windows, sentences, strip, token_estimate, window_places
 from ..functions.vectors import centroid, qa_budget, word_vectors
 
 REDUNDANT, TARGET, MOST, ANCHOR_WORDS = 0.92, 500, 800, 220
@@ -164,12 +164,15 @@ END_MARKS = ["END_OF_PROMPT", "## END_OF_PROMPT", "### END_OF_PROMPT"]
 def clean_chunk(text: Column) -> Column:
     """Without front matter, fences, meta and end marks, metadata lines and repeated blank lines."""
     whole = strip(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"))
-    lines = F.transform(F.split(whole, "\n"), strip)
-    headed = F.get(lines, F.lit(0)) == "---"
-    end = F.array_position(F.transform(lines, lambda x, i: (i > 0) & x.isin("---", "...")), True)
-    body = F.when(headed & (end == 0), F.array().cast("array<string>")).when(headed, F.slice(lines, end.cast("int") + 1, F.size(lines))).otherwise(lines)
-    noise = lambda x: x.startswith("```") | F.lower(x).startswith("@@meta") | x.isin(*END_MARKS) | x.rlike(rf"(?i)^({'|'.join(METADATA)})\s*:")
-    kept = F.array_join(F.filter(body, lambda x: ~noise(x)), "\n")
+    named = lambda x: F.contains(x, F.lit(":")) & x.rlike(rf"(?i)^({'|'.join(METADATA)})\s*:")
+    noise = lambda x: x.startswith("```") | F.lower(F.substring(x, 1, 6)).startswith("@@meta") | x.isin(*END_MARKS) | named(x)
+
+    def body(lines: Column) -> Column:
+        headed = F.get(lines, F.lit(0)) == "---"
+        end = F.array_position(F.transform(lines, lambda x, i: (i > 0) & x.isin("---", "...")), True)
+        return F.when(~headed, lines).when(end == 0, F.array().cast("array<string>")).otherwise(F.slice(lines, end.cast("int") + 1, F.size(lines)))
+
+    kept = F.array_join(F.filter(once(F.transform(F.split(whole, "\n"), strip), body), lambda x: ~noise(x)), "\n")
     return strip(F.regexp_replace(kept, "\n{3,}", "\n\n"))
 
 

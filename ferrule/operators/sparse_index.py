@@ -29,6 +29,8 @@ HOT = 65_536
 VALUES = 16
 #: Levels, as shares of the greatest product of weights.
 LEVELS = (0.6, 0.35)
+#: Share of the blocks beyond which a level isn't tried.
+SHARE = 0.5
 #: A request's distinct (piece, term) pairs; more are no request, but a join of whole tables.
 MOST_ASKED = 100_000
 BROADCAST_IDS = 100_000
@@ -84,22 +86,22 @@ class Request:
 
     def __init__(self, store: Store, name: str, query: DataFrame, spec: dict[str, Any] | None = None):
         self.spark = query.sparkSession
-        found = query.where("term IS NOT NULL").groupBy("piece", "term").agg(F.sum(F.col("weight").cast("double")).alias("weight")).where("weight <> 0").limit(MOST_ASKED + 1).collect()
+        weight = F.sum(F.col("weight").cast("double")).alias("weight")
+        found = query.groupBy("piece", "term", _bucket(F.col("term")).alias("bucket")).agg(weight).limit(MOST_ASKED + 1).collect()
         if len(found) > MOST_ASKED:
             raise ValueError("too many terms for one request")
-        self.pieces = {r.piece for r in found}
-        self.n_pieces = query.agg(F.countDistinct("piece")).head()[0]
+        self.n_pieces = len({r.piece for r in found})
+        found = [r for r in found if r.term is not None and r.weight]
         self.asked = [(r.piece, r.term, r.weight) for r in found]
         kinds = {f.name: f.dataType.simpleString() for f in query.schema}
         self.frame = F.broadcast(self.spark.createDataFrame(self.asked, f"piece {kinds['piece']}, term {kinds['term']}, asked double"))
-        terms = sorted({t for _, t, _ in self.asked})
-        buckets = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], f"term {kinds['term']}").select(_bucket(F.col("term"))).distinct().collect()] if terms else []
+        terms, buckets = sorted({r.term for r in found}), sorted({r.bucket for r in found})
         whole = store.read(name)
         self.blocks, self.test = _matching(whole.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms)), spec or {})
 
-    def heads(self) -> list[tuple[Any, float, float]]:
-        """(term, greatest, least) of the asked terms' blocks, grouped; their postings aren't read."""
-        return [tuple(r) for r in self.blocks.groupBy("term", "greatest").agg(F.min("least").alias("least")).select("term", "greatest", "least").collect()]
+    def heads(self) -> list[tuple[Any, float, float, int]]:
+        """(term, greatest, least, number) of the asked terms' blocks, grouped; their postings aren't read."""
+        return [tuple(r) for r in self.blocks.groupBy("term", "greatest").agg(F.min("least").alias("least"), F.count("*").alias("n")).select("term", "greatest", "least", "n").collect()]
 
     def sums(self, bars: dict[Any, float] | None = None, only: DataFrame | None = None) -> DataFrame:
         """id, piece, dot: of all blocks, or of those with a greatest weight of a term's bar or more; of given ids only."""
@@ -133,9 +135,9 @@ def search(store: Store, name: str, query: DataFrame, k: int, spec: dict[str, An
     rounded = lambda df: ranked(df.withColumn("score", F.round("score", decimals)), k)
     heads = request.heads()
     best: dict[Any, float] = {}
-    for term, greatest, _ in heads:
+    for term, greatest, _, _ in heads:
         best[term] = max(best.get(term, 0.0), greatest)
-    if any(least < 0 for _, _, least in heads) or any(w < 0 for _, _, w in request.asked):
+    if any(least < 0 for _, _, least, _ in heads) or any(w < 0 for _, _, w in request.asked):
         return rounded(request.exact(request.sums()))
     most = max((w * best.get(t, 0.0) for _, t, w in request.asked), default=0.0)
     weight: dict[Any, float] = {}
@@ -143,9 +145,12 @@ def search(store: Store, name: str, query: DataFrame, k: int, spec: dict[str, An
         weight[t] = max(weight.get(t, 0.0), w)
     for level in LEVELS:
         bars = {t: level * most / weight[t] for t in best}
-        rest = {t: max((g for u, g, _ in heads if u == t and g < bars[t]), default=0.0) for t in best}
-        if not any(rest.values()):
-            break  # nothing would be left unread
+        rest = dict.fromkeys(best, 0.0)
+        for t, g, _, _ in heads:
+            if g < bars[t]:
+                rest[t] = max(rest[t], g)
+        if sum(n for t, g, _, n in heads if g >= bars[t]) > SHARE * sum(n for *_, n in heads):
+            break  # little would be left unread
         tails: dict[Any, float] = {}
         for p, t, w in request.asked:
             tails[p] = tails.get(p, 0.0) + w * rest.get(t, 0.0)

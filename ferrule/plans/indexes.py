@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dense_index, histories
+from ..functions import text as fn
+from ..functions import vectors as vec
+from ..operators import dense_index, histories, tokens
 from ..sources.commits import Store
 from ..sources.shared import shared_dir
 from .derived import kept
@@ -113,3 +115,34 @@ def mem_ingest_all(spark, sf_dir):
     store = _histories(spark, sf_dir)
     histories.ingest_all(store, _entries)
     return histories.ingest_all(store, _entries, store.read("files").where("CAST(file_id AS LONG) % 2 = 0").select("file_id"))
+
+
+def ranks() -> tokens.Ranks | None:
+    """The rank file of a public tokenizer, where the machine has it; else counts are estimates."""
+    try:
+        import public_tokenizers
+    except ImportError:
+        return None
+    return tokens.Ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def word_store(spark, sf_dir) -> Store:
+    texts = lambda name: table(spark, sf_dir, name).select("text")
+    return kept(spark, sf_dir, ("documents", "conversations"), "words", lambda store: [tokens.learn(store, "words", texts(t), own) for t in ("documents", "conversations") if (own := ranks())])
+
+
+@query()
+def token_counts(spark, sf_dir):
+    """Real counts of every document, by the table of distinct words."""
+    return tokens.counts(table(spark, sf_dir, "documents").select("doc_id", "text"), word_store(spark, sf_dir), ranks(), key="doc_id")
+
+
+@query()
+def qa_budget_tokens(spark, sf_dir):
+    """The budgets of question and answer by real counts, beside those by estimates."""
+    rows, store = recs(spark, sf_dir).select("record_id", "input_text", "output_text"), word_store(spark, sf_dir)
+    side = lambda column, name: tokens.counts(rows.select("record_id", F.col(column).alias("text")), store, ranks(), key="record_id").withColumnRenamed("n_tokens", name)
+    counted = rows.join(side("input_text", "question_tokens"), "record_id").join(side("output_text", "answer_tokens"), "record_id")
+    real = vec.qa_budget(F.col("question_tokens"), F.col("answer_tokens"), 500, 150)
+    estimated = vec.qa_budget(fn.token_estimate(F.col("input_text")), fn.token_estimate(F.col("output_text")), 500, 150)
+    return counted.select("record_id", "question_tokens", "answer_tokens", real[0].alias("question_budget"), real[1].alias("answer_budget"), estimated[0].alias("estimated_question"), estimated[1].alias("estimated_answer"))

@@ -129,3 +129,39 @@ def test_sentences_like_python(spark, texts):
 @given(st.lists(st.integers(0, 4000), min_size=1, max_size=8))
 def test_token_estimate(spark, sizes):
     assert values(spark, ["x" * n for n in sizes], fn.token_estimate) == [math.ceil(n / 4) for n in sizes]
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    """A megabyte of spaces, headings, words or items, each in a few seconds."""
+    import time
+
+    from ferrule.operators import reduce
+
+    n = 1_000_000
+    names = [chr(97 + i % 26) + chr(97 + i // 26 % 26) + chr(97 + i // 676 % 26) + chr(97 + i // 17_576 % 26) for i in range(n // 6)]
+    cases = [
+        (fn.strip, "x" + " " * n + "y"),
+        (fn.strip, " " * n + " y "),
+        (fn.sentences, "a." + " " * n + "b"),
+        (fn.mask_structure, "# a" + " " * n + "b"),
+        (fn.mask_structure, "```" + " " * n + "b  \n" + " " * n),
+        (fn.mask_headings, "# a" + " " * n + "b"),
+        (fn.mask_headings, "# a \n" * (n // 5)),
+        (fn.auto_keywords, " ".join(names)),
+        (fn.split_keywords, ",".join(names)),
+        (fn.json_object, "{" * n),
+        (reduce.clean_chunk, "a: b\n" * (n // 5)),
+    ]
+    for f, text in cases:
+        frame, began = spark.createDataFrame([(text,)], "c string"), time.time()
+        frame.select(F.length(f(F.col("c")).cast("string"))).collect()
+        assert time.time() - began < 15, f.__name__
+
+
+def test_masks_of_odd_lines(spark):
+    cases = ["# a  ", "#  ", "#", "#\t\tx \t", " \t## two  words \t ", "### x\u2028# y ", "#a", "####### seven", "```  py ", "``` ", "--- \t", "--", "# a\r\n\r# b", "# \x0b", "a # b"]
+    structured = ["[H1] a", "[H1]", "[H1]", "[H1] x", "[H2] two  words", "[H3] x\u2028[H1] y", "[H1] a", "[H6] # seven", "[CODE_FENCE] py", "[CODE_FENCE]", "[RULE]", "--", "[H1] a\n\n[H1] b", "#", "a # b"]
+    headed = ["[H1] a", "[H1]", "#", "#\t\tx", "[H2] two  words", "[H3] x\u2028[H1] y", "#a", "####### seven", "```  py", "```", "---", "--", "[H1] a\n\n[H1] b", "[H1]", "a # b"]
+    rows = spark.createDataFrame(list(enumerate(cases)), "i int, c string").select("i", fn.mask_structure(F.col("c")), fn.mask_headings(F.col("c"))).orderBy("i").collect()
+    assert [r[1] for r in rows] == structured
+    assert [r[2] for r in rows] == headed

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import unicodedata
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,9 +105,19 @@ def token_windows(c: Column, size: int) -> Column:
     return F.when(n > 0, F.transform(starts, lambda s: F.array_join(F.slice(w, s + 1, F.lit(size)), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def nfkc(c: Column) -> Column:
+    """Unicode's compatible composed form. Spark has no function for it; texts of ASCII characters alone are their own and don't go to Python."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield b.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+    return F.coalesce(F.pandas_udf(run, "string")(F.when(c.rlike("[^\\x00-\\x7F]"), c)), c)
+
+
 def norm_key(c: Column) -> Column:
-    """Lower case, white space collapsed, everything but letters, digits, underscores and spaces dropped."""
-    collapsed = F.regexp_replace(F.lower(strip(c)), r"(?U)\s+", " ")
+    """Compatible forms made one, lower case, white space collapsed, everything but letters, digits, underscores and spaces dropped."""
+    collapsed = F.regexp_replace(F.lower(strip(nfkc(c))), r"(?U)\s+", " ")
     return F.regexp_replace(collapsed, r"(?U)[^\w\s]+", "")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import blank, strip
+from ..functions.text import blank, clean_mode, strip
 from ..functions.vectors import chunk_score, distance_score, episodic_score, mode_weighted
 from .predicates import without_tags
 
@@ -144,6 +144,65 @@ def overlay(log: DataFrame, edits: DataFrame, fields: list[str], key: str = "rec
     return joined.select(*(F.col(c) for c in log.columns if c not in fields), *(out[f].alias(f) for f in fields), changed.alias("changed"))
 
 
+# Tags that a record may have.
+TAGS = ("Gold", "Green", "Black")
+
+
+def sync_edits(records: DataFrame, edits: DataFrame) -> DataFrame:
+    """Records (record_id, tag, user_keywords, retrieval_source_mode, direct_recall_key and others) after edits of these fields, and ``changed``.
+
+    Edits of records that aren't there, blank ids included, do nothing. An unknown tag and null keywords leave what is
+    there; a mode that isn't one of the three becomes QA; a recall key is stripped, null is an empty one.
+    """
+    tag, own = strip(F.col("tag")), F.trim(F.col("record_id"))
+    new = edits.select(own.alias("record_id"), F.when(tag.isin(*TAGS), tag).alias("tag_"), F.col("user_keywords").alias("words_"), clean_mode(F.col("retrieval_source_mode")).alias("mode_"), F.coalesce(strip(F.col("direct_recall_key")), F.lit("")).alias("key_"), F.lit(True).alias("edited_"))
+    joined = records.join(new.where(~blank(F.col("record_id"))).dropDuplicates(["record_id"]), "record_id", "left")
+    kept = lambda c, new_: F.when(F.col("edited_"), new_).otherwise(F.col(c))
+    out = {"tag": F.coalesce("tag_", "tag"), "user_keywords": F.coalesce("words_", "user_keywords"), "retrieval_source_mode": kept("retrieval_source_mode", F.col("mode_")), "direct_recall_key": kept("direct_recall_key", F.col("key_"))}
+    changed = ~F.struct(*(out[f] for f in out)).eqNullSafe(F.struct(*(F.col(f) for f in out)))
+    return joined.select(*(out[c].alias(c) if c in out else F.col(c) for c in records.columns), changed.alias("changed"))
+
+
+# Fields of a record in the log and in the index, and those that only the index has.
+LOG_FIELDS = "record_id parent_id created_at_utc input_text output_text source input_hash output_hash active_retrieval_brief_title active_retrieval_brief active_retrieval_brief_contributor_ids".split()
+INDEX_FIELDS = "record_id parent_id created_at_utc source tag retrieval_source_mode direct_recall_key auto_keywords user_keywords active_project_name embedded_files_snapshot input_hash output_hash".split()
+FULL_FIELDS = LOG_FIELDS + "tag retrieval_source_mode direct_recall_key auto_keywords user_keywords active_project_name embedded_files_snapshot".split()
+LISTS = ("auto_keywords", "user_keywords", "embedded_files_snapshot", "active_retrieval_brief_contributor_ids")
+#: What a field is where a record doesn't have it; others are empty texts, those of OPTIONAL null.
+FIELD_DEFAULTS, OPTIONAL = {"tag": "Green", "retrieval_source_mode": "QA"}, ("parent_id", "active_project_name")
+
+
+def record_form(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """Rows in one of the forms of a record: its fields in order, with defaults for columns and values that aren't there."""
+
+    def field(name: str) -> Column:
+        if name in LISTS:
+            nothing = F.array().cast("array<string>")
+            return F.coalesce(F.col(name), nothing) if name in rows.columns else nothing
+        value = F.col(name).cast("string") if name in rows.columns else F.lit(None).cast("string")
+        return value if name in OPTIONAL else F.coalesce(value, F.lit(FIELD_DEFAULTS.get(name, "")))
+
+    return rows.select(*(field(f).alias(f) for f in fields))
+
+
+def index_rows(rows: DataFrame) -> DataFrame:
+    """Rows of an index whose lists are JSON texts, as candidates with arrays; a text that isn't a list of texts is an empty one."""
+    decoded = {c: F.coalesce(F.from_json(F.col(c), "array<string>"), F.array().cast("array<string>")) for c in LISTS if c in rows.columns}
+    return rows.withColumns(decoded)
+
+
+def pack_or_reason(requests: DataFrame, pack: DataFrame) -> DataFrame:
+    """Rows of every request's pack, or one row with no slot and the reason why it is empty.
+
+    requests: request_id, file_id (null: no file is active), query. pack: file_id, slot, record_id, pos.
+    """
+    reason = F.when(F.col("file_id").isNull(), "no_active_file").when(blank(F.col("query")), "empty_query")
+    asked = requests.select("request_id", "file_id", reason.alias("reason"))
+    rows = asked.where("reason IS NULL").join(pack, "file_id").select("request_id", "reason", "slot", "record_id", "pos")
+    none = asked.where("reason IS NOT NULL").select("request_id", "reason", *(F.lit(None).cast(t).alias(c) for c, t in (("slot", "string"), ("record_id", "string"), ("pos", "long"))))
+    return rows.unionByName(none)
+
+
 def enrich(candidates: DataFrame, live: DataFrame, episodes: DataFrame, fields: list[str], key: str = "record_id") -> DataFrame:
     """Fields of episodes over live records over candidates."""
     take = lambda df, x: df.select(key, *(F.col(f).alias(f"{f}_{x}") for f in fields if f in df.columns))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, escape_attr, format_score, mask_headings, mask_structure, strip
@@ -42,6 +42,50 @@ def episodes_text(episodes: DataFrame, by: str = "file_id") -> DataFrame:
     return episodes.groupBy(by).agg(ordered_lines("pos", item, "\n\n").alias("text"))
 
 
+def memory_evidence(episodes: DataFrame, chunks: DataFrame, by: str = "file_id") -> DataFrame:
+    """by, text: episodes (pos, record_id, tag, source, score, input_text, output_text), then semantic chunks (pos, vector_id, record_id, role, score, text), each under its heading.
+
+    Blank fields are left out; a side without rows has no heading. A request has few of either.
+    """
+    line = lambda name, c: F.when(~blank(c.cast("string")), F.concat(F.lit(f"{name}: "), strip(c.cast("string"))))
+    field = lambda name, c: F.when(~blank(c), F.concat(F.lit(f"\n{name}:\n"), strip(c)))
+    head = lambda name: F.concat(F.lit(f"### {name} "), F.col("pos").cast("string"))
+    c = F.col
+    episode = F.concat_ws("\n", head("Episode"), F.concat(F.lit("record_id: "), strip(c("record_id"))), line("tag", c("tag")), line("source", c("source")), line("score", c("score")), field("QUESTION", c("input_text")), field("ANSWER", c("output_text")))
+    chunk = F.concat_ws("\n", head("Semantic Chunk"), line("vector_id", c("vector_id")), line("record_id", c("record_id")), line("role", c("role")), line("score", c("score")), field("TEXT", c("text")))
+    rows = episodes.select(by, F.lit(0).alias("side"), "pos", episode.alias("line")).unionByName(chunks.select(by, F.lit(1).alias("side"), "pos", chunk.alias("line")))
+    listed = lambda side: F.transform(F.array_sort(F.collect_list(F.when(c("side") == side, F.struct("pos", "line")))), lambda x: x["line"])
+    under = lambda title, side: F.when(F.size(listed(side)) > 0, F.concat(F.lit(f"## {title}\n\n"), F.array_join(listed(side), "\n\n")))
+    return rows.groupBy(by).agg(F.concat_ws("\n\n", under("Reduced Episodic Memory Episodes", 0), under("Semantic Memory Chunks", 1)).alias("text"))
+
+
+def chunk_order(requests: DataFrame, views: DataFrame, final: DataFrame, base: DataFrame, key: str = "prompt_id") -> DataFrame:
+    """key, id, pos: the order of a prompt's base chunks, numbered anew.
+
+    requests: key, stage. views: key, stage, id, pos. final, base: key, id, pos. At stage a3 with a view of it, that view;
+    else the final selection, if there is one; else the stage's view, if there is one; else the base order. Ids that
+    aren't base chunks are left out.
+    """
+    seen = views.select(key, "stage").distinct().withColumn("viewed_", F.lit(True))
+    chosen = final.select(key).distinct().withColumn("final_", F.lit(True))
+    asked = requests.join(seen, [key, "stage"], "left").join(chosen, key, "left")
+    viewed, fixed = F.coalesce("viewed_", F.lit(False)), F.coalesce("final_", F.lit(False))
+    asked = asked.select(key, "stage", F.when(viewed & (F.col("stage") == "a3"), "view").when(fixed, "final").when(viewed, "view").otherwise("base").alias("from_"))
+    rows = asked.where("from_ = 'view'").join(views, [key, "stage"]).select(key, "id", "pos")
+    for name, table in (("final", final), ("base", base)):
+        rows = rows.unionByName(asked.where(f"from_ = '{name}'").join(table, key).select(key, "id", "pos"))
+    rows = rows.join(base.select(key, "id").distinct(), [key, "id"], "left_semi")
+    return rows.select(key, "id", F.row_number().over(Window.partitionBy(key).orderBy("pos", "id")).cast("long").alias("pos"))  # a prompt's chunks
+
+
+def diagnostics_json(selection: Column, synthesis: Column) -> Column:
+    """The fenced JSON of what was selected and synthesised, both maps of texts; null where both are empty."""
+    given = lambda m: F.coalesce(F.size(m), F.lit(0)) > 0
+    own = lambda m: F.when(given(m), m).otherwise(F.create_map().cast("map<string,string>"))
+    body = F.to_json(F.struct(own(selection).alias("selection_diagnostics"), own(synthesis).alias("memory_synthesis_diagnostics")), {"pretty": "true"})
+    return F.when(given(selection) | given(synthesis), fenced(body, "json"))
+
+
 def prompt_ready(system: Column, request: Column, context: Column, attachments: Column) -> Column:
     block = lambda name, c: F.when(~blank(c), F.concat(F.lit(f"# {name}\n"), strip(c)))
     return F.concat_ws("\n\n", block("System", system), block("Request", request), block("Context", context), block("Attachments", attachments))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import blank
 from ..functions.vectors import POWER, cosine_eps
 
 RRF_K, FLOOR, DEFAULT_K = 60, 0.2, 100
@@ -110,6 +111,12 @@ def hydrate(ranked_rows: DataFrame, chunked: DataFrame, keys: list[str]) -> Data
     return ranked_rows.join(chunked, keys)
 
 
+def hydrate_valid(ranked_rows: DataFrame, chunked: DataFrame) -> DataFrame:
+    """Ranked rows (path, chunk_idx and others) with their chunk; rows of a blank path, a file that isn't there, or a number that is null or beyond the file's chunks go."""
+    usable = ranked_rows.where(~blank(F.col("path")) & F.col("chunk_idx").isNotNull() & (F.col("chunk_idx") >= 0))
+    return usable.join(chunked, ["path", "chunk_idx"])
+
+
 def labelled_centroids(vectors: DataFrame, label: str, vector: str = "vector") -> DataFrame:
     """label, dim, mean: element-wise means; merged by each task before the shuffle."""
     return vectors.select(label, F.posexplode(vector).alias("dim", "x")).groupBy(label, F.col("dim").cast("long").alias("dim")).agg(F.avg(F.col("x").cast("double")).alias("mean"))

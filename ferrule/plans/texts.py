@@ -205,11 +205,16 @@ def brief_gate_route(spark, sf_dir):
     return rows.select("record_id", route.alias("route"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS n, 'no_active_file' AS reason")
+@query(f"""SELECT request_id, reason, slot, record_id, pos FROM (SELECT conv_id AS request_id, CASE WHEN conv_id % 4 = 1 THEN 'no_active_file' WHEN conv_id % 4 = 2 THEN 'empty_query' END AS reason, conv_id FROM (SELECT DISTINCT conv_id FROM conversations))
+LEFT JOIN (SELECT file_id, 'working' AS slot, record_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY ordinal DESC, record_id DESC) AS pos FROM {RECS} WHERE tag <> 'Black') WHERE pos <= 2) ON reason IS NULL AND file_id = conv_id
+WHERE reason IS NOT NULL OR slot IS NOT NULL""")
 def empty_pack(spark, sf_dir):
-    """No active file: a pack without rows, whose reason is still there."""
-    none = memory.empty_pack(memory.latest(recs(spark, sf_dir), 1), "no_active_file")
-    return none.agg(F.count("*").alias("n"), F.coalesce(F.max("reason"), F.lit("no_active_file")).alias("reason"))
+    """A request per conversation: some have no active file, some ask nothing; these get a reason, the others their newest records."""
+    c = F.col("conv_id")
+    asked = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    requests = asked.select(c.alias("request_id"), F.when(c % 4 != 1, c).alias("file_id"), F.when(c % 4 == 2, " \n").otherwise("a question").alias("query"))
+    working = memory.latest(recs(spark, sf_dir), 2)
+    return memory.pack_or_reason(requests, memory.context_pack(working, working.limit(0), working.limit(0), working.limit(0)))
 
 
 @query(f"SELECT id, 'DISCARDED' AS status, CAST(0 AS BIGINT) AS score, 'a3_selected_zero_useful_chunks' AS reason FROM {GATED} WHERE label <> 'useful'")
@@ -236,10 +241,13 @@ def render_memory_evidence(spark, sf_dir):
     return render.episodes_text(memory.latest(recs(spark, sf_dir), 2))
 
 
-@query(f"SELECT record_id, '# System' || chr(10) || 'tag ' || tag || chr(10) || chr(10) || '# Request' || chr(10) || trim(input_text, ' ' || chr(10)) AS prompt FROM {RECS}")
+@query(f"""SELECT record_id, '# System' || chr(10) || 'tag ' || tag || chr(10) || chr(10) || '# Request' || chr(10) || {STRIP.format('input_text')} || CASE WHEN mode = 'QA' THEN '' ELSE chr(10) || chr(10) || '# Context' || chr(10) || {STRIP.format('output_text')} END
+|| CASE WHEN tag = 'Gold' THEN chr(10) || chr(10) || '# Attachments' || chr(10) || record_id || '.txt' ELSE '' END AS prompt FROM {RECS}""")
 def prompt_ready(spark, sf_dir):
-    none = F.lit(None).cast("string")
-    return recs(spark, sf_dir).select("record_id", render.prompt_ready(F.concat(F.lit("tag "), F.col("tag")), F.col("input_text"), none, none).alias("prompt"))
+    """Prompts with a context unless the record's mode is both, and with an attachment if it is Gold."""
+    c = F.col
+    context, attached = F.when(c("mode") != "QA", c("output_text")), F.when(c("tag") == "Gold", F.concat("record_id", F.lit(".txt "))).otherwise(" ")
+    return recs(spark, sf_dir).select("record_id", render.prompt_ready(F.concat(F.lit("tag "), c("tag")), c("input_text"), context, attached).alias("prompt"))
 
 
 @query(f"""SELECT record_id, CASE WHEN ordinal % 3 = 1 THEN '' ELSE '## TASK' || chr(10) || trim(input_text, ' ' || chr(10)) || chr(10) || chr(10) || '## CONTEXT' || chr(10) || tag || CASE WHEN ordinal % 3 = 2 THEN chr(10) || chr(10) || '## PREVIOUS MEMORY TITLE' || chr(10) || 'title' ELSE '' END END AS query FROM {RECS}""")

@@ -11,11 +11,12 @@ Equal texts are one node. Nodes with an equal band of registers share a bucket.
 member is verified against its pivot, the member with the most bucket mates over all its buckets
 (the text the others were made from, as a rule), never each against each. Classes are then the
 connected components of the verified links, found by star contraction. A bucket whose members are
-all in one class is done. In the others, pairs of members of different classes may still be links;
-two bounds rule most of them out inside the join, before any pair is made. First, 1 - similarity is
-a metric, so members whose distances to the pivot differ too much aren't linked. Second, members
-of such buckets get a sketch of ``SKETCH`` more registers, two bits each; a pair whose sketches
-agree in fewer places than a link's do, less ``SPREAD`` standard deviations, isn't one (1 link at the
+all in one class is done. In the others, pairs of members of different classes may still be links.
+Buckets don't make these pairs: a link's texts have four fifths of their weight in common, so they share
+one of their rarest shingles, those that make up just over the other fifth, and only texts that share one
+become a pair. Texts of one template, alike in most words but not enough, don't: their rarest shingles are
+their own. Members of such buckets also get a sketch of ``SKETCH`` more registers, two bits each; a pair whose
+sketches agree in fewer places than a link's do, less ``SPREAD`` standard deviations, isn't one (1 link at the
 threshold in a billion is lost to this, far fewer than the 5 in 100,000 that banding loses; the bits
 depend on element and register, so this holds for short texts too). The pairs that are left are
 verified. There is no cap; like any MinHash method, this one can miss links, with these odds.
@@ -47,6 +48,8 @@ WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 25, 5
 #: Registers of the sketch that open bucket mates are compared by; 32 of two bits make a long.
 SKETCH, SPREAD = 1024, 6.0
+#: Hashed counts that say which shingles of open bucket mates are rare.
+COUNTERS = 1 << 20
 
 
 def shingles(hashes: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -256,6 +259,47 @@ def sketches(keys: DataFrame, held: DataFrame) -> DataFrame:
     return held.join(keys, "key", "left_semi").mapInArrow(run, "key binary, sketch array<long>")
 
 
+def prefixes(keys: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """key and shingle: of the texts of these keys the rarest shingles, just over 1 - ``least`` of each text's weight.
+
+    Two texts whose similarity is ``least`` have as much of their weight in common, so the rarest shingle that they
+    share is among these of both. Rare is what the hashed counts over all of these texts say, then the lesser hash: an
+    order that is the same for all texts, which is all that this needs.
+    """
+    spark, texts_ = keys.sparkSession, held.join(keys, "key", "left_semi")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield part, *shingles(*word_hashes(part.column("text").to_pylist()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(COUNTERS, np.int64)
+        for _, _, element, _ in shingled(batches):
+            n += np.bincount((element % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], names=["at", "n"])
+
+    found = texts_.mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(COUNTERS, np.int64)
+    total[found["at"].to_numpy()] = found["n"].to_numpy()
+    counted = spark.sparkContext.broadcast(total)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, text, element, weight in shingled(batches):
+            order = np.lexsort((element, counted.value[(element % np.uint64(COUNTERS)).astype(np.int64)], text))
+            text, element, weight = text[order], element[order], weight[order]
+            first = np.searchsorted(text, np.arange(part.num_rows + 1))
+            whole = np.add.reduceat(np.append(weight, 0.0), first[:-1]) if len(weight) else np.zeros(part.num_rows)
+            before = np.cumsum(weight) - weight
+            before -= before[first[text]] if len(text) else before
+            some = before <= (1 - least + 1e-9) * whole[text]
+            keys_ = part.column("key").take(pa.array(text[some]))
+            yield pa.RecordBatch.from_arrays([keys_, pa.array(element[some].view(np.int64))], names=["key", "shingle"])
+
+    return scratch(texts_.mapInArrow(rarest, "key binary, shingle long"), "prefixes")
+
+
 def agreeing(a: str, b: str) -> Column:
     """Registers in which two sketches agree."""
     unlike = [F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))) for i in range(SKETCH // 32)]
@@ -280,21 +324,18 @@ def open_pairs(members: DataFrame, sims: DataFrame, roots: DataFrame, held: Data
     known = scratch(known, "known")
     buckets = known.where("root <> pivot_root").select("bucket").distinct()
     still = scratch(known.join(buckets, "bucket", "left_semi"), "open")
-    lists = still.groupBy("key").agg(F.collect_set("bucket").alias("buckets"))  # at most one per band
-    drawn = scratch(sketches(still.select("key").distinct(), held).join(lists, "key"), "sketches")
-    flags = (F.col("root") != F.col("pivot_root")).alias("outside")
-    rows = still.join(drawn, "key").select("bucket", "key", "sim", "root", flags, "sketch", "buckets")
-    side = lambda x: rows.select("bucket", *(F.col(c).alias(f"{c}_{x}") for c in rows.columns[1:]))
-    a, b = side("a").where("outside_a"), side("b")
-    near = F.abs(F.col("sim_a") - F.col("sim_b")) <= 1 - least + 1e-9
+    nodes = scratch(still.groupBy("key").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("pivot_root")).alias("outside")), "nodes")
+    drawn = scratch(sketches(nodes.select("key"), held), "sketches")
+    rows = prefixes(nodes.select("key"), held, least).join(nodes, "key")
+    side = lambda x: rows.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("key", "root", "outside")))
     once = ~F.col("outside_b") | (F.col("key_a") < F.col("key_b"))
-    alike = agreeing("sketch_a", "sketch_b") >= least_agreement(least)
-    first = F.array_min(F.array_intersect("buckets_a", "buckets_b")) == a["bucket"]  # of the buckets that a pair shares, one makes it
-    pairs = a.join(b, (a["bucket"] == b["bucket"]) & (F.col("root_a") != F.col("root_b")) & near & once & alike & first)
-    pairs = pairs.select(F.greatest("key_a", "key_b").alias("a"), F.least("key_a", "key_b").alias("b")).distinct()
+    met = side("a").where("outside_a").join(side("b"), "shingle").where((F.col("root_a") != F.col("root_b")) & once)
+    pairs = met.select(F.greatest("key_a", "key_b").alias("a"), F.least("key_a", "key_b").alias("b")).distinct()
+    sketch = lambda x: drawn.select(F.col("key").alias(x), F.col("sketch").alias(f"sketch_{x}"))
+    pairs = pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(agreeing("sketch_a", "sketch_b") >= least_agreement(least)).select("a", "b")
     done = sims.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     out = scratch(pairs.join(done, ["a", "b"], "left_anti"), "rest")
-    drop(known, still, drawn)
+    drop(known, still, nodes, drawn)
     return out
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Canonical names, those a prompt must have, their defaults, other names and German names. The default of the constraints is our own.
@@ -84,3 +86,19 @@ def names(spark: SparkSession) -> DataFrame:
 def must_defaults() -> dict[str, str]:
     """Defaults of the names a prompt must have, but for its task."""
     return {k: DEFAULTS.get(k, "") for k in MUST if k != "task"}
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
+    """Names and defaults, as above, of a JSON file: canonical_keys, must_keys, defaults, aliases (name: canonical) and bilingual (language: name: canonical).
+
+    Parts that aren't there are empty; a file that isn't a JSON object is an error. An alias of an unknown name counts for nothing.
+    """
+    found = json.loads("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
+    if not isinstance(found, dict):
+        raise ValueError(f"{path} isn't a JSON object")
+    canonical = [str(n) for n in found.get("canonical_keys") or []]
+    rows = [(n, n, 0) for n in canonical]
+    rows += [(a, c, 1) for a, c in (found.get("aliases") or {}).items() if c in canonical]
+    rows += [(a, c, 2) for listed in (found.get("bilingual") or {}).values() for a, c in (listed or {}).items() if c in canonical]
+    defaults = found.get("defaults") or {}
+    return spark.createDataFrame(rows, "name string, canonical string, priority int"), {k: str(defaults.get(k, "")) for k in found.get("must_keys") or [] if k != "task"}

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..operators import ingest, predicates
 from ..sources import files
+from ..sources.shared import shared_dir
 from .registry import query, table
 
 def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,3 +152,15 @@ def log_routing(spark, sf_dir):
     types = events.select("type").distinct().agg(F.collect_set("type").alias("types"))
     routed = files.routed(events, sinks.drop("types").crossJoin(types))
     return routed.groupBy("sink", F.col("type").alias("event_type")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT 'all' AS sink, event_type AS type, count(*) AS n, count(DISTINCT event_id) AS n_events FROM events GROUP BY 2 UNION ALL SELECT 'clicks', event_type, count(*), count(DISTINCT event_id) FROM events WHERE event_type = 'click' AND user_id % 3 = 0 GROUP BY 2""")
+def log_written(spark, sf_dir):
+    """Events written to the sinks that take their type and level, a folder each, in two lots, and read again."""
+    root = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("type"), (F.col("user_id") % 3).cast("int").alias("level"))
+    types = [r[0] for r in events.select("type").distinct().orderBy("type").limit(1_000).collect()]  # kinds of events
+    sinks = spark.createDataFrame([("all", types, [0, 1, 2]), ("clicks", ["click"], [0])], "sink string, types array<string>, levels array<int>")
+    for part in (events.where("event_id % 2 = 0"), events.where("event_id % 2 <> 0")):
+        files.write_sinks(part, sinks, root)
+    return spark.read.schema("event_id long, type string, level int, sink string").json(root).groupBy("sink", "type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("n_events"))

@@ -266,6 +266,18 @@ def preprocess_prompts(spark, sf_dir):
     return prompt.preprocess(prompts, schema.names(spark), schema.must_defaults(), key="record_id").where("name NOT IN ('role', 'depth', 'format', 'text')")
 
 
+@query(f"""SELECT record_id, unnest(['task', 'context', 'tone']) AS name, unnest([CASE WHEN ordinal % 2 = 0 THEN 'last ' || mode ELSE tag END, CASE WHEN ordinal % 2 = 0 THEN tag ELSE '' END, 'dry']) AS body FROM {RECS}""")
+def preprocess_repeats(spark, sf_dir):
+    """Prompts whose headings repeat, under several names, in other cases and compatible forms: the last counts; one without a task takes its context for it."""
+    c, prompts = F.col, recs(spark, sf_dir)
+    twice = F.concat(F.lit("# Task\nfirst\n## Kontext \n"), c("tag"), F.lit("\n# TONE:\nwarm\n### Wishes\nlast "), c("mode"), F.lit("\n## Voice\ndry"))
+    bare = F.concat(F.lit("before\r\n## Ｎｏｔｅｓ\r\n"), c("tag"), F.lit("\n# Style!\ndry\n#### not a section\n"))
+    texts = prompts.select("record_id", F.when(c("ordinal") % 2 == 0, twice).otherwise(bare).alias("text"))
+    made = prompt.preprocess(texts, schema.names(spark), {}, key="record_id").where("name IN ('task', 'context', 'tone')")
+    every = prompts.select("record_id", F.explode(F.array(*map(F.lit, ("task", "context", "tone")))).alias("name"))
+    return every.join(made, ["record_id", "name"], "left").select("record_id", "name", F.coalesce(F.substring_index("body", "\n####", 1), F.lit("")).alias("body"))
+
+
 STATE = "CASE ordinal % 2 WHEN 0 THEN 'STRONG' ELSE 'WEAK' END AS m, CASE ordinal % 3 WHEN 0 THEN 'SAME_TOPIC' WHEN 1 THEN 'RELATED_DOMAIN' ELSE 'IRRELEVANT' END AS r"
 TRIMMED = {c: STRIP.format(c) for c in ("input_text", "output_text", "tag", "mode")}
 FULL = "(m = 'STRONG' AND r <> 'IRRELEVANT' OR m = 'WEAK' AND r <> 'RELATED_DOMAIN')"

@@ -157,5 +157,10 @@ def routed(events: DataFrame, sinks: DataFrame) -> DataFrame:
     return events.join(F.broadcast(sinks), takes).select("sink", *events.columns)
 
 
+def write_sinks(events: DataFrame, sinks: DataFrame, root: str) -> None:
+    """Log events appended as JSON lines, a folder per sink that takes them."""
+    routed(events, sinks).write.mode("append").partitionBy("sink").json(root)
+
+
 def project_of(path: Column) -> Column:
     return strip(F.element_at(F.split(path, "/"), -2))

@@ -84,3 +84,28 @@ def test_diagnostics(spark):
 @pytest.mark.parametrize(("given", "want"), [("qa", "QA"), (" a ", "A"), ("Q", "Q"), ("both", "QA"), ("", "QA"), (None, "QA")])
 def test_clean_mode(spark, given, want):
     assert spark.createDataFrame([(given,)], "m string").select(fn.clean_mode(F.col("m"))).head()[0] == want
+
+
+def test_schema_from_a_file(spark, tmp_path):
+    from ferrule.functions import schema
+    from ferrule.operators import prompt
+
+    own = {"canonical_keys": ["task", "tone"], "must_keys": ["task", "tone", "new"], "defaults": {"tone": "calm"}, "aliases": {"Wish!": "task", "x": "nowhere"}, "bilingual": {"de": {"Ton": "tone"}, "fr": None}}
+    (tmp_path / "s.json").write_text(json.dumps(own, indent=1))
+    names, must = schema.load(spark, f"file://{tmp_path}/s.json")
+    assert must == {"tone": "calm", "new": ""} and names.count() == 4
+    titles = spark.createDataFrame([("wish",), ("TON",), ("Tone:",), ("x",)], "title string")
+    assert {r.title: r.canonical for r in prompt.resolve_headers(titles, names).collect()} == {"wish": "task", "TON": "tone", "Tone:": "tone", "x": None}
+    (tmp_path / "s.json").write_text("[]")
+    with pytest.raises(ValueError, match="JSON object"):
+        schema.load(spark, f"file://{tmp_path}/s.json")
+
+
+def test_sinks_are_written(spark, tmp_path):
+    from ferrule.sources import files
+
+    sinks = spark.createDataFrame([("a", ["x"], [1]), ("b", ["x", "y"], [1, 2])], "sink string, types array<string>, levels array<int>")
+    for part in ([("x", 1, "m1")], [("y", 2, "m2"), ("z", 1, "m3")]):
+        files.write_sinks(spark.createDataFrame(part, "type string, level int, message string"), sinks, f"file://{tmp_path}/log")
+    got = spark.read.json(f"file://{tmp_path}/log")
+    assert sorted((r.sink, r.message) for r in got.collect()) == [("a", "m1"), ("b", "m1"), ("b", "m2")]

@@ -33,6 +33,8 @@ LEVELS = (0.6, 0.35)
 SHARE = 0.5
 #: A request's distinct (piece, term) pairs; more are no request, but a join of whole tables.
 MOST_ASKED = 100_000
+#: Terms that are written into the scan's filter; more are joined.
+MOST_LISTED = 2_000
 BROADCAST_IDS = 100_000
 #: Sums in another order differ by less.
 SLACK = 1e-9
@@ -96,8 +98,12 @@ class Request:
         kinds = {f.name: f.dataType.simpleString() for f in query.schema}
         self.frame = F.broadcast(self.spark.createDataFrame(self.asked, f"piece {kinds['piece']}, term {kinds['term']}, asked double"))
         terms, buckets = sorted({r.term for r in found}), sorted({r.bucket for r in found})
-        whole = store.read(name)
-        self.blocks, self.test = _matching(whole.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms)), spec or {})
+        whole = store.read(name).where(F.col("bucket").isin(buckets))
+        if len(terms) <= MOST_LISTED:
+            whole = whole.where(F.col("term").isin(terms))
+        else:
+            whole = whole.join(self.frame.select("term").distinct(), "term", "left_semi")
+        self.blocks, self.test = _matching(whole, spec or {})
 
     def heads(self) -> list[tuple[Any, float, float, int]]:
         """(term, greatest, least, number) of the asked terms' blocks, grouped; their postings aren't read."""

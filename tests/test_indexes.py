@@ -132,9 +132,10 @@ def postings(seed, n=400, terms=25):
     return [*rows, *rows[:5], (None, "t0", 9.0, "de"), ("d0001", None, 9.0, "de"), ("d0002", "t3", 0.0, "de"), ("d0002", "t4", None, "de"), ("dx", "t0", 0.5, None)]
 
 
-@pytest.mark.parametrize(("seed", "block", "hot"), [(1, 512, 65_536), (2, 16, 65_536), (3, 8, 50)])
-def test_sparse_index(spark, store, monkeypatch, seed, block, hot):
+@pytest.mark.parametrize(("seed", "block", "hot", "listed"), [(1, 512, 65_536, 2_000), (2, 16, 65_536, 2_000), (3, 8, 50, 1)])
+def test_sparse_index(spark, store, monkeypatch, seed, block, hot, listed):
     monkeypatch.setattr(sparse_index, "BLOCK", block)
+    monkeypatch.setattr(sparse_index, "MOST_LISTED", listed)
     monkeypatch.setattr(sparse_index, "HOT", hot)
     rows = postings(seed)
     sparse_index.build(spark.createDataFrame(rows, POSTING), store, "p", by=("lang",))

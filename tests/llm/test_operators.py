@@ -631,55 +631,3 @@ def test_page_parts(spark):
     heads = ["<html><html xml:lang = 'FR'>", "<html id=a lang=english>", "<htmlx lang=de>", "<p lang=de><html>", "<html lang=de", None, ""]
     found = spark.createDataFrame([(i, h) for i, h in enumerate(heads)], "i int, h string").select("i", language.declared_language(F.col("h"))).collect()
     assert [x for _, x in sorted(found)] == ["fr", None, None, None, "de", None, None]
-
-
-def test_texts_of_one_template_make_no_pairs(spark, monkeypatch):
-    """Texts alike in three words of four share buckets, but no rare shingle: few pairs are made of very many; links among them are found."""
-    rng = random.Random(8)
-    word = lambda: "".join(rng.choices("abcdefghij", k=7))
-    frame = [word() for _ in range(120)]
-
-    def filled():
-        out = list(frame)
-        for _ in range(8):
-            at = rng.randrange(len(out))
-            out[at:at] = [word() for _ in range(5)]
-        return out
-
-    docs = [filled() for _ in range(1500)]
-    copies = [list(docs[i]) for i in range(0, 1500, 50)]
-    for c in copies:
-        c[rng.randrange(len(c))] = word()
-    rows = [(i, " ".join(d)) for i, d in enumerate(docs + copies)]
-    made, plain = [], neardup.open_pairs
-    monkeypatch.setattr(neardup, "open_pairs", lambda *a: made.append((x := plain(*a)).count()) or x)
-    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {**{i: i for i in range(1500)}, **{1500 + k: i for k, i in enumerate(range(0, 1500, 50))}}
-    assert made and made[0] < 2_000
-
-
-def test_links_share_a_rare_shingle(spark):
-    """Whatever the order of shingles, two texts of similarity 0.8 have one of their prefixes' in common."""
-    rng = random.Random(3)
-    vocabulary = ["a", "b", "c", "d"] + [f"w{i}" for i in range(60)]
-    rows = []
-    for i in range(120):
-        base = rng.choices(vocabulary, k=rng.randint(5, 90))
-        rows.append((2 * i, base))
-        other = list(base)
-        for _ in range(rng.randint(0, 3)):
-            other[rng.randrange(len(other))] = rng.choice(vocabulary)
-        rows.append((2 * i + 1, other))
-    texts = {str(i).encode(): " ".join(t) for i, t in rows}
-    held = spark.createDataFrame([(bytearray(k), t) for k, t in texts.items()], "key binary, text string").repartition(3)
-    prefix = {}
-    for r in neardup.prefixes(held.select("key"), held, 0.8).collect():
-        prefix.setdefault(bytes(r.key), set()).add(r.shingle)
-    parts = {k: neardup.shingles(*neardup.word_hashes([t]))[1:] for k, t in texts.items()}
-    keys, linked = list(texts), 0
-    for i, a in enumerate(keys):
-        for b in keys[:i]:
-            if neardup.similarity(parts[a], parts[b]) >= 0.8:
-                linked += 1
-                assert prefix[a] & prefix[b]
-    assert linked > 40

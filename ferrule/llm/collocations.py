@@ -144,7 +144,7 @@ class Trie:
         """The first node not before this path."""
         lo, hi = 0, self.path.shape[1]
         for column, word in zip(self.path, [*bound, *[None] * (MOST + 1 - len(bound))], strict=True):
-            number = 0 if word is None else int(np.searchsorted(names, word)) + 1
+            number = np.int32(0 if word is None else np.searchsorted(names, word) + 1)  # of the columns' type, or they are copied
             at = lo + int(np.searchsorted(column[lo:hi], number))
             if word is not None and (number > len(names) or names[number - 1] != word):
                 return at

@@ -37,9 +37,9 @@ def _bucket(of: Column) -> Column:
 
 
 def build(texts: DataFrame, store: Store, name: str) -> None:
-    """Write the matrices of (id, text). A text without tokens, or a null one, has an empty matrix."""
+    """Write the matrices of (id, text), each by the task that makes it. A text without tokens, or a null one, has an empty matrix."""
     rows = texts.where("id IS NOT NULL").select(_bucket(F.col("id")).alias("bucket"), "id", matrix(F.col("text")).alias("matrix"))
-    store.change(lambda c: c.replace(name, rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "id"), key="id", partition_by=("bucket",)))
+    store.change(lambda c: c.replace(name, rows.sortWithinPartitions("bucket", "id"), key="id", partition_by=("bucket",)))
 
 
 def add(store: Store, name: str, texts: DataFrame) -> None:

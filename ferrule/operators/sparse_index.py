@@ -1,9 +1,9 @@
 """A stored inverted index of sparse vectors: posting blocks in order of weight, read by term and only as far as a top k needs.
 
-A term's postings are cut, heaviest first, into blocks of ``BLOCK``; a block says its greatest weight, and for each
-metadata column given to the index which values its rows have. Blocks are written under buckets of terms, sorted,
-so a request reads the row groups of its own terms. Hot terms are parted by hash of the id, so no term's postings
-meet in one task; rows that differ in their metadata are kept apart, so that a filter skips whole blocks.
+Each task cuts the postings of its own rows, ``HOT`` at a time: a term's, heaviest first, into blocks of ``BLOCK``. A
+block says its greatest weight, and for each metadata column given to the index which values its rows have. Blocks are
+written under buckets of terms, sorted, so a request reads the row groups of its own terms. Postings aren't shuffled,
+and no term's meet in one task; rows that differ in their metadata are kept apart, so that a filter skips whole blocks.
 
 A search reads the blocks whose greatest weight can still matter at a level, and adds up what it has. What a
 document may still gain from blocks not read is bounded by their greatest weights. Once a document that was not met
@@ -14,17 +14,21 @@ everything is read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import once
 from ..sources.commits import Store
 from .retrieval import POWER, ranked
 
 BLOCK, BUCKETS, PARTS = 512, 32, 8
-#: Postings of a term and part beyond which they are parted further.
-HOT = 65_536
+#: Postings that a task sorts and cuts at once; a term with more has further blocks.
+HOT = 1_048_576
 #: Values of a metadata column that a block lists; blocks with more aren't skipped by it.
 VALUES = 16
 #: Levels, as shares of the greatest product of weights.
@@ -46,24 +50,51 @@ def build(terms: DataFrame, store: Store, name: str, by: tuple[str, ...] = ()) -
     Null and zero weights are dropped, as are null terms and ids; of a repeated (id, term) all weights count.
     """
     rows = terms.where(F.col("id").isNotNull() & F.col("term").isNotNull() & (F.coalesce("weight", F.lit(0.0)) != 0)).select("id", "term", F.col("weight").cast("double").alias("weight"), *by)
-    parted = rows.withColumn("part", F.pmod(F.xxhash64(*by), F.lit(PARTS)).cast("int") if by else F.lit(0))
-    hot = parted.groupBy("term", "part").agg(F.count("*").alias("n_")).where(F.col("n_") > HOT).withColumn("salts_", F.ceil(F.col("n_") / HOT)).drop("n_")
-    salted = parted.join(hot, ["term", "part"], "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), "salts_"), F.lit(0)))
-    heaviest = Window.partitionBy("term", "part", "salt").orderBy(F.desc("weight"), "id")
-    blocked = salted.withColumn("block", F.floor((F.row_number().over(heaviest) - 1) / BLOCK))
-    values = lambda c: F.when(F.size(F.collect_set(c)) <= VALUES, F.array_sort(F.collect_set(c))).alias(f"{c}_values")
-    blocks = blocked.groupBy("term", "part", "salt", "block").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("minus"), "id", *by))).alias("postings"),
-        F.max("weight").alias("greatest"),
-        F.min("weight").alias("least"),
-        *(values(c) for c in by),
-    )
-    bucket = _bucket(F.col("term")).alias("bucket")
-    out = blocks.select(bucket, "term", "greatest", "least", *(f"{c}_values" for c in by), "postings")
-    written = out.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", F.desc("greatest"))
+    part = F.pmod(F.xxhash64(*by), F.lit(PARTS)).cast("int") if by else F.lit(0)
+    laid = rows.select(_bucket(F.col("term")).alias("bucket"), "term", part.alias("part"), F.struct((-F.col("weight")).alias("minus"), "id", *by).alias("posting"))
+    kinds = {f.name: f.dataType.simpleString() for f in laid.schema}
+    blocks = laid.mapInArrow(_cut(BLOCK, HOT), f"bucket int, term {kinds['term']}, postings array<{kinds['posting']}>")
+    weights = F.transform("postings", lambda p: -p["minus"])
+    listed = lambda c: F.array_sort(F.filter(F.array_distinct(F.transform("postings", lambda p: p[c])), lambda x: x.isNotNull()))
+    values = [once(listed(c), lambda v: F.when(F.size(v) <= VALUES, v)).alias(f"{c}_values") for c in by]
+    out = blocks.select("bucket", "term", F.array_max(weights).alias("greatest"), F.array_min(weights).alias("least"), *values, "postings")
+    written = out.sortWithinPartitions("bucket", "term", F.desc("greatest"))
     store.change(lambda c: c.replace(name, written, key="term", partition_by=("bucket",)))
 
 
+def _cut(block: int, lot: int):
+    """Blocks of a task's postings (bucket, term, part, posting), a lot at a time."""
+
+    def blocks(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        term, part = rows["term"].combine_chunks().dictionary_encode().indices.to_numpy(), rows["part"].to_numpy()
+        posting = rows["posting"].combine_chunks()
+        order = np.lexsort((posting.field("minus").to_numpy(), part, term))
+        term, part = term[order], part[order]
+        fresh = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (part[1:] != part[:-1])])
+        size = np.diff(np.r_[fresh, len(order)])
+        starts = np.concatenate([np.arange(a, a + n, block) for a, n in zip(fresh, size, strict=True)])
+        ends = np.r_[starts, len(order)]
+        for a in range(0, len(starts), 64):  # as many blocks a batch
+            own, first = ends[a : a + 65], pa.array(order[starts[a : a + 64]])
+            lists = pa.ListArray.from_arrays(pa.array((own - own[0]).astype(np.int32)), posting.take(pa.array(order[own[0] : own[-1]])))
+            yield pa.RecordBatch.from_arrays([rows["bucket"].combine_chunks().take(first), rows["term"].combine_chunks().take(first), lists], names=["bucket", "term", "postings"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for a in range(0, batch.num_rows, lot):
+                held.append(batch.slice(a, lot))
+                n += held[-1].num_rows
+                if n >= lot:
+                    yield from blocks(held)
+                    held, n = [], 0
+        if n:
+            yield from blocks(held)
+
+    return run
+
+
 def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vec
+from ..functions.text import once
 from ..operators import ingest, late_interaction, retrieval, sparse_index
 from ..sources.commits import Store
 from .derived import kept
@@ -27,18 +28,18 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
-def terms(docs: DataFrame, id_col: str, only: DataFrame | None = None) -> DataFrame:
-    """id, term, weight: words hashed to buckets, weighted 1 + ln(tf); a deterministic stand-in for a learned sparse encoder.
+def terms(docs: DataFrame, id_col: str, *more: str) -> DataFrame:
+    """id, term, weight and further columns: words hashed to buckets, weighted 1 + ln(tf); a deterministic stand-in for a learned sparse encoder.
 
-    With ``only`` (term), one request's terms, others are dropped before anything is counted or shuffled. A term is
-    never null and says so: a join on a nullable one would make Spark hash every word twice, first to test it for null.
+    Ids are unique: a text's terms are counted in its own row, as runs of its sorted buckets, and nothing is shuffled.
     """
-    bucket = F.coalesce(F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long") % BUCKETS, F.lit(0).cast("long"))
-    words = docs.select(F.col(id_col).alias("id"), F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("word")).where("word <> ''")
-    hashed = words.select("id", bucket.alias("term"))
-    if only is not None:
-        hashed = hashed.join(F.broadcast(only.select("term").distinct()), "term", "left_semi")
-    return hashed.groupBy("id", "term").agg((F.lit(1.0) + F.log(F.count("*"))).alias("weight"))
+    words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "")
+    bucket = lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % BUCKETS
+    ends = lambda b: F.filter(F.sequence(F.lit(1), F.size(b)), lambda i: (i == F.size(b)) | (F.get(b, i) != F.get(b, i - 1)))
+    run = lambda b, e, i: F.struct(F.get(b, F.get(e, i) - 1).alias("term"), (F.get(e, i) - F.when(i == 0, 0).otherwise(F.get(e, i - 1))).alias("n"))
+    runs = once(F.array_sort(F.transform(words, bucket)), lambda b: F.when(F.size(b) > 0, once(ends(b), lambda e: F.transform(F.sequence(F.lit(0), F.size(e) - 1), lambda i: run(b, e, i)))))
+    rows = docs.select(F.col(id_col).alias("id"), F.explode(runs).alias("t"), *more)
+    return rows.select("id", F.col("t.term").alias("term"), (F.lit(1.0) + F.log(F.col("t.n").cast("long"))).alias("weight"), *more)
 
 
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +68,7 @@ def dense_list(spark, sf_dir, k: int = 100) -> DataFrame:
 def sparse_store(spark, sf_dir) -> Store:
     """The inverted index of all documents; written by the first query that asks for it."""
     docs = lambda: table(spark, sf_dir, "documents")
-    return kept(spark, sf_dir, ("documents",), "postings", lambda store: sparse_index.build(terms(docs(), "doc_id").join(docs().select(F.col("doc_id").alias("id"), "lang"), "id"), store, "postings", by=("lang",)))
+    return kept(spark, sf_dir, ("documents",), "postings", lambda store: sparse_index.build(terms(docs(), "doc_id", "lang"), store, "postings", by=("lang",)))
 
 
 def sparse_list(spark, sf_dir, k: int = 100) -> DataFrame:

@@ -182,6 +182,47 @@ def test_sparse_index_reads_the_asked_terms_only(spark, store):
     assert sparse_index.search(store, "none", spark.createDataFrame([(0, "t3", 1.0)], QUERY), 3).count() == 0
 
 
+def shuffled(spark, build):
+    """Records that tasks wrote to shuffles while an index was built."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    known = {s.stageId() for s in stages(sc)}
+    build()
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return sum(s.shuffleWriteRecords() for s in stages(sc) if s.stageId() not in known)
+
+
+def stages(sc):
+    listed = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return [listed.apply(i) for i in range(listed.size())]
+
+
+def test_indexes_are_built_without_shuffling_postings_or_matrices(spark, store, small):
+    from ferrule.plans import retrieval
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    n = docs.count()
+    terms = lambda: retrieval.terms(docs, "doc_id", "lang")
+    assert shuffled(spark, lambda: sparse_index.build(terms(), store, "p", by=("lang",))) < n
+    assert shuffled(spark, lambda: late_interaction.build(docs.select(F.col("doc_id").alias("id"), "text"), store, "m")) < n
+    blocks = store.read("p")
+    assert blocks.select(F.sum(F.size("postings"))).head()[0] == terms().count() and store.read("m").count() == n
+
+
+def test_blocks_are_cut_heaviest_first_in_lots(spark, store, monkeypatch):
+    monkeypatch.setattr(sparse_index, "BLOCK", 4)
+    monkeypatch.setattr(sparse_index, "HOT", 30)
+    rows = [(f"d{i}", f"t{i % 3}", float(i % 7 + 1), "de" if i % 2 else None) for i in range(100)]
+    sparse_index.build(spark.createDataFrame(rows, POSTING).coalesce(1), store, "p", by=("lang",))
+    got = []
+    for r in store.read("p").collect():
+        weights = [-p.minus for p in r.postings]
+        assert weights == sorted(weights, reverse=True) and (r.greatest, r.least) == (weights[0], weights[-1]) and len(weights) <= 4
+        assert r.lang_values == sorted({p.lang for p in r.postings} - {None})
+        got += [(p.id, r.term, -p.minus, p.lang) for p in r.postings]
+    assert sorted(got, key=repr) == sorted(rows, key=repr)
+
+
 # ---- token matrices
 
 

@@ -119,14 +119,32 @@ def _schema(records: DataFrame) -> str:
     return OUTPUT.format(key=records.schema["file_id"].dataType.simpleString())
 
 
+def _sparse(records: DataFrame) -> DataFrame:
+    """Encoded records whose vectors are places and numbers in turn, zeros left out: most are, and rows go to Python as texts."""
+    some = lambda v: F.filter(F.sequence(F.lit(0), F.size(v) - 1), lambda d: F.get(v, d) != 0)
+    pairs = lambda vs: F.transform(vs, lambda v: F.flatten(F.transform(some(v), lambda d: F.array(d.cast("double"), F.get(v, d)))))
+    return records.withColumns({c: pairs(F.col(c)) for c in ("vectors", "windows")})
+
+
+def _dense(pairs: list[list[float]] | None) -> list[list[float]]:
+    out = np.zeros((len(pairs or []), SIZE))
+    for x, p in zip(out, pairs or [], strict=True):
+        x[np.array(p[::2], int)] = p[1::2]
+    return out.tolist()
+
+
+def _on_sparse(step: Step) -> Step:
+    return lambda state, row: step(state, row | {c: _dense(row[c]) for c in ("vectors", "windows")})
+
+
 def running_briefs(records: DataFrame, time: str, step: Step | None = None, idle: int | None = None) -> DataFrame:
     """Every record's route and the brief after it; records as for ``encoded``, with a time. Files of a null id are one."""
-    return fold(encoded(records), "file_id", time, ORDER, step or brief_step(), _schema(records), idle)
+    return fold(_sparse(encoded(records)), "file_id", time, ORDER, _on_sparse(step or brief_step()), _schema(records), idle)
 
 
 def brief_stream(records: DataFrame, time: str, delay: str, step: Step | None = None, idle: int | None = None) -> DataFrame:
     """The same over a stream of records, whose output comes once the watermark has passed them."""
-    return fold_stream(encoded(records), "file_id", time, ORDER, step or brief_step(), _schema(records), delay, idle)
+    return fold_stream(_sparse(encoded(records)), "file_id", time, ORDER, _on_sparse(step or brief_step()), _schema(records), delay, idle)
 
 
 def pending_step(least: float = LEAST) -> Step:

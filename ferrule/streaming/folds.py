@@ -7,7 +7,8 @@ the key it is at. In a stream, rows wait in the key's state until the watermark
 then folded in order, so rows that come late, out of order or over several batches give the batch's result; rows
 later than the watermark's delay are dropped. A key that had no row for ``idle`` starts anew in either, and in
 the stream its state goes, so state is bounded by the keys and rows of that time. A key's rows follow one another,
-so one key's rows take one task, as an order demands, but never more memory than its state and one Arrow batch.
+so one key's rows take one task, as an order demands, but never more memory than its state and one Arrow batch, of
+which ``LOT`` rows at a time are Python's.
 """
 
 from __future__ import annotations
@@ -17,12 +18,16 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows that are unpacked, and whose output is held, at once.
+LOT = 64
 Step = Callable[[dict | None, dict], tuple[dict | None, tuple]]
 
 
@@ -49,22 +54,22 @@ def _advance(step: Step, state: dict | None, last: int | None, at: int, row: str
 
 def fold(rows: DataFrame, key: str, time: str, order: list[str], step: Step, schema: str, idle: int | None = None) -> DataFrame:
     """The step's output for every row, in order of time and then ``order`` within its key. idle: milliseconds."""
-    out = T.StructType.fromDDL(schema).names
+    out = to_arrow_schema(T.StructType.fromDDL(schema))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state, last, started = None, None, None, False
-        for batch in batches:
+        for part in (batch.slice(a, LOT) for batch in batches for a in range(0, batch.num_rows, LOT)):
             made = []
-            for k, at, row in zip(batch[key].tolist(), batch["at_"].tolist(), batch["row_"], strict=True):
-                if not started or k != now and not (pd.isna(k) and pd.isna(now)):
+            for k, at, row in zip(*(part.column(c).to_pylist() for c in (key, "at_", "row_")), strict=True):
+                if not started or k != now and not (k != k and now != now):
                     now, state, last, started = k, None, None, True
                 state, one = _advance(step, state, last, at, row, idle)
                 last = at
                 made.append(one)
-            yield pd.DataFrame(made, columns=out)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), out.types, strict=True)], schema=out)
 
     own = packed(rows, key, time, order)
-    return own.repartition(key).sortWithinPartitions(key, "at_", *(c for c in order if c not in (key, time))).mapInPandas(run, schema)
+    return own.repartition(key).sortWithinPartitions(key, "at_", *(c for c in order if c not in (key, time))).mapInArrow(run, schema)
 
 
 class Ordered(StatefulProcessor):

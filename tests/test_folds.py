@@ -46,6 +46,30 @@ def test_fold_in_order(spark):
     assert folds.fold(table.limit(0), "f", "ts", ["i"], counting, "f long, i long, n long").count() == 0
 
 
+def test_a_fold_holds_the_output_of_few_rows_at_once(spark):
+    """Memory of the worker from the first row to the last, while each row gives a text of 16 KB or more."""
+
+    def step(state, row):
+        with open("/proc/self/statm") as f:
+            now = int(f.read().split()[1]) * 4_096
+        first = (state or {"first": now})["first"]
+        return {"first": first}, (row["i"], now - first, f"{row['i']:04d}" * 4_000)
+
+    table = spark.createDataFrame([(1, i, START) for i in range(9_000)], ROWS).coalesce(1)
+    got = folds.fold(table, "f", "ts", ["i"], step, "i long, grown long, text string")
+    rows, most = got.selectExpr("count(length(text))", "max(grown)").head()
+    assert rows == 9_000 and most < 60e6
+
+
+def test_vectors_go_to_python_without_zeros(spark, small):
+    from ferrule.plans import streams
+
+    rows = briefs.encoded(streams.timed(spark, small).limit(20)).cache()
+    for plain, sparse in zip(*(df.orderBy("record_id").collect() for df in (rows, briefs._sparse(rows))), strict=True):
+        for c in ("vectors", "windows"):
+            assert briefs._dense(sparse[c]) == plain[c] and all(0.0 not in p[1::2] for p in sparse[c])
+
+
 def streamed(spark, tmp_path, batches, delay, idle=None):
     """Output and state rows after each batch of a stream whose batches come in this order."""
     for k, rows in enumerate(batches):

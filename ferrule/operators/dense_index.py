@@ -7,7 +7,7 @@ the same scan. With all cells (``probes=None``) it is exact. How many cells reac
 index is built, against an exact comparison of a bounded sample of its rows with all rows, and stored with it.
 
 A small request is broadcast to the rows, of which each task returns its best k per query. A large one (its size is
-counted) meets the rows cell by cell; cells of more than ``PART_ROWS`` rows are parted, and queries visit all parts.
+counted) meets the rows cell by cell, its nearest first; cells of more than ``PART_ROWS`` rows are parted, and queries visit all parts.
 """
 
 from __future__ import annotations
@@ -29,7 +29,9 @@ MOST_CELLS, CENTROID_NUMBERS = 4_096, 4_000_000
 SAMPLE_ROWS, SAMPLE_NUMBERS, ROUNDS = 100_000, 8_000_000, 6
 #: Rows that recall is measured on, for these k, and the recall that is wanted.
 MEASURED, DEPTHS, TARGET = 128, (10, 100), 0.95
-BROADCAST_QUERIES, PART_ROWS, QUERY_ROWS, LOT = 1_000, 50_000, 20_000, 256
+BROADCAST_QUERIES, PART_ROWS, QUERY_ROWS = 1_000, 50_000, 20_000
+#: Scores that a task holds at once.
+LOT_NUMBERS = 1_000_000
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -238,27 +240,56 @@ def _cells(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _large(stored: DataFrame, asked: DataFrame, k: int, schema: str) -> DataFrame:
-    def shared(df: DataFrame, most: int) -> DataFrame:
-        """cell and the number of parts that its rows need; one row per cell."""
-        return df.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("n"))
+    """Rows that may be among the k best of each query; the k best are.
 
-    visits = asked.select("query_id", "vector", F.explode("cells").alias("cell"))
-    parts, blocks = F.broadcast(shared(stored, PART_ROWS).withColumnRenamed("n", "n_parts")), F.broadcast(shared(visits, QUERY_ROWS).withColumnRenamed("n", "n_blocks"))
+    A query first meets the nearest of its cells that together have k rows. The k-th best of these is a bar: of its other
+    cells, rows below it aren't given back. So rows out are a few times k a query, however many cells it visits.
+    """
+    n_rows = {r.cell: r["count"] for r in stored.groupBy("cell").count().collect()}  # cells are at most MOST_CELLS
+    if not n_rows:
+        return stored.sparkSession.createDataFrame([], schema)
+    sizes = F.broadcast(stored.sparkSession.createDataFrame([([n_rows.get(i, 0) for i in range(max(n_rows) + 1)],)], "sizes_ array<long>"))
+    size = lambda c: F.coalesce(F.get("sizes_", c), F.lit(0))
+    state = lambda cells, rows: F.struct(cells.alias("cells"), rows.alias("rows"))
+    near = F.aggregate("cells", state(F.lit(0), F.lit(0).cast("long")), lambda s, c: F.when(s["rows"] < k, state(s["cells"] + 1, s["rows"] + size(c))).otherwise(s), lambda s: s["cells"])
+    placed = asked.crossJoin(sizes).withColumn("cells", F.filter("cells", lambda c: size(c) > 0)).withColumn("near_", near)
+    visits = lambda cells, *more: placed.select("query_id", "vector", F.explode(cells).alias("cell"), *more)
+    first = _met(stored, visits(F.slice("cells", F.lit(1), F.col("near_"))).withColumn("bar", F.lit(float("-inf"))), n_rows, k, schema)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    bars = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).groupBy("query_id").agg(F.min("score").alias("bar"), F.count("*").alias("n_")).where(F.col("n_") == k).drop("n_")
+    rest = visits(F.slice("cells", F.col("near_") + 1, F.size("cells"))).join(bars, "query_id", "left").withColumn("bar", F.coalesce("bar", F.lit(float("-inf"))))
+    return first.unionByName(_met(stored, rest, n_rows, k, schema))
+
+
+def _met(stored: DataFrame, visits: DataFrame, n_rows: dict[int, int], k: int, schema: str) -> DataFrame:
+    """Visits (query_id, vector, cell, bar) and the rows of their cells: the k best of each visit that reach the bar."""
+    spark = stored.sparkSession
+    parts = F.broadcast(spark.createDataFrame([(c, -(-n // PART_ROWS)) for c, n in n_rows.items()], "cell int, n_parts int"))
+    blocks = F.broadcast(visits.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(QUERY_ROWS)).cast("int").alias("n_blocks")))
     spread = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     rows = stored.join(parts, "cell").join(blocks, "cell").withColumn("part", spread("id", "n_parts")).withColumn("block", every("n_blocks"))
     visits = visits.join(parts, "cell").join(blocks, "cell").withColumn("block", spread("query_id", "n_blocks")).withColumn("part", every("n_parts"))
 
     def run(own: pa.Table, given: pa.Table) -> pa.Table:
-        out = []
+        who, at, value = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         if own.num_rows and given.num_rows:
-            x, q, ids = _unit(_matrix(own["vector"])), _unit(_matrix(given["vector"])), own["id"].combine_chunks()
-            numbers = _numbers(ids)
-            for a in range(0, len(q), LOT):
-                for i, scores in enumerate(np.round(q[a : a + LOT] @ x.T, 12), a):
-                    best = _best(numbers, scores, k)
-                    out.append(pa.table([pa.array([given["query_id"][i].as_py()] * len(best), given["query_id"].type), ids.take(pa.array(best)), pa.array(scores[best])], names=["query_id", "id", "score"]))
-        return pa.concat_tables(out) if out else pa.table([given["query_id"].slice(0, 0), own["id"].slice(0, 0), pa.array([], pa.float64())], names=["query_id", "id", "score"])
-
-    keys, q_keys = ["cell", "part", "block"], ["cell", "part", "block"]
-    return rows.select("cell", "part", "block", "id", "vector").groupBy(*keys).cogroup(visits.select("cell", "part", "block", "query_id", "vector").groupBy(*q_keys)).applyInArrow(run, schema)
+            x, q, bar = _unit(_matrix(own["vector"])), _unit(_matrix(given["vector"])), given["bar"].to_numpy()[:, None]
+            numbers = _numbers(own["id"].combine_chunks())
+            lot = max(1, LOT_NUMBERS // len(x))
+            for a in range(0, len(q), lot):
+                scores = np.round(q[a : a + lot] @ x.T, 12)
+                least = bar[a : a + lot]
+                if len(x) > 4 * k:
+                    least = np.maximum(least, -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k])
+                i, j = np.nonzero(~(scores < least))
+                best = np.lexsort((numbers[j], -scores[i, j], i))
+                i, j = i[best], j[best]
+                some = np.arange(len(i)) - np.searchsorted(i, i) < k
+                i, j = i[some], j[some]
+                who, at, value = [*who, i + a], [*at, j], [*value, scores[i, j]]
+        who, at = pa.array(np.concatenate(who)), pa.array(np.concatenate(at))
+        return pa.table([given["query_id"].take(who), own["id"].take(at), pa.array(np.concatenate(value))], names=["query_id", "id", "score"])
+
+    keys = ["cell", "part", "block"]
+    return rows.select(*keys, "id", "vector").groupBy(*keys).cogroup(visits.select(*keys, "query_id", "vector", "bar").groupBy(*keys)).applyInArrow(run, schema)

@@ -80,6 +80,20 @@ def test_dense_index_upserts(spark, store):
     near(dense_index.search(store, "t", spark.createDataFrame(asked, "query_id long, vector array<double>"), 4), plain_nearest(flipped + rows[20:], asked, 4))
 
 
+def test_large_searches_give_back_few_rows_for_each_cell(spark, store, monkeypatch):
+    """Cells beyond a query's nearest give back only rows that reach the k-th best found in those, and the result is the exact one."""
+    monkeypatch.setattr(dense_index, "BROADCAST_QUERIES", 0)
+    rng = np.random.default_rng(3)
+    middles = 5 * rng.normal(size=(12, 4))
+    rows = [(f"v{i:03d}", (middles[i % 12] + rng.normal(size=4)).tolist()) for i in range(600)]
+    dense_index.build(spark.createDataFrame([(*r, 0) for r in rows], SCHEMA), store, "t", cells=12)
+    asked = [(i, v) for i, (_, v) in enumerate(rows[:40])]
+    queries, seen, plain = spark.createDataFrame(asked, "query_id long, vector array<double>"), [], dense_index._large
+    monkeypatch.setattr(dense_index, "_large", lambda *a: seen.append(plain(*a)) or seen[-1])
+    near(dense_index.search(store, "t", queries, 5), plain_nearest(rows, asked, 5))
+    assert seen[0].count() < 40 * 5 * 5  # 12 cells of 5 each, if none was left out
+
+
 def test_recall_over_a_whole_table(spark, small):
     """Every vector whose id is divisible by 20, a hundred nearest, against all rows."""
     from ferrule.plans import indexes

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import briefs
 
+from ..sources.commits import Files
 from ..sources.files import read_records
 from ..sources.shared import shared_dir
 from ..streaming import ingest as streaming
@@ -78,15 +79,20 @@ def at_turn(turn: Column) -> Column:
 
 
 def in_batches(rows: DataFrame, n: int, by: Column) -> DataFrame:
-    """A stream of rows in n batches, dealt by a number, so that each batch holds rows before and after those of others; and a last row, of no file and much later."""
+    """A stream of rows in n batches, dealt by a number, so that each batch holds rows before and after those of others; and a last row, of no file and much later.
+
+    A batch has as many files as the cluster has cores, so that all of them write and read it.
+    """
     spark, root = rows.sparkSession, shared(rows.sparkSession)
-    parts = [rows.where(F.pmod(by, F.lit(n)) == n - 1 - i) for i in range(n)]
+    files = max(1, spark.sparkContext.defaultParallelism)
+    parts = [rows.where(F.pmod(by, F.lit(n)) == n - 1 - i).repartition(files) for i in range(n)]
     late = {"at": F.timestamp_seconds(F.lit(4_000_000_000))}
     end = spark.range(1).select(*(late.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema))
-    for i, part in enumerate([*parts, end]):
-        part.coalesce(1).write.parquet(f"{root}/in/{i}")
+    for i, part in enumerate([*parts, end.coalesce(1)]):
+        part.write.parquet(f"{root}/in/{i}")
+    most = max(sum(name.startswith("part-") for name in Files(spark, root).names(f"in/{i}")) for i in range(n))
     # one folder each: files are taken in order of their time of change
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in/*")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", most).parquet(f"{root}/in/*")
 
 
 BRIEF_COLUMNS = ("record_id", "route", "contributors", "n_vectors", "pending_id")

@@ -73,7 +73,7 @@ def fold(rows: DataFrame, key: str, time: str, order: list[str], step: Step, sch
 
 
 class Ordered(StatefulProcessor):
-    """Rows wait until the watermark has passed them, then are folded in order."""
+    """Rows wait until the watermark has passed them, then are folded in order. A key has one timer a batch, for its first row, not one a row."""
 
     def __init__(self, step: Step, out: list[str], order: list[str], idle: int | None):
         self.step, self.out, self.order, self.idle = step, out, order, idle
@@ -86,13 +86,14 @@ class Ordered(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         new = [(int(at), row) for part in rows for at, row in zip(part["at_"], part["row_"], strict=True)]
         self.waiting.appendList(new)
-        for at in {at for at, _ in new}:
-            self.handle.registerTimer(at)
-        yield pd.DataFrame([], columns=self.out)
+        self.handle.registerTimer(min(at for at, _ in new))  # the key's next one; what still waits then gets the one after
+        return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
         held = [(int(at), row) for at, row in self.waiting.get()]
+        if self.idle is None and not any(at <= passed for at, _ in held):
+            return
         ready = sorted(((at, row) for at, row in held if at <= passed), key=lambda r: (r[0], *((v is not None, v) for v in map(json.loads(r[1]).get, self.order))))
         state, last = None, None
         if self.state.exists():
@@ -105,14 +106,19 @@ class Ordered(StatefulProcessor):
             made.append(one)
         if ready:
             rest = [r for r in held if r[0] > passed]
-            self.waiting.put(rest) if rest else self.waiting.clear()
+            if rest:
+                self.waiting.put(rest)
+                self.handle.registerTimer(min(at for at, _ in rest))
+            else:
+                self.waiting.clear()
             self.state.update((json.dumps(state), last))
         if self.idle is not None and last is not None:
             if last + self.idle < passed:
                 self.state.clear()  # what comes now comes later than that
             elif ready:
                 self.handle.registerTimer(last + self.idle + 1)
-        yield pd.DataFrame(made, columns=self.out)
+        if made:
+            yield pd.DataFrame(made, columns=self.out)
 
     def close(self) -> None:
         pass

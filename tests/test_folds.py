@@ -90,6 +90,61 @@ def test_late_rows_over_several_batches_give_the_batch_result(spark, tmp_path):
     assert got == plain_fold(rows) and held > 0
 
 
+def test_a_key_has_one_timer_a_batch():
+    """Twelve rows of a key over three batches wait with three timers at most, and none is left over."""
+    class Handle:
+        def __init__(self):
+            self.timers = []
+
+        def getValueState(self, name, schema):
+            return Value()
+
+        def getListState(self, name, schema):
+            return Rows()
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Value:
+        value = None
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+
+        def update(self, v):
+            self.value = v
+
+    class Rows:
+        def __init__(self):
+            self.rows = []
+
+        def appendList(self, rows):
+            self.rows += rows
+
+        def put(self, rows):
+            self.rows = list(rows)
+
+        def get(self):
+            return iter(self.rows)
+
+        def clear(self):
+            self.rows = []
+
+    class Clock:
+        def __init__(self, at):
+            self.getCurrentWatermarkInMs = lambda: at
+
+    handle, fold = Handle(), folds.Ordered(counting, ["f", "i", "n"], ["i"], None)
+    fold.init(handle)
+    rows = [(i, f'{{"f": 1, "i": {i}}}') for i in range(12)]
+    for k in (2, 0, 1):
+        list(fold.handleInputRows((1,), iter([folds.pd.DataFrame([r for r in rows if r[0] % 3 == k], columns=["at_", "row_"])]), None))
+    assert sorted(handle.timers) == [0, 1, 2]
+    first = [tuple(r) for df in fold.handleExpiredTimer((1,), Clock(6), None) for r in df.itertuples(index=False)]
+    assert handle.timers[3:] == [7] and list(fold.handleExpiredTimer((1,), Clock(6), None)) == []
+    rest = [tuple(r) for df in fold.handleExpiredTimer((1,), Clock(99), None) for r in df.itertuples(index=False)]
+    assert sorted([*first, *rest], key=repr) == plain_fold([(1, i, START) for i in range(12)])
+
+
 def test_rows_beyond_the_delay_are_dropped_and_idle_state_goes(spark, tmp_path):
     """A stream of ever new files: state holds the files of the idle time only, and a file that comes back starts anew."""
     day = dt.timedelta(days=1)

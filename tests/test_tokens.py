@@ -25,6 +25,22 @@ def test_counts(spark, tmp_path, ranks):
     assert {r.id: r.n_tokens for r in tokens.counted(store, "words", more, ranks).collect()} == {1: 2, 2: len(encoding.encode_ordinary("unheard word"))}
 
 
+def test_frequent_words_are_not_shuffled(spark, tmp_path, ranks, monkeypatch):
+    """Two frequent words are counted where the texts are, rare ones by the table; counts are those of whole texts either way."""
+    from .test_indexes import shuffled
+
+    store, encoding = Store(spark, f"file://{tmp_path}/s"), ranks.load()
+    texts = [(i, "".join(f" w{j}" for j in range(200)) + f" own{i}") for i in range(60)]
+    rows = spark.createDataFrame(texts, "id long, text string").repartition(3).cache()
+    tokens.learn(store, "words", rows, ranks)
+    want = {i: len(encoding.encode_ordinary(t)) for i, t in texts}
+    got = {}
+    assert shuffled(spark, lambda: got.update((r.id, r.n_tokens) for r in tokens.counted(store, "words", rows, ranks).collect())) < 60 * 20
+    assert got == want
+    monkeypatch.setattr(tokens, "HOT_WORDS", 2)
+    assert {r.id: r.n_tokens for r in tokens.counted(store, "words", rows, ranks).collect()} == want
+
+
 def test_estimates_without_a_tokenizer(spark):
     texts = spark.createDataFrame([(1, "abcde"), (2, None), (3, "x")], "id long, text string")
     assert sorted(map(tuple, tokens.counts(texts).collect())) == [(1, 2), (2, 0), (3, 1)]
